@@ -70,9 +70,9 @@ def products_of(runs: DataFrame, functions: DataFrame, keep: Keep = _as_is) -> P
     overall = risk.overall_risk(findings)
     selected = keep(workflow.select_workflow(profiles))
     nodes, links = workflow.workflow_graph(selected, edges, overall)
-    top = lineage.lineage_top(runs, functions)
+    top = keep(lineage.lineage_top(runs, functions))
     data_nodes, data_edges = lineage.lineage_graph(functions, top)
-    exposure = ontology.integration_exposure(runs, functions)
+    exposure = keep(ontology.integration_exposure(runs, functions))
     boundaries = migration.extraction_boundaries(findings, functions)
     return Products(
         workflow_nodes=nodes,
