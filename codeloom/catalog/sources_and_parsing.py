@@ -10,8 +10,8 @@ from codeloom.catalog.registry import query
 from codeloom.functions import lexicons as lx
 from codeloom.functions.text import decode_source, module_name
 from codeloom.operators import callgraph, tagging
-from codeloom.plans.analyze import parse_corpus, products_of
-from codeloom.session import scratch_path
+from codeloom.plans.analyze import parse_corpus
+from codeloom.session import scratch_path, stored
 from codeloom.sources import artifacts, extract, files, repositories
 
 
@@ -234,7 +234,7 @@ def run_of_repo(spark, sf_dir):
     FROM wnodes JOIN (SELECT run_id, count(*) AS e FROM wedges GROUP BY 1) USING (run_id) GROUP BY 1"""),
 )
 def exported(spark, sf_dir):
-    products = products_of(ad.run_table(spark, sf_dir), ad.function_table(spark, sf_dir))
+    products = ad.products(spark, sf_dir)
     docs = artifacts.export_graph(products.workflow_nodes, products.workflow_edges)
     doc = F.from_json(
         "payload", "struct<nodes:array<struct<id:string,label:string>>,edges:array<struct<source:string>>>"
@@ -381,7 +381,7 @@ def all_calls(spark, sf_dir):
     SELECT DISTINCT c.run_id, call, qname AS target FROM calls c JOIN fn ON fn.run_id = c.run_id AND fn.qname = call"""),
 )
 def exact(spark, sf_dir):
-    table = ad.function_table(spark, sf_dir)
+    table = ad.functions(spark, sf_dir)
     names = callgraph.explode_calls(table).select("run_id", "call").distinct()
     return callgraph.resolve_exact(names, table)
 
@@ -393,15 +393,16 @@ def exact(spark, sf_dir):
     JOIN uniq u ON u.run_id = c.run_id AND u.short_name = string_split(call, '.')[-1]"""),
 )
 def unique_short(spark, sf_dir):
-    table = ad.function_table(spark, sf_dir)
+    table = ad.functions(spark, sf_dir)
     names = callgraph.explode_calls(table).select("run_id", "call").distinct()
     return callgraph.resolve_unique_short(names, table)
 
 
 @query("G4_call_edges", op.with_parts(op.BASE, op.EDGES, select="SELECT run_id, source, target FROM edges"))
 def edges(spark, sf_dir):
-    _, table = parse_corpus(files.select_sources(ad.source_files(spark, sf_dir), None))
-    return callgraph.call_edges(table)
+    kept = files.select_sources(ad.source_files(spark, sf_dir), None)
+    _, table = parse_corpus(kept)
+    return callgraph.call_edges(stored(table.select("run_id", "file_path", "fn_ord", "qname", "short_name", "calls")))
 
 
 @query(
@@ -410,4 +411,4 @@ def edges(spark, sf_dir):
     SELECT run_id, qname, out_degree::BIGINT AS out_degree, in_degree::BIGINT AS in_degree FROM deg"""),
 )
 def degrees(spark, sf_dir):
-    return callgraph.degrees(callgraph.call_edges(ad.function_table(spark, sf_dir)))
+    return callgraph.degrees(callgraph.call_edges(ad.functions(spark, sf_dir)))
