@@ -4,7 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.catalog import graphs_and_risk, sources_and_parsing, summaries  # noqa: F401
+from codeloom.catalog import (  # noqa: F401
+    graphs_and_risk,
+    runs_and_responses,
+    sources_and_parsing,
+    summaries,
+)
 from codeloom.catalog import adapters as ad
 from codeloom.catalog.registry import ORACLES, QUERIES  # noqa: F401
 from codeloom.operators import callgraph, risk

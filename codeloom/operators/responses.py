@@ -361,21 +361,28 @@ def probe_failures(probes: DataFrame, keys: list[str]) -> DataFrame:
     return probes.join(up, keys, "left_anti").select(*keys, "ord", text.alias("failure"))
 
 
+def single_probe_detail(detail: Column) -> Column:
+    """Detail of a provider with one fixed address: the probe's own text, else ``ok``."""
+    return F.coalesce(F.nullif(detail, F.lit("")), F.lit("ok"))
+
+
 def configured_readiness(providers: DataFrame, checked: DataFrame, keys: list[str]) -> DataFrame:
     """Readiness of every provider, also those which are not configured or have no probe.
 
     ``providers(*keys, provider, configured)``; a configured one without any probe counts
     as reachable.
     """
-    joined = providers.join(checked, keys, "left")
     probed = F.col("reachable").isNotNull()
-    return joined.select(
+    missing = F.when(F.col("provider") == "mcp", F.lit("mcp_config_missing")).otherwise(
+        F.concat("provider", F.lit("_not_configured"))
+    )
+    return providers.join(checked, keys, "left").select(
         *keys,
         "provider",
         "configured",
         (F.col("configured") & F.coalesce("reachable", F.lit(True))).alias("reachable"),
         F.when(F.col("configured"), F.col("latency_ms")).alias("latency_ms"),
-        F.when(~F.col("configured"), F.concat("provider", F.lit("_not_configured")))
+        F.when(~F.col("configured"), missing)
         .when(probed, F.col("detail"))
         .otherwise(F.lit("mcp_config_loaded_no_http_probe"))
         .alias("detail"),
