@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from codeloom.catalog import (  # noqa: F401
+    answers_and_views,
     graphs_and_risk,
     runs_and_responses,
     sources_and_parsing,
