@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from codeloom.operators.callgraph import call_edges, with_degrees
 from codeloom.operators.tagging import as_set, tag_crud, tag_entities
-from codeloom.plans.analyze import Products, products_of
+from codeloom.plans.analyze import Analysis
 from codeloom.session import stored
 
 # An order with more lines than this becomes several files, so that no file (and no
@@ -50,13 +50,14 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def order_files(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+def order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per generated order file.
 
-    ``spread`` keeps the session's number of shuffle partitions for the work which
-    follows: rows are small here, but parsing their text is not.  The join by ``k`` uses
-    the same partitioning, so this costs no extra shuffle.
+    The explicit partitioning keeps the session's number of shuffle partitions: rows are
+    small here, but the work on their text is not.  The join by ``k`` uses it as well, so
+    it costs no extra shuffle.
     """
+    parallelism = int(spark.conf.get("spark.sql.shuffle.partitions"))
     orders = table(spark, sf_dir, "orders").selectExpr(
         f"{_run('o_custkey')} AS run_id",
         "o_orderkey AS k",
@@ -64,10 +65,9 @@ def order_files(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataF
         "CASE o_orderpriority WHEN '1-URGENT' THEN 'payment' WHEN '2-HIGH' THEN 'shipment' "
         "WHEN '3-MEDIUM' THEN 'invoice' WHEN '4-NOT SPECIFIED' THEN 'ledger' ELSE 'account' END AS noun",
     )
-    if spread:
-        orders = orders.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "k")
     suffix = "if(coalesce(chunk, 0) = 0, cast(k AS string), concat(k, '_', chunk))"
-    return orders.join(order_lines(spark, sf_dir), "k", "left").selectExpr(
+    spread = orders.repartition(parallelism, "k")
+    return spread.join(order_lines(spark, sf_dir), "k", "left").selectExpr(
         "run_id", "k", "verb", "noun", f"{suffix} AS tag",
         "coalesce(lines, array()) AS lines",
     )
@@ -95,7 +95,7 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
                   ELSE concat('    while order.f', l.n) END, ':\\n        ',
         {_CALL}, '(order)\\n',
         if(l.rf = 'R', concat('        ', noun, ' = order\\n'), ''))"""
-    orders = order_files(spark, sf_dir, spread=True).selectExpr(
+    orders = order_files(spark, sf_dir).selectExpr(
         "run_id",
         "concat('svc/order_', tag, '.py') AS path",
         f"""encode(concat('import pkg_', k % 7, '\\n\\n\\ndef ', verb, '_order_', tag, '(order):\\n',
@@ -191,6 +191,6 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(with_degrees(table_, call_edges(table_)))
 
 
-def products(spark: SparkSession, sf_dir: str) -> Products:
-    """All products of the generated corpus; shared tables are stored once."""
-    return products_of(run_table(spark, sf_dir), functions(spark, sf_dir), keep=stored)
+def products(spark: SparkSession, sf_dir: str) -> Analysis:
+    """Products of the generated corpus on demand; shared tables are stored once."""
+    return Analysis(run_table(spark, sf_dir), functions(spark, sf_dir), keep=stored)

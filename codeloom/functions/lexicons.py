@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -149,6 +152,6 @@ def token_table(pairs: list[tuple[str, str]]) -> Column:
     return F.array(*[F.struct(F.lit(t).alias("token"), F.lit(v).alias("tag")) for t, v in pairs])
 
 
-def any_hint(hints: list[str]) -> str:
-    """One alternation pattern for "contains any of these words"."""
-    return "|".join(hints)
+def contains_any(text: Column, words: list[str]) -> Column:
+    """True when any of the words occurs in the text (plain substring tests)."""
+    return reduce(or_, [F.contains(text, F.lit(word)) for word in words])

@@ -64,7 +64,7 @@ def parent_module(symbol: Column) -> Column:
 
 
 def has_entry_hint(short_name: Column) -> Column:
-    return F.lower(short_name).rlike(lx.any_hint(lx.ENTRY_POINT_HINTS))
+    return lx.contains_any(F.lower(short_name), lx.ENTRY_POINT_HINTS)
 
 
 def entity_from_text(text: Column) -> Column:
@@ -81,7 +81,7 @@ def crud_from_text(text: Column) -> Column:
     return F.array_compact(
         F.array(
             *[
-                F.when(lowered.rlike(lx.any_hint(words)), F.lit(label))
+                F.when(lx.contains_any(lowered, words), F.lit(label))
                 for label, words in lx.DISPLAY_CRUD_WORDS.items()
             ]
         )

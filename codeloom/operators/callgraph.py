@@ -51,22 +51,30 @@ def resolve_unique_short(names: DataFrame, functions: DataFrame) -> DataFrame:
 
 def resolve_names(names: DataFrame, functions: DataFrame) -> DataFrame:
     """Target of every resolvable (run_id, call); an exact match beats a short one."""
-    exact = resolve_exact(names, functions)
-    rest = names.join(exact, ["run_id", "call"], "left_anti")
-    return exact.unionByName(resolve_unique_short(rest, functions))
+    exact = exact_names(functions).select(
+        "run_id", F.col("qname").alias("call"), F.col("qname").alias("exact")
+    )
+    return (
+        names.join(exact, ["run_id", "call"], "left")
+        .withColumn("short_name", F.substring_index("call", ".", -1))
+        .join(unique_short_names(functions), ["run_id", "short_name"], "left")
+        .select("run_id", "call", F.coalesce("exact", "target").alias("target"))
+        .where(F.col("target").isNotNull())
+    )
 
 
 def call_edges(functions: DataFrame) -> DataFrame:
     """Distinct (run_id, source, target); self calls stay.
 
-    Popular callees (every function calls ``get``) would make a hot join key, so
-    names are resolved as a distinct set, in which every key occurs once.  Only calls
-    with a resolved name take part in the last join, as distinct pairs, and adaptive
-    execution splits its large partitions.
+    Popular callees (every function calls ``get``) would make a hot key in both name
+    joins, so names are resolved as a distinct set, in which every key occurs once.
+    Calls meet their targets in one last join, whose large partitions adaptive execution
+    splits.  Repeated calls of a function are dropped inside its row.
     """
-    pairs = explode_calls(functions).select("run_id", "source", "call").distinct()
-    names = functions.select("run_id", F.explode(F.array_distinct("calls")).alias("call")).distinct()
-    targets = resolve_names(names, functions)
+    pairs = functions.select(
+        "run_id", F.col("qname").alias("source"), F.explode(F.array_distinct("calls")).alias("call")
+    )
+    targets = resolve_names(pairs.select("run_id", "call").distinct(), functions)
     return pairs.join(targets, ["run_id", "call"]).select("run_id", "source", "target").distinct()
 
 

@@ -14,17 +14,17 @@ def _surface(*more: Column) -> Column:
 
 def cluster_signals(functions: DataFrame) -> DataFrame:
     """Functions per run and domain; a function may count in several domains."""
-    surface = _surface()
     domains = F.array_compact(
         F.array(
             *[
-                F.when(surface.rlike(lx.any_hint(hints)), F.lit(domain))
+                F.when(lx.contains_any(F.col("surface"), hints), F.lit(domain))
                 for domain, hints in lx.CAPABILITY_DOMAINS.items()
             ]
         )
     )
     return (
-        functions.select("run_id", F.explode(domains).alias("name"))
+        functions.select("run_id", _surface().alias("surface"))
+        .select("run_id", F.explode(domains).alias("name"))
         .groupBy("run_id", "name")
         .agg(F.count("*").alias("signal_count"))
     )
@@ -53,9 +53,15 @@ def capability_clusters(runs: DataFrame, functions: DataFrame, k: int = lx.TOP_C
 def integration_exposure(runs: DataFrame, functions: DataFrame) -> DataFrame:
     """Functions which look like inbound and outbound touch points, per run."""
     surface = _surface(F.array_join(F.slice("calls", 1, lx.SURFACE_CALLS), " "))
-    counted = functions.groupBy("run_id").agg(
-        F.count_if(surface.rlike(lx.any_hint(lx.INBOUND_HINTS))).alias("inbound"),
-        F.count_if(surface.rlike(lx.any_hint(lx.OUTBOUND_HINTS))).alias("outbound"),
+    counted = (
+        functions.select("run_id", surface.alias("surface"))
+        .select(
+            "run_id",
+            lx.contains_any(F.col("surface"), lx.INBOUND_HINTS).alias("is_inbound"),
+            lx.contains_any(F.col("surface"), lx.OUTBOUND_HINTS).alias("is_outbound"),
+        )
+        .groupBy("run_id")
+        .agg(F.count_if("is_inbound").alias("inbound"), F.count_if("is_outbound").alias("outbound"))
     )
     return runs.select("run_id").join(counted, "run_id", "left").na.fill(0, ["inbound", "outbound"])
 

@@ -22,6 +22,7 @@ GROUNDED_REASON = "Grounded web reference used by Gemini search."
 DEFAULT_SUMMARY = "Relevant public discussions were found for comparison."
 
 _VARIANTS = "array<variant>"
+_REFERENCE = "struct<platform:string,title:string,url:string,snippet:string,why_relevant:string>"
 
 
 # ---- trigger and poll documents ---------------------------------------------
@@ -214,9 +215,19 @@ def _wanted(reference: Column, platforms: Column) -> Column:
 
 
 def first_per_url(references: Column) -> Column:
-    """First reference of every URL in a list, order kept."""
-    urls = F.transform(references, lambda r: r["url"])
-    return F.filter(references, lambda r, i: F.array_position(urls, r["url"]) == i + 1)
+    """First reference of every URL in a list, order kept.
+
+    The list is folded once.  A lambda over a second copy of the list would evaluate
+    that copy, with all the parsing behind it, for each element.
+    """
+    none = F.array().cast(f"array<{_REFERENCE}>")
+    return F.aggregate(
+        references,
+        none,
+        lambda kept, r: F.when(F.exists(kept, lambda k: k["url"] == r["url"]), kept).otherwise(
+            F.array_append(kept, r)
+        ),
+    )
 
 
 def normalise_references(items: Column, platforms: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -62,34 +63,96 @@ def parse_corpus(files: DataFrame, keep: Keep = _as_is) -> tuple[DataFrame, Data
     return facts, keep(tagging.tag_functions(extract_functions(facts)))
 
 
+class Analysis:
+    """Products of runs(run_id, root_name) from their functions, each made on first use.
+
+    Tables which several products need go through ``keep`` once.
+    """
+
+    def __init__(self, runs: DataFrame, functions: DataFrame, keep: Keep = _as_is) -> None:
+        self.runs = runs
+        self.functions = functions
+        self._keep = keep
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return self._keep(callgraph.call_edges(self.functions))
+
+    @cached_property
+    def profiles(self) -> DataFrame:
+        return self._keep(callgraph.with_degrees(self.functions, self.edges))
+
+    @cached_property
+    def findings(self) -> DataFrame:
+        return self._keep(risk.risk_findings(self.runs, self.profiles))
+
+    @cached_property
+    def overall(self) -> DataFrame:
+        return risk.overall_risk(self.findings)
+
+    @cached_property
+    def selected(self) -> DataFrame:
+        return self._keep(workflow.select_workflow(self.profiles))
+
+    @cached_property
+    def _workflow(self) -> tuple[DataFrame, DataFrame]:
+        return workflow.workflow_graph(self.selected, self.edges, self.overall)
+
+    @property
+    def workflow_nodes(self) -> DataFrame:
+        return self._workflow[0]
+
+    @property
+    def workflow_edges(self) -> DataFrame:
+        return self._workflow[1]
+
+    @cached_property
+    def entity_counts(self) -> DataFrame:
+        return self._keep(lineage.entity_counts(self.functions))
+
+    @cached_property
+    def top_entities(self) -> DataFrame:
+        defaults = lineage.default_entities(self.runs, self.entity_counts)
+        return self._keep(lineage.top_entities(self.entity_counts.unionByName(defaults)))
+
+    @cached_property
+    def _lineage(self) -> tuple[DataFrame, DataFrame]:
+        return lineage.lineage_graph(self.functions, self.top_entities)
+
+    @property
+    def lineage_nodes(self) -> DataFrame:
+        return self._lineage[0]
+
+    @property
+    def lineage_edges(self) -> DataFrame:
+        return self._lineage[1]
+
+    @cached_property
+    def evidence(self) -> DataFrame:
+        entity_rows = lineage.entity_functions(self.functions, self.top_entities)
+        return evidence.evidence(self.selected, entity_rows, self.findings)
+
+    @cached_property
+    def exposure(self) -> DataFrame:
+        return self._keep(ontology.integration_exposure(self.runs, self.functions))
+
+    @cached_property
+    def ontology(self) -> DataFrame:
+        clusters = ontology.capability_clusters(self.runs, self.functions)
+        return ontology.ontology_summary(self.runs, self.entity_counts, clusters, self.exposure)
+
+    @cached_property
+    def migration(self) -> DataFrame:
+        boundaries = self._keep(migration.extraction_boundaries(self.findings, self.functions))
+        return migration.migration_summary(boundaries, self.overall, self.exposure)
+
+    def products(self) -> Products:
+        return Products(**{name: getattr(self, name) for name in Products.__dataclass_fields__})
+
+
 def products_of(runs: DataFrame, functions: DataFrame, keep: Keep = _as_is) -> Products:
-    """All products of runs(run_id, root_name) from their functions."""
-    edges = keep(callgraph.call_edges(functions))
-    profiles = keep(callgraph.with_degrees(functions, edges))
-    findings = keep(risk.risk_findings(runs, profiles))
-    overall = risk.overall_risk(findings)
-    selected = keep(workflow.select_workflow(profiles))
-    nodes, links = workflow.workflow_graph(selected, edges, overall)
-    top = keep(lineage.lineage_top(runs, functions))
-    data_nodes, data_edges = lineage.lineage_graph(functions, top)
-    exposure = keep(ontology.integration_exposure(runs, functions))
-    boundaries = migration.extraction_boundaries(findings, functions)
-    return Products(
-        workflow_nodes=nodes,
-        workflow_edges=links,
-        lineage_nodes=data_nodes,
-        lineage_edges=data_edges,
-        findings=findings,
-        overall=overall,
-        evidence=evidence.evidence(selected, lineage.entity_functions(functions, top), findings),
-        ontology=ontology.ontology_summary(
-            runs,
-            lineage.entity_counts(functions),
-            ontology.capability_clusters(runs, functions),
-            exposure,
-        ),
-        migration=migration.migration_summary(boundaries, overall, exposure),
-    )
+    """All products at once."""
+    return Analysis(runs, functions, keep).products()
 
 
 def fallback_products(repos: DataFrame) -> Products:

@@ -50,9 +50,24 @@ _ARROW_SCHEMA = pa.schema(
 # does not become one huge result batch.
 _FLUSH_ROWS = 2000
 
+_BRANCHES = frozenset(getattr(ast, name) for name in BRANCH_KINDS)
 _BLOCKS = (ast.stmt, ast.ExceptHandler, ast.match_case)
 
 
+def _children(node: ast.AST) -> list[ast.AST]:
+    """Child nodes in field order, without the load/store markers."""
+    found: list[ast.AST] = []
+    for name in node._fields:
+        if name == "ctx":
+            continue
+        value = getattr(node, name, None)
+        if isinstance(value, list):
+            found.extend(item for item in value if isinstance(item, ast.AST))
+        elif isinstance(value, ast.AST):
+            found.append(value)
+    return found
+
+
 def _dotted(node: ast.AST) -> str:
     """Dotted text of a called expression; '' when no name remains.
 
@@ -94,13 +109,16 @@ def _body_facts(function: ast.AST) -> dict:
             idents.append(node.id)
         elif isinstance(node, ast.Attribute):
             idents.append(node.attr)
-        kinds[type(node).__name__] += 1
-        pending.extend(reversed(list(ast.iter_child_nodes(node))))
+        elif type(node) in _BRANCHES:
+            kinds[type(node).__name__] += 1
+        below = _children(node)
+        below.reverse()
+        pending.extend(below)
     idents.append(function.name)
     return {
         "calls": calls,
         "idents": idents,
-        "branch_kinds": [(k, kinds[k]) for k in BRANCH_KINDS if kinds[k]],
+        "branch_kinds": list(kinds.items()),
     }
 
 
