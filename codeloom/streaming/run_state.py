@@ -1,16 +1,12 @@
-"""Run state and incremental scans as streams."""
+"""Run state as a stream."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from codeloom.operators.runs import run_state_aggregates, run_state_columns
-from codeloom.operators.tagging import tag_functions
 from codeloom.sources.artifacts import latest_by_key
-from codeloom.sources.extract import extract_facts, extract_functions
-from codeloom.sources.files import decoded, in_ignored_directory
 
 
 def latest_run_state_stream(ticks: DataFrame) -> DataFrame:
@@ -40,37 +36,3 @@ def start_run_state(ticks: DataFrame, table_path: str, checkpoint: str) -> Strea
 def read_run_state(spark: SparkSession, table_path: str) -> DataFrame:
     """Latest state per run of the table written by ``start_run_state``."""
     return latest_by_key(spark.read.parquet(table_path), ["run_id"], ["batch"]).drop("batch")
-
-
-def scan_stream(spark: SparkSession, root: str) -> DataFrame:
-    """New Python files below ``root/<run_id>/`` as a stream of files rows."""
-    raw = (
-        spark.readStream.format("binaryFile")
-        .schema("path string, modificationTime timestamp, length bigint, content binary")
-        .option("pathGlobFilter", "*.py")
-        .option("recursiveFileLookup", "true")
-        .load(root)
-    )
-    base = "/" + root.split(":", 1)[-1].strip("/") + "/"
-    inner = F.substring_index(F.col("path"), base, -1)
-    files = raw.select(
-        F.substring_index(inner, "/", 1).alias("run_id"),
-        F.regexp_replace(inner, "^[^/]*/", "").alias("path"),
-        "content",
-    )
-    return files.where(~in_ignored_directory(F.col("path")))
-
-
-def start_incremental_scan(
-    spark: SparkSession, root: str, table_path: str, checkpoint: str
-) -> StreamingQuery:
-    """Parse files which arrived since the last call and append their functions."""
-    functions = tag_functions(extract_functions(extract_facts(decoded(scan_stream(spark, root)))))
-    return (
-        functions.writeStream.outputMode("append")
-        .format("parquet")
-        .option("path", table_path)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeloom.operators import blueprint, callgraph, migration, tagging
-from codeloom.plans.analyze import fallback_products, parse_corpus, products_of
+from codeloom.plans.analyze import Products, fallback_products, parse_corpus, products_of
+from codeloom.session import stored
 from codeloom.sources.artifacts import export_graph, export_risk
 from codeloom.sources.files import scan_sources
 
@@ -14,9 +15,10 @@ from codeloom.sources.files import scan_sources
 @pytest.fixture(scope="module")
 def corpus(spark, mini_repo):
     files = scan_sources(spark, {"r1": str(mini_repo)})
-    facts, functions = parse_corpus(files, keep=lambda df: df.persist())
+    facts, functions = parse_corpus(files, keep=stored)
     runs = spark.createDataFrame([("r1", "mini", "ast-local")], "run_id string, root_name string, analysis_mode string")
-    products = products_of(runs, functions, keep=lambda df: df.persist())
+    products = products_of(runs, functions, keep=stored)
+    products = Products(**{n: stored(getattr(products, n)) for n in Products.__dataclass_fields__})
     return runs, files, facts, functions, products
 
 
