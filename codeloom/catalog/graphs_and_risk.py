@@ -176,8 +176,8 @@ def data_chain(spark, sf_dir):
 @query("L9_lineage_graph", op.with_parts(*_LINEAGE, select=_graph_sql("lnodes", "ledges")))
 def lineage_graph(spark, sf_dir):
     functions = ad.functions(spark, sf_dir)
-    chosen = stored(lineage.lineage_top(ad.run_table(spark, sf_dir), functions))
-    return _graph(*lineage.lineage_graph(functions, chosen))
+    p = ad.Analysis(ad.run_table(spark, sf_dir), functions, keep=stored)
+    return _graph(p.lineage_nodes, p.lineage_edges)
 
 
 # ---- risk -------------------------------------------------------------------
@@ -311,7 +311,7 @@ def workflow_evidence(spark, sf_dir):
 def entity_evidence(spark, sf_dir):
     functions = ad.functions(spark, sf_dir)
     chosen = lineage.lineage_top(ad.run_table(spark, sf_dir), functions)
-    return _evidence_rows(evidence.entity_evidence(lineage.entity_functions(functions, chosen)))
+    return _evidence_rows(evidence.entity_evidence(functions, chosen))
 
 
 @query("E3_risk_hub_evidence", op.with_parts(*_RISK, HUB_EVIDENCE, select="SELECT * FROM hev"))

@@ -117,18 +117,16 @@ mods AS (
 @query("M1_extraction_boundaries", op.with_parts(*_RISK, BOUNDARIES, select="""
     SELECT run_id, name, anchor_symbol, reason, required_entities FROM bound"""))
 def boundaries(spark, sf_dir):
-    profiles = ad.profiles(spark, sf_dir)
-    findings = risk.risk_findings(ad.run_table(spark, sf_dir), profiles)
-    return migration.extraction_boundaries(stored(findings), profiles).select(
+    p = ad.products(spark, sf_dir)
+    return migration.extraction_boundaries(p.findings, p.functions).select(
         "run_id", "name", "anchor_symbol", "reason", F.array_join("required_entities", ",").alias("required_entities")
     )
 
 
 @query("M2_impacted_modules", op.with_parts(*_RISK, BOUNDARIES, select="SELECT run_id, impacted_modules FROM mods"))
 def impacted(spark, sf_dir):
-    profiles = ad.profiles(spark, sf_dir)
-    findings = stored(risk.risk_findings(ad.run_table(spark, sf_dir), profiles))
-    found = migration.impacted_modules(migration.extraction_boundaries(findings, profiles))
+    p = ad.products(spark, sf_dir)
+    found = migration.impacted_modules(migration.extraction_boundaries(p.findings, p.functions))
     return found.select("run_id", F.array_join("impacted_modules", "|").alias("impacted_modules"))
 
 
@@ -187,8 +185,8 @@ def migration_summary(spark, sf_dir):
       inbound, readiness_score
     FROM allruns r LEFT JOIN expo USING (run_id) LEFT JOIN mig USING (run_id)"""))
 def run_summary(spark, sf_dir):
-    functions = ad.functions(spark, sf_dir)
     p = ad.products(spark, sf_dir)
+    functions = p.functions
     fresh = ad.table(spark, sf_dir, "nation").selectExpr("concat('new-', n_nationkey) AS run_id")
     runs = ad.run_table(spark, sf_dir).select("run_id").unionByName(fresh).withColumn("analysis_mode", F.lit("ast-local"))
     counted = functions.groupBy("run_id").agg(

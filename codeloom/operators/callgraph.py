@@ -95,7 +95,27 @@ def degrees(edges: DataFrame) -> DataFrame:
     )
 
 
+def profile_columns(functions: DataFrame) -> DataFrame:
+    """The narrow part of ``functions`` which ranking, risk and evidence need.
+
+    Long lists shrink to their sizes and first entries, so that joins on names do not
+    move whole call lists.
+    """
+    return functions.select(
+        "run_id",
+        "file_path",
+        "fn_ord",
+        "qname",
+        "short_name",
+        "complexity",
+        F.size("entities").alias("n_entities"),
+        F.size("crud_ops").alias("n_crud"),
+        F.size("calls").alias("n_calls"),
+        F.slice("calls", 1, 2).alias("first_calls"),
+    )
+
+
 def with_degrees(functions: DataFrame, edges: DataFrame) -> DataFrame:
-    """``functions`` plus out_degree and in_degree (0 when absent)."""
-    joined = functions.join(degrees(edges), ["run_id", "qname"], "left")
+    """Profiles: narrow functions plus out_degree and in_degree (0 when absent)."""
+    joined = profile_columns(functions).join(degrees(edges), ["run_id", "qname"], "left")
     return joined.na.fill(0, ["out_degree", "in_degree"])

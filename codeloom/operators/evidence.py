@@ -18,14 +18,14 @@ def workflow_evidence(selected: DataFrame) -> DataFrame:
     """
     sentence = F.format_string(
         "Workflow node extracted from function `%s` with complexity %d and %d detected calls.",
-        "qname", "complexity", F.size("calls"),
+        "qname", "complexity", "n_calls",
     )
     rows = selected.select(
         "run_id",
         "node_ord",
         node_id("wf", F.col("qname")).alias("node_id"),
         F.array("file_path").alias("files"),
-        F.concat(F.array("qname"), F.slice("calls", 1, 2)).alias("symbols"),
+        F.concat(F.array("qname"), "first_calls").alias("symbols"),
         sentence.alias("explanation"),
     )
     return (
@@ -35,10 +35,19 @@ def workflow_evidence(selected: DataFrame) -> DataFrame:
     )
 
 
-def entity_evidence(entity_rows: DataFrame) -> DataFrame:
-    """Evidence of the top entities from their first five functions in file order."""
+def entity_evidence(functions: DataFrame, top: DataFrame) -> DataFrame:
+    """Evidence of the top entities from their first five functions in file order.
+
+    The five are cut per map task for every entity; the top entities are chosen after
+    that, among few rows.
+    """
     order = Window.partitionBy("run_id", "entity").orderBy("file_path", "fn_ord")
-    first = entity_rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= 5)
+    first = (
+        functions.select("run_id", F.explode("entities").alias("entity"), "file_path", "fn_ord", "qname", "crud_ops")
+        .withColumn("place", F.row_number().over(order))
+        .where(F.col("place") <= 5)
+        .join(top.select("run_id", "entity"), ["run_id", "entity"], "left_semi")
+    )
     listed = first.groupBy("run_id", "entity").agg(
         F.array_sort(F.collect_list(F.struct("place", "file_path", "qname", "crud_ops"))).alias("f")
     )
@@ -76,10 +85,12 @@ def risk_hub_evidence(findings: DataFrame) -> DataFrame:
     )
 
 
-def evidence(selected: DataFrame, entity_rows: DataFrame, findings: DataFrame) -> DataFrame:
+def evidence(
+    selected: DataFrame, functions: DataFrame, top: DataFrame, findings: DataFrame
+) -> DataFrame:
     return (
         workflow_evidence(selected)
-        .unionByName(entity_evidence(entity_rows))
+        .unionByName(entity_evidence(functions, top))
         .unionByName(risk_hub_evidence(findings))
     )
 

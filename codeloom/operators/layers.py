@@ -9,6 +9,9 @@ from codeloom.session import checkpointed
 
 _NODE = ["run_id", "node_id"]
 
+# Steps after which the levels reached so far become one table again.
+_COMPACT = 16
+
 
 def known_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges whose two ends are nodes of the run."""
@@ -49,7 +52,7 @@ def visit_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         "run_id", F.col("source").alias("node_id"), "target", F.col("edge_ord").cast("bigint")
     )
     frontier = checkpointed(_first_frontier(nodes, edges))
-    reached = frontier
+    reached, steps = frontier, 0
     while not frontier.isEmpty():
         pushed = (
             frontier.join(links, _NODE)
@@ -61,6 +64,9 @@ def visit_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         )
         frontier = checkpointed(pushed.join(reached.select(*_NODE), _NODE, "left_anti"))
         reached = reached.unionByName(frontier)
+        steps += 1
+        if steps % _COMPACT == 0:
+            reached = checkpointed(reached)
     return reached
 
 

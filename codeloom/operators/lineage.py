@@ -122,8 +122,7 @@ def lineage_top(runs: DataFrame, functions: DataFrame) -> DataFrame:
     return top_entities(counts.unionByName(default_entities(runs, counts)))
 
 
-def lineage_graph(functions: DataFrame, top: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Node and edge tables of the lineage graph."""
+def lineage_graph(top: DataFrame, data: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Node and edge tables of the lineage graph from its capped edges (``lineage_edges``)."""
     nodes = lineage_nodes(top)
-    data = lineage_edges(entity_transitions(functions, top))
     return nodes, data.unionByName(lineage_chain_edges(nodes, data))

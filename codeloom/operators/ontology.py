@@ -12,14 +12,21 @@ def _surface(*more: Column) -> Column:
     return F.lower(F.concat_ws(" ", "file_path", "qname", "short_name", *more))
 
 
+_ALL = "*"
+
+
 def cluster_signals(functions: DataFrame) -> DataFrame:
-    """Functions per run and domain; a function may count in several domains."""
+    """Functions per run and domain, and per run in all (name ``*``), in one pass.
+
+    A function may count in several domains.
+    """
     domains = F.array_compact(
         F.array(
             *[
                 F.when(lx.contains_any(F.col("surface"), hints), F.lit(domain))
                 for domain, hints in lx.CAPABILITY_DOMAINS.items()
-            ]
+            ],
+            F.lit(_ALL),
         )
     )
     return (
@@ -31,23 +38,29 @@ def cluster_signals(functions: DataFrame) -> DataFrame:
 
 
 def capability_clusters(runs: DataFrame, functions: DataFrame, k: int = lx.TOP_CLUSTERS) -> DataFrame:
-    """Top clusters per run; a run without a signal gives ``Core`` with its function total."""
-    signals = cluster_signals(functions)
-    order = Window.partitionBy("run_id").orderBy(F.col("signal_count").desc(), "name")
-    top = signals.withColumn("cluster_ord", F.row_number().over(order)).where(F.col("cluster_ord") <= k)
-    totals = functions.groupBy("run_id").agg(F.count("*").alias("n"))
-    core = (
+    """Top clusters per run; a run without a signal gives ``Core`` with its function total.
+
+    A run has at most five signal rows, so its ranking happens in one small list.
+    """
+    listed = cluster_signals(functions).groupBy("run_id").agg(
+        F.array_sort(
+            F.collect_list(F.when(F.col("name") != _ALL, F.struct(-F.col("signal_count"), "name")))
+        ).alias("found"),
+        F.max(F.when(F.col("name") == _ALL, F.col("signal_count"))).alias("total"),
+    )
+    core = F.array(F.struct((-F.coalesce("total", F.lit(0))).alias("col1"), F.lit("Core").alias("name")))
+    ranked = F.when(F.size("found") > 0, F.col("found")).otherwise(core)
+    return (
         runs.select("run_id")
-        .join(signals.select("run_id").distinct(), "run_id", "left_anti")
-        .join(totals, "run_id", "left")
+        .join(listed, "run_id", "left")
+        .select("run_id", F.posexplode(F.slice(ranked, 1, k)).alias("at", "c"))
         .select(
             "run_id",
-            F.lit("Core").alias("name"),
-            F.coalesce("n", F.lit(0)).alias("signal_count"),
-            F.lit(1).alias("cluster_ord"),
+            F.col("c.name").alias("name"),
+            (-F.col("c.col1")).alias("signal_count"),
+            (F.col("at") + 1).alias("cluster_ord"),
         )
     )
-    return top.unionByName(core)
 
 
 def integration_exposure(runs: DataFrame, functions: DataFrame) -> DataFrame:

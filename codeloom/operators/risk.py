@@ -21,10 +21,10 @@ def attach_suggestions(category: Column) -> Column:
 def _finding(
     ordinal: Column | int, finding_id: Column | str, category: str, score: Column,
     title: Column | str, rationale: Column | str, symbol: Column,
-) -> list[Column]:
+) -> Column:
+    """One finding as a struct in table order."""
     as_col = lambda v: v if isinstance(v, Column) else F.lit(v)
-    return [
-        F.col("run_id"),
+    return F.struct(
         as_col(ordinal).alias("finding_ord"),
         as_col(finding_id).alias("finding_id"),
         F.lit(category).alias("category"),
@@ -34,7 +34,12 @@ def _finding(
         as_col(rationale).alias("rationale"),
         symbol.alias("symbol"),
         attach_suggestions(F.lit(category)).alias("suggestions"),
-    ]
+    )
+
+
+def _rows(table: DataFrame, *findings: Column) -> DataFrame:
+    """The given findings of every row; null ones are left out."""
+    return table.select("run_id", F.inline(F.array_compact(F.array(*findings))))
 
 
 def most_complex(profiles: DataFrame, k: int = lx.COMPLEXITY_FINDINGS) -> DataFrame:
@@ -45,20 +50,18 @@ def most_complex(profiles: DataFrame, k: int = lx.COMPLEXITY_FINDINGS) -> DataFr
 
 def complexity_findings(profiles: DataFrame) -> DataFrame:
     score = capped(20 + F.col("complexity") * 5 + F.col("out_degree") * 2, 98.0)
-    rationale = F.format_string(
-        "Cyclomatic estimate %d with outbound dependency count %d.", "complexity", "out_degree"
-    )
-    return most_complex(profiles).select(
-        *_finding(
-            F.col("place"),
-            F.concat(F.lit("complexity-"), F.col("place").cast("string")),
-            "complexity",
-            score,
-            F.concat(F.lit("High complexity in "), F.col("short_name")),
-            rationale,
-            F.col("qname"),
-        )
+    finding = _finding(
+        F.col("place"),
+        F.concat(F.lit("complexity-"), F.col("place").cast("string")),
+        "complexity",
+        score,
+        F.concat(F.lit("High complexity in "), F.col("short_name")),
+        F.format_string(
+            "Cyclomatic estimate %d with outbound dependency count %d.", "complexity", "out_degree"
+        ),
+        F.col("qname"),
     )
+    return _rows(most_complex(profiles), finding)
 
 
 def _is_dead() -> Column:
@@ -95,78 +98,95 @@ def run_extremes(profiles: DataFrame) -> DataFrame:
     )
 
 
-def coupling_finding(extremes: DataFrame) -> DataFrame:
-    """One finding per run with a function, even at degree 0."""
+def _coupling() -> Column:
     fan_out, fan_in = F.col("coupled.out_degree"), F.col("coupled.in_degree")
-    return extremes.select(
-        *_finding(
-            4,
-            "coupling-1",
-            "coupling",
-            capped(35 + (fan_out + fan_in) * 7, 95.0),
-            "Coupling hotspot across modules",
-            F.format_string("Function has in/out call degree %d/%d.", fan_in, fan_out),
-            F.col("coupled.qname"),
-        )
+    return _finding(
+        4,
+        "coupling-1",
+        "coupling",
+        capped(35 + (fan_out + fan_in) * 7, 95.0),
+        "Coupling hotspot across modules",
+        F.format_string("Function has in/out call degree %d/%d.", fan_in, fan_out),
+        F.col("coupled.qname"),
+    )
+
+
+def _dead() -> Column:
+    finding = _finding(
+        5,
+        "dead-code-1",
+        "dead_code",
+        capped(28 + F.col("dead.complexity") * 6, 88.0),
+        "Potential dead code path",
+        "No inbound and outbound calls observed in static call graph approximation.",
+        F.col("dead.qname"),
+    )
+    return F.when(F.col("dead").isNotNull(), finding)
+
+
+def _test_gap() -> Column:
+    finding = _finding(
+        6,
+        "test-gap-1",
+        "test_gap",
+        capped(55 + F.col("complex.complexity") * 3, 94.0),
+        "Limited test coverage signals",
+        "No test files detected in scanned Python paths while critical logic is complex.",
+        F.col("complex.qname"),
     )
+    return F.when(~F.col("has_tests"), finding)
+
+
+def coupling_finding(extremes: DataFrame) -> DataFrame:
+    """One finding per run with a function, even at degree 0."""
+    return _rows(extremes, _coupling())
 
 
 def dead_code_finding(extremes: DataFrame) -> DataFrame:
     """The first candidate in file order (not the worst one)."""
-    return extremes.where(F.col("dead").isNotNull()).select(
-        *_finding(
-            5,
-            "dead-code-1",
-            "dead_code",
-            capped(28 + F.col("dead.complexity") * 6, 88.0),
-            "Potential dead code path",
-            "No inbound and outbound calls observed in static call graph approximation.",
-            F.col("dead.qname"),
-        )
-    )
+    return _rows(extremes, _dead())
 
 
 def test_gap_finding(extremes: DataFrame) -> DataFrame:
     """Runs in which no function's path contains ``test``."""
-    return extremes.where(~F.col("has_tests")).select(
-        *_finding(
-            6,
-            "test-gap-1",
-            "test_gap",
-            capped(55 + F.col("complex.complexity") * 3, 94.0),
-            "Limited test coverage signals",
-            "No test files detected in scanned Python paths while critical logic is complex.",
-            F.col("complex.qname"),
-        )
+    return _rows(extremes, _test_gap())
+
+
+def empty_risk_finding(runs: DataFrame, with_findings: DataFrame) -> DataFrame:
+    """The stand-in finding of runs which do not occur in ``with_findings``."""
+    return _rows(
+        runs.join(with_findings.select("run_id").distinct(), "run_id", "left_anti"), _empty()
     )
 
 
-def empty_risk_finding(runs: DataFrame, findings: DataFrame) -> DataFrame:
-    """The stand-in finding of runs without any."""
-    return runs.join(findings.select("run_id").distinct(), "run_id", "left_anti").select(
-        *_finding(
-            1,
-            "complexity-fallback",
-            "complexity",
-            F.lit(20.0),
-            "Low confidence risk snapshot",
-            "Repository contained too few Python symbols for robust risk scoring.",
-            F.lit("n/a"),
-        )
+def _empty() -> Column:
+    return _finding(
+        1,
+        "complexity-fallback",
+        "complexity",
+        F.lit(20.0),
+        "Low confidence risk snapshot",
+        "Repository contained too few Python symbols for robust risk scoring.",
+        F.lit("n/a"),
     )
 
 
 def risk_findings(runs: DataFrame, profiles: DataFrame) -> DataFrame:
-    """All findings; ``finding_ord`` gives their order inside a run."""
-    extremes = run_extremes(profiles)
-    single = (
-        coupling_finding(extremes)
-        .unionByName(dead_code_finding(extremes))
-        .unionByName(test_gap_finding(extremes))
+    """All findings; ``finding_ord`` gives their order inside a run.
+
+    Two passes over the profiles: the complexity ranking, and one aggregation for all
+    the rest.  A run without a function has no row of extremes and so the stand-in.
+    """
+    per_run = runs.select("run_id").join(run_extremes(profiles), "run_id", "left")
+    known = F.col("coupled").isNotNull()
+    others = _rows(
+        per_run,
+        F.when(known, _coupling()),
+        F.when(known, _dead()),
+        F.when(known, _test_gap()),
+        F.when(~known, _empty()),
     )
-    found = complexity_findings(profiles).unionByName(single)
-    # A run has findings exactly when it has a function, that is a row of extremes.
-    return found.unionByName(empty_risk_finding(runs, extremes))
+    return complexity_findings(profiles).unionByName(others)
 
 
 def overall_risk(findings: DataFrame) -> DataFrame:

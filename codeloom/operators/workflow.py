@@ -11,9 +11,9 @@ from codeloom.functions.text import has_entry_hint, node_id, title_label
 
 
 def workflow_rank() -> Column:
-    """Rank of a function with degrees: complexity, fan-out, entry name, entities, CRUD."""
+    """Rank of a profile: complexity, fan-out, entry name, entities, CRUD."""
     hint = F.when(has_entry_hint(F.col("short_name")), F.lit(6.0)).otherwise(F.lit(0.0))
-    bonus = hint + F.size("entities") * F.lit(1.5) + F.size("crud_ops") * F.lit(1.0)
+    bonus = hint + F.col("n_entities") * F.lit(1.5) + F.col("n_crud") * F.lit(1.0)
     return F.col("complexity") * F.lit(2.4) + F.col("out_degree") * F.lit(1.8) + bonus
 
 
@@ -118,9 +118,12 @@ def append_risk_hub(
 
 
 def workflow_graph(
-    selected: DataFrame, edges: DataFrame, overall: DataFrame
+    selected: DataFrame, control: DataFrame, overall: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
-    """Node and edge tables of the process graph, risk hub included."""
+    """Node and edge tables of the process graph, risk hub included.
+
+    ``control`` (see ``workflow_edges``) is used several times: pass a stored table, so that
+    the large edge table is joined once.
+    """
     nodes = workflow_nodes(selected)
-    control = workflow_edges(selected, edges)
     return append_risk_hub(nodes, control.unionByName(workflow_chain_edges(nodes, control)), overall)

@@ -94,9 +94,13 @@ class Analysis:
     def selected(self) -> DataFrame:
         return self._keep(workflow.select_workflow(self.profiles))
 
+    @cached_property
+    def control_edges(self) -> DataFrame:
+        return self._keep(workflow.workflow_edges(self.selected, self.edges))
+
     @cached_property
     def _workflow(self) -> tuple[DataFrame, DataFrame]:
-        return workflow.workflow_graph(self.selected, self.edges, self.overall)
+        return workflow.workflow_graph(self.selected, self.control_edges, self.overall)
 
     @property
     def workflow_nodes(self) -> DataFrame:
@@ -115,9 +119,14 @@ class Analysis:
         defaults = lineage.default_entities(self.runs, self.entity_counts)
         return self._keep(lineage.top_entities(self.entity_counts.unionByName(defaults)))
 
+    @cached_property
+    def data_edges(self) -> DataFrame:
+        transitions = lineage.entity_transitions(self.functions, self.top_entities)
+        return self._keep(lineage.lineage_edges(transitions))
+
     @cached_property
     def _lineage(self) -> tuple[DataFrame, DataFrame]:
-        return lineage.lineage_graph(self.functions, self.top_entities)
+        return lineage.lineage_graph(self.top_entities, self.data_edges)
 
     @property
     def lineage_nodes(self) -> DataFrame:
@@ -129,8 +138,7 @@ class Analysis:
 
     @cached_property
     def evidence(self) -> DataFrame:
-        entity_rows = lineage.entity_functions(self.functions, self.top_entities)
-        return evidence.evidence(self.selected, entity_rows, self.findings)
+        return evidence.evidence(self.selected, self.functions, self.top_entities, self.findings)
 
     @cached_property
     def exposure(self) -> DataFrame:
@@ -178,11 +186,11 @@ def analyze(resolved: DataFrame, functions: DataFrame, keep: Keep = _as_is) -> P
     """Both paths in one result set.
 
     ``resolved(run_id, name, source_root)`` says where each run's source is; a null root
-    takes the fallback path.
+    takes the fallback path.  ``functions`` come from scanning those roots, so only runs
+    with a source have any.
     """
     with_source = resolved.where(F.col("source_root").isNotNull()).select(
         "run_id", F.element_at(F.split(F.regexp_replace("source_root", "/+$", ""), "/"), -1).alias("root_name")
     )
     without = resolved.where(F.col("source_root").isNull()).select("run_id", "name")
-    own = functions.join(with_source.select("run_id"), "run_id", "left_semi")
-    return products_of(with_source, own, keep).union(fallback_products(without))
+    return products_of(with_source, functions, keep).union(fallback_products(without))
