@@ -365,12 +365,12 @@ def enrichment_state(spark, sf_dir):
     SELECT o_orderkey AS run_id, 'boundary' AS section, 0 AS ord, 'a' || o_custkey AS title,
       CASE o_orderstatus WHEN 'F' THEN 'X, Y' ELSE 'Z' END AS detail FROM orders
     UNION ALL SELECT o_orderkey, 'routing', 0, CASE o_orderstatus WHEN 'F' THEN 'inbound: ' || o_custkey ELSE 'r' END, NULL FROM orders
-    UNION ALL SELECT o_orderkey, 'routing', 1, 'risks: ["q"]', NULL FROM orders WHERE o_orderstatus = 'F'
+    UNION ALL SELECT o_orderkey, 'routing', 1, 'risks: q,r', NULL FROM orders WHERE o_orderstatus = 'F'
     UNION ALL SELECT o_orderkey, 'risk', 0, 't', CASE o_orderstatus WHEN 'F' THEN '' ELSE 'i' END FROM orders""")
 def blueprint_rows(spark, sf_dir):
     doc = """concat('{"extraction_boundaries": [{"', CASE o_orderstatus WHEN 'F' THEN 'anchor_symbol' WHEN 'O' THEN 'anchor' ELSE 'symbol' END, '": "a', o_custkey,
         '", "required_entities": ', if(o_orderstatus = 'F', '["X", "Y"]', '"Z"'), '}], "integration_routing": ',
-        if(o_orderstatus = 'F', concat('{"inbound": ', o_custkey, ', "risks": ["q"]}'), '["r"]'),
+        if(o_orderstatus = 'F', concat('{"inbound": ', o_custkey, ', "risks": ["q", "r"]}'), '["r"]'),
         ', "top_risks": [{"', if(o_orderstatus = 'P', 'risk', 'title'), '": "t"', if(o_orderstatus = 'F', '', ', "impact": "i"'), '}]}')"""
     table = ad.table(spark, sf_dir, "orders").selectExpr("o_orderkey AS run_id", f"{doc} AS doc")
     return views.blueprint_rows(table).withColumn("ord", F.col("ord").cast("bigint"))

@@ -12,8 +12,16 @@ from codeloom.functions.text import strip
 
 
 def parse(text: Column) -> Column:
-    """VARIANT of a JSON text, null when it is not JSON."""
-    return F.try_parse_json(text)
+    """VARIANT of a JSON text, null when the text is not exactly one JSON value.
+
+    The built-in parser stops after the first value.  Inside brackets a second value
+    shows up as an element or an error, and a text which closes the bracket itself
+    fails inside braces.
+    """
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    named = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    single = listed.isNotNull() & F.try_variant_get(listed, "$[1]", "variant").isNull()
+    return F.when(single, F.try_variant_get(named, "$.v", "variant"))
 
 
 def kind(value: Column) -> Column:
@@ -41,10 +49,22 @@ def text_at(value: Column, path: str) -> Column:
     return F.try_variant_get(value, path, "string")
 
 
+def truthy(value: Column) -> Column:
+    """False for null, '', 0, false and empty lists and objects; text such as '0' is true."""
+    k = kind(value)
+    text = F.try_variant_get(value, "$", "string")
+    return F.coalesce(
+        F.when(k == "STRING", text != "")
+        .when(k == "BOOLEAN", text == "true")
+        .when(k.isin("ARRAY", "OBJECT"), ~text.isin("[]", "{}"))
+        .when(is_number(value), F.try_variant_get(value, "$", "double") != 0),
+        F.lit(False),
+    )
+
+
 def truthy_text(value: Column, path: str) -> Column:
-    """Text of a non-empty value; '', 0, false, null and empty containers are null."""
-    text = text_at(value, path)
-    return F.when(~text.isin("", "0", "false", "0.0", "[]", "{}"), text)
+    """Text of the value at a path where it is true in the sense of ``truthy``."""
+    return F.when(truthy(at(value, path)), text_at(value, path))
 
 
 def to_int(value: Column, path: str, default: int) -> Column:

@@ -124,13 +124,38 @@ def enrichment_state(status: Column) -> Column:
 
 
 def _entries(text: Column) -> Column:
-    """Entries of a JSON object in document order, values as text (null stays null)."""
+    """Entries of a JSON object in document order, values as VARIANT."""
+    return F.map_entries(F.from_json(text, "map<string,variant>"))
+
+
+def _text_entries(text: Column) -> Column:
+    """Entries of a JSON object in document order, values as JSON text (strings bare)."""
     return F.map_entries(F.from_json(text, "map<string,string>"))
 
 
-def _truthy(value: Column) -> Column:
-    """Truth of a JSON value printed as text."""
-    return value.isNotNull() & ~value.isin("", "0", "false", "0.0")
+def _scalar(value: Column) -> Column:
+    """Printed scalar; a whole number has no decimals."""
+    text = F.try_variant_get(value, "$", "string")
+    plain = F.regexp_replace(text, r"\.0+$", "")
+    return F.when(coerce.is_number(value), plain).otherwise(text)
+
+
+def _shown(value: Column) -> Column:
+    """A JSON value the way the display prints it: lists joined by commas."""
+    items = F.transform(
+        F.try_variant_get(value, "$", "array<variant>"), lambda v: F.coalesce(_scalar(v), F.lit(""))
+    )
+    return (
+        F.when(coerce.is_array(value), F.array_join(items, ","))
+        .when(coerce.is_object(value), F.lit("[object Object]"))
+        .otherwise(F.coalesce(_scalar(value), F.lit("null")))
+    )
+
+
+def _passes(value: Column) -> Column:
+    """Display truth: any list or object is true."""
+    container = coerce.is_array(value) | coerce.is_object(value)
+    return container | coerce.truthy(value)
 
 
 def _printed(value: Column) -> Column:
@@ -145,28 +170,30 @@ def enrichment_pairs(enrichment: DataFrame) -> DataFrame:
     """
     array_of = lambda c: F.try_variant_get(coerce.parse(F.col(c)), "$", "array<variant>")
     row = lambda label, value: F.struct(label.alias("label"), value.alias("value"))
-    text = lambda v: _printed(F.try_variant_get(v, "$", "string"))
+    nothing = F.lit(None).cast("string")
 
     ontology = F.transform(
-        F.slice(_entries(F.col("ontology_enrichment")), 1, 8), lambda e: row(e["key"], _printed(e["value"]))
+        F.slice(_text_entries(F.col("ontology_enrichment")), 1, 8),
+        lambda e: row(e["key"], _printed(e["value"])),
     )
     hints = F.coalesce(
-        F.transform(array_of("migration_hints"), lambda v: row(text(v), F.lit(None).cast("string"))),
+        F.transform(array_of("migration_hints"), lambda v: row(_shown(v), nothing)),
         F.transform(
             _entries(F.col("migration_hints")),
-            lambda e: row(F.concat(e["key"], F.lit(": "), _printed(e["value"])), F.lit(None).cast("string")),
+            lambda e: row(F.concat(e["key"], F.lit(": "), _shown(e["value"])), nothing),
         ),
     )
 
     def check(item: Column) -> Column:
-        get = lambda k: F.try_variant_get(item, f"$.{k}", "string")
-        label = F.coalesce(get("name"), get("label"), get("check"), F.lit("Check"))
-        passed = _truthy(
-            F.coalesce(get("passed"), get("pass"), F.coalesce(get("status") == "pass", F.lit(False)).cast("string"))
+        text = lambda k: F.try_variant_get(item, f"$.{k}", "string")
+        given = lambda k: F.when(
+            coerce.kind(coerce.at(item, f"$.{k}")) != "VOID", _passes(coerce.at(item, f"$.{k}"))
         )
+        label = F.coalesce(text("name"), text("label"), text("check"), F.lit("Check"))
+        passed = F.coalesce(given("passed"), given("pass"), text("status") == "pass", F.lit(False))
         is_object = coerce.is_object(item)
         return row(
-            F.when(is_object, label).otherwise(text(item)),
+            F.when(is_object, label).otherwise(_shown(item)),
             F.when(is_object, passed).otherwise(F.lit(True)).cast("string"),
         )
 
@@ -174,7 +201,7 @@ def enrichment_pairs(enrichment: DataFrame) -> DataFrame:
         F.transform(array_of("quality_checks"), check),
         F.transform(
             _entries(F.col("quality_checks")),
-            lambda e: row(e["key"], _truthy(e["value"]).cast("string")),
+            lambda e: row(e["key"], _passes(e["value"]).cast("string")),
         ),
     )
     sections = F.array(
@@ -196,7 +223,7 @@ def node_ontology(nodes: DataFrame, enrichment: DataFrame) -> DataFrame:
     )
     entry = F.coalesce(F.col("m")[F.col("label")], F.col("m")[F.col("node_id")])
     return joined.select("run_id", "node_id", F.posexplode(_entries(entry)).alias("ord", "e")).select(
-        "run_id", "node_id", "ord", F.col("e.key").alias("key"), _printed(F.col("e.value")).alias("value")
+        "run_id", "node_id", "ord", F.col("e.key").alias("key"), _shown(F.col("e.value")).alias("value")
     )
 
 
@@ -229,11 +256,11 @@ def blueprint_rows(blueprints: DataFrame) -> DataFrame:
     nothing = F.lit(None).cast("string")
     routing_list = F.transform(
         listed("$.integration_routing"),
-        lambda v: pair(_printed(F.try_variant_get(v, "$", "string")), nothing),
+        lambda v: pair(_shown(v), nothing),
     )
     routing_map = F.transform(
         _entries(F.get_json_object("doc", "$.integration_routing")),
-        lambda e: pair(F.concat(e["key"], F.lit(": "), _printed(e["value"])), nothing),
+        lambda e: pair(F.concat(e["key"], F.lit(": "), _shown(e["value"])), nothing),
     )
     sections = F.array(
         F.struct(F.lit("boundary").alias("section"), boundaries.alias("rows")),
