@@ -36,6 +36,7 @@ def parsed(spark, sf_dir):
     WHERE place <= 300"""),
 )
 def scan_sources(spark, sf_dir):
+    # The cap per run is the operator's own feature.
     return files.select_sources(ad.source_files(spark, sf_dir), max_files=300).select("run_id", "path")
 
 
@@ -258,7 +259,7 @@ def exported(spark, sf_dir):
       SELECT k, sum(3 + (rf = 'A')::INT + CASE ls WHEN 'O' THEN 4 ELSE 2 END + 2 * (rf = 'R')::INT) AS c FROM lcalls GROUP BY 1)""",
     select="""
     SELECT fn.run_id, file_path, fn_ord, qname, short_name, line_start, line_end, n_calls AS calls,
-      CASE WHEN okey IS NOT NULL THEN coalesce(c, 0) + 2
+      CASE WHEN okey IS NOT NULL THEN coalesce(c, 0)::BIGINT + 2
            WHEN pkey IS NOT NULL THEN CASE WHEN sz <= 10 THEN 4 WHEN sz <= 20 THEN 6 ELSE 5 END
            ELSE 2 END AS idents,
       (SELECT min(call) FROM calls WHERE calls.run_id = fn.run_id AND calls.source = fn.qname AND call_ord = 0) AS first_call

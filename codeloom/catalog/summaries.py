@@ -283,8 +283,8 @@ def recommendations(spark, sf_dir):
 def _blueprints(spark, sf_dir):
     p = ad.products(spark, sf_dir)
     inputs = stored(blueprint.blueprint_inputs(_summary_docs(spark, sf_dir, p)))
-    # A third of the runs has an enrichment with a priority list.
-    enrichment = ad.run_table(spark, sf_dir).where("crc32(run_id) % 3 = 0").selectExpr(
+    # Runs of one kind of repository have an enrichment with a priority list.
+    enrichment = ad.run_table(spark, sf_dir).where("root_name LIKE 'erp%'").selectExpr(
         "run_id", "'completed' AS status", "array('a', 'b', 'c', 'd', 'e') AS boundary_priority"
     )
     return blueprint.migration_blueprint(inputs, p.findings, p.overall, p.lineage_edges, enrichment)
@@ -346,7 +346,8 @@ def coerced(spark, sf_dir):
       coalesce((SELECT string_agg(entity, '|' ORDER BY node_ord) FROM top t WHERE t.run_id = mig.run_id
         AND t.run_id IN (SELECT run_id FROM counts)), '') AS entities,
       impacted_modules, recommendations,
-      (SELECT string_agg(finding_id, '|' ORDER BY place) FROM tf WHERE tf.run_id = mig.run_id AND place <= 5) AS top_risks
+      (SELECT string_agg(finding_id, '|' ORDER BY place) FROM tf WHERE tf.run_id = mig.run_id AND place <= 5) AS top_risks,
+      CASE WHEN (SELECT root_name FROM runs r WHERE r.run_id = mig.run_id) LIKE 'erp%' THEN 'completed' END AS enrichment_status
     FROM mig JOIN rec USING (run_id)"""))
 def blueprints(spark, sf_dir):
     ids = F.transform("top_risks", lambda r: r["finding_id"])
@@ -354,6 +355,7 @@ def blueprints(spark, sf_dir):
         "run_id", "readiness_score", "readiness_band", F.array_join("entities", "|").alias("entities"),
         F.array_join("impacted_modules", "|").alias("impacted_modules"),
         F.array_join("recommendations", "|").alias("recommendations"), F.array_join(ids, "|").alias("top_risks"),
+        "enrichment_status",
     )
 
 

@@ -1,5 +1,7 @@
 """The generated files parse to exactly the facts of the generated table."""
 
+import pytest
+
 from codeloom.catalog import adapters
 from codeloom.operators.tagging import tag_functions
 from codeloom.sources.extract import extract_facts, extract_functions
@@ -8,10 +10,15 @@ from codeloom.sources.files import decoded, select_sources
 SF = "/root/testdata/sf0.001"
 
 
-def test_parser_agrees_with_table(spark):
+@pytest.mark.parametrize("lines_per_file", [adapters.LINES_PER_FILE, 3])
+def test_parser_agrees_with_table(spark, monkeypatch, lines_per_file):
+    # With a low limit most orders count as hot and are split into several files.
+    monkeypatch.setattr(adapters, "LINES_PER_FILE", lines_per_file)
     files = select_sources(adapters.source_files(spark, SF), None)
     parsed = tag_functions(extract_functions(extract_facts(decoded(files)))).persist()
     table = adapters.function_table(spark, SF).select(*parsed.columns).persist()
     assert parsed.count() == table.count() > 1500
     assert parsed.exceptAll(table).count() == 0
     assert table.exceptAll(parsed).count() == 0
+    if lines_per_file == 3:
+        assert table.where("file_path rlike 'order_[0-9]+_[1-9]'").count() > 500
