@@ -215,8 +215,7 @@ def _bodies(spark, sf_dir):
 
 
 def _documents(spark, sf_dir):
-    doc = coerce.parse(responses.wrap_non_object(F.col("body")))
-    return _bodies(spark, sf_dir).select("request_key", doc.alias("doc"))
+    return _bodies(spark, sf_dir).select("request_key", responses.response_object(F.col("body")).alias("doc"))
 
 
 @query("N1_infer_status", f"SELECT o_orderkey AS request_key, coalesce({_STATUS_SQL}, 'none') AS status FROM orders")

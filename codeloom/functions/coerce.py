@@ -5,23 +5,35 @@ All helpers take a VARIANT column (see ``parse``) and a JSON path.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import strip
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value evaluated once per row, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def parse(text: Column) -> Column:
     """VARIANT of a JSON text, null when the text is not exactly one JSON value.
 
     The built-in parser stops after the first value.  Inside brackets a second value
-    shows up as an element or an error, and a text which closes the bracket itself
-    fails inside braces.
+    shows up as an element or an error.  A text which may close the bracket itself is
+    read inside braces too, where that fails.
     """
     listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
     named = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
-    single = listed.isNotNull() & F.try_variant_get(listed, "$[1]", "variant").isNull()
-    return F.when(single, F.try_variant_get(named, "$.v", "variant"))
+
+    def only(values: Column) -> Column:
+        single = values.isNotNull() & at(values, "$[1]").isNull()
+        value = F.when(F.contains(text, F.lit("]")), at(named, "$.v")).otherwise(at(values, "$[0]"))
+        return F.when(single, value)
+
+    return bind(listed, only)
 
 
 def kind(value: Column) -> Column:
@@ -51,14 +63,13 @@ def text_at(value: Column, path: str) -> Column:
 
 def truthy(value: Column) -> Column:
     """False for null, '', 0, false and empty lists and objects; text such as '0' is true."""
-    k = kind(value)
     text = F.try_variant_get(value, "$", "string")
-    return F.coalesce(
-        F.when(k == "STRING", text != "")
-        .when(k == "BOOLEAN", text == "true")
-        .when(k.isin("ARRAY", "OBJECT"), ~text.isin("[]", "{}"))
-        .when(is_number(value), F.try_variant_get(value, "$", "double") != 0),
-        F.lit(False),
+    # Only texts which look like an empty value need a look at the type.
+    empty_looks = text.rlike(r"^(false|-?0(\.0*)?([eE].*)?|\[\]|\{\})$")
+    return (
+        F.when(text.isNull() | (text == ""), F.lit(False))
+        .when(empty_looks, kind(value) == "STRING")
+        .otherwise(F.lit(True))
     )
 
 

@@ -30,18 +30,25 @@ _REFERENCE = "struct<platform:string,title:string,url:string,snippet:string,why_
 
 def wrap_non_object(text: Column) -> Column:
     """JSON text as an object: anything else becomes ``{"result": ...}``; broken text is null."""
-    value = coerce.parse(text)
     wrapped = F.concat(F.lit('{"result":'), text, F.lit("}"))
-    return F.when(coerce.is_object(value), text).when(value.isNotNull(), wrapped)
+    return coerce.bind(
+        coerce.parse(text), lambda v: F.when(coerce.is_object(v), text).when(v.isNotNull(), wrapped)
+    )
+
+
+def response_object(text: Column) -> Column:
+    """``wrap_non_object`` as VARIANT, parsing an object only once."""
+    wrapped = F.try_parse_json(F.concat(F.lit('{"result":'), text, F.lit("}")))
+    return coerce.bind(
+        coerce.parse(text), lambda v: F.when(coerce.is_object(v), v).when(v.isNotNull(), wrapped)
+    )
 
 
 def infer_status(doc: Column) -> Column:
     """Status of a response object (VARIANT): the first matching word rule decides."""
-    word = F.lower(
-        F.coalesce(*[coerce.truthy_text(doc, f"$.{k}") for k in ("status", "state", "phase")], F.lit(""))
-    )
+    texts = [coerce.truthy_text(doc, f"$.{k}") for k in ("status", "state", "phase")]
     result = coerce.kind(coerce.at(doc, "$.result"))
-    return (
+    rules = lambda word: (
         F.when(word.rlike("fail|error"), F.lit("failed"))
         .when(word.rlike("done|success|complete") | (word == "ok"), F.lit("completed"))
         .when(word.rlike("queue|pend"), F.lit("queued"))
@@ -50,6 +57,7 @@ def infer_status(doc: Column) -> Column:
         .when(F.coalesce(result != "VOID", F.lit(False)), F.lit("completed"))
         .otherwise(F.lit("running"))
     )
+    return coerce.bind(F.lower(F.coalesce(*texts, F.lit(""))), rules)
 
 
 def request_id(doc: Column) -> Column:
@@ -67,8 +75,7 @@ def trigger_status(status: Column, request: Column, async_mode: Column) -> Colum
 
 def trigger_responses(responses: DataFrame, async_mode: bool = True) -> DataFrame:
     """responses(request_key, body) to status and request id; broken bodies are ``invalid``."""
-    doc = coerce.parse(wrap_non_object(F.col("body")))
-    parsed = responses.select("request_key", doc.alias("doc")).select(
+    parsed = responses.select("request_key", response_object(F.col("body")).alias("doc")).select(
         "request_key",
         F.when(F.col("doc").isNotNull(), infer_status(F.col("doc"))).alias("inferred"),
         request_id(F.col("doc")).alias("request_id"),
@@ -145,12 +152,15 @@ def extract_json_object(text: Column, strict_arrays: bool = False) -> Column:
     With ``strict_arrays`` a text which is valid JSON but no object gives null at
     once; without it an object inside an array is still found.
     """
-    whole = coerce.parse(text)
-    inner = coerce.parse(F.regexp_extract(text, r"(?s)\{.*\}", 0))
-    salvaged = F.when(coerce.is_object(inner), inner)
-    if strict_arrays:
-        salvaged = F.when(whole.isNull(), salvaged)
-    return F.when(coerce.is_object(whole), whole).otherwise(salvaged)
+    inner = coerce.bind(
+        coerce.parse(F.regexp_extract(text, r"(?s)\{.*\}", 0)), lambda v: F.when(coerce.is_object(v), v)
+    )
+
+    def choose(whole: Column) -> Column:
+        salvaged = F.when(whole.isNull(), inner) if strict_arrays else inner
+        return F.when(coerce.is_object(whole), whole).otherwise(salvaged)
+
+    return coerce.bind(coerce.parse(text), choose)
 
 
 def no_citations() -> Column:
