@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import packing, token_files
+from codeloom.llm import packing, simhash, token_files
 from codeloom.llm.registry import query, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -19,3 +19,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_best_two_fit")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), WORD_BPE)
+
+
+@query("op5_simhash_trie")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.selectExpr("doc_id", "lpad(lower(hex(fp)), 16, '0') AS fingerprint", "component_id")
