@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import packing, simhash, token_files
+from codeloom.llm import language, packing, simhash, token_files, warc
 from codeloom.llm.registry import query, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -25,3 +25,17 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.selectExpr("doc_id", "lpad(lower(hex(fp)), 16, '0') AS fingerprint", "component_id")
+
+
+@query("op6_string_kernel_language")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.learn(language.training_rows(docs))
+    found = language.identify(docs.select("doc_id", "text"), model)
+    held_out = "coalesce(crc32(cast(doc_id AS string)) % 5 = 0, true) AS held_out"
+    return found.selectExpr("doc_id", held_out, "lang_pred", "score")
+
+
+@query("op8_splittable_warc")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, sf_dir, "pages")).drop("url")

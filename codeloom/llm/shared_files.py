@@ -28,7 +28,7 @@ def create(path: str):
     """An output stream; the folder is made where the store has folders."""
     system, name = _open(path)
     system.create_dir(name.rpartition("/")[0], recursive=True)
-    return system.open_output_stream(name)
+    return system.open_output_stream(name, compression=None)
 
 
 def open_input(path: str):
