@@ -5,9 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import language, packing, simhash, token_files, warc
+from codeloom.llm import language, packing, pseudonyms, quality, simhash, token_files, warc
 from codeloom.llm.registry import query, table
 
+PII_KEY = "set a secret key in production"
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -39,3 +40,18 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_splittable_warc")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages")).drop("url")
+
+
+@query("op1_quality_rules")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule"
+    )
+
+
+@query("op3_feistel_pseudonyms")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pseudonyms.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key=PII_KEY)
+    counts = [f"cast(size(filter(pii_kinds, k -> k = '{kind}')) AS long) AS n_{kind}" for kind in pseudonyms.KINDS]
+    return found.selectExpr("doc_id", "text", "cast(size(pii_kinds) AS long) AS n_pii", *counts)
