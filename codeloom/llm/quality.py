@@ -97,6 +97,11 @@ class Rule:
         return " AND ".join(f"{n} {'<=' if upper else '>'} {v:.6g}" for n, upper, v in self.terms)
 
 
+def _bin(name: str, cuts: list[float]) -> Column:
+    """How many cuts lie below the feature."""
+    return F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda c: c < F.col(name)))
+
+
 def _matches(terms: list[tuple[int, bool, int]]) -> Column:
     result = F.lit(True)
     for k, upper, cut in terms:
@@ -125,10 +130,7 @@ def learn_rules(
         cuts[n] = [(a + b) / 2 for a, b in zip(cuts[n], cuts[n][1:])]
     binned = rows.select(
         "bad", (F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0).alias("prune"),
-        *[
-            F.size(F.filter(F.array(*map(F.lit, cuts[n])).cast("array<double>"), lambda c, n=n: c < F.col(n))).alias(f"b{k}")
-            for k, n in enumerate(names)
-        ],
+        *[_bin(n, cuts[n]).alias(f"b{k}") for k, n in enumerate(names)],
     )
     bins = [f"b{k}" for k in range(len(names))]
     cells = stored(binned.groupBy("prune", *bins).agg(
