@@ -4,9 +4,21 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-
-from codeloom.llm import language, packing, pseudonyms, quality, simhash, token_files, warc
+from pyspark.sql import functions as F
+
+from codeloom.llm import (
+    contamination,
+    language,
+    packing,
+    pseudonyms,
+    quality,
+    simhash,
+    token_files,
+    transcripts,
+    warc,
+)
 from codeloom.llm.registry import query, table
+from codeloom.session import stored
 
 PII_KEY = "set a secret key in production"
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -55,3 +67,26 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pseudonyms.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key=PII_KEY)
     counts = [f"cast(size(filter(pii_kinds, k -> k = '{kind}')) AS long) AS n_{kind}" for kind in pseudonyms.KINDS]
     return found.selectExpr("doc_id", "text", "cast(size(pii_kinds) AS long) AS n_pii", *counts)
+
+
+@query("op2_spaced_seed_contamination")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op9_transcript_roles")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations are written as transcripts and parsed again; the model learns from the
+    roles of four fifths of them."""
+    lines = stored(transcripts.lines_of(transcripts.written(table(spark, sf_dir, "conversations"))))
+    model = transcripts.learn(lines.where("crc32(cast(conv_id AS string)) % 5 <> 0"))
+    found = transcripts.turns(transcripts.decode(lines.drop("label"), model))
+    true = lines.where("line = 0").select(
+        "conv_id", "part", "tie", F.element_at(F.array(*map(F.lit, transcripts.ROLES)), (F.col("label") + 1).cast("int")).alias("true_role")
+    ).distinct()
+    keys = ["conv_id", "part", "tie"]
+    match = [F.col(f"f.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys]
+    return found.alias("f").join(true.alias("t"), match, "left").select(
+        "f.conv_id", F.col("f.part").alias("turn"), "f.line", "f.role", "t.true_role",
+        F.expr("coalesce(crc32(cast(f.conv_id AS string)) % 5 = 0, true)").alias("held_out"), "f.rendered",
+    )
