@@ -17,7 +17,7 @@ from codeloom.llm import (
     transcripts,
     warc,
 )
-from codeloom.llm.registry import query, table
+from codeloom.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 from codeloom.session import stored
 
 PII_KEY = "set a secret key in production"
