@@ -117,8 +117,16 @@ def read_block(table: FrequencyTable, data: bytes) -> tuple[np.ndarray, np.ndarr
     return keys, sizes, ids
 
 
-def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int = 2, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, ids binary): little-endian 32-bit ids with the end id; null text: end id only."""
+def id_type(tokenizer_path: str, end_id: int) -> str:
+    """The smallest type for all ids, for tables on the way to the files."""
+    return "<u2" if max(tokenizer(tokenizer_path).vocabulary_size, end_id + 1) <= 1 << 16 else "<u4"
+
+
+def tokenized(
+    docs: DataFrame, tokenizer_path: str, end_id: int = 2, *, kind: str = "<u4", doc_id: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """(doc_id, ids binary): little-endian ids of type ``kind`` with the end id; null text:
+    end id only."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokenizer(tokenizer_path)
@@ -126,7 +134,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int = 2, *, doc_id:
             texts = batch.column(1)
             for a, b in slices(texts):
                 ids, sizes = encoder.encode(texts[a:b])
-                ids = np.insert(ids.astype("<u4"), np.cumsum(sizes), end_id)
+                ids = np.insert(ids.astype(kind), np.cumsum(sizes), end_id)
                 ends = np.cumsum(sizes + 1)
                 parts = [ids[x:y].tobytes() for x, y in zip((ends - sizes - 1).tolist(), ends.tolist())]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(parts, pa.binary())], ["doc_id", "ids"])
@@ -135,23 +143,26 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int = 2, *, doc_id:
     return rows.mapInArrow(encode, "doc_id long, ids binary")
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(0, np.int64)
-    for batch in batches:
-        for ids in batch.column(0):
-            own = np.bincount(np.frombuffer(ids.as_py(), "<u4"))
-            if len(own) > len(total):
-                total = np.concatenate([total, np.zeros(len(own) - len(total), np.int64)])
-            total[: len(own)] += own
-    seen = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["id", "n"])
+def _counts(kind: str):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0, np.int64)
+        for batch in batches:
+            for ids in batch.column(0):
+                own = np.bincount(np.frombuffer(ids.as_py(), kind))
+                if len(own) > len(total):
+                    total = np.concatenate([total, np.zeros(len(own) - len(total), np.int64)])
+                total[: len(own)] += own
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["id", "n"])
+
+    return count
 
 
 NO_DOC = np.iinfo(np.int64).min  # stands for a null document id in files
 
 
-def write_corpus(tokens: DataFrame, folder: str, *, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Write ``tokens`` (doc_id, ids) as a corpus in ``folder``; gives the manifest.
+def write_corpus(tokens: DataFrame, folder: str, *, kind: str = "<u4", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """Write ``tokens`` (doc_id, ids of type ``kind``) as a corpus in ``folder``; gives the manifest.
 
     manifest(file_no, block_no, path, offset, n_bytes, n_docs, n_tokens, start): ``start`` is
     the number of ids before the block in the whole corpus.  Documents are in ascending
@@ -159,7 +170,7 @@ def write_corpus(tokens: DataFrame, folder: str, *, block_tokens: int = BLOCK_TO
     """
     spark = tokens.sparkSession
     # at most one row per symbol of the vocabulary reaches the driver
-    counted = tokens.select("ids").mapInArrow(_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counted = tokens.select("ids").mapInArrow(_counts(kind), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     counts = counted.orderBy("id").toPandas()
     symbols, numbers = counts["id"].to_numpy(np.int64), counts["n"].to_numpy(np.int64)
     with create(f"{folder}/frequencies.bin") as out:
@@ -189,7 +200,7 @@ def write_corpus(tokens: DataFrame, folder: str, *, block_tokens: int = BLOCK_TO
         for batch in batches:
             for key, ids in zip(batch.column(0).to_pylist(), batch.column(1)):
                 out = out or create(path)
-                own = np.frombuffer(ids.as_py(), "<u4")
+                own = np.frombuffer(ids.as_py(), kind)
                 keys.append(NO_DOC if key is None else key)
                 parts.append(own)
                 held += len(own)
@@ -258,5 +269,6 @@ def read_corpus(manifest: DataFrame, folder: str) -> DataFrame:
 def round_trip(docs: DataFrame, tokenizer_path: str, *, end_id: int = 2, folder: str | None = None) -> DataFrame:
     """Encode documents into files and read them back; columns of ``read_corpus``."""
     folder = folder or scratch_path(docs.sparkSession, "tokens")
-    tokens = stored(tokenized(docs, tokenizer_path, end_id))
-    return read_corpus(stored(write_corpus(tokens, folder)), folder)
+    kind = id_type(tokenizer_path, end_id)
+    tokens = stored(tokenized(docs, tokenizer_path, end_id, kind=kind))
+    return read_corpus(stored(write_corpus(tokens, folder, kind=kind)), folder)

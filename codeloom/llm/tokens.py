@@ -53,7 +53,8 @@ class WordTokenizer:
         self.fold[65:91] += 32
         suffix = self.tokenizer.model.end_of_word_suffix
         vocabulary = self.tokenizer.get_vocab()
-        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.vocabulary_size = max(vocabulary.values()) + 1
+        self.last = np.zeros(self.vocabulary_size, bool)
         if suffix:
             self.last[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
         self.joins = bool(suffix)
