@@ -12,6 +12,7 @@ from codeloom.llm import (
     packing,
     pseudonyms,
     quality,
+    repeats,
     simhash,
     token_files,
     transcripts,
@@ -90,3 +91,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
         "f.conv_id", F.col("f.part").alias("turn"), "f.line", "f.role", "t.true_role",
         F.expr("coalesce(crc32(cast(f.conv_id AS string)) % 5 = 0, true)").alias("held_out"), "f.rendered",
     )
+
+
+@query("op4_column_wise_repeats")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.without_repeats(table(spark, sf_dir, "documents"))
+    return found.selectExpr("doc_id", "n_bytes", "n_removed", "n_spans", "sha2(kept, 256) AS kept_sha256")
