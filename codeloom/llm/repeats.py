@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +29,8 @@ from codeloom.session import stored
 LENGTH = 50
 GRAM = 24
 TABLE_BITS = 27  # 16 MB
-BLOCK = 1 << 15  # strings of a block; all strings of a minimizer are in one
+BLOCK = 1 << 11  # strings of a block, small for the processor's caches; a minimizer's are in one
+SLICE = 1 << 18  # bytes of text handled at once; longer texts are taken in overlapping pieces
 MANY = 64  # batches in which a minimizer is so frequent that its windows are dealt out singly
 _BASE = 0xD1342543DE82EF95
 _BACK = pow(_BASE, -1, 1 << 64)
@@ -37,7 +39,7 @@ _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = max(1 << 20, 1 << int(n).bit_length())
+    size = max(1 << 19, 1 << int(n).bit_length())
     if size not in _tables:
         both = []
         for base in (_BASE, _BACK):
@@ -113,6 +115,19 @@ class Strings:
         self.key = np.where(alone, _mixed((self.sums[self.at + LENGTH] - self.sums[self.at]) * self.down[self.at]), self.key[own])
 
 
+def _pieces(texts: pa.Array) -> Iterator[tuple[pa.Array, int, int]]:
+    """(texts, number of the first, bytes before them in it): runs of texts of about
+    ``SLICE`` bytes, or a piece of a longer one.  No window is in two pieces."""
+    for a, b in slices(texts, SLICE):
+        size = pa.compute.binary_length(texts[a]).as_py() if b == a + 1 else 0
+        if size <= 4 * SLICE:
+            yield texts[a:b], a, 0
+            continue
+        data = texts[a].as_py()
+        for at in range(0, size - LENGTH + 1, SLICE):
+            yield pa.array([data[at : at + SLICE + LENGTH - 1]], pa.binary()), a, at
+
+
 def _slot(keys: np.ndarray, parts_bits: int, table_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Two bits of the table for each key, both in the key's part of the table."""
     own = np.uint64(table_bits - parts_bits)
@@ -138,8 +153,8 @@ def repeated_minimizers(rows: DataFrame, parts_bits: int) -> tuple[np.ndarray, n
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = []
-            for a, b in slices(batch.column(0), 1 << 20):
-                own = Strings(batch.column(0)[a:b])
+            for texts, _, _ in _pieces(batch.column(0)):
+                own = Strings(texts)
                 order = np.lexsort((own.doc, own.key))
                 key, doc = own.key[order], own.doc[order]
                 fresh = np.ones(len(key), bool)
@@ -181,70 +196,73 @@ def column_wise(data: np.ndarray, sizes: np.ndarray, cap: int = LENGTH) -> tuple
     ``data`` are the bytes of all strings in a row.  Strings end in different end marks
     which sort before all bytes.  Round j inserts the suffix of length j of every string that
     has one: its place is the rank of its first symbol in the transform before the suffix of
-    length j - 1, counted over the whole collection.  Common prefixes (up to ``cap``) follow
-    from the smallest one between consecutive occurrences of a symbol in the transform.
+    length j - 1, counted over the whole collection.  A new suffix changes two common
+    prefixes (up to ``cap``), its own and its follower's: each is one more than the smallest
+    of the old ones between two consecutive occurrences of the symbol in the transform.
     """
     n = len(sizes)
     ends = np.cumsum(sizes)
-    symbols = np.concatenate([data.astype(np.int16) + 1, [0]])
+    # byte values which UTF-8 uses leave room for the end mark in eight bits
+    values, codes = np.unique(data, return_inverse=True)
+    if len(values) > 255:
+        raise ValueError("more than 255 different bytes")
+    symbols = np.concatenate([codes.astype(np.uint8) + np.uint8(1), np.zeros(1, np.uint8)])
     # round 0: the empty suffixes in string order
-    before = np.where(sizes > 0, ends - 1, len(data))
-    transform = symbols[before]
-    string, length = np.arange(n, dtype=np.int32), np.zeros(n, np.int16)
+    transform = symbols[np.where(sizes > 0, ends - 1, len(data))]
+    suffix = np.arange(n, dtype=np.int64) << 32
     common = np.zeros(n, np.uint8)
-    place = np.arange(n)  # of each active string's newest suffix
-    active = np.arange(n)[sizes > 0]
-    place = place[active]
+    active = np.flatnonzero(sizes > 0)
+    place = active  # of each active string's newest suffix
     for j in range(1, int(sizes.max(initial=0)) + 1):
         order = np.argsort(transform, kind="stable")
-        done = int((transform == 0).sum())
-        total = len(transform)
-        rank = np.empty(total, np.int64)
-        rank[order] = np.arange(total)
-        new = n + rank[place] - done
-        # common prefixes of all suffixes that begin with a symbol, from the old order
-        low, high = order[done:-1], order[done + 1 :]
-        same = transform[low] == transform[high]
-        least = np.zeros(total - done, np.uint8)
-        inner = _range_min(common, low[same] + 1, high[same])
-        least[1:][same] = np.minimum(inner.astype(np.int16) + 1, cap).astype(np.uint8)
-        common = np.concatenate([np.zeros(n, np.uint8), least])
-        # the newest suffixes go in, the others move apart
-        size = total + len(active)
-        if size != len(common):
-            raise AssertionError("transform and suffixes differ in number")
+        done = int(np.searchsorted(transform[order], 1))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        at = rank[place]  # place among all symbols of the transform
+        new = n + at - done
+        # the neighbours in the transform's order: for a suffix and for its follower
+        symbol = transform[place]
+        left = order[np.maximum(at - 1, 0)]
+        right = order[np.minimum(at + 1, len(order) - 1)]
+        has_left = (at > done) & (transform[left] == symbol)
+        has_right = (at + 1 < len(order)) & (transform[right] == symbol)
+        low = np.concatenate([left[has_left], place[has_right]]) + 1
+        high = np.concatenate([place[has_left], right[has_right]])
+        least = np.minimum(_range_min(common, low, high).astype(np.int16) + 1, cap).astype(np.uint8)
+        size = len(order) + len(active)
         fresh = np.zeros(size, bool)
         fresh[new] = True
-        moved = np.empty(size, np.int16)
-        moved[~fresh] = transform
+        old = np.flatnonzero(~fresh)
         rest = sizes[active] > j
+        moved, deep, prefix = np.empty(size, np.uint8), np.empty(size, np.int64), np.empty(size, np.uint8)
+        moved[old], deep[old], prefix[old] = transform, suffix, common
         moved[new] = np.where(rest, symbols[np.where(rest, ends[active] - j - 1, len(data))], 0)
-        grown = np.empty(size, np.int32)
-        grown[~fresh], grown[new] = string, active
-        deep = np.empty(size, np.int16)
-        deep[~fresh], deep[new] = length, j
-        transform, string, length = moved, grown, deep
+        deep[new] = active << 32 | j
+        prefix[new] = 0
+        split = int(has_left.sum())
+        prefix[new[has_right] + 1] = least[split:]
+        prefix[new[has_left]] = least[:split]
+        transform, suffix, common = moved, deep, prefix
         active, place = active[rest], new[rest]
-    return string, length, common
+    return suffix >> 32, suffix & 0xFFFFFFFF, common
 
 
 def _range_min(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Smallest of values[low..high], both included, for many ranges: a table of minima over
-    stretches of doubling length."""
+    """Smallest of values[low..high], both included, for many ranges: from a table of minima
+    over stretches of doubling length."""
     out = np.empty(len(low), np.uint8)
-    level = np.zeros(len(low), np.int8)
     span = high - low + 1
-    top = int(span.max(initial=1))
-    for k in range(1, top.bit_length()):
-        level[span >= 1 << k] = k
+    level = np.frexp(span.astype(np.float64))[1].astype(np.int8) - 1
     by = np.argsort(level, kind="stable")
-    edges = np.searchsorted(level[by], np.arange(top.bit_length() + 1))
+    top = int(level.max(initial=0)) + 1
+    edges = np.searchsorted(level[by], np.arange(top + 1))
     row = values
-    for k in range(top.bit_length()):
+    for k in range(top):
         if k:
             row = np.minimum(row[: -(1 << (k - 1))], row[1 << (k - 1) :])
         own = by[edges[k] : edges[k + 1]]
-        out[own] = np.minimum(row[low[own]], row[high[own] - (1 << k) + 1])
+        if len(own):
+            out[own] = np.minimum(row[low[own]], row[high[own] - (1 << k) + 1])
     return out
 
 
@@ -283,9 +301,9 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs_ = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), np.int64)
-            for a, b in slices(batch.column(2), 1 << 22):
-                own = candidates(batch.column(2)[a:b])
-                ids, doc = own.ids(), docs_[a:b][own.doc]
+            for texts, a, _ in _pieces(batch.column(2)):
+                own = candidates(texts)
+                ids, doc = own.ids(), docs_[own.doc + a]
                 order = np.lexsort((doc, ids))
                 heads = np.flatnonzero(np.diff(ids[order], prepend=~ids[order][:1]) != 0) if len(ids) else order
                 if not len(heads):
@@ -345,12 +363,12 @@ def removed_spans(docs: DataFrame) -> DataFrame:
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in slices(batch.column(2), 1 << 22):
-                own = candidates(batch.column(2)[a:b])
+            for texts, a, before in _pieces(batch.column(2)):
+                own = candidates(texts)
                 doc = pa.array(own.doc + a)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).take(doc), batch.column(1).take(doc), pa.array(own.ids().view(np.int64)),
-                    pa.array((own.at - own.bounds[own.doc]).astype(np.int64)),
+                    pa.array(own.at - own.bounds[own.doc] + before),
                 ], ["doc_id", "version", "string_id", "at"])
 
     seen = docs.select("doc_id", "version", "text").mapInArrow(occurrences, "doc_id long, version long, string_id long, at long")
