@@ -20,6 +20,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +33,8 @@ TABLE_BITS = 27  # 16 MB
 BLOCK = 1 << 11  # strings of a block, small for the processor's caches; a minimizer's are in one
 SLICE = 1 << 18  # bytes of text handled at once; longer texts are taken in overlapping pieces
 MANY = 64  # batches in which a minimizer is so frequent that its windows are dealt out singly
+CUT_BITS = 16  # of a minimizer's hash, not looked at when repeated ones are told
+FLUSH = 1 << 22  # bytes of text whose strings are sent together
 _BASE = 0xD1342543DE82EF95
 _BACK = pow(_BASE, -1, 1 << 64)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -56,6 +59,23 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def _packed(keys: np.ndarray) -> bytes:
+    """Sorted numbers as compressed differences, their bytes side by side."""
+    steps = np.diff(keys, prepend=np.uint64(0))
+    return zstandard.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(raw.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def _gathered(data: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The bytes of many ranges in a row."""
+    ends = np.cumsum(sizes)
+    return data[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(at - (ends - sizes), sizes)]
+
+
 class Strings:
     """The strings of some texts: ``key`` (minimizer), ``doc`` (number of the text), ``at``
     (place in the joined bytes), ``n`` (windows), and ``sums`` for hashes of byte ranges."""
@@ -131,9 +151,10 @@ def _pieces(texts: pa.Array) -> Iterator[tuple[pa.Array, int, int]]:
 def _slot(keys: np.ndarray, parts_bits: int, table_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Two bits of the table for each key, both in the key's part of the table."""
     own = np.uint64(table_bits - parts_bits)
+    keys = keys >> np.uint64(CUT_BITS) << np.uint64(CUT_BITS)
     part = keys >> np.uint64(64 - parts_bits) << own
     low = (np.uint64(1) << own) - np.uint64(1)
-    return part | ((keys >> np.uint64(7)) & low), part | ((keys * _MIX >> np.uint64(17)) & low)
+    return part | ((keys >> np.uint64(CUT_BITS)) & low), part | ((keys * _MIX >> np.uint64(17)) & low)
 
 
 def _has(table: np.ndarray, keys: np.ndarray, parts_bits: int) -> np.ndarray:
@@ -164,11 +185,12 @@ def repeated_minimizers(rows: DataFrame, parts_bits: int) -> tuple[np.ndarray, n
             key = key[np.concatenate([[True] * min(2, len(key)), key[2:] != key[:-2]])]  # at most two of each
             part = (key >> np.uint64(64 - parts_bits)).astype(np.int64)
             edges = np.flatnonzero(np.diff(part, prepend=-1))
-            pieces = [key[a:b].tobytes() for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(key)])]
+            key >>= np.uint64(CUT_BITS)
+            pieces = [_packed(key[a:b]) for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(key)])]
             yield pa.RecordBatch.from_arrays([pa.array(part[edges], pa.int32()), pa.array(pieces, pa.binary())], ["part", "keys"])
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
-        key = np.sort(np.frombuffer(b"".join(group["keys"]), np.uint64))
+        key = np.sort(np.concatenate([_unpacked(k) for k in group["keys"]])) << np.uint64(CUT_BITS)
         twice = np.flatnonzero(key[1:] == key[:-1])
         many = np.flatnonzero(key[MANY:] == key[: len(key) - MANY]) if len(key) > MANY else np.zeros(0, np.int64)
         own = 1 << (TABLE_BITS - parts_bits)
@@ -288,6 +310,7 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     tasks = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     parts_bits = min(16, (tasks - 1).bit_length())
+    fine_bits = parts_bits + 3
     twice, many = repeated_minimizers(docs, parts_bits)
     shared = spark.sparkContext.broadcast((twice, many))  # fixed size
 
@@ -298,65 +321,110 @@ def removed_spans(docs: DataFrame) -> DataFrame:
         own.single(_has(frequent, own.key, parts_bits))
         return own
 
+    def sent(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        """Each string once, with the smallest and largest document, packed by parts of the
+        minimizers' range."""
+        key, ids, doc, at, sizes = (np.concatenate(v) for v in list(zip(*held))[:5])
+        data = np.concatenate([h[5] for h in held])
+        order = np.lexsort((doc, ids, key))
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = ids[order][1:] != ids[order][:-1]
+        heads = np.flatnonzero(fresh)
+        tails = np.concatenate([heads[1:], [len(order)]]) - 1
+        pick, last = order[heads], doc[order[tails]]
+        part = (key[pick] >> np.uint64(64 - fine_bits)).astype(np.int64)
+        edges = np.flatnonzero(np.diff(part, prepend=-1))
+        packs = []
+        for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(pick)]):
+            own = pick[a:b]
+            columns = [key[own], ids[own], doc[own], last[a:b] - doc[own], sizes[own].astype(np.int64)]
+            raw = b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(-1, 8).T).tobytes() for c in columns)
+            packs.append(zstandard.compress(raw + _gathered(data, at[own], sizes[own]).tobytes(), 3))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(part[edges], pa.int32()), pa.array(np.diff(edges, append=len(pick))), pa.array(packs, pa.binary())], ["part", "n", "pack"]
+        )
+
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = base = 0
         for batch in batches:
             docs_ = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), np.int64)
             for texts, a, _ in _pieces(batch.column(2)):
                 own = candidates(texts)
-                ids, doc = own.ids(), docs_[own.doc + a]
-                order = np.lexsort((doc, ids))
-                heads = np.flatnonzero(np.diff(ids[order], prepend=~ids[order][:1]) != 0) if len(ids) else order
-                if not len(heads):
-                    continue
-                tails = np.concatenate([heads[1:], [len(ids)]]) - 1
-                pick = order[heads]
-                raw = own.data.tobytes()
-                pieces = [raw[x:y] for x, y in zip(own.at[pick].tolist(), (own.at[pick] + own.n[pick] + LENGTH - 1).tolist())]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(own.key[pick].view(np.int64)), pa.array(ids[pick].view(np.int64)), pa.array(doc[pick]),
-                    pa.array(doc[order[tails]]), pa.array(pieces, pa.binary()),
-                ], ["key", "string_id", "low", "high", "bytes"])
+                size += len(own.data)
+                if len(own.at):
+                    sizes = own.n + LENGTH - 1
+                    data = _gathered(own.data, own.at, sizes)
+                    held.append((own.key, own.ids(), docs_[own.doc + a], base + np.cumsum(sizes) - sizes, sizes, data))
+                    base += len(data)
+                if size >= FLUSH and held:
+                    yield from sent(held)
+                    held, size, base = [], 0, 0
+        if held:
+            yield from sent(held)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The sorted strings of a partition in blocks which do not part a minimizer."""
-        held: list[pa.RecordBatch] = []
-        count = 0
+        """The strings of one part after the other."""
+        part, held = None, []
         for batch in batches:
-            held.append(batch)
-            count += len(batch)
-            if count < BLOCK:
-                continue
-            whole = pa.Table.from_batches(held).combine_chunks()
-            keys = whole["key"].to_numpy()
-            cut = int(np.searchsorted(keys, keys[-1]))
-            if cut:
-                yield from minima(whole.slice(0, cut))
-            held, count = whole.slice(cut).combine_chunks().to_batches(), len(whole) - cut
+            for own, n, pack in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if own != part and held:
+                    yield from minima(held)
+                    held = []
+                part = own
+                held.append((n, pack.as_py()))
         if held:
-            yield from minima(pa.Table.from_batches(held).combine_chunks())
-
-    def minima(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        ids = rows["string_id"].to_numpy()
-        _, head, group = np.unique(ids, return_index=True, return_inverse=True)
-        low = np.full(len(head), np.iinfo(np.int64).max)
-        np.minimum.at(low, group, rows["low"].to_numpy())
-        high = np.full(len(head), np.iinfo(np.int64).min)
-        np.maximum.at(high, group, rows["high"].to_numpy())
-        pieces = rows["bytes"].take(pa.array(head)).to_pylist()
-        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        least = class_minima(np.frombuffer(b"".join(pieces), np.uint8), sizes, low)
+            yield from minima(held)
+
+    def minima(packs: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        columns, bytes_ = [], []
+        for n, pack in packs:
+            raw = np.frombuffer(zstandard.decompress(pack), np.uint8)
+            columns.append([np.ascontiguousarray(raw[8 * n * k : 8 * n * (k + 1)].reshape(8, n).T).view(np.int64).ravel() for k in range(5)])
+            bytes_.append(raw[40 * n :])
+        key, ids, low, more, sizes = (np.concatenate(v) for v in zip(*columns))
+        data, high = np.concatenate(bytes_), low + more
+        at = np.cumsum(sizes) - sizes
+        order = np.lexsort((low, ids, key))
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = ids[order][1:] != ids[order][:-1]
+        heads = np.flatnonzero(fresh)
+        high = np.maximum.reduceat(high[order], heads)
+        pick = order[heads]
+        key, ids, low, sizes, at = key[pick], ids[pick], low[pick], sizes[pick], at[pick]
+        # a minimizer with one string: every window's smallest document is the string's own
+        edge = np.ones(len(key) + 1, bool)
+        edge[1:-1] = key[1:] != key[:-1]
+        alone = edge[1:] & edge[:-1]
+        yield from answer(ids[alone], low[alone], high[alone], sizes[alone], None)
+        rest = np.flatnonzero(~alone)
+        begins = np.flatnonzero(edge[:-1][rest])
+        stops = [*begins[1:].tolist(), len(rest)]
+        start = 0
+        for stop in stops:
+            if stop - start >= BLOCK or stop == len(rest):
+                own = rest[start:stop]
+                start = stop
+                if len(own):
+                    least = class_minima(_gathered(data, at[own], sizes[own]), sizes[own], low[own])
+                    yield from answer(ids[own], low[own], high[own], sizes[own], least)
+
+    def answer(ids, low, high, sizes, least) -> Iterator[pa.RecordBatch]:
+        """The strings of which some place is removed, with each window's smallest document."""
         n = sizes - LENGTH + 1
-        starts = np.concatenate([[0], np.cumsum(n)])
-        useful = np.minimum.reduceat(least, starts[:-1]) < high if len(n) else np.zeros(0, bool)
+        if least is None:
+            least = np.repeat(low, n)
+        if not len(n):
+            return
+        useful = np.minimum.reduceat(least, np.cumsum(n) - n) < high
         keep = np.flatnonzero(useful)
         offsets = np.concatenate([[0], np.cumsum(n[keep])])
-        inside = np.repeat(useful, n)
-        arrays = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(least[inside]))
-        yield pa.RecordBatch.from_arrays([pa.array(ids[head[keep]]), arrays], ["string_id", "least"])
+        arrays = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(least[np.repeat(useful, n)]))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), arrays], ["string_id", "least"])
 
     found = (
-        docs.select("doc_id", "version", "text").mapInArrow(strings, "key long, string_id long, low long, high long, bytes binary")
-        .repartition(tasks, "key").sortWithinPartitions("key")
+        docs.select("doc_id", "version", "text").mapInArrow(strings, "part int, n long, pack binary")
+        .repartition(tasks, "part").sortWithinPartitions("part")
         .mapInArrow(blocks, "string_id long, least array<long>")
     )
     found = stored(found)
@@ -398,6 +466,19 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     return met.select("doc_id", "version", "at", "least").mapInArrow(spans, "doc_id long, version long, start long, stop long")
 
 
+DOC_BITS = 22  # bit table of the documents with something to remove: 512 KB
+
+
+def _touched(spans: DataFrame) -> np.ndarray:
+    """Bit table of the document ids in ``spans``: at most 2^DOC_BITS / 64 rows."""
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << DOC_BITS))
+    words = spans.select(bit.alias("bit")).selectExpr("shiftright(bit, 6) AS word", "shiftleft(1L, cast(bit & 63 AS int)) AS bits")
+    found = words.groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    table = np.zeros(1 << (DOC_BITS - 6), np.uint64)
+    table[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
+    return table
+
+
 def without_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept binary) per row of ``docs``.
 
@@ -408,12 +489,29 @@ def without_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     rows = docs.select(
         F.coalesce(F.col(doc_id).cast("long"), F.lit(last)).alias("doc_id"),
         F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("text"),
-    ).withColumn("version", F.xxhash64("text"))
+    )
+    # rows of one id are told apart by their text; where ids are unique that costs nothing
+    unique = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    rows = rows.withColumn("version", F.lit(0).cast("long") if unique else F.xxhash64("text"))
     # ranges of a document: at most one per string of it
-    spans = removed_spans(rows).distinct().groupBy("doc_id", "version").agg(
+    spans = stored(removed_spans(rows).distinct().groupBy("doc_id", "version").agg(
         F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans")
-    )
-    joined = rows.join(stored(spans), ["doc_id", "version"], "left")
+    ))
+    shared = docs.sparkSession.sparkContext.broadcast(_touched(spans))  # fixed size
+
+    def sifted(touched: bool):
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                bit = batch.column(3).to_numpy().astype(np.uint64)
+                has = (shared.value[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) > 0
+                yield batch.filter(pa.array(has == touched))
+
+        marked = rows.select("doc_id", "version", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << DOC_BITS)).alias("bit"))
+        return marked.mapInArrow(keep, "doc_id long, version long, text binary, bit long")
+
+    # only documents with ranges, and a few others by chance, are moved
+    joined = sifted(True).join(spans, ["doc_id", "version"], "left").select("doc_id", "text", "spans")
+    whole = sifted(False).select("doc_id", "text", F.lit(None).cast("array<struct<start: long, stop: long>>").alias("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -439,5 +537,6 @@ def without_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
             )
 
-    out = joined.select("doc_id", "text", "spans").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
+    out = joined.mapInArrow(cut, schema).union(whole.mapInArrow(cut, schema))
     return out.withColumn("doc_id", F.when(F.col("doc_id") != last, F.col("doc_id")))
