@@ -2,7 +2,7 @@
 
 Every string of ``LENGTH`` bytes that also starts in a document with a smaller id is removed.
 Documents are cut into short strings: neighbouring windows which share their minimizer (the
-smallest hashed 24-gram) form one string, and equal windows always share it.  So the strings
+smallest hashed 32-gram) form one string, and equal windows always share it.  So the strings
 of a minimizer can be handled apart from all others.  For a block of them the collection's
 Burrows-Wheeler transform and common prefixes are built column by column: each round inserts
 one symbol of every string, from the last to the first, and updates both arrays in one
@@ -28,13 +28,14 @@ from codeloom.llm.tokens import slices
 from codeloom.session import stored
 
 LENGTH = 50
-GRAM = 24
+GRAM = 32
 TABLE_BITS = 27  # 16 MB
 BLOCK = 1 << 11  # strings of a block, small for the processor's caches; a minimizer's are in one
 SLICE = 1 << 18  # bytes of text handled at once; longer texts are taken in overlapping pieces
 MANY = 64  # batches in which a minimizer is so frequent that its windows are dealt out singly
+TIE_BITS = 24  # grams which agree above these bits are taken from the left
 CUT_BITS = 16  # of a minimizer's hash, not looked at when repeated ones are told
-FLUSH = 1 << 22  # bytes of text whose strings are sent together
+FLUSH = 1 << 21  # bytes of text whose strings are sent together
 _BASE = 0xD1342543DE82EF95
 _BACK = pow(_BASE, -1, 1 << 64)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -94,7 +95,7 @@ class Strings:
         if size < LENGTH:
             return
         grams = _mixed((self.sums[GRAM:] - self.sums[:-GRAM]) * self.down[: size - GRAM + 1])
-        bits = np.uint64(max(20, int(size).bit_length()))
+        bits = np.uint64(max(TIE_BITS, int(size).bit_length()))
         smallest = (grams >> bits << bits) | np.arange(len(grams), dtype=np.uint64)
         width = 1
         while 2 * width <= LENGTH - GRAM + 1:
@@ -118,8 +119,7 @@ class Strings:
         self.key, self.doc, self.at, self.n = (v[keep] for v in (self.key, self.doc, self.at, self.n))
 
     def ids(self) -> np.ndarray:
-        stop = self.at + self.n + LENGTH - 1
-        return _mixed((self.sums[stop] - self.sums[self.at]) * self.down[self.at] ^ (self.n.astype(np.uint64) << np.uint64(50)))
+        return _string_ids(self.sums, self.down, self.at, self.n)
 
     def single(self, frequent: np.ndarray) -> None:
         """Windows of the marked strings become strings of their own, keyed by content."""
@@ -135,6 +135,22 @@ class Strings:
         self.key = np.where(alone, _mixed((self.sums[self.at + LENGTH] - self.sums[self.at]) * self.down[self.at]), self.key[own])
 
 
+def _string_ids(sums: np.ndarray, down: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return _mixed((sums[at + n + LENGTH - 1] - sums[at]) * down[at] ^ (n.astype(np.uint64) << np.uint64(50)))
+
+
+def _key_and_id(data: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The minimizer (as far as ties look at it) and the id of strings that lie in a row."""
+    up, down = _powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(up[: len(data)] * (data.astype(np.uint64) + np.uint64(1)), out=sums[1:])
+    key = np.full(len(at), np.iinfo(np.uint64).max)
+    for k in range(LENGTH - GRAM + 1):
+        gram = _mixed((sums[at + k + GRAM] - sums[at + k]) * down[at + k])
+        key = np.minimum(key, gram >> np.uint64(TIE_BITS))
+    return key, _string_ids(sums, down, at, sizes - LENGTH + 1).view(np.int64)
+
+
 def _pieces(texts: pa.Array) -> Iterator[tuple[pa.Array, int, int]]:
     """(texts, number of the first, bytes before them in it): runs of texts of about
     ``SLICE`` bytes, or a piece of a longer one.  No window is in two pieces."""
@@ -337,7 +353,7 @@ def removed_spans(docs: DataFrame) -> DataFrame:
         packs = []
         for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(pick)]):
             own = pick[a:b]
-            columns = [key[own], ids[own], doc[own], last[a:b] - doc[own], sizes[own].astype(np.int64)]
+            columns = [doc[own], last[a:b] - doc[own], sizes[own].astype(np.int64)]
             raw = b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(-1, 8).T).tobytes() for c in columns)
             packs.append(zstandard.compress(raw + _gathered(data, at[own], sizes[own]).tobytes(), 3))
         yield pa.RecordBatch.from_arrays(
@@ -355,7 +371,7 @@ def removed_spans(docs: DataFrame) -> DataFrame:
                 if len(own.at):
                     sizes = own.n + LENGTH - 1
                     data = _gathered(own.data, own.at, sizes)
-                    held.append((own.key, own.ids(), docs_[own.doc + a], base + np.cumsum(sizes) - sizes, sizes, data))
+                    held.append((own.key, own.ids().view(np.int64), docs_[own.doc + a], base + np.cumsum(sizes) - sizes, sizes, data))
                     base += len(data)
                 if size >= FLUSH and held:
                     yield from sent(held)
@@ -380,14 +396,15 @@ def removed_spans(docs: DataFrame) -> DataFrame:
         columns, bytes_ = [], []
         for n, pack in packs:
             raw = np.frombuffer(zstandard.decompress(pack), np.uint8)
-            columns.append([np.ascontiguousarray(raw[8 * n * k : 8 * n * (k + 1)].reshape(8, n).T).view(np.int64).ravel() for k in range(5)])
-            bytes_.append(raw[40 * n :])
-        key, ids, low, more, sizes = (np.concatenate(v) for v in zip(*columns))
+            columns.append([np.ascontiguousarray(raw[8 * n * k : 8 * n * (k + 1)].reshape(8, n).T).view(np.int64).ravel() for k in range(3)])
+            bytes_.append(raw[24 * n :])
+        low, more, sizes = (np.concatenate(v) for v in zip(*columns))
         data, high = np.concatenate(bytes_), low + more
         at = np.cumsum(sizes) - sizes
+        key, ids = _key_and_id(data, at, sizes)
         order = np.lexsort((low, ids, key))
         fresh = np.ones(len(order), bool)
-        fresh[1:] = ids[order][1:] != ids[order][:-1]
+        fresh[1:] = (ids[order][1:] != ids[order][:-1]) | (key[order][1:] != key[order][:-1])
         heads = np.flatnonzero(fresh)
         high = np.maximum.reduceat(high[order], heads)
         pick = order[heads]
