@@ -15,13 +15,14 @@ keeps them as a bit table of fixed size.  What the table lets through by chance
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm.tokens import slices
@@ -483,6 +484,18 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     return met.select("doc_id", "version", "at", "least").mapInArrow(spans, "doc_id long, version long, start long, stop long")
 
 
+@contextmanager
+def _small_batches(spark: SparkSession, rows: int = 1000):
+    """Fewer rows in an Arrow batch while the jobs inside run; texts are long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 DOC_BITS = 22  # bit table of the documents with something to remove: 512 KB
 
 
@@ -511,9 +524,10 @@ def without_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     unique = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
     rows = rows.withColumn("version", F.lit(0).cast("long") if unique else F.xxhash64("text"))
     # ranges of a document: at most one per string of it
-    spans = stored(removed_spans(rows).distinct().groupBy("doc_id", "version").agg(
-        F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans")
-    ))
+    with _small_batches(docs.sparkSession):
+        spans = stored(removed_spans(rows).distinct().groupBy("doc_id", "version").agg(
+            F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans")
+        ))
     shared = docs.sparkSession.sparkContext.broadcast(_touched(spans))  # fixed size
 
     def sifted(touched: bool):
