@@ -45,7 +45,7 @@ def is_python_file(path: Column) -> Column:
     return F.endswith(path, F.lit(".py"))
 
 
-def select_sources(files: DataFrame, max_files: int | None = 1000) -> DataFrame:
+def select_sources(files: DataFrame, max_files: int | None = None) -> DataFrame:
     """Python files outside ignored directories, at most ``max_files`` per run.
 
     The cap keeps the first paths in sorted order.  File text never enters a sort: only
@@ -152,7 +152,7 @@ def read_sources(spark: SparkSession, listing: DataFrame) -> DataFrame:
 
 
 def scan_sources(
-    spark: SparkSession, roots: dict[str, str] | DataFrame, max_files: int | None = 1000
+    spark: SparkSession, roots: dict[str, str] | DataFrame, max_files: int | None = None
 ) -> DataFrame:
     """files(run_id, path, content) of ``{run_id: root directory}`` or such a table.
 
