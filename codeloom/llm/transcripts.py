@@ -199,38 +199,58 @@ def decode(lines: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
     )
     keys = ["conv_id", "task", "block"]
 
-    def matrix(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["part", "tie", "line"])
-        emit = _emissions(model, group["mark"].to_numpy(), group["shape"].to_numpy())
-        inner = block_scores(model, emit)
-        begin = model["start"] + emit[0]
-        for row in emit[1:]:
-            begin = (begin[:, None] + model["move"]).max(0) + row
-        row = {k: group[k].iloc[:1] for k in keys}
-        return pd.DataFrame({**row, "inner": [inner.ravel().tolist()], "begin": [begin.tolist()]})
+    def runs(group: pd.DataFrame, *more: str) -> tuple[pd.DataFrame, list[tuple[int, int]]]:
+        """``group`` in order, and where its transcripts' blocks begin and end."""
+        group = group.sort_values(["conv_id", *more], kind="stable").reset_index(drop=True)
+        conv = group["conv_id"]
+        first = (conv != conv.shift()) & ~(conv.isna() & conv.shift().isna())
+        if "block" in more:
+            first |= group["block"] != group["block"].shift()
+        first.iloc[:1] = True
+        edges = np.flatnonzero(first.to_numpy())
+        return group, list(zip(edges.tolist(), [*edges[1:].tolist(), len(group)]))
 
+    def matrix(group: pd.DataFrame) -> pd.DataFrame:
+        group, blocks = runs(group, "block", "part", "tie", "line")
+        every = _emissions(model, group["mark"].to_numpy(), group["shape"].to_numpy())
+        inner, begins = [], []
+        for x, y in blocks:
+            emit = every[x:y]
+            inner.append(block_scores(model, emit).ravel().tolist())
+            begin = model["start"] + emit[0]
+            for row in emit[1:]:
+                begin = (begin[:, None] + model["move"]).max(0) + row
+            begins.append(begin.tolist())
+        return group.loc[[x for x, _ in blocks], keys].assign(inner=inner, begin=begins)
+
+    # a group is a range of lines, as large as the partitions are
     features = blocked.select(*keys, "part", "tie", "line", "mark", "shape")
-    scored = features.groupBy(*keys).applyInPandas(matrix, "conv_id long, task int, block long, inner array<double>, begin array<double>")
+    scored = features.groupBy("task").applyInPandas(matrix, "conv_id long, task int, block long, inner array<double>, begin array<double>")
 
     def ends(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["task", "block"])
-        matrices = [np.array(m, float).reshape(STATES, STATES) for m in group["inner"]]
-        matrices[0] = np.array(group["begin"].iloc[0], float)[None]
-        found = chain(model, matrices)
+        group, transcripts = runs(group, "task")
+        group = group.sort_values(["conv_id", "task", "block"], kind="stable").reset_index(drop=True)
+        found = []
+        for x, y in transcripts:
+            matrices = [np.array(m, float).reshape(STATES, STATES) for m in group["inner"][x:y]]
+            matrices[0] = np.array(group["begin"][x], float)[None]
+            found += chain(model, matrices)
         return group[keys].assign(before=[b for b, _ in found], last=[e for _, e in found])
 
-    # one row per block of a transcript: its lines over BLOCK
-    bounds = stored(scored.groupBy("conv_id").applyInPandas(ends, "conv_id long, task int, block long, before int, last int"))
+    # one row per block of a transcript; a group holds the transcripts of a hash bucket
+    bucket = F.pmod(F.xxhash64("conv_id"), F.lit(tasks)).alias("bucket")
+    bounds = stored(scored.groupBy(bucket).applyInPandas(ends, "conv_id long, task int, block long, before int, last int"))
 
     def path(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["part", "tie", "line"])
-        emit = _emissions(model, group["mark"].to_numpy(), group["shape"].to_numpy())
-        states = block_path(model, emit, int(group["before"].iloc[0]), int(group["last"].iloc[0]))
-        return group[[*schema.names]].assign(state=states)
+        group, blocks = runs(group, "block", "part", "tie", "line")
+        every = _emissions(model, group["mark"].to_numpy(), group["shape"].to_numpy())
+        before, last = group["before"].to_numpy(), group["last"].to_numpy()
+        states = [block_path(model, every[x:y], int(before[x]), int(last[x])) for x, y in blocks]
+        return group[[*schema.names]].assign(state=np.concatenate(states))
 
     same = (F.col("conv_id").eqNullSafe(F.col("c"))) & (F.col("task") == F.col("t")) & (F.col("block") == F.col("b"))
     own = bounds.select(F.col("conv_id").alias("c"), F.col("task").alias("t"), F.col("block").alias("b"), "before", "last")
-    return blocked.join(own, same).drop("c", "t", "b").groupBy(*keys).applyInPandas(path, f"{fields}, state int")
+    return blocked.join(own, same).drop("c", "t", "b").groupBy("task").applyInPandas(path, f"{fields}, state int")
 
 
 def turns(decoded: DataFrame) -> DataFrame:
