@@ -530,19 +530,17 @@ def without_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         ))
     shared = docs.sparkSession.sparkContext.broadcast(_touched(spans))  # fixed size
 
-    def sifted(touched: bool):
-        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                bit = batch.column(3).to_numpy().astype(np.uint64)
-                has = (shared.value[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) > 0
-                yield batch.filter(pa.array(has == touched))
-
-        marked = rows.select("doc_id", "version", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << DOC_BITS)).alias("bit"))
-        return marked.mapInArrow(keep, "doc_id long, version long, text binary, bit long")
-
-    # only documents with ranges, and a few others by chance, are moved
-    joined = sifted(True).join(spans, ["doc_id", "version"], "left").select("doc_id", "text", "spans")
-    whole = sifted(False).select("doc_id", "text", F.lit(None).cast("array<struct<start: long, stop: long>>").alias("spans"))
+    @F.pandas_udf("boolean")
+    def touched(bit: pd.Series) -> pd.Series:
+        bit = bit.to_numpy().astype(np.uint64)
+        return pd.Series((shared.value[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) > 0)
+
+    # only documents with ranges, and a few others by chance, are moved or reach Python whole
+    marked = rows.withColumn("touched", touched(F.pmod(F.xxhash64("doc_id"), F.lit(1 << DOC_BITS))))
+    joined = marked.where("touched").join(spans, ["doc_id", "version"], "left").select("doc_id", "text", "spans")
+    whole = marked.where("NOT touched").selectExpr(
+        "doc_id", "cast(octet_length(text) AS long) AS n_bytes", "0L AS n_removed", "0L AS n_spans", "text AS kept"
+    )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -569,5 +567,7 @@ def without_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
             )
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
-    out = joined.mapInArrow(cut, schema).union(whole.mapInArrow(cut, schema))
+    with _small_batches(docs.sparkSession):
+        short = stored(joined.mapInArrow(cut, schema))
+    out = short.union(whole)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != last, F.col("doc_id")))
