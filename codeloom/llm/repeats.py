@@ -496,6 +496,29 @@ def _small_batches(spark: SparkSession, rows: int = 1000):
         spark.conf.set(name, before)
 
 
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each document's ranges in order, those that touch or overlap as one."""
+    for batch in batches:
+        n = np.diff(batch.column(2).offsets.to_numpy())
+        start, stop = (batch.column(k).flatten().to_numpy() for k in (2, 3))
+        row = np.repeat(np.arange(len(n)), n)
+        order = np.lexsort((start, row))
+        row, start, stop = row[order], start[order], stop[order]
+        # shifted by row, the largest stop so far never reaches into the next row
+        shift = row * (int(stop.max(initial=0)) + 1)
+        reach = np.maximum.accumulate(stop + shift)
+        fresh = np.ones(len(row), bool)
+        fresh[1:] = (start + shift)[1:] > reach[:-1]
+        fresh[1:] |= row[1:] != row[:-1]
+        heads = np.flatnonzero(fresh)
+        tails = np.concatenate([heads[1:], [len(row)]]) - 1
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(row[heads], minlength=len(n)))])
+        ranges = pa.StructArray.from_arrays([pa.array(start[heads]), pa.array((reach - shift)[tails])], ["start", "stop"])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), ranges)], ["doc_id", "version", "spans"]
+        )
+
+
 DOC_BITS = 22  # bit table of the documents with something to remove: 512 KB
 
 
@@ -525,9 +548,12 @@ def without_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     rows = rows.withColumn("version", F.lit(0).cast("long") if unique else F.xxhash64("text"))
     # ranges of a document: at most one per string of it
     with _small_batches(docs.sparkSession):
-        spans = stored(removed_spans(rows).distinct().groupBy("doc_id", "version").agg(
-            F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans")
-        ))
+        found = removed_spans(rows)
+        spans = stored(
+            (found if unique else found.distinct()).groupBy("doc_id", "version")
+            .agg(F.collect_list("start").alias("start"), F.collect_list("stop").alias("stop"))
+            .mapInArrow(_merged, "doc_id long, version long, spans array<struct<start: long, stop: long>>")
+        )
     shared = docs.sparkSession.sparkContext.broadcast(_touched(spans))  # fixed size
 
     @F.pandas_udf("boolean")
@@ -542,32 +568,19 @@ def without_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         "doc_id", "cast(octet_length(text) AS long) AS n_bytes", "0L AS n_removed", "0L AS n_spans", "text AS kept"
     )
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, gone, runs, kept = [], [], [], []
-            for data, own in zip(batch.column(1), batch.column(2)):
-                data, own = data.as_py(), own.as_py() or []
-                parts, at, n = [], 0, 0
-                stop = -1
-                for s in own:
-                    if s["start"] > stop:
-                        parts.append(data[at : s["start"]])
-                        n += 1
-                    stop = max(stop, s["stop"])
-                    at = stop
-                parts.append(data[at:])
-                left = b"".join(parts)
-                sizes.append(len(data))
-                gone.append(len(data) - len(left))
-                runs.append(n)
-                kept.append(left)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(v, pa.int64()) for v in (sizes, gone, runs)), pa.array(kept, pa.binary())],
-                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
-            )
-
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
-    with _small_batches(docs.sparkSession):
-        short = stored(joined.mapInArrow(cut, schema))
-    out = short.union(whole)
+    # what lies between the ranges, joined as hexadecimal digits: linear in the text
+    n_bytes = F.octet_length("text").cast("long")
+    ends = F.concat(F.transform("spans", lambda s: s["start"]), F.array(n_bytes))
+    begins = F.concat(F.array(F.lit(0).cast("long")), F.transform("spans", lambda s: s["stop"]))
+    rest = F.transform(
+        F.arrays_zip(begins.alias("a"), ends.alias("b")),
+        lambda s: F.hex(F.substring("text", s["a"].cast("int") + 1, (s["b"] - s["a"]).cast("int"))),
+    )
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    cut = joined.select(
+        "doc_id", n_bytes.alias("n_bytes"), F.coalesce(gone, F.lit(0)).cast("long").alias("n_removed"),
+        F.when(F.col("spans").isNull(), 0).otherwise(F.size("spans")).cast("long").alias("n_spans"),
+        F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.unhex(F.array_join(rest, ""))).alias("kept"),
+    )
+    out = cut.union(whole)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != last, F.col("doc_id")))
