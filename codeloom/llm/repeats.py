@@ -141,15 +141,24 @@ def _string_ids(sums: np.ndarray, down: np.ndarray, at: np.ndarray, n: np.ndarra
 
 
 def _key_and_id(data: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The minimizer (as far as ties look at it) and the id of strings that lie in a row."""
-    up, down = _powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(up[: len(data)] * (data.astype(np.uint64) + np.uint64(1)), out=sums[1:])
-    key = np.full(len(at), np.iinfo(np.uint64).max)
-    for k in range(LENGTH - GRAM + 1):
-        gram = _mixed((sums[at + k + GRAM] - sums[at + k]) * down[at + k])
-        key = np.minimum(key, gram >> np.uint64(TIE_BITS))
-    return key, _string_ids(sums, down, at, sizes - LENGTH + 1).view(np.int64)
+    """The minimizer (as far as ties look at it) and the id of strings that lie in a row.
+
+    Taken in runs of about ``SLICE`` bytes, so the tables stay small whatever the input."""
+    keys, ids = np.empty(len(at), np.uint64), np.empty(len(at), np.int64)
+    edges = np.flatnonzero(np.diff((at // SLICE), prepend=-1)).tolist()
+    for a, b in zip(edges, [*edges[1:], len(at)]):
+        begin, end = int(at[a]), int(at[b - 1] + sizes[b - 1])
+        own, place = data[begin:end], at[a:b] - begin
+        up, down = _powers(len(own) + 1)
+        sums = np.zeros(len(own) + 1, np.uint64)
+        np.cumsum(up[: len(own)] * (own.astype(np.uint64) + np.uint64(1)), out=sums[1:])
+        key = np.full(b - a, np.iinfo(np.uint64).max)
+        for k in range(LENGTH - GRAM + 1):
+            gram = _mixed((sums[place + k + GRAM] - sums[place + k]) * down[place + k])
+            np.minimum(key, gram >> np.uint64(TIE_BITS), out=key)
+        keys[a:b] = key
+        ids[a:b] = _string_ids(sums, down, place, sizes[a:b] - LENGTH + 1).view(np.int64)
+    return keys, ids
 
 
 def _pieces(texts: pa.Array) -> Iterator[tuple[pa.Array, int, int]]:
