@@ -16,10 +16,6 @@ from codeloom.operators.tagging import as_set, tag_crud, tag_entities
 from codeloom.plans.analyze import Analysis
 from codeloom.session import stored
 
-# An order with more lines than this becomes several files, so that no file (and no
-# collected list) grows with a hot order.
-LINES_PER_FILE = 256
-
 RUNS = 32
 
 
@@ -32,22 +28,11 @@ def _run(key: str) -> str:
 
 
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(k, chunk, lines): the sorted lines of every order, in bounded chunks."""
+    """(k, lines): the sorted lines of every order, which become one file whatever its size."""
     lines = table(spark, sf_dir, "lineitem").selectExpr(
-        "l_orderkey AS k", "l_linenumber AS n", "l_partkey AS p", "l_returnflag AS rf",
-        "l_linestatus AS ls", "xxhash64(l_partkey, l_suppkey, l_linenumber, l_extendedprice) AS h",
-    )
-    heavy = (
-        lines.groupBy("k").agg(F.count("*").alias("n"))
-        .where(F.col("n") > LINES_PER_FILE)
-        .select("k", F.ceil(F.col("n") / LINES_PER_FILE).alias("chunks"))
-    )
-    chunk = F.coalesce(F.pmod("h", "chunks"), F.lit(0))
-    return (
-        lines.join(heavy, "k", "left")
-        .groupBy("k", chunk.alias("chunk"))
-        .agg(F.array_sort(F.collect_list(F.struct("n", "p", "rf", "ls"))).alias("lines"))
+        "l_orderkey AS k", "l_linenumber AS n", "l_partkey AS p", "l_returnflag AS rf", "l_linestatus AS ls"
     )
+    return lines.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("n", "p", "rf", "ls"))).alias("lines"))
 
 
 def order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,10 +50,9 @@ def order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE o_orderpriority WHEN '1-URGENT' THEN 'payment' WHEN '2-HIGH' THEN 'shipment' "
         "WHEN '3-MEDIUM' THEN 'invoice' WHEN '4-NOT SPECIFIED' THEN 'ledger' ELSE 'account' END AS noun",
     )
-    suffix = "if(coalesce(chunk, 0) = 0, cast(k AS string), concat(k, '_', chunk))"
     spread = orders.repartition(parallelism, "k")
     return spread.join(order_lines(spark, sf_dir), "k", "left").selectExpr(
-        "run_id", "k", "verb", "noun", f"{suffix} AS tag",
+        "run_id", "k", "verb", "noun", "cast(k AS string) AS tag",
         "coalesce(lines, array()) AS lines",
     )
 

@@ -27,17 +27,13 @@ def parsed(spark, sf_dir):
 @query(
     "S1_scan_sources",
     op.with_parts(op.BASE, select="""
-    SELECT run_id, path FROM (
-      SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY path) AS place FROM (
-        SELECT run_id, 'svc/order_' || k || '.py' AS path FROM o
-        UNION ALL
-        SELECT run_id, dir || '/part_' || p || CASE WHEN sz = 48 THEN '/__init__.py' ELSE '.py' END
-        FROM allparts WHERE sz NOT IN (47, 49)))
-    WHERE place <= 300"""),
+    SELECT run_id, 'svc/order_' || k || '.py' AS path FROM o
+    UNION ALL
+    SELECT run_id, dir || '/part_' || p || CASE WHEN sz = 48 THEN '/__init__.py' ELSE '.py' END AS path
+    FROM allparts WHERE sz NOT IN (47, 49)"""),
 )
 def scan_sources(spark, sf_dir):
-    # The cap per run is the operator's own feature.
-    return files.select_sources(ad.source_files(spark, sf_dir), max_files=300).select("run_id", "path")
+    return files.select_sources(ad.source_files(spark, sf_dir)).select("run_id", "path")
 
 
 @query("S2_decode_source", "SELECT doc_id, length(text) AS chars, md5(text) AS digest FROM documents")

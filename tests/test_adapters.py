@@ -1,5 +1,7 @@
 """The generated files parse to exactly the facts of the generated table."""
 
+import os
+
 import pytest
 
 from codeloom.catalog import adapters
@@ -10,15 +12,23 @@ from codeloom.sources.files import decoded, select_sources
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("lines_per_file", [adapters.LINES_PER_FILE, 3])
-def test_parser_agrees_with_table(spark, monkeypatch, lines_per_file):
-    # With a low limit most orders count as hot and are split into several files.
-    monkeypatch.setattr(adapters, "LINES_PER_FILE", lines_per_file)
-    files = select_sources(adapters.source_files(spark, SF), None)
+@pytest.fixture
+def heavy_order(spark, tmp_path):
+    """The tables of ``SF`` with 1,000 more lines in one order."""
+    for name in os.listdir(SF):
+        if name != "lineitem.parquet":
+            os.symlink(f"{SF}/{name}", tmp_path / name)
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet")
+    more = lines.limit(1000).withColumn("l_orderkey", lines.l_orderkey * 0 + 1).cache()
+    lines.union(more).write.parquet(str(tmp_path / "lineitem.parquet"))
+    return str(tmp_path)
+
+
+def test_parser_agrees_with_table(spark, heavy_order):
+    files = select_sources(adapters.source_files(spark, heavy_order), None)
     parsed = tag_functions(extract_functions(extract_facts(decoded(files)))).persist()
-    table = adapters.function_table(spark, SF).select(*parsed.columns).persist()
+    table = adapters.function_table(spark, heavy_order).select(*parsed.columns).persist()
     assert parsed.count() == table.count() > 1500
     assert parsed.exceptAll(table).count() == 0
     assert table.exceptAll(parsed).count() == 0
-    if lines_per_file == 3:
-        assert table.where("file_path rlike 'order_[0-9]+_[1-9]'").count() > 500
+    assert parsed.where("file_path rlike 'order_1[.]py' AND size(calls) > 200").count() == 1
