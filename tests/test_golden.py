@@ -1,4 +1,4 @@
-"""The mini repository from directory to every product, with hand-worked values."""
+"""The mini repository from directory to every product; most values are recorded outputs, reviewed against the score rules."""
 
 import json
 
