@@ -29,7 +29,7 @@ WORDS = 8  # 64-bit words of a long fingerprint
 TABLES = 28  # tries over different choices of a long fingerprint's bits
 KEY = 32  # bits of a choice: the upper ones name the subtree, the next TRIE_BITS are its trie
 TRIE_BITS, TRIE_BUDGET = 20, 4
-LONG_LEAF = 1 << 14  # as LEAF, for tries with such a wide budget that they prune late
+LONG_LEAF = 1 << 17  # as LEAF, for tries with such a wide budget that they prune late
 BUCKET = 1 << 12  # long fingerprints which a subtree has on average
 
 
@@ -274,19 +274,46 @@ def _choices() -> np.ndarray:
     return np.stack([random.permutation(64 * WORDS)[:KEY] for _ in range(TABLES)])
 
 
-def _long_bits(text: str | None, width: int) -> np.ndarray:
-    """64 * WORDS bits: SimHash of the distinct shingles, whose hashes are mixed anew for
-    every word."""
-    hashes = np.unique(_shingle_hashes(text, width).astype(np.uint64))
-    counts = np.zeros(64 * WORDS, np.int64)
-    seeds = np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for a in range(0, len(hashes), 1 << 13):
-        mixed = hashes[a : a + (1 << 13), None] + seeds
+def _long_bits(texts: list[str | None], width: int) -> np.ndarray:
+    """64 * WORDS bits per text: SimHash of its distinct shingles, whose hashes are mixed
+    anew for every word.
+
+    Shingles are counted in runs of at most 255 of one text, so that eight sums fit into
+    one machine word.
+    """
+    bits = np.zeros((len(texts), 64 * WORDS), np.uint8)
+    held, rows, first = [], 0, 0
+    for n, text in enumerate(texts):
+        held.append(np.unique(_shingle_hashes(text, width).astype(np.uint64)))
+        rows += len(held[-1])
+        if rows >= 1 << 14 or n == len(texts) - 1:
+            bits[first : n + 1] = _majorities(held)
+            held, rows, first = [], 0, n + 1
+    return bits
+
+
+def _majorities(shingles: list[np.ndarray]) -> np.ndarray:
+    sizes = np.array([len(h) for h in shingles])
+    hashes = np.concatenate(shingles)
+    counts = np.zeros((len(shingles), WORDS, 8, 8), np.int64)  # text, word, byte, bit
+    seeds = np.arange(1, WORDS + 1, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
+    low = np.uint64(0x0101010101010101)
+    runs = -(-sizes // 255)
+    owner = np.repeat(np.arange(len(sizes)), runs)
+    starts = (np.cumsum(sizes) - sizes)[owner] + 255 * (np.arange(len(owner)) - (np.cumsum(runs) - runs)[owner])
+    for a in range(0, len(starts), 64):
+        begin, end = starts[a], starts[a + 64] if a + 64 < len(starts) else len(hashes)
+        mixed = hashes[None, begin:end] + seeds
         mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         mixed ^= mixed >> np.uint64(31)
-        counts += np.unpackbits(mixed.view(np.uint8), axis=1).sum(0, dtype=np.uint16)
-    return (2 * counts > len(hashes)).astype(np.uint8)
+        own = owner[a : a + 64]
+        heads = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        for bit in range(8):
+            sums = np.add.reduceat((mixed >> np.uint64(bit)) & low, starts[a : a + 64] - begin, axis=1)
+            each = np.ascontiguousarray(sums.T).view(np.uint8).reshape(len(own), WORDS, 8)
+            counts[own[heads], :, :, bit] += np.add.reduceat(each, heads, axis=0, dtype=np.int64)
+    return (2 * counts.reshape(len(sizes), -1) > sizes[:, None]).astype(np.uint8)
 
 
 def long_fingerprints(docs: DataFrame, *, width: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -298,7 +325,7 @@ def long_fingerprints(docs: DataFrame, *, width: int = 5, doc_id: str = "doc_id"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         choices = _choices()
         for batch in batches:
-            bits = np.stack([_long_bits(t.as_py(), width) for t in batch.column(1)]) if batch.num_rows else np.zeros((0, 64 * WORDS), np.uint8)
+            bits = _long_bits(batch.column(1).to_pylist(), width)
             wide = np.packbits(bits, axis=1).view(np.int64)
             keys = np.packbits(bits[:, choices], axis=2).view(">i4").reshape(-1).astype(np.int32)
             listed = pa.ListArray.from_arrays(pa.array(np.arange(0, len(keys) + 1, TABLES, dtype=np.int32)), pa.array(keys))
