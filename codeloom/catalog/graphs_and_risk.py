@@ -72,16 +72,13 @@ def nodes(spark, sf_dir):
 
 
 # The eight best functions of a run are all order functions, which call parts only; a
-# larger selection has edges inside it.
-_WIDE = 5000
-
-
-@query("W4_workflow_edges", op.with_parts(*_RISK, op.WORKFLOW.replace("node_ord <= 8", f"node_ord <= {_WIDE}"), select="""
+# selection of all functions has edges inside it.
+@query("W4_workflow_edges", op.with_parts(*_RISK, op.WORKFLOW.replace("node_ord <= 8", "node_ord >= 1"), select="""
     SELECT run_id, edge_ord, source, target, edge_type, confidence FROM ctl"""))
 def edges(spark, sf_dir):
     functions = ad.functions(spark, sf_dir)
     links = stored(callgraph.call_edges(functions))
-    chosen = workflow.select_workflow(callgraph.with_degrees(functions, links), k=_WIDE)
+    chosen = workflow.select_workflow(callgraph.with_degrees(functions, links), k=None)
     return _edge_rows(workflow.workflow_edges(stored(chosen), links))
 
 

@@ -319,9 +319,9 @@ def citations(spark, sf_dir):
 
 
 @query("N9_clean_string_list", """
-    SELECT o_orderkey, CASE o_orderstatus WHEN 'P' THEN '' ELSE 'a | ' || o_custkey || '|7' END AS items FROM orders""")
+    SELECT o_orderkey, CASE o_orderstatus WHEN 'P' THEN '' ELSE 'a | ' || o_custkey || '|7|True|1.0' END AS items FROM orders""")
 def string_lists(spark, sf_dir):
-    text = F.expr("""if(o_orderstatus = 'P', '"x"', concat('["a ", " ", " ', o_custkey, '", "", 7]'))""")
+    text = F.expr("""if(o_orderstatus = 'P', '"x"', concat('["a ", " ", " ', o_custkey, '", "", 7, true, 1.0]'))""")
     return ad.table(spark, sf_dir, "orders").select(
         "o_orderkey", F.array_join(responses.clean_string_list(coerce.parse(text)), "|").alias("items")
     )
@@ -448,10 +448,13 @@ def reference_results(spark, sf_dir):
 
 
 @query("N16_first_text_part", f"""
-    WITH {_LINK_SQL} SELECT page_id AS request_id, CASE lang WHEN 'en' THEN 'Sure: {{"ite' WHEN 'fr' THEN '{{"items": [' ELSE 'nothing fou' END AS head FROM p""")
+    WITH {_LINK_SQL}, own AS (SELECT page_id, any_value(lang) AS lang, '{{"items": [' || string_agg('{{"platform": "' || {_EXPLICIT}
+        || '", "url": " ' || url || '", "title": "' || CASE ord WHEN 1 THEN ' ' ELSE 't' || ord END || '", "why_relevant": "w"}}', ', ' ORDER BY ord)
+        || ', 5], "summary": " s' || page_id || ' "}}' AS listed FROM k GROUP BY page_id)
+    SELECT page_id AS request_id, CASE lang WHEN 'en' THEN 'Sure: ' || listed WHEN 'fr' THEN listed ELSE 'nothing found' END AS text FROM own""")
 def first_texts(spark, sf_dir):
     text = responses.first_text_part(coerce.parse(F.col("raw")))
-    return _raw_responses(spark, sf_dir).select("request_id", F.substring(text, 1, 11).alias("head"))
+    return _raw_responses(spark, sf_dir).select("request_id", text.alias("text"))
 
 
 _PROBE = """l_orderkey AS check_id, (l_partkey * 1000000 + l_suppkey) * 10 + l_linenumber AS ord, concat('http://s-', l_suppkey) AS url,

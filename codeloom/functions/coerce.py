@@ -7,8 +7,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import VariantType
 
 from codeloom.functions.text import strip
 
@@ -18,6 +19,40 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def read_variant(text: Column) -> Column:
+    """VARIANT of the first JSON value of a text, null where there is none.
+
+    Of a repeated key the last value counts, and NaN and the infinities are read (as their
+    names).  The session is told here that keys may repeat, since its default loses such
+    documents.
+    """
+    session = SparkSession.getActiveSession()
+    if session is not None:
+        session.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    return F.from_json(text, VariantType(), {"allowSingleQuotes": "false"})
+
+
+def last_of_keys(entries: Column) -> Column:
+    """A list of (key, value) with each key once: at its first place, with its last value."""
+
+    def once(all_: Column) -> Column:
+        firsts = F.filter(all_, lambda e, n: ~F.exists(F.slice(all_, F.lit(1), n), lambda x: x["key"] == e["key"]))
+        return F.transform(firsts, lambda e: F.element_at(F.filter(all_, lambda x: x["key"] == e["key"]), -1))
+
+    return bind(entries, once)
+
+
+def printed(value: Column) -> Column:
+    """Text of a list item: None, True, False, and a fraction keeps its point (1.0)."""
+    text = F.try_variant_get(value, "$", "string")
+    return (
+        F.when(text.isNull(), F.lit("None"))
+        .when(kind(value) == "BOOLEAN", F.initcap(text))
+        .when(kind(value).isin("DECIMAL", "DOUBLE", "FLOAT") & text.rlike(r"^-?\d+$"), F.concat(text, F.lit(".0")))
+        .otherwise(text)
+    )
+
+
 def parse(text: Column) -> Column:
     """VARIANT of a JSON text, null when the text is not exactly one JSON value.
 
@@ -25,8 +60,8 @@ def parse(text: Column) -> Column:
     shows up as an element or an error.  A text which may close the bracket itself is
     read inside braces too, where that fails.
     """
-    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    named = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    listed = read_variant(F.concat(F.lit("["), text, F.lit("]")))
+    named = read_variant(F.concat(F.lit('{"v":'), text, F.lit("}")))
 
     def only(values: Column) -> Column:
         single = values.isNotNull() & at(values, "$[1]").isNull()
@@ -107,17 +142,10 @@ def clean_strings(items: Column) -> Column:
 def to_string_list(value: Column, path: str) -> Column:
     """Stripped non-blank strings of a JSON array; a non-array is an empty list.
 
-    A null or boolean inside the list appears in its printed form (None, True).
+    Items which are no texts appear in their printed form (None, True, 1.0).
     """
     item = at(value, path)
-    texts = F.transform(
-        F.try_variant_get(item, "$", "array<variant>"),
-        lambda v: F.coalesce(
-            F.when(kind(v) == "BOOLEAN", F.initcap(F.try_variant_get(v, "$", "string"))),
-            F.try_variant_get(v, "$", "string"),
-            F.lit("None"),
-        ),
-    )
+    texts = F.transform(F.try_variant_get(item, "$", "array<variant>"), printed)
     empty = F.array().cast("array<string>")
     return F.when(is_array(item), F.coalesce(clean_strings(texts), empty)).otherwise(empty)
 

@@ -38,7 +38,7 @@ def wrap_non_object(text: Column) -> Column:
 
 def response_object(text: Column) -> Column:
     """``wrap_non_object`` as VARIANT, parsing an object only once."""
-    wrapped = F.try_parse_json(F.concat(F.lit('{"result":'), text, F.lit("}")))
+    wrapped = coerce.read_variant(F.concat(F.lit('{"result":'), text, F.lit("}")))
     return coerce.bind(
         coerce.parse(text), lambda v: F.when(coerce.is_object(v), v).when(v.isNotNull(), wrapped)
     )
@@ -109,7 +109,9 @@ def enrichment_rows(results: DataFrame) -> DataFrame:
         coerce.to_object_json(v, "$.raw.ontology_enrichment").alias("ontology_enrichment"),
         coerce.to_object_json(v, "$.raw.migration_hints").alias("migration_hints"),
         F.to_json(F.when(error.isNotNull(), with_error).otherwise(checks)).alias("quality_checks"),
-        F.map_filter(as_map(F.col("result")), lambda k, _: k != "raw").alias("runtime"),
+        F.map_filter(
+            F.map_from_entries(coerce.last_of_keys(F.map_entries(as_map(F.col("result"))))), lambda k, _: k != "raw"
+        ).alias("runtime"),
         coerce.to_object_json(v, "$.raw").alias("response"),
     )
 
@@ -195,10 +197,7 @@ def normalise_citations(citations: Column, default_reason: str = CITATION_REASON
 
 def clean_string_list(items: Column) -> Column:
     """Texts of a VARIANT array without the blank ones; the kept ones are not stripped."""
-    texts = F.transform(
-        F.try_variant_get(items, "$", _VARIANTS),
-        lambda v: F.coalesce(F.try_variant_get(v, "$", "string"), F.lit("None")),
-    )
+    texts = F.transform(F.try_variant_get(items, "$", _VARIANTS), coerce.printed)
     return F.coalesce(F.filter(texts, lambda s: strip(s) != ""), lx.string_array([]))
 
 

@@ -123,14 +123,25 @@ def enrichment_state(status: Column) -> Column:
     )
 
 
+def _display_order(entries: Column) -> Column:
+    """Keys as the display orders them: whole numbers first and ascending, then the others
+    in document order; a repeated key has its last value."""
+    number = lambda e: e["key"].rlike("^(0|[1-9][0-9]{0,8})$")
+    by_number = lambda a, b: a["key"].cast("int") - b["key"].cast("int")
+    return coerce.bind(
+        coerce.last_of_keys(entries),
+        lambda own: F.concat(F.array_sort(F.filter(own, number), by_number), F.filter(own, lambda e: ~number(e))),
+    )
+
+
 def _entries(text: Column) -> Column:
-    """Entries of a JSON object in document order, values as VARIANT."""
-    return F.map_entries(F.from_json(text, "map<string,variant>"))
+    """Entries of a JSON object in display order, values as VARIANT."""
+    return _display_order(F.map_entries(F.from_json(text, "map<string,variant>")))
 
 
 def _text_entries(text: Column) -> Column:
-    """Entries of a JSON object in document order, values as JSON text (strings bare)."""
-    return F.map_entries(F.from_json(text, "map<string,string>"))
+    """Entries of a JSON object in display order, values as JSON text (strings bare)."""
+    return _display_order(F.map_entries(F.from_json(text, "map<string,string>")))
 
 
 def _scalar(value: Column) -> Column:

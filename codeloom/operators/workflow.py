@@ -17,14 +17,11 @@ def workflow_rank() -> Column:
     return F.col("complexity") * F.lit(2.4) + F.col("out_degree") * F.lit(1.8) + bonus
 
 
-def select_workflow(profiles: DataFrame, k: int = lx.WORKFLOW_NODES) -> DataFrame:
-    """Top k functions per run by rank, ties in file order, as ``node_ord`` 1..k."""
+def select_workflow(profiles: DataFrame, k: int | None = lx.WORKFLOW_NODES) -> DataFrame:
+    """Top k functions per run by rank, ties in file order, as ``node_ord`` 1..k; all without ``k``."""
     order = Window.partitionBy("run_id").orderBy(F.col("rank").desc(), "file_path", "fn_ord")
-    return (
-        profiles.withColumn("rank", workflow_rank())
-        .withColumn("node_ord", F.row_number().over(order))
-        .where(F.col("node_ord") <= k)
-    )
+    ranked = profiles.withColumn("rank", workflow_rank()).withColumn("node_ord", F.row_number().over(order))
+    return ranked if k is None else ranked.where(F.col("node_ord") <= k)
 
 
 def workflow_nodes(selected: DataFrame) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ARTIFACT_KEYS = ["run_id", "kind", "node_id"]
+WRITE_ORDER = ["created_at", "batch", "seq"]
 ARTIFACT_KINDS = ["workflow", "lineage", "risk", "evidence", "enrichment"]
 
 
@@ -24,13 +27,17 @@ def as_artifacts(payloads: DataFrame, kind: str) -> DataFrame:
 
 
 def write_artifacts(payloads: DataFrame, kind: str, path: str) -> None:
-    """Append one kind of artifact.  A repeated write simply adds a newer row."""
-    as_artifacts(payloads, kind).write.mode("append").partitionBy("kind").parquet(path)
+    """Append one kind of artifact.  A repeated write simply adds a newer row.
+
+    ``batch`` orders the writes and ``seq`` the rows of one write.
+    """
+    rows = as_artifacts(payloads, kind).withColumn("batch", F.lit(time.time_ns()))
+    rows.withColumn("seq", F.monotonically_increasing_id()).write.mode("append").partitionBy("kind").parquet(path)
 
 
 def read_artifacts(spark: SparkSession, path: str) -> DataFrame:
     """All stored artifacts, latest per key."""
-    return latest_by_key(spark.read.parquet(path), ARTIFACT_KEYS, ["created_at"])
+    return latest_by_key(spark.read.parquet(path), ARTIFACT_KEYS, WRITE_ORDER)
 
 
 def latest_by_key(table: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from functools import lru_cache, reduce
 
 import pyarrow as pa
-from pyarrow.fs import FileSelector, FileSystem, FileType
+from pyarrow.fs import FileSelector, FileSystem, FileType, LocalFileSystem
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -82,6 +83,8 @@ def _list_directories(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
                 is_dir = entry.type == FileType.Directory
                 if is_dir and entry.base_name in IGNORED_DIRECTORIES:
                     continue
+                if is_dir and isinstance(system, LocalFileSystem) and os.path.islink(entry.path):
+                    continue  # a link to a directory may lead back to its own parent
                 if is_dir or entry.base_name.endswith(".py"):
                     rows.append(
                         {

@@ -136,3 +136,27 @@ def test_title_and_slug(spark):
     assert one(spark, text.slug(F.col("t")), "!!") == "node"
     assert one(spark, text.module_name(F.col("t")), "__init__.py") == ""
     assert one(spark, text.module_name(F.col("t")), "a/b__init__.py") == "a.b__init__"
+
+
+def test_repeated_keys_and_special_numbers(spark):
+    """The last value of a key counts, and NaN does not spoil a document."""
+    rows = [(1, '{"status":"done","status":"failed"}'), (2, '{"status":"done","x":NaN}'), (3, '{"a":1} {'), (4, '{"x":-Infinity}')]
+    frame = spark.createDataFrame(rows, "request_key long, body string")
+    got = {r["request_key"]: r["status"] for r in responses.trigger_responses(frame).collect()}
+    assert got == {1: "failed", 2: "completed", 3: "invalid", 4: "running"}
+
+
+def test_repeated_error_reaches_both_columns(spark):
+    rows = [("r", '{"error":"old","status":"done","error":"new","raw":{"quality_checks":{}}}')]
+    row = responses.enrichment_rows(spark.createDataFrame(rows, "run_id string, result string")).first()
+    assert row["quality_checks"] == '{"integration_error":"new"}' and row["runtime"] == {"error": "new", "status": "done"}
+
+
+def test_printed_items(spark):
+    value = coerce.parse(F.lit('["a", true, 1.0, 1, null, 2.5]'))
+    assert one(spark, responses.clean_string_list(value)) == ["a", "True", "1.0", "1", "None", "2.5"]
+
+
+def test_display_order_of_keys(spark):
+    text = F.lit('{"b":1,"10":2,"a":3,"9":4,"b":5}')
+    assert [(e["key"], e["value"]) for e in one(spark, views._text_entries(text))] == [("9", "4"), ("10", "2"), ("b", "5"), ("a", "3")]

@@ -89,3 +89,17 @@ def test_second_scan_reads_only_what_changed(spark, tmp_path):
     changed = new_sources(list_sources(spark, roots), before)
     rows = {r.path: bytes(r.content) for r in read_sources(spark, changed).collect()}
     assert set(rows) == {"a.py", "b.py"} and rows["b.py"] == b""
+
+
+def test_linked_directory_is_not_entered(spark, tmp_path):
+    (tmp_path / "pkg").mkdir()
+    (tmp_path / "pkg" / "a.py").write_text("def f(): pass\n")
+    (tmp_path / "pkg" / "loop").symlink_to(tmp_path / "pkg")
+    roots = spark.createDataFrame([("r", tmp_path.as_uri())], "run_id string, root string")
+    assert [r["path"] for r in list_sources(spark, roots).collect()] == ["pkg/a.py"]
+
+
+def test_last_row_of_one_write_wins(spark, tmp_path):
+    rows = spark.createDataFrame([("r", f"p{n}") for n in range(8)], "run_id string, payload string").repartitionByRange(4, "payload")
+    artifacts.write_artifacts(rows, "risk", str(tmp_path / "a"))
+    assert artifacts.read_artifacts(spark, str(tmp_path / "a")).first()["payload"] == "p7"
