@@ -32,6 +32,9 @@ TRIE_BITS, TRIE_BUDGET = 20, 4
 LONG_LEAF = 1 << 17  # as LEAF, for tries with such a wide budget that they prune late
 BUCKET = 1 << 12  # long fingerprints which a subtree has on average
 
+SAMPLE, FREQUENT = 4, 8  # shingles are frequent which so many rows of every fourth have
+FREQUENT_BITS = 24  # the frequent shingles as a bit table of fixed size: 2 MB
+
 
 def _shingle_hashes(text: str | None, width: int) -> np.ndarray:
     """XXH64 of every word shingle, big-endian; none for a text without words."""
@@ -410,22 +413,115 @@ def long_links(classes: DataFrame, *, limit: int, bucket: int = BUCKET) -> DataF
     return sent.groupBy("table", "route", "block").applyInPandas(follow, "a long, b long")
 
 
-def similar_documents(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, component_id) per row of ``docs``: components of texts whose word shingles
-    have a Jaccard similarity of about ``similarity`` or more, as told by long fingerprints.
+# ---- similar documents --------------------------------------------------------
+
+
+def shingle_sets(docs: DataFrame, *, width: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, text_key, d0, d1, shingles): the sorted distinct shingle hashes of whole texts
+    and their 128-bit digest; ``text_key`` is the SHA-256 of the text, empty for a null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(_shingle_hashes(t, width).astype(np.uint64)) for t in batch.column(2).to_pylist()]
+            digests = np.frombuffer(b"".join(xxhash.xxh128_digest(h.tobytes()) for h in sets), np.int64).reshape(-1, 2)
+            ends = np.concatenate([[0], np.cumsum([len(h) for h in sets])]).astype(np.int32)
+            every = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), *(pa.array(np.ascontiguousarray(d)) for d in digests.T), pa.ListArray.from_arrays(pa.array(ends), pa.array(every))],
+                ["doc_id", "text_key", "d0", "d1", "shingles"],
+            )
 
-    64 bits are too few to tell a similarity of 0.8; 512 differ in 15 % of the bits there,
-    give or take 1.6 %.  Equal fingerprints are linked, among them the zero of texts without
-    words.  ``component_id`` is the smallest non-null id; repeated rows are returned each.
+    kind = dict(docs.dtypes)[doc_id]
+    own = F.col(text).cast("string")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.sha2(own, 256), F.lit("")).alias("text_key"), own.alias("text"))
+    return rows.mapInArrow(run, f"doc_id {kind}, text_key string, d0 long, d1 long, shingles array<long>")
+
+
+def _frequent_table(sets: DataFrame) -> np.ndarray:
+    """Bit table, of fixed size, of the shingles which are frequent in a sample of the rows."""
+    hashes = sets.where(f"pmod(xxhash64(row), {SAMPLE}) = 0").select(F.explode("shingles").alias("h"))
+    often = hashes.groupBy("h").count().where(F.col("count") >= FREQUENT)
+    place = F.shiftrightunsigned("h", 64 - FREQUENT_BITS)
+    words = often.select(F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - FREQUENT_BITS}) & 63 AS int))").alias("bit"))
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    table = np.zeros(1 << (FREQUENT_BITS - 6), np.uint64)
+    table[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
+    return table
+
+
+def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """(row, size, prefix): the first shingles of each set in one order for all sets, the
+    frequent ones last.  Two sets of ``similarity`` or more share one of them, whatever the
+    order: that many can be missing at most."""
+    shared = sets.sparkSession.sparkContext.broadcast(_frequent_table(sets))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in batches:
+            sizes, taken = [], []
+            for own in batch.column(1):
+                h = own.values.to_numpy(zero_copy_only=False).view(np.uint64)
+                at = h >> np.uint64(64 - FREQUENT_BITS)
+                often = (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)
+                n = len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1 if len(h) else 0
+                sizes.append(len(h))
+                taken.append(h[np.lexsort((h, often))[:n]].view(np.int64))
+            ends = np.concatenate([[0], np.cumsum([len(t) for t in taken])]).astype(np.int32)
+            every = np.concatenate([np.zeros(0, np.int64), *taken])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(every))], ["row", "size", "prefix"]
+            )
+
+    return sets.select("row", "shingles").mapInArrow(run, "row long, size int, prefix array<long>")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): the pairs whose sets have at least this Jaccard similarity."""
+    left = sets.select(F.col("row").alias("a"), F.col("shingles").alias("x"))
+    right = sets.select(F.col("row").alias("b"), F.col("shingles").alias("y"))
+    met = pairs.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("x", "y")))
+    return met.where(F.col("both") >= similarity * (F.size("x") + F.size("y") - F.col("both")) - 1e-9).select("a", "b")
+
+
+def similar_rows(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, text_key, root) per row of ``docs``: components of texts whose distinct word
+    shingles have a Jaccard similarity of ``similarity`` or more; ``root`` is never null.
+
+    Every such pair is found: two sets that similar share a shingle of their prefixes.  Equal
+    sets are one node.  First every node is compared with the most popular node that it shares
+    prefix shingles with, which settles groups of near copies; then all pairs of nodes that
+    share one and are in different components by then.  All links are decided on the sets.
     """
-    words = [f"w{k}" for k in range(WORDS)]
-    prints = stored(long_fingerprints(docs, width=width, doc_id=doc_id, text=text))
-    classes = stored(
-        prints.groupBy(*words).agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys"))
-        .withColumn("node", F.monotonically_increasing_id())
-    )
-    found = stored(components(stored(long_links(classes, limit=differing_bits(similarity)))))
-    rooted = classes.join(found, "node", "left").select(*words, "first", F.coalesce("root", "node").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(smallest, "root").select(*words, "component_id")
-    return prints.join(named, words).select("doc_id", "component_id")
+    sets = stored(shingle_sets(docs, width=width, doc_id=doc_id, text=text).withColumn("row", F.monotonically_increasing_id()))
+    classes = stored(sets.groupBy("d0", "d1").agg(F.min("row").alias("node")))
+    prefixes = _prefixes(sets, similarity).join(classes.select(F.col("node").alias("row")), "row", "left_semi")
+    every = prefixes.select(F.col("row").alias("node"), "size", F.posexplode("prefix").alias("pos", "h"))
+    often = every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    met = stored(every.join(often, "h"))
+    popular = met.groupBy("node").agg(F.sum("n").alias("pop"))
+    pivots = met.join(popular, "node").groupBy("h").agg(F.max(F.struct("pop", "node")).alias("p")).select("h", F.col("p.node").alias("pivot"))
+    tried = met.select("h", "node").join(pivots, "h").where("node <> pivot").groupBy("node", "pivot").agg(F.count("*").alias("n"))
+    best = tried.groupBy("node").agg(F.max(F.struct("n", "pivot")).alias("p")).select(F.col("node").alias("a"), F.col("p.pivot").alias("b"))
+    first = stored(_verified(best, sets, similarity))
+    known = stored(components(first))
+    placed = met.join(known, "node", "left").withColumn("root", F.coalesce("root", "node")).select("h", "node", "size", "pos", "root")
+    open_ = placed.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("h")
+    open_ = stored(placed.join(open_, "h"))
+    a, b = open_.alias("a"), open_.alias("b")
+    # equal tokens after the first shared one can only be so many
+    left = F.least(F.col("a.size") - F.col("a.pos"), F.col("b.size") - F.col("b.pos"))
+    enough = left * (1 + similarity) >= similarity * (F.col("a.size") + F.col("b.size")) - 1e-9
+    pairs = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & enough)
+    pairs = stored(pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct())
+    found = stored(components(first.union(_verified(pairs, sets, similarity))))
+    rooted = stored(classes.join(found, "node", "left").select("d0", "d1", F.coalesce("root", "node").alias("root")))
+    return sets.select("doc_id", "text_key", "d0", "d1").join(rooted, ["d0", "d1"]).select("doc_id", "text_key", "root")
+
+
+def similar_documents(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, component_id) per row of ``docs``: the components of ``similar_rows``, named
+    by their smallest non-null id.  Texts without words are one component; repeated rows are
+    returned each."""
+    rows = stored(similar_rows(docs, width=width, similarity=similarity, doc_id=doc_id, text=text))
+    named = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(named, "root").select("doc_id", "component_id")

@@ -430,3 +430,39 @@ def test_similar_documents_edges(spark):
     prints = simhash.long_fingerprints(spark.createDataFrame(copies, "doc_id long, text string")).withColumnRenamed("doc_id", "node").checkpoint()
     found = simhash.components(simhash.long_links(prints, limit=simhash.differing_bits(0.8), bucket=16)).collect()
     assert {r["root"] for r in found} == {0} and len(found) == 200
+
+
+def test_similar_documents_against_brute_force(spark):
+    """Components of all pairs with a Jaccard similarity of 0.8 or more, short texts and
+    pairs close to the limit on either side included; a common passage links nothing."""
+    rng = random.Random(12)
+    common = [f"c{i}" for i in range(40)]
+    texts = []
+    for _ in range(120):
+        base = [f"w{rng.randrange(9000)}" for _ in range(rng.choice((8, 13, 24, 60, 200, 400)))]
+        texts += [base, base + ["more"]]
+        for share in (0.01, 0.02, 0.021, 0.022, 0.023, 0.03):
+            own = list(base)
+            for at in rng.sample(range(len(base)), max(1, int(share * len(base)))):
+                own[at] = f"e{rng.randrange(9000)}"
+            texts.append(own)
+    texts += [common + [f"v{rng.randrange(9000)}" for _ in range(80)] for _ in range(150)]
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    root = list(range(len(texts)))
+
+    def find(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    by = {}
+    for k, own in enumerate(sets):
+        for x in own:
+            by.setdefault(x, []).append(k)
+    for a, b in {(a, b) for held in by.values() for a in held for b in held if a < b}:
+        if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    frame = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(frame).collect()}
+    assert got == {k: find(k) for k in range(len(texts))}
