@@ -35,3 +35,37 @@ def test_empty_documents(spark, tmp_path):
 
 def test_ten_operators_are_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+
+
+def test_near_dedup_of_null_and_repeated_ids(spark):
+    """Different texts stay whatever their ids; a copy goes even where its id is null."""
+    def own(tag):
+        return " ".join(f"{tag}{n}" for n in range(30))
+    rows = [(None, own("a")), (None, own("b")), (None, own("c")), (None, own("c")), (7, own("d")), (7, own("e")), (7, own("e")),
+            (3, own("f")), (None, own("f")), (9, own("g")), (8, own("g") + " end"), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = pipeline.near_dedup(spark, docs, SF)
+    assert got.columns == docs.columns
+    want = [(None, own("a")), (None, own("b")), (None, own("c")), (7, own("d")), (7, own("e")), (3, own("f")), (8, own("g") + " end"), (None, None)]
+    assert sorted(map(str, want)) == sorted(str((r["doc_id"], r["text"])) for r in got.collect())
+
+
+def test_near_dedup_against_brute_force(spark):
+    """The smallest id of every component of pairs with a similarity of 0.8 or more."""
+    docs = table(spark, SF, "documents")
+    rows = sorted((r["doc_id"], (r["text"] or "").encode().lower().split()) for r in docs.select("doc_id", "text").collect())
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset() for _, w in rows]
+    root = list(range(len(rows)))
+
+    def find(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    for a in range(len(rows)):
+        for b in range(a + 1, len(rows)):
+            if sets[a] == sets[b] or sets[a] and sets[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    got = pipeline.near_dedup(spark, docs, SF)
+    assert sorted(r["doc_id"] for r in got.collect()) == [rows[k][0] for k in range(len(rows)) if find(k) == k]
