@@ -9,6 +9,7 @@ two texts are aligned and the overlap is verified token by token.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -20,11 +21,13 @@ from pyspark.sql import functions as F
 from codeloom.llm.tokens import slices
 from codeloom.session import stored
 
-MASKS = ("1110010111", "1101101011", "1011100111", "1111001101")
+# Every way to change a fifth of 13 to 25 tokens leaves a window of one of these masks (the
+# tests enumerate them); a longer overlap has a stretch of 13 to 25 with no larger share.
+MASKS = ("11101111", "11010010111", "111110011", "11101000111", "1110011011", "1111010101", "1111111")
+SPAN = 13  # tokens of the longest window
 SHORTEST = 5  # benchmark items with fewer tokens cannot be told from common phrases
 OVERLAP = 13  # tokens an overlap needs, or the whole item if it has fewer
-SIMILARITY = 0.8  # share of equal tokens in an overlap
-REACH = 64  # tokens on either side of a hit which are aligned
+EQUAL = 4  # equal tokens an overlap needs for each other one
 FILTER_BITS = 24  # the benchmark's hashes as a bit table of fixed size: 2 MB
 _BASE = 0xD6E8FEB86659FD93
 _BACK = pow(_BASE, -1, 1 << 64)
@@ -97,11 +100,16 @@ def benchmark_items(benchmark: DataFrame, *, item_id: str = "item_id", text: str
 
 
 def _item_masks(n: int) -> tuple[str, ...]:
-    return MASKS if n >= len(MASKS[0]) else ("1" * n,)
+    """An item below ``OVERLAP`` tokens counts as a whole: its masks omit as many of five
+    blocks as tokens may be changed, in every way."""
+    if n >= OVERLAP:
+        return MASKS
+    block = np.arange(n) * 5 // n
+    return tuple("".join("0" if b in gone else "1" for b in block) for gone in combinations(range(5), n // (EQUAL + 1)))
 
 
 def item_seeds(items: DataFrame) -> DataFrame:
-    """(hash, item_id, item_at); an item shorter than the masks has one seed of all tokens."""
+    """(hash, item_id, item_at); an item below ``OVERLAP`` tokens has one seed a mask."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -128,9 +136,10 @@ def _filter_table(spots: DataFrame) -> np.ndarray:
     return table
 
 
-def hit_runs(docs: DataFrame, table: np.ndarray, masks: list[str], *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def hit_runs(docs: DataFrame, table: np.ndarray, masks: list[str], reach: int, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, at, tokens, hits): stretches of documents around windows which the bit table
-    lets through; ``at`` is the first token's place, ``hits`` are (hash, place)."""
+    lets through, and ``reach`` tokens to either side; ``at`` is the first token's place,
+    ``hits`` are (hash, place)."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,12 +167,12 @@ def hit_runs(docs: DataFrame, table: np.ndarray, masks: list[str], *, doc_id: st
                     continue
                 order = np.argsort(at, kind="stable")
                 at, own, doc = at[order], own[order], doc[order]
-                breaks = np.flatnonzero((doc[1:] != doc[:-1]) | (at[1:] - at[:-1] > REACH)) + 1
+                breaks = np.flatnonzero((doc[1:] != doc[:-1]) | (at[1:] - at[:-1] > 2 * reach)) + 1
                 rows = []
                 for x, y in zip([0, *breaks.tolist()], [*breaks.tolist(), len(at)]):
                     d = doc[x]
                     begin = ends[d] - sizes[d]
-                    low, high = max(begin, at[x] - REACH), min(ends[d], at[y - 1] + len(MASKS[0]) + REACH)
+                    low, high = max(begin, at[x] - reach), min(ends[d], at[y - 1] + SPAN + reach)
                     hits = [{"hash": h, "place": p} for h, p in zip(own[x:y].tolist(), (at[x:y] - begin).tolist())]
                     rows.append((int(a + d), int(low - begin), hashes[low:high].view(np.int64).tolist(), hits))
                 yield pa.RecordBatch.from_arrays([
@@ -176,47 +185,42 @@ def hit_runs(docs: DataFrame, table: np.ndarray, masks: list[str], *, doc_id: st
     return rows.mapInArrow(run, f"doc_id {kind}, at int, tokens array<long>, hits array<struct<hash: long, place: int>>")
 
 
-def aligned(doc: np.ndarray, item: np.ndarray, shift: int, hit: int, width: int) -> tuple[int, int, int]:
-    """(start in the item, tokens, equal tokens) of the longest overlap around a hit.
-
-    Item token i lies on document token i + shift.  From the window at ``hit`` (item place)
-    the overlap grows to either side, as far as its share of equal tokens allows, at most
-    ``REACH`` tokens.
-    """
-    low = max(0, -shift, hit - REACH)
-    high = min(len(item), len(doc) - shift, hit + width + REACH)
+def aligned(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, int]:
+    """(start in the item, tokens, equal tokens) of the longest stretch with enough equal
+    tokens, the one with most of them and then the first; item token i lies on document
+    token i + shift."""
+    low, high = max(0, -shift), min(len(item), len(doc) - shift)
     same = doc[low + shift : high + shift] == item[low:high]
-    begin, end = hit - low, hit - low + width
-
-    def grow(side: np.ndarray) -> int:
-        good = np.flatnonzero(np.cumsum(side) >= SIMILARITY * np.arange(1, len(side) + 1))
-        return int(good[-1]) + 1 if len(good) else 0
-
-    left, right = grow(same[:begin][::-1]), grow(same[end:])
-    whole = same[begin - left : end + right]
-    return low + begin - left, len(whole), int(whole.sum())
+    equal = np.concatenate([[0], np.cumsum(same)])
+    level = (EQUAL + 1) * equal - EQUAL * np.arange(len(equal))
+    # the first place that is not above each end's level
+    start = np.searchsorted(-np.minimum.accumulate(level), -level)
+    sizes = np.arange(len(equal)) - start
+    best = np.lexsort((start, -(equal - equal[start]), -sizes))[0]
+    return low + int(start[best]), int(sizes[best]), int(equal[best] - equal[start[best]])
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, item_id, item_start, doc_start, n_tokens, n_equal): the longest verified
     overlap of each document with each benchmark item, of at least ``OVERLAP`` tokens (or
-    the whole item) with a share of ``SIMILARITY`` equal.
+    the whole item) with ``EQUAL`` equal tokens or more for each other one, wherever these lie.
 
     Null and empty texts overlap with nothing, nor do items below ``SHORTEST`` tokens.
     Repeated rows of a document count as one.
     """
     items = stored(benchmark_items(benchmark))
     spots = stored(item_seeds(items))
-    short = [r["n"] for r in items.select(F.size("tokens").alias("n")).where(F.col("n") < len(MASKS[0])).distinct().collect()]
-    masks = [*MASKS, *("1" * n for n in sorted(short))]  # at most one more per length
+    sizes = [r["n"] for r in items.select(F.size("tokens").alias("n")).groupBy("n").count().collect()]
+    # the masks of a short length are few
+    masks = [*MASKS, *(m for n in sorted(sizes) if n < OVERLAP for m in _item_masks(n))]
+    reach = 64
     runs = stored(
-        hit_runs(docs, _filter_table(spots), masks, doc_id=doc_id, text=text)
+        hit_runs(docs, _filter_table(spots), masks, reach, doc_id=doc_id, text=text)
         .withColumn("run", F.monotonically_increasing_id())
     )
     hits = runs.select("run", F.explode("hits").alias("hit")).select("run", F.col("hit.hash").alias("hash"), F.col("hit.place").alias("place"))
     pairs = stored(
-        hits.join(spots, "hash").groupBy("run", "item_id", (F.col("place") - F.col("item_at")).alias("shift"))
-        .agg(F.array_sort(F.collect_set("item_at")).alias("item_ats"))
+        hits.join(spots, "hash").select("run", "item_id", (F.col("place") - F.col("item_at")).alias("shift")).distinct()
     )
     # both are plain shuffles of stored tables: a hot item or run can be split
     meeting = pairs.join(runs.select("run", "doc_id", "at", "tokens"), "run").join(
@@ -227,19 +231,14 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", t
         for batch in batches:
             rows = []
             for r in batch.itertuples():
-                doc, item = np.asarray(r.tokens), np.asarray(r.item_tokens)
-                shift, width, covered = r.shift - r.at, min(len(item), len(MASKS[0])), -1
-                for hit in np.asarray(r.item_ats).tolist():
-                    if hit + width <= covered:
-                        continue  # inside the overlap of an earlier hit
-                    start, n, equal = aligned(doc, item, shift, hit, width)
-                    covered = start + n
-                    if n >= min(OVERLAP, len(item)) and equal >= SIMILARITY * n:
-                        rows.append((r.doc_id, r.item_id, start, start + r.shift, n, equal))
+                item = np.asarray(r.item_tokens)
+                start, n, equal = aligned(np.asarray(r.tokens), item, r.shift - r.at)
+                if n >= min(OVERLAP, len(item)):
+                    rows.append((r.doc_id, r.item_id, start, start + r.shift, n, equal))
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "item_start", "doc_start", "n_tokens", "n_equal"])
 
     kind = dict(docs.dtypes)[doc_id]
-    found = meeting.select("doc_id", "item_id", "shift", "at", "tokens", "item_tokens", "item_ats").mapInPandas(
+    found = meeting.select("doc_id", "item_id", "shift", "at", "tokens", "item_tokens").mapInPandas(
         verify, f"doc_id {kind}, item_id long, item_start int, doc_start int, n_tokens int, n_equal int"
     )
     best = F.max(F.struct("n_tokens", "n_equal", (-F.col("item_start")).alias("i"), (-F.col("doc_start")).alias("d"))).alias("best")

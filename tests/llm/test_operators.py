@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import public_tokenizers
@@ -106,6 +107,37 @@ def test_contamination(spark, empty):
     assert contamination.overlaps(empty, bench).isEmpty() and contamination.overlaps(own, bench.limit(0)).isEmpty()
 
 
+def test_masks_hit_every_allowed_change():
+    for n in range(contamination.SHORTEST, 26):
+        masks = contamination._item_masks(n)
+        windows = [{k + i for i, bit in enumerate(m) if bit == "1"} for m in masks for k in range(n - len(m) + 1)]
+        assert all(any(w.isdisjoint(gone) for w in windows) for gone in combinations(range(n), n // 5))
+        assert all(3 < m.count("1") and len(m) <= contamination.SPAN for m in masks)
+
+
+def test_contamination_of_changed_items(spark):
+    """Whole items with a fifth of the tokens changed in places which run into each other or
+    lie at the ends; with one more changed they do not count."""
+    rng = random.Random(6)
+    rows, bench, want = [], [], set()
+    for k, n in enumerate(range(5, 26)):
+        item = [f"i{k}x{i}" for i in range(n)]
+        bench.append((k, " ".join(item)))
+        for v in range(12):
+            few = n // 5
+            at = [range(few), range(n - few, n), range(2, 2 + few), range(1, n, 5)][v] if v < 4 else rng.sample(range(n), few)
+            at = list(at)[:few]
+            more = n == 5 or n < 13
+            gone = at + [next(i for i in range(n) if i not in at)] if v % 2 and v > 4 and more else at
+            doc = [f"p{i}" for i in range(30)] + ["z" if i in gone else w for i, w in enumerate(item)] + [f"q{i}" for i in range(30)]
+            rows.append((100 * k + v, " ".join(doc)))
+            if gone is at:
+                want.add((100 * k + v, k))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = contamination.overlaps(docs, spark.createDataFrame(bench, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want
+
+
 def luhn(text):
     digits = [int(c) for c in text if c.isdigit()][::-1]
     return sum(d if i % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(digits)) % 10 == 0
