@@ -211,9 +211,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", t
     items = stored(benchmark_items(benchmark))
     spots = stored(item_seeds(items))
     sizes = [r["n"] for r in items.select(F.size("tokens").alias("n")).groupBy("n").count().collect()]
-    # the masks of a short length are few
+    # the masks of a short length are few; an overlap is nowhere longer than its item
     masks = [*MASKS, *(m for n in sorted(sizes) if n < OVERLAP for m in _item_masks(n))]
-    reach = 64
+    reach = max(sizes, default=0)
     runs = stored(
         hit_runs(docs, _filter_table(spots), masks, reach, doc_id=doc_id, text=text)
         .withColumn("run", F.monotonically_increasing_id())

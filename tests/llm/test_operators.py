@@ -138,6 +138,16 @@ def test_contamination_of_changed_items(spark):
     assert {(r["doc_id"], r["item_id"]) for r in got} == want
 
 
+def test_long_overlaps_are_returned_whole(spark):
+    item = [f"t{i}" for i in range(900)]
+    copied = [w if i % 9 else "z" for i, w in enumerate(item[100:700], 100)]
+    docs = spark.createDataFrame([(1, " ".join(["a"] * 50 + copied)), (2, " ".join(item))], "doc_id long, text string")
+    got = contamination.overlaps(docs, spark.createDataFrame([(5, " ".join(item))], "item_id long, text string"))
+    want = 600 - sum(1 for i in range(100, 700) if i % 9 == 0)
+    # the document's fifty other tokens before the copy count as changed while the share holds
+    assert {tuple(r) for r in got.collect()} == {(1, 5, 50, 0, 650, want), (2, 5, 0, 0, 900, 900)}
+
+
 def luhn(text):
     digits = [int(c) for c in text if c.isdigit()][::-1]
     return sum(d if i % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(digits)) % 10 == 0
