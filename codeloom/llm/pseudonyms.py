@@ -25,6 +25,7 @@ PATTERNS = {
 }
 KINDS = ["email", "iban", "date", "ip", "phone", "ssn", "card", "account"]
 ANY = "|".join(PATTERNS.values())
+STOP = "\ufdd0"  # a noncharacter: set behind a value which its pattern would take too far
 DAYS = 270 * 270  # dates of 1900-01-01 and so many days are permuted among themselves
 
 
@@ -116,12 +117,42 @@ def _day(value: Column) -> Column:
     return F.datediff(date, F.lit("1900-01-01").cast("date"))
 
 
+def _is_iban(bare: Column) -> Column:
+    return F.length(bare).between(15, 34) & (_mod97(F.concat(F.substring(bare, F.lit(5), F.length(bare)), F.substring(bare, 1, 4))) == 1)
+
+
+def natural_end(value: Column) -> Column:
+    """Length of the IBAN or card that a match begins with, null if there is none: it ends
+    where a word of the match ends.  A first word which is a card is one, otherwise the
+    longest counts."""
+    ends = F.filter(F.sequence(F.lit(1), F.length(value)), lambda i: F.substring(value, i + 1, F.lit(1)).isin("", " ", "-"))
+
+    def longest(valid) -> Column:
+        return F.array_max(F.filter(ends, lambda i: valid(F.substring(value, F.lit(1), i))))
+
+    def card(v: Column) -> Column:
+        return F.length(_digits(v)).between(13, 19) & (_luhn(_digits(v), 1) % 10 == 0)
+
+    word = F.substring_index(F.substring_index(value, " ", 1), "-", 1)
+    number = value.rlike("^[0-9]+[ -][0-9 -]*$") & ~value.rlike(f"^(?:{PATTERNS['phone']})$")
+    return (
+        F.when(value.rlike("^[A-Z]{2}[0-9]{2}[A-Z0-9 ]* [A-Z0-9 ]*$"), longest(lambda v: _is_iban(F.regexp_replace(v, " ", ""))))
+        .when(number, F.when(card(word), F.length(word)).otherwise(longest(card)))
+    )
+
+
+def _stopped(value: Column) -> Column:
+    end = F.transform(F.array(natural_end(value)), lambda e: F.when(
+        e < F.length(value), F.concat(F.substring(value, F.lit(1), e), F.lit(STOP), F.substring(value, e + 1, F.length(value)))))[0]
+    return F.coalesce(end, value)
+
+
 def kind_of(value: Column) -> Column:
     """The kind of a match, null if it does not validate."""
     day, bare = _day(value), F.regexp_replace(value, " ", "")
     octets = F.split(value, "\\.")
     full = {k: f"^(?:{p})$" for k, p in PATTERNS.items()}
-    iban = (F.length(bare) <= 34) & (_mod97(F.concat(F.substring(bare, F.lit(5), F.length(bare)), F.substring(bare, 1, 4))) == 1)
+    iban = _is_iban(bare)
     return (
         F.when(value.contains("@"), "email")
         .when(value.rlike("^[A-Z]"), F.when(iban, "iban"))
@@ -175,19 +206,30 @@ def pseudonymise(docs: DataFrame, *, key: str, text: str = "text") -> DataFrame:
     """``docs`` with personal values in ``text`` replaced, and ``pii_kinds``, the kinds
     replaced in order of appearance.
 
-    Null and empty texts stay; so do matches which do not validate.  One pass, no shuffle;
-    texts without a digit or an at sign are not searched.
+    Null and empty texts stay; so do matches which do not validate.  No shuffle; texts
+    without a digit or an at sign are not searched.  What follows an IBAN or a card in its
+    match goes back to the text and is searched, unless the text holds the noncharacter
+    ``STOP`` itself.
     """
     likely = F.col(text).rlike("[0-9@]")
-    found = docs.withColumn("_found", F.when(likely, F.regexp_extract_all(text, F.lit(ANY), 0)))
+    tried = docs.withColumn("_found", F.when(likely, F.regexp_extract_all(text, F.lit(ANY), 0)))
+    # a match that begins with a shorter IBAN or card gets a mark there and the text is searched anew
+    tried = tried.withColumn("_marked", F.when(~F.contains(text, F.lit(STOP)), F.transform("_found", _stopped)))
+    marked = F.array_join(F.flatten(F.zip_with(
+        F.split(F.col(text), ANY), "_marked", lambda gap, value: F.array(gap, F.coalesce(value, F.lit("")))
+    )), "")
+    again = F.exists("_marked", lambda v: F.contains(v, F.lit(STOP)))
+    tried = tried.withColumn("_again", F.coalesce(again, F.lit(False))).withColumn("_text", F.when(F.col("_again"), marked).otherwise(F.col(text)))
+    found = tried.withColumn("_found", F.when(F.col("_again"), F.regexp_extract_all("_text", F.lit(ANY), 0)).otherwise(F.col("_found")))
     kinds = found.withColumn(
         "_values", F.transform("_found", lambda v: F.struct(v.alias("v"), kind_of(v).alias("k")))
     )
     changed = F.transform("_values", lambda x: pseudonym(x["v"], x["k"], key))
     joined = F.array_join(F.flatten(F.zip_with(
-        F.split(F.col(text), ANY), changed, lambda gap, value: F.array(gap, F.coalesce(value, F.lit("")))
+        F.split(F.col("_text"), ANY), changed, lambda gap, value: F.array(gap, F.coalesce(value, F.lit("")))
     )), "")
+    joined = F.when(F.col("_again"), F.replace(joined, F.lit(STOP), F.lit(""))).otherwise(joined)
     done = kinds.withColumn(text, F.when(F.size("_found") > 0, joined).otherwise(F.col(text)))
     return done.withColumn(
         "pii_kinds", F.coalesce(F.filter(F.transform("_values", lambda x: x["k"]), lambda k: k.isNotNull()), F.array().cast("array<string>"))
-    ).drop("_found", "_values")
+    ).drop("_found", "_values", "_marked", "_again", "_text")

@@ -177,6 +177,19 @@ def test_pseudonyms(spark, empty):
     assert pseudonyms.pseudonymise(days, key="k").select("text").distinct().count() == days.count()
 
 
+def test_values_followed_by_capitals_or_digits(spark):
+    """What follows an IBAN or a card stays, or is replaced by itself; the value is as elsewhere."""
+    iban, spaced, card, grouped, ip = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "4111111111111111", "4111 1111 1111 1111", "10.200.3.4"
+    texts = [iban, spaced, card, grouped, ip, f"{iban} 12 items", f"{spaced} I said", f"x {card} 12", f"{grouped} 12 y", f"{card} {ip}", f"{card} 12, {iban} A B"]
+    own = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in pseudonyms.pseudonymise(own, key="k").collect()}
+    got = [rows[i]["text"] for i in range(len(texts))]
+    a, b, c, d, e = got[:5]
+    assert not {a, b, c, d, e} & set(texts)
+    assert got[5:] == [f"{a} 12 items", f"{b} I said", f"x {c} 12", f"{d} 12 y", f"{c} {e}", f"{c} 12, {a} A B"]
+    assert rows[10]["pii_kinds"] == ["card", "iban"] and rows[9]["pii_kinds"] == ["card", "ip"]
+
+
 def brute_repeats(rows):
     n = repeats.LENGTH
     first = {}
