@@ -163,15 +163,18 @@ def _key_and_id(data: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> tuple[np
 
 def _pieces(texts: pa.Array) -> Iterator[tuple[pa.Array, int, int]]:
     """(texts, number of the first, bytes before them in it): runs of texts of about
-    ``SLICE`` bytes, or a piece of a longer one.  No window is in two pieces."""
-    for a, b in slices(texts, SLICE):
-        size = pa.compute.binary_length(texts[a]).as_py() if b == a + 1 else 0
-        if size <= 4 * SLICE:
-            yield texts[a:b], a, 0
-            continue
-        data = texts[a].as_py()
-        for at in range(0, size - LENGTH + 1, SLICE):
-            yield pa.array([data[at : at + SLICE + LENGTH - 1]], pa.binary()), a, at
+    ``SLICE`` bytes, or a piece of a longer one.  No window is in two pieces.  A text over
+    4 * ``SLICE`` is cut by itself, whatever stands beside it."""
+    sizes = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    begin = 0
+    for own in [*np.flatnonzero(sizes > 4 * SLICE).tolist(), len(texts)]:
+        for a, b in slices(texts[begin:own], SLICE):
+            yield texts[begin + a : begin + b], begin + a, 0
+        if own < len(texts):
+            data = texts[own].as_py()
+            for at in range(0, int(sizes[own]) - LENGTH + 1, SLICE):
+                yield pa.array([data[at : at + SLICE + LENGTH - 1]], pa.binary()), own, at
+        begin = own + 1
 
 
 def _slot(keys: np.ndarray, parts_bits: int, table_bits: int) -> tuple[np.ndarray, np.ndarray]:

@@ -228,6 +228,19 @@ def test_long_texts_are_taken_in_pieces(spark, monkeypatch):
     assert len(strings) > 3 and sum(int(s.n.sum()) for s in strings) == len(text) - repeats.LENGTH + 1
 
 
+def test_long_texts_are_cut_whatever_stands_beside_them(monkeypatch):
+    monkeypatch.setattr(repeats, "SLICE", 256)
+    text = words(random.Random(2), 900).encode()
+    alone = [(p[0].as_py(), at) for p, _, at in repeats._pieces(repeats.pa.array([text]))]
+    for before, after in (([b"short"], []), ([b"short", None], [b"x" * 300]), ([], [b"short"]), ([text], [text])):
+        k = len(before)
+        found = list(repeats._pieces(repeats.pa.array([*before, text, *after], repeats.pa.binary())))
+        assert [(p[0].as_py(), at) for p, n, at in found if n == k] == alone
+        assert all(sum(len(x.as_py() or b"") for x in p) <= 5 * 256 for p, _, _ in found)
+        every = {n + i for p, n, _ in found for i in range(len(p))}
+        assert every == set(range(k + 1 + len(after)))
+
+
 def test_column_wise_order():
     rng = np.random.default_rng(1)
     for _ in range(60):
