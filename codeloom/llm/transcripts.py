@@ -53,8 +53,9 @@ def lines_of(transcripts: DataFrame) -> DataFrame:
     """(conv_id, place, mark, shape, text): the lines of ``transcripts`` (conv_id, part,
     text), whose parts are ordered by ``part``; a part begins a line.
 
-    Null texts are empty.  ``place`` is (part, tie, line) as a sortable struct; equal parts
-    are ordered by their texts.
+    Null texts are empty.  ``place`` is (part, tie, line) as a sortable struct; rows of one
+    part are ordered by a hash of text, label and copy.  Repeated rows are copies with a tie of
+    their own each: their lines stay apart and every copy gives its own turns.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -72,7 +73,11 @@ def lines_of(transcripts: DataFrame) -> DataFrame:
     rows = transcripts.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("part").cast("long").alias("part"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), label.cast("double").alias("label"),
-    ).withColumn("tie", F.xxhash64("text"))
+    )
+    # counted first, so that no task holds all copies of a row
+    rows = rows.groupBy("conv_id", "part", "text", "label").agg(F.count("*").alias("copies"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).withColumn("tie", F.xxhash64("text", "label", "copy"))
+    rows = rows.select("conv_id", "part", "text", "label", "tie")
     return rows.mapInPandas(run, "conv_id long, part long, tie long, line int, mark int, shape int, text string, label double")
 
 

@@ -429,6 +429,22 @@ def test_transcripts(spark):
     assert transcripts.decode(lines.drop("label").limit(0), model).isEmpty()
 
 
+def test_repeated_rows_are_turns_of_their_own(spark):
+    row = (1, 1, "assistant", "First line.\nSecond line.")
+    rows = [(1, 0, "user", "Why?"), row, row, row, (1, 2, "user", "Fine?"), (None, 0, "user", None), (None, 0, "user", None)]
+    own = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    lines = transcripts.lines_of(transcripts.written(own))
+    found = transcripts.decode(lines.drop("label"), transcripts.learn(lines))
+    texts = [(r["part"], r["text"]) for r in found.where("conv_id = 1").select("part", "tie", "line", "text").orderBy("part", "tie", "line").collect()]
+    copy = [x for x in texts if x[0] == 1]
+    assert len(copy) == 6 and copy[:2] == copy[2:4] == copy[4:]
+    held = {}
+    for r in transcripts.turns(found).where("conv_id = 1 AND part = 1").collect():
+        held.setdefault(r["tie"], []).append((r["line"], r["text"]))
+    assert len(held) == 3 and all("\n".join(t for _, t in sorted(v)) == "\n".join(t for _, t in copy[:2]) for v in held.values())
+    assert transcripts.turns(found).where("conv_id IS NULL").count() == 2
+
+
 def test_blocks_agree_with_one_path():
     rng = np.random.default_rng(2)
     model = {"move": np.log(rng.dirichlet(np.ones(6), 6)), "start": np.log(rng.dirichlet(np.ones(6)))}
