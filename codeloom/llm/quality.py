@@ -39,7 +39,7 @@ def statistics(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -
     split = base.select(
         "doc_id",
         F.array_remove(F.split("text", BREAK), "").alias("words"),
-        F.expr("filter(split(text, '\\n'), line -> length(translate(line, ' \\t\\n\\u000b\\f\\r', '')) > 0)").alias("lines"),
+        F.expr("filter(split(text, '\\n'), line -> length(translate(line, ' \\t\\n\\u000b\\u000c\\r', '')) > 0)").alias("lines"),
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.length("text") - F.length(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ!", ""))).cast("long").alias("n_shouts"),
     )

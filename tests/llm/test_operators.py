@@ -74,6 +74,13 @@ def test_statistics(docs, empty):
     assert quality.statistics(empty).count() == 0
 
 
+def test_lines_of_f_and_of_form_feeds(spark):
+    texts = ["f\nff\nf\na b", "\f\n\f\nx", "\f\n\v\n \t\r\ny\fz\ny\fz"]
+    own = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_lines"], r["n_dup_lines"]) for r in quality.statistics(own).collect()}
+    assert got == {0: (4, 1), 1: (1, 0), 2: (2, 1)}
+
+
 def test_rules_are_learned_and_optional(spark, docs):
     rng = random.Random(3)
     rows = [(i, words(rng, 80) if i % 3 else " ".join(w + "$$$" for w in words(rng, 80).split())) for i in range(300)]
