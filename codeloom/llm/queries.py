@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,7 +11,10 @@ from pyspark.sql import functions as F
 from codeloom.llm import (
     contamination,
     language,
+    manifest,
+    oracles,
     packing,
+    prefix_trie,
     pseudonyms,
     quality,
     repeats,
@@ -97,3 +102,22 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeats.without_repeats(table(spark, sf_dir, "documents"))
     return found.selectExpr("doc_id", "n_bytes", "n_removed", "n_spans", "sha2(kept, 256) AS kept_sha256")
+
+
+@query("op12_merkle_witnesses", oracles.MANIFEST)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third document, by its crc32, is probed with its letters A-Z lower-cased."""
+    docs = table(spark, sf_dir, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    lower = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    tampered = F.expr("coalesce(crc32(cast(doc_id AS string)) % 3 = 0, false)")
+    own = manifest.leaf_hash(fields)
+    probe = F.when(tampered, manifest.leaf_hash([*fields[:-1], lower])).otherwise(own)
+    rows = docs.select("doc_id", "lang", own.alias("leaf"), probe.alias("probe"))
+    return manifest.manifest(rows, group="lang", key="doc_id", leaf="leaf", probe="probe")
+
+
+@query("op11_prefix_trie", oracles.TRIE)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists = stored(prefix_trie.turn_lists(table(spark, sf_dir, "conversations")))
+    return prefix_trie.prefix_trie(prefix_trie.regrafted(lists))
