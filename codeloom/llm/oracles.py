@@ -95,3 +95,24 @@ SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n AS n_convs, n.n_chil
   CAST(s.saved_tokens AS BIGINT) AS saved_tokens, n.ends AS ends_sha256
 FROM full_nodes n JOIN sums s ON n.p = s.p AND n.depth = s.depth
 LEFT JOIN nodes u ON n.depth > 0 AND u.depth = n.depth - 1 AND u.p = left(n.p, -32)"""
+
+NEAR_COPIES = r"""
+WITH RECURSIVE own AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+),
+sets AS (
+  SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s
+  FROM own
+),
+shingles AS (SELECT r, unnest(s) AS s FROM sets),
+links AS (
+  SELECT a, b FROM (SELECT x.r AS a, y.r AS b, count(*) AS n FROM shingles x JOIN shingles y ON x.s = y.s AND x.r <> y.r GROUP BY x.r, y.r)
+  JOIN sets p ON p.r = a JOIN sets q ON q.r = b WHERE 100 * n >= 85 * (len(p.s) + len(q.s) - n)
+),
+reach AS (SELECT r AS a, r AS b FROM sets UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+named AS (SELECT a AS r, min(doc_id) AS component_id FROM reach JOIN sets ON sets.r = b GROUP BY a)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept
+FROM sets JOIN named USING (r)"""

@@ -12,6 +12,7 @@ from codeloom.llm import (
     contamination,
     language,
     manifest,
+    minhash,
     oracles,
     packing,
     prefix_trie,
@@ -121,3 +122,9 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = stored(prefix_trie.turn_lists(table(spark, sf_dir, "conversations")))
     return prefix_trie.prefix_trie(prefix_trie.regrafted(lists))
+
+
+@query("op13_bayesian_minhash", oracles.NEAR_COPIES)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
