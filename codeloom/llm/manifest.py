@@ -24,8 +24,7 @@ from codeloom.operators.ranking import ranked
 from codeloom.session import stored
 
 WIDTH = 8  # children of a node
-LEVELS = 4  # levels of a block
-BLOCK = WIDTH**LEVELS
+LEVELS = 4  # levels of a block: 4,096 leaves
 
 
 def _hash(text: str) -> str:
@@ -100,8 +99,8 @@ def fold(digest: str, way: list[tuple[int, list[str]]]) -> str:
     return digest
 
 
-def _sorted_blocks(rows: DataFrame) -> DataFrame:
-    dealt = rows.withColumn("block", F.expr(f"cast(floor(greatest(place, 0) / {BLOCK}) AS bigint)"))
+def _sorted_blocks(rows: DataFrame, levels: int) -> DataFrame:
+    dealt = rows.withColumn("block", F.expr(f"cast(floor(greatest(place, 0) / {WIDTH**levels}) AS bigint)"))
     dealt = dealt.withColumn("block", F.coalesce("head_of", "block")).drop("head_of")
     return dealt.repartition("g", "block").sortWithinPartitions("g", "block", "place")
 
@@ -113,34 +112,30 @@ def _runs(batches: Iterator[pa.RecordBatch], key: tuple[str, ...] = ("g", "block
         yield own, list(run)
 
 
-def _levels_in_block(n: int) -> int:
-    return min(LEVELS, height(n))
-
-
-def _block_roots(nodes: DataFrame) -> DataFrame:
+def _block_roots(nodes: DataFrame, levels: int) -> DataFrame:
     """(g, place, digest, n) of the blocks of ``nodes``, which has the same columns."""
 
     def run(batches):
         for (g, block), rows in _runs(batches):
-            own = Block(_levels_in_block(rows[0]["n"]))
+            own = Block(min(levels, height(rows[0]["n"])))
             for row in rows:
                 own.append(row["digest"])
             yield pa.RecordBatch.from_pylist(
-                [{"g": g, "place": block, "digest": own.finish(), "n": -(-rows[0]["n"] // BLOCK)}],
+                [{"g": g, "place": block, "digest": own.finish(), "n": -(-rows[0]["n"] // WIDTH**levels)}],
                 schema=pa.schema([("g", pa.string()), ("place", pa.int64()), ("digest", pa.string()), ("n", pa.int64())]),
             )
 
     plain = nodes.select("g", "place", "digest", "n", F.lit(None).cast("bigint").alias("head_of"))
-    return _sorted_blocks(plain).mapInArrow(run, "g string, place long, digest string, n long")
+    return _sorted_blocks(plain, levels).mapInArrow(run, "g string, place long, digest string, n long")
 
 
-def _witnesses(nodes: DataFrame, above: DataFrame | None) -> DataFrame:
+def _witnesses(nodes: DataFrame, above: DataFrame | None, levels: int) -> DataFrame:
     """(g, place, witness) of ``nodes``; ``above``: the same for the blocks."""
 
     def run(batches):
         for (g, _), rows in _runs(batches):
             rest = "".join(r["witness"] for r in rows if r["place"] < 0)
-            own = Block(_levels_in_block(rows[-1]["n"]))
+            own = Block(min(levels, height(rows[-1]["n"])))
             rows = [r for r in rows if r["place"] >= 0]
             for row in rows:
                 own.append(row["digest"])
@@ -155,27 +150,27 @@ def _witnesses(nodes: DataFrame, above: DataFrame | None) -> DataFrame:
     if above is not None:
         heads = above.select("g", F.lit(-1).alias("place"), none.cast("string"), none.cast("bigint"), "witness", F.col("place").alias("head_of"))
         rows = rows.union(heads)
-    return _sorted_blocks(rows).mapInArrow(run, "g string, place long, witness string")
+    return _sorted_blocks(rows, levels).mapInArrow(run, "g string, place long, witness string")
 
 
-def _grown(nodes: DataFrame, largest: int) -> list[DataFrame]:
+def _grown(nodes: DataFrame, largest: int, levels: int) -> list[DataFrame]:
     """``nodes`` and the block roots above them, round by round, until every group has one."""
     rounds = [nodes]
     while largest > 1:
-        rounds.append(stored(_block_roots(rounds[-1])))
-        largest = -(-largest // BLOCK)
+        rounds.append(stored(_block_roots(rounds[-1], levels)))
+        largest = -(-largest // WIDTH**levels)
     return rounds
 
 
-def _blocks_above(rounds: list[DataFrame]) -> DataFrame | None:
+def _blocks_above(rounds: list[DataFrame], levels: int) -> DataFrame | None:
     """(g, place, witness) of the blocks of the first round."""
     above = None
     for nodes in reversed(rounds[1:]):
-        above = stored(_witnesses(nodes, above))
+        above = stored(_witnesses(nodes, above, levels))
     return above
 
 
-def manifest(rows: DataFrame, *, group: str, key: str, leaf: str, probe: str, with_witness: bool = False) -> DataFrame:
+def manifest(rows: DataFrame, *, group: str, key: str, leaf: str, probe: str, with_witness: bool = False, levels: int = LEVELS) -> DataFrame:
     """``key``, leaf, subroot, root, proof_sha256, folded_root, verified (and witness) per row.
 
     ``rows`` has a text column ``group`` (one tree each; null is a group, and the first), the
@@ -193,19 +188,19 @@ def manifest(rows: DataFrame, *, group: str, key: str, leaf: str, probe: str, wi
     sizes = stored(placed.groupBy("g").agg(F.count("*").alias("n")))
     leaves = stored(placed.join(sizes, "g"))
     largest, groups = sizes.agg(F.max("n"), F.count("*")).first()
-    rounds = _grown(leaves, largest or 0)
+    rounds = _grown(leaves, largest or 0, levels)
     if len(rounds) == 1:  # lone leaves are their own blocks
-        rounds.append(stored(_block_roots(leaves)))
+        rounds.append(stored(_block_roots(leaves, levels)))
     subroots = rounds[-1]
 
     top = ranked(subroots.select("g", "digest"), [], ["g"], "place")
     top = stored(top.select(F.lit("").alias("g"), (F.col("place") - 1).alias("place"), "digest", F.lit(groups).cast("bigint").alias("n"), F.col("g").alias("of")))
-    tops = _grown(top, groups)
+    tops = _grown(top, groups, levels)
     root = tops[-1].select(F.col("digest").alias("root")).first()
-    over = stored(_witnesses(top, _blocks_above(tops))).join(top, ["g", "place"])
+    over = stored(_witnesses(top, _blocks_above(tops, levels), levels)).join(top, ["g", "place"])
     over = stored(over.select(F.col("of").alias("g"), F.col("digest").alias("subroot"), F.col("witness").alias("over")))
 
-    blocks = _blocks_above(rounds).join(over, "g")
+    blocks = _blocks_above(rounds, levels).join(over, "g")
     none = F.lit(None)
     own = leaves.select("g", "place", "digest", "n", "key", "probe", none.cast("string").alias("witness"),
                         none.cast("string").alias("subroot"), none.cast("bigint").alias("head_of"))
@@ -216,14 +211,14 @@ def manifest(rows: DataFrame, *, group: str, key: str, leaf: str, probe: str, wi
     fields = ["leaf", "subroot", "root", "proof_sha256", "folded_root"]
 
     def run(batches):
-        for batch in _proved(batches, whole):
+        for batch in _proved(batches, whole, levels):
             yield batch if with_witness else batch.drop_columns(["witness"])
 
     shape = f"key {kind}, {', '.join(f'{f} string' for f in fields)}, verified boolean" + (", witness string" if with_witness else "")
-    return _sorted_blocks(own.union(heads)).mapInArrow(run, shape).withColumnRenamed("key", key)
+    return _sorted_blocks(own.union(heads), levels).mapInArrow(run, shape).withColumnRenamed("key", key)
 
 
-def _proved(batches: Iterator[pa.RecordBatch], root: str) -> Iterator[pa.RecordBatch]:
+def _proved(batches: Iterator[pa.RecordBatch], root: str, levels: int) -> Iterator[pa.RecordBatch]:
     """Witnesses of one block after the other, and what they prove."""
     kind = None
 
@@ -236,7 +231,7 @@ def _proved(batches: Iterator[pa.RecordBatch], root: str) -> Iterator[pa.RecordB
     for _, rows in _runs(typed()):
         head = next(r for r in rows if r["place"] < 0)
         rows = [r for r in rows if r["place"] >= 0]
-        own = Block(_levels_in_block(rows[0]["n"]))
+        own = Block(min(levels, height(rows[0]["n"])))
         for row in rows:
             own.append(row["digest"])
         own.finish()

@@ -6,9 +6,11 @@ prior, the matches so far give a posterior of the similarity, and a pair is drop
 as the posterior chance to reach the limit is below the miss probability.  What survives all
 batches is decided on the whole shingle sets.
 
-Equal sets are one class.  Every class first meets the most popular class it shares a band
-with, which settles groups of near copies; then buckets which still hold several components
-are compared in blocks of bounded size, and only pairs of different components are looked at.
+Equal sets are one class.  Every class first meets two classes of each bucket it is in, the
+most popular one and one by a hash, which settles groups of near copies.  Buckets which still
+hold several components are then compared inside, in blocks of bounded size, and only pairs
+of different components are looked at.  A large bucket's sets travel with its rows, so that
+its pairs are decided where they meet and only a spanning forest of links leaves the task.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from collections.abc import Iterator
 from math import comb
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -30,7 +33,9 @@ BANDS, ROWS = 25, 5  # a pair of similarity 0.85 shares no band with a chance of
 HASHES = BANDS * ROWS
 BATCH = 25  # hashes compared between two looks at the posterior
 MISS = 1e-6  # posterior chance below which a pair is dropped
-BLOCK = 1024  # rows of one side of a comparison
+SMALL = 64  # buckets with at most so many rows send out all pairs that survive
+BLOCK = 256  # rows of one side of a comparison inside a larger bucket
+FILTER_BITS = 26  # the texts whose sets are needed as a bit table of fixed size: 8 MB
 WORDS_KEPT = 1 << 18  # word hashes which a worker keeps
 _SPLIT = 1 << 20  # pairs compared at once
 
@@ -87,8 +92,9 @@ def prints(docs: DataFrame, *, width: int = 3, doc_id: str = "doc_id", text: str
     """(doc_id, text_key, n_shingles, d0, d1, bands array<long>, sig binary) per row.
 
     ``d0`` and ``d1`` are a 128-bit digest of the set, ``text_key`` one of the text; ``bands``
-    hashes the signature band by band (none for an empty set) and ``sig`` has 16 bits of
-    every value."""
+    hashes the signature band by band (none for an empty set) and ``sig`` has 8 bits of
+    every value: by chance different values match once in 256 times, which only lets more
+    pairs through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, (factors, shifts) = _WordHashes(), _seeds()
@@ -102,7 +108,7 @@ def prints(docs: DataFrame, *, width: int = 3, doc_id: str = "doc_id", text: str
                     values = _mixed(signature(own, factors, shifts))
                     parts = (values >> np.uint64(32)).astype(np.uint32).reshape(BANDS, ROWS)
                     bands.append([xxhash.xxh64_intdigest(p.tobytes(), k) - (1 << 63) for k, p in enumerate(parts)])
-                    short.append((values & np.uint64(0xFFFF)).astype(np.uint16).tobytes())
+                    short.append((values & np.uint64(0xFF)).astype(np.uint8).tobytes())
                 else:
                     bands.append([])
                     short.append(b"")
@@ -153,29 +159,54 @@ def survivors(left: np.ndarray, right: np.ndarray, need: list[int]) -> np.ndarra
 
 
 def _signatures(column: pa.Array) -> np.ndarray:
-    joined = b"".join(column.to_pylist())
-    return np.frombuffer(joined, np.uint16).reshape(-1, HASHES)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, HASHES)
 
 
-def _pruned(pairs: DataFrame, classes: DataFrame, limit: float) -> DataFrame:
-    """(a, b): the pairs which the signatures do not rule out."""
-    need = fewest_matches(limit)
+def _sizes_fit(a: Column | np.ndarray, b: Column | np.ndarray, percent: int):
+    """Set sizes that are further apart cannot be similar enough."""
+    return (100 * a >= percent * b) & (100 * b >= percent * a)
+
+
+def _pruned(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the pairs which neither sizes nor signatures rule out."""
+    need = fewest_matches(percent / 100)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = pa.array(survivors(_signatures(batch.column(2)), _signatures(batch.column(3)), need))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], ["a", "b"])
 
-    left = classes.select(F.col("node").alias("a"), F.col("sig").alias("x"))
-    right = classes.select(F.col("node").alias("b"), F.col("sig").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    left = classes.select(F.col("node").alias("a"), F.col("sig").alias("x"), F.col("n_shingles").alias("n_x"))
+    right = classes.select(F.col("node").alias("b"), F.col("sig").alias("y"), F.col("n_shingles").alias("n_y"))
+    met = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").where(_sizes_fit(F.col("n_x"), F.col("n_y"), percent))
+    return met.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+# ---- whole sets ---------------------------------------------------------------
+
 
+def _bit(key: str | Column) -> Column:
+    """The place of a text's key (MD5 in hex) in the bit table."""
+    return F.shiftright(F.conv(F.substring(key, 1, 7), 16, 10).cast("long"), 28 - FILTER_BITS)
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, *, width: int, percent: int, doc_id: str, text: str) -> DataFrame:
-    """(a, b): the pairs of classes whose whole sets have the similarity.
 
-    Sets are not kept from the first pass: those which a pair needs are made anew from the
-    texts of the classes' first documents."""
+def _bit_table(named: DataFrame) -> np.ndarray:
+    """Bit table, of fixed size, of the wanted texts."""
+    place = _bit("first_key")
+    words = named.select(F.shiftright(place, 6).alias("word"), F.expr("1L").alias("one"), place.bitwiseAND(63).cast("int").alias("at"))
+    found = words.groupBy("word").agg(F.bit_or(F.expr("shiftleft(one, at)")).alias("bits")).toPandas()
+    table = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    table[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
+    return table
+
+
+def _sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame, *, width: int, doc_id: str, text: str) -> DataFrame:
+    """(node, shingles), stored: the whole sets of some classes.
+
+    Sets are not kept from the first pass: they are made anew from the texts of the classes'
+    first documents.  A bit table keeps other texts out of the exchange; what it lets through
+    by chance has no partner in the join.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordHashes()
@@ -185,26 +216,34 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, *, width:
             every = pa.array(np.concatenate([np.zeros(0, np.int64), *sets]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), every)], ["node", "shingles"])
 
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    named = stored(classes.join(nodes, "node", "left_semi").select("node", F.col("first.doc_id").alias("first_id"), F.col("first.text_key").alias("first_key")))
-    keyed = _keyed(docs, doc_id, text)
-    met = keyed.join(named, (F.col("text_key") == F.col("first_key")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
-    sets = stored(met.select("node", "text").mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"]))
+    wanted = nodes.distinct()
+    named = classes.select("node", F.col("first.doc_id").alias("first_id"), F.col("first.text_key").alias("first_key"))
+    named = stored(named.join(wanted.hint("merge"), "node", "left_semi"))
+    shared = docs.sparkSession.sparkContext.broadcast(_bit_table(named))
+
+    @F.pandas_udf("boolean")
+    def likely(place: pd.Series) -> pd.Series:
+        at = place.to_numpy(np.int64)
+        return pd.Series((shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0)
+
+    keyed = _keyed(docs, doc_id, text).where(likely(_bit("text_key")))
+    met = keyed.join(named.hint("merge"), (F.col("text_key") == F.col("first_key")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
+    return stored(met.select("node", "text").mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"]))
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the pairs whose whole sets have the similarity."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    found = pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("both"), (F.size("x") + F.size("y")).alias("sum"))
+    met = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
+    found = met.select("a", "b", both.alias("both"), (F.size("x") + F.size("y")).alias("sum"))
     return found.where(100 * F.col("both") >= percent * (F.col("sum") - F.col("both"))).select("a", "b")
 
 
 # ---- open buckets -----------------------------------------------------------
 
 
-def _sizes_fit(a: Column | np.ndarray, b: Column | np.ndarray, percent: int):
-    """Set sizes that far apart cannot be similar enough."""
-    return (100 * a >= percent * b) & (100 * b >= percent * a)
-
-
 def _run_pairs(starts: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs i < j inside runs, in slices of bounded size."""
     rows = np.repeat(starts + lengths, lengths) - np.arange(starts[0], starts[0] + lengths.sum()) - 1  # later rows of the run
@@ -220,73 +259,139 @@ def _run_pairs(starts: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.nda
         a = b
 
 
-def _open_pairs(members: DataFrame, classes: DataFrame, limit: float, percent: int) -> DataFrame:
-    """(a, b): candidate pairs of different components in one bucket, signatures compared.
+class _Runs:
+    """Rows sorted by (key, x, y), handed over in whole runs of equal values."""
 
-    ``members``: key, node, root, n_shingles.  The rows of the component with most rows in a
-    bucket (its main one) only meet the others.  Blocks of both sides meet in tasks of at
-    most two blocks, so a bucket of any size is spread; only survivors leave a task.
-    """
-    rows = members.groupBy("key", "root").agg(F.count("*").alias("rows"))
-    main = rows.groupBy("key").agg(F.max(F.struct("rows", "root")).alias("m"), F.sum("rows").alias("all"), F.count("*").alias("roots"))
-    main = stored(main.where("roots > 1").selectExpr("key", "m.root AS main", f"cast(ceil(m.rows / {BLOCK}) AS int) AS n_main", f"cast(ceil((all - m.rows) / {BLOCK}) AS int) AS n_rest"))
-    own = F.when(F.col("root") == F.col("main"), -1 - F.pmod(F.xxhash64("node"), F.col("n_main"))).otherwise(F.pmod(F.xxhash64("node"), F.col("n_rest"))).cast("int")
-    placed = members.join(main, "key").withColumn("own", own)
-    others = F.sequence(F.lit(0), F.col("n_rest") - 1)
-    mains = F.sequence(F.lit(-1), -F.col("n_main"), F.lit(-1))
-    tasks = F.when(F.col("own") < 0, F.transform(others, lambda o: F.struct(F.col("own").alias("x"), o.alias("y")))).otherwise(
-        F.concat(
-            F.transform(mains, lambda m: F.struct(m.alias("x"), F.col("own").alias("y"))),
-            F.transform(others, lambda o: F.struct(F.least("own", o).alias("x"), F.greatest("own", o).alias("y"))),
-        )
-    )
-    sent = placed.select("key", "node", "root", "n_shingles", "own", F.explode(tasks).alias("t")).select("*", "t.x", "t.y").drop("t")
-    sent = sent.join(classes.select("node", "sig"), "node").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
-    need = fewest_matches(limit)
-
-    def compare(table: pa.Table) -> pa.RecordBatch:
-        """Whole runs of (key, x, y)."""
-        column = {c: table.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("key", "x", "y", "own", "root", "node", "n_shingles")}
-        sigs = _signatures(table.column("sig").combine_chunks())
-        change = np.zeros(len(sigs), bool)
-        change[0] = True
-        for c in ("key", "x", "y"):
-            change[1:] |= column[c][1:] != column[c][:-1]
-        starts = np.flatnonzero(change)
-        found = []
-        for i, j in _run_pairs(starts, np.diff(np.concatenate([starts, [len(sigs)]]))):
-            n = column["n_shingles"]
-            fits = (column["root"][i] != column["root"][j]) & _sizes_fit(n[i], n[j], percent)
-            fits &= (column["own"][i] != column["own"][j]) | (column["x"][i] == column["y"][i])
-            i, j = i[fits], j[fits]
-            for a in range(0, len(i), 1 << 16):
-                x, y = i[a : a + (1 << 16)], j[a : a + (1 << 16)]
-                keep = survivors(sigs[x], sigs[y], need)
-                found.append(np.stack([column["node"][x[keep]], column["node"][y[keep]]], axis=1))
-        every = np.sort(np.concatenate([np.zeros((0, 2), np.int64), *found]), axis=1)
-        every = np.unique(every, axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(v)) for v in every.T], ["a", "b"])
+    def __init__(self, handle):
+        self.handle = handle
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, x, y = (batch.column(batch.schema.names.index(c)) for c in ("key", "x", "y"))
-            last = pc.and_(pc.and_(pc.equal(key, key[-1]), pc.equal(x, x[-1])), pc.equal(y, y[-1]))
+            own = [batch.column(k) for k in range(3)]
+            if held and any(held[-1].column(k)[-1] != own[k][0] for k in range(3)):
+                yield self.handle(pa.Table.from_batches(held))
+                held = []
+            last = pc.and_(pc.and_(*(pc.equal(c, c[-1]) for c in own[:2])), pc.equal(own[2], own[2][-1]))
             cut = batch.num_rows - pc.sum(last).as_py()  # the last run may go on
             if cut:
-                yield compare(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                yield self.handle(pa.Table.from_batches([*held, batch.slice(0, cut)]))
                 held = [batch.slice(cut)]
-            elif held and any(held[-1].column(held[-1].schema.names.index(c))[-1] != batch.column(batch.schema.names.index(c))[0] for c in ("key", "x", "y")):
-                yield compare(pa.Table.from_batches(held))
-                held = [batch]
             else:
                 held.append(batch)
         if held:
-            yield compare(pa.Table.from_batches(held))
+            yield self.handle(pa.Table.from_batches(held))
+
+
+def _alike(table: pa.Table, need: list[int], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of different components inside the runs of (key, x, y) that neither sizes
+    nor signatures rule out.  In a run of two blocks only rows of different ones meet."""
+    column = {c: table.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("key", "x", "y", "own", "root", "n_shingles")}
+    sigs, n, own = _signatures(table.column("sig").combine_chunks()), column["n_shingles"], column["own"]
+    change = np.zeros(len(sigs), bool)
+    change[0] = True
+    for c in ("key", "x", "y"):
+        change[1:] |= column[c][1:] != column[c][:-1]
+    starts = np.flatnonzero(change)
+    for i, j in _run_pairs(starts, np.diff(np.concatenate([starts, [len(sigs)]]))):
+        fits = (column["root"][i] != column["root"][j]) & _sizes_fit(n[i], n[j], percent)
+        fits &= (own[i] != own[j]) | (column["x"][i] == column["y"][i])
+        i, j = i[fits], j[fits]
+        for a in range(0, len(i), 1 << 16):
+            keep = survivors(sigs[i[a : a + (1 << 16)]], sigs[j[a : a + (1 << 16)]], need)
+            yield i[a + keep], j[a + keep]
+
+
+def _pair_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    every = np.unique(np.sort(np.stack([a, b], axis=1), axis=1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(v), pa.int64()) for v in every.T], ["a", "b"])
+
+
+def _open_buckets(members: DataFrame) -> DataFrame:
+    """(key, node, root, rows, own, t): the rows of buckets with several components, once for
+    each comparison (t.x, t.y) they take part in.
+
+    A bucket of at most ``SMALL`` rows is one comparison.  In a larger one the rows of the
+    component with most rows in it (its main one) only meet the others; blocks of both sides
+    meet, two at a time, so a bucket of any size is spread.
+    """
+    rows = members.groupBy("key", "root").agg(F.count("*").alias("rows"))
+    main = rows.groupBy("key").agg(F.max(F.struct("rows", "root")).alias("m"), F.sum("rows").alias("rows"), F.count("*").alias("roots"))
+    main = stored(main.where("roots > 1").selectExpr(
+        "key", "rows", "m.root AS main", f"cast(ceil(m.rows / {BLOCK}) AS int) AS n_main", f"cast(ceil((rows - m.rows) / {BLOCK}) AS int) AS n_rest"))
+    spread = F.xxhash64("node")
+    own = F.when(F.col("root") == F.col("main"), -1 - F.pmod(spread, F.col("n_main"))).otherwise(F.pmod(spread, F.col("n_rest")))
+    own = F.when(F.col("rows") > SMALL, own).otherwise(0).cast("int")
+    placed = members.select("key", "node", "root").join(main.hint("merge"), "key").withColumn("own", own)
+    others = F.sequence(F.lit(0), F.col("n_rest") - 1)
+    mains = F.sequence(F.lit(-1), -F.col("n_main"), F.lit(-1))
+    met = F.when(F.col("own") < 0, F.transform(others, lambda o: F.struct(F.col("own").alias("x"), o.alias("y")))).otherwise(
+        F.concat(
+            F.transform(mains, lambda m: F.struct(m.alias("x"), F.col("own").alias("y"))),
+            F.transform(others, lambda o: F.struct(F.least("own", o).alias("x"), F.greatest("own", o).alias("y"))),
+        )
+    )
+    alone = F.array(F.struct(F.col("own").alias("x"), F.col("own").alias("y")))
+    return placed.select("key", "node", "root", "rows", "own", F.explode(F.when(F.col("rows") > SMALL, met).otherwise(alone)).alias("t"))
 
-    return sent.mapInArrow(run, "a long, b long").distinct()
+
+_SENT = ["key", "x", "y", "own", "root", "node", "n_shingles", "sig"]
+
+
+def _dealt(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    sigs = classes.select("node", "n_shingles", "sig").hint("merge")
+    return rows.select("key", "t.x", "t.y", "own", "root", "node").join(sigs, "node")
+
+
+def _small_pairs(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): candidate pairs of the small buckets."""
+    need = fewest_matches(percent / 100)
+
+    def handle(table: pa.Table) -> pa.RecordBatch:
+        node = table.column("node").combine_chunks().to_numpy()
+        found = [(node[i], node[j]) for i, j in _alike(table, need, percent)]
+        none = np.zeros(0, np.int64)
+        return _pair_batch(*(np.concatenate([none, *v]) for v in (zip(*found) if found else ((), ()))))
+
+    sent = _dealt(rows, classes).select(*_SENT).repartition("key").sortWithinPartitions("key", "x", "y")
+    return sent.mapInArrow(_Runs(handle), "a long, b long").distinct()
+
+
+def _large_links(rows: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links of the large buckets, decided on whole sets where the rows meet; a
+    spanning forest for each comparison of two blocks."""
+    need = fewest_matches(percent / 100)
+
+    def handle(table: pa.Table) -> pa.RecordBatch:
+        node = table.column("node").combine_chunks().to_numpy()
+        _, root = np.unique(table.column("root").combine_chunks().to_numpy(), return_inverse=True)
+        sets_ = table.column("shingles").combine_chunks()
+        up = list(range(int(root.max()) + 1))  # components of the rows at hand
+
+        def find(v: int) -> int:
+            while up[v] != v:
+                up[v] = up[up[v]]
+                v = up[v]
+            return v
+
+        found = []
+        for i, j in _alike(table, need, percent):
+            for p, q in zip(i.tolist(), j.tolist()):
+                a, b = find(root[p]), find(root[q])
+                if a != b:
+                    x, y = (sets_[k].values.to_numpy() for k in (p, q))
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    if 100 * both >= percent * (len(x) + len(y) - both):
+                        up[max(a, b)] = min(a, b)
+                        found.append((node[p], node[q]))
+        pairs = np.array(found, np.int64).reshape(-1, 2)
+        return _pair_batch(pairs[:, 0], pairs[:, 1])
+
+    sent = _dealt(rows, classes).join(sets.hint("merge"), "node").select(*_SENT, "shingles")
+    sent = sent.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+    return sent.mapInArrow(_Runs(handle), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 3, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -299,30 +404,37 @@ def near_duplicates(docs: DataFrame, *, width: int = 3, percent: int = 85, doc_i
     with each other.  Repeated rows are returned each.  A pair is missed if no band agrees or
     if its first batches match by chance as rarely as ``MISS`` says; links are exact.
     """
-    limit = percent / 100
     rows = stored(prints(docs, width=width, doc_id=doc_id, text=text))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")).alias("first")
     classes = rows.where("n_shingles > 0").groupBy("d0", "d1").agg(
         first, F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()))
+    source = {"width": width, "doc_id": doc_id, "text": text}
 
-    every = classes.select("node", "n_shingles", F.explode("bands").alias("key"))
+    every = classes.select("node", F.explode("bands").alias("key"))
     shared = stored(every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    members = stored(every.join(shared, "key"))
+    members = stored(every.join(shared.hint("merge"), "key"))
     popular = stored(members.groupBy("node").agg(F.sum("n").alias("pop")))
-    pivots = stored(members.join(popular, "node").groupBy("key").agg(F.max(F.struct("pop", "node", "n_shingles")).alias("p")))
-    met = members.join(pivots.select("key", F.col("p.node").alias("pivot"), F.col("p.n_shingles").alias("size")), "key")
-    met = met.where((F.col("node") != F.col("pivot")) & _sizes_fit(F.col("n_shingles"), F.col("size"), percent))
-    stars = stored(met.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct())
-    sets = {"width": width, "percent": percent, "doc_id": doc_id, "text": text}
-    linked = stored(_confirmed(stored(_pruned(stars, classes, limit)), classes, docs, **sets))
+    pivots = members.join(popular.hint("merge"), "node").groupBy("key").agg(
+        F.max(F.struct("pop", "node")).alias("p"), F.max(F.struct(F.xxhash64("key", "node").alias("h"), "node")).alias("q"))
+    pivots = stored(pivots.select("key", F.array_distinct(F.array("p.node", "q.node")).alias("pivots")))
+    met = members.select("key", "node").join(pivots.hint("merge"), "key").select("node", F.explode("pivots").alias("pivot"))
+    stars = met.where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    likely = stored(_pruned(stored(stars), classes, percent))
+    sets = _sets(likely.select(F.explode(F.array("a", "b")).alias("node")), classes, docs, **source)
+    linked = stored(_confirmed(likely, sets, percent))
 
     known = stored(components(linked))
-    placed = members.join(known, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"), "n_shingles")
-    more = stored(_open_pairs(stored(placed), classes, limit, percent))
-    found = stored(components(linked.union(_confirmed(more, classes, docs, **sets))))
-    rooted = classes.join(found, "node", "left").select("d0", "d1", F.coalesce("root", "node").alias("root"), F.col("first.doc_id").alias("first_id"))
-    rooted = stored(rooted)
+    placed = members.select("key", "node").join(known.hint("merge"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    open_ = stored(_open_buckets(stored(placed)))
+    small, large = open_.where(F.col("rows") <= SMALL), open_.where(F.col("rows") > SMALL)
+    pairs = stored(_small_pairs(small, classes, percent))
+    sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).union(large.select("node")), classes, docs, **source)
+    more = stored(_confirmed(pairs, sets, percent).union(_large_links(large, classes, sets, percent)))
+    found = stored(components(linked.union(more)))
+
+    rooted = classes.join(found.hint("merge"), "node", "left")
+    rooted = stored(rooted.select("d0", "d1", F.coalesce("root", "node").alias("root"), F.col("first.doc_id").alias("first_id")))
     named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = stored(rooted.join(named, "root").select("d0", "d1", "component_id"))
     full = rows.where("n_shingles > 0").join(named, ["d0", "d1"]).select("doc_id", "n_shingles", "component_id")
