@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.llm.registry import fresh
 from codeloom.llm.tokens import slices
 from codeloom.session import stored
 
@@ -248,7 +249,12 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", t
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that overlap with the benchmark; rows with a null id
-    are kept unless a row with a null id overlaps."""
-    found = overlaps(docs, benchmark).select(F.col("doc_id").alias("found_id")).distinct()
-    return docs.join(stored(found), F.col("doc_id").eqNullSafe(F.col("found_id")), "left_anti")
+    """``docs`` without the rows whose text overlaps with the benchmark.
+
+    Rows are told apart by their texts, so null and repeated ids decide nothing; a null text
+    stays.  All columns are returned as they were.
+    """
+    key = F.sha2(F.col("text").cast("string"), 256)
+    found = overlaps(docs.select(key.alias("doc_id"), "text"), benchmark)
+    name = fresh(docs, "found")
+    return docs.join(stored(found.select(F.col("doc_id").alias(name)).distinct()), key == F.col(name), "left_anti")

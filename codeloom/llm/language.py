@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeloom.llm.registry import fresh
+
 ORDERS = (1, 2, 3)
 BITS = 18  # n-grams are told apart by so many bits of their hash
 FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
@@ -133,8 +135,11 @@ def training_rows(docs: DataFrame, *, per_language: int = PER_LANGUAGE) -> pd.Da
 
 
 def identify(docs: DataFrame, model: KernelModel | None, *, text: str = "text", batch: int = 1 << 18) -> DataFrame:
-    """``docs`` with lang_pred and score.  Null texts and texts without a letter are
-    ``und`` with score 0; so is everything if there was nothing to learn from."""
+    """``docs`` with two more columns, lang_pred and score.  Null texts and texts without a
+    letter are ``und`` with score 0; so is everything if there was nothing to learn from.
+    If ``docs`` has a column of such a name, the new one gets an underscore after its own.
+    """
+    pred, score_name = fresh(docs, "lang_pred"), fresh(docs, "score")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # landmarks x n-grams, bounded
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     place = docs.columns.index(text)
@@ -154,7 +159,7 @@ def identify(docs: DataFrame, model: KernelModel | None, *, text: str = "text",
                     names += got
                     scores += score.tolist()
             yield pa.RecordBatch.from_arrays(
-                [*rows.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*rows.schema.names, "lang_pred", "score"]
+                [*rows.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*rows.schema.names, pred, score_name]
             )
 
-    return docs.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    return docs.mapInArrow(run, f"{kinds}, `{pred}` string, `{score_name}` double")

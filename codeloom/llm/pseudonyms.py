@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.llm.registry import fresh
+
 ROUNDS = 10
 
 # A match begins where no run of its own characters goes on, so each run is tried once.
@@ -209,27 +211,30 @@ def pseudonymise(docs: DataFrame, *, key: str, text: str = "text") -> DataFrame:
     Null and empty texts stay; so do matches which do not validate.  No shuffle; texts
     without a digit or an at sign are not searched.  What follows an IBAN or a card in its
     match goes back to the text and is searched, unless the text holds the noncharacter
-    ``STOP`` itself.
+    ``STOP`` itself.  Other columns are returned as they were; if one is called
+    ``pii_kinds``, the new column gets an underscore after its name.
     """
+    work = [fresh(docs, f"_pii_{name}") for name in ("found", "values", "marked", "again", "text")]
+    found_, values_, marked_, again_, text_ = work
     likely = F.col(text).rlike("[0-9@]")
-    tried = docs.withColumn("_found", F.when(likely, F.regexp_extract_all(text, F.lit(ANY), 0)))
+    tried = docs.withColumn(found_, F.when(likely, F.regexp_extract_all(text, F.lit(ANY), 0)))
     # a match that begins with a shorter IBAN or card gets a mark there and the text is searched anew
-    tried = tried.withColumn("_marked", F.when(~F.contains(text, F.lit(STOP)), F.transform("_found", _stopped)))
+    tried = tried.withColumn(marked_, F.when(~F.contains(text, F.lit(STOP)), F.transform(found_, _stopped)))
     marked = F.array_join(F.flatten(F.zip_with(
-        F.split(F.col(text), ANY), "_marked", lambda gap, value: F.array(gap, F.coalesce(value, F.lit("")))
+        F.split(F.col(text), ANY), marked_, lambda gap, value: F.array(gap, F.coalesce(value, F.lit("")))
     )), "")
-    again = F.exists("_marked", lambda v: F.contains(v, F.lit(STOP)))
-    tried = tried.withColumn("_again", F.coalesce(again, F.lit(False))).withColumn("_text", F.when(F.col("_again"), marked).otherwise(F.col(text)))
-    found = tried.withColumn("_found", F.when(F.col("_again"), F.regexp_extract_all("_text", F.lit(ANY), 0)).otherwise(F.col("_found")))
+    again = F.exists(marked_, lambda v: F.contains(v, F.lit(STOP)))
+    tried = tried.withColumn(again_, F.coalesce(again, F.lit(False))).withColumn(text_, F.when(F.col(again_), marked).otherwise(F.col(text)))
+    found = tried.withColumn(found_, F.when(F.col(again_), F.regexp_extract_all(text_, F.lit(ANY), 0)).otherwise(F.col(found_)))
     kinds = found.withColumn(
-        "_values", F.transform("_found", lambda v: F.struct(v.alias("v"), kind_of(v).alias("k")))
+        values_, F.transform(found_, lambda v: F.struct(v.alias("v"), kind_of(v).alias("k")))
     )
-    changed = F.transform("_values", lambda x: pseudonym(x["v"], x["k"], key))
+    changed = F.transform(values_, lambda x: pseudonym(x["v"], x["k"], key))
     joined = F.array_join(F.flatten(F.zip_with(
-        F.split(F.col("_text"), ANY), changed, lambda gap, value: F.array(gap, F.coalesce(value, F.lit("")))
+        F.split(F.col(text_), ANY), changed, lambda gap, value: F.array(gap, F.coalesce(value, F.lit("")))
     )), "")
-    joined = F.when(F.col("_again"), F.replace(joined, F.lit(STOP), F.lit(""))).otherwise(joined)
-    done = kinds.withColumn(text, F.when(F.size("_found") > 0, joined).otherwise(F.col(text)))
+    joined = F.when(F.col(again_), F.replace(joined, F.lit(STOP), F.lit(""))).otherwise(joined)
+    done = kinds.withColumn(text, F.when(F.size(found_) > 0, joined).otherwise(F.col(text)))
     return done.withColumn(
-        "pii_kinds", F.coalesce(F.filter(F.transform("_values", lambda x: x["k"]), lambda k: k.isNotNull()), F.array().cast("array<string>"))
-    ).drop("_found", "_values", "_marked", "_again", "_text")
+        fresh(docs, "pii_kinds"), F.coalesce(F.filter(F.transform(values_, lambda x: x["k"]), lambda k: k.isNotNull()), F.array().cast("array<string>"))
+    ).drop(*work)
