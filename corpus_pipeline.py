@@ -13,31 +13,33 @@ from codeloom.llm.queries import PII_KEY, WORD_BPE
 from codeloom.llm.registry import table
 from codeloom.session import stored
 
-SHINGLE_WORDS = 5
-SIMILARITY = 0.8
+SHINGLE_WORDS = 3  # as in op5
+BITS = 2
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; a missing ``lang`` is filled in.  Null texts and
     texts without a letter go."""
     model = language.learn(language.training_rows(docs))
-    found = language.identify(docs, model).where(F.col("lang_pred") != language.UNKNOWN)
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    found = language.identify(docs, model)
+    pred = found.columns[len(docs.columns)]
+    known = found.where(F.col(pred) != language.UNKNOWN)
+    return known.withColumn("lang", F.coalesce("lang", pred)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near-duplicates: that with the smallest id, null ids last, and
-    of several texts under that id the one with the smallest SHA-256; of repeated rows with
-    that id and text, one.  A null or repeated id never decides between groups."""
-    found = simhash.similar_rows(docs, width=SHINGLE_WORDS, similarity=SIMILARITY)
-    rows = found.groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("rows"))
-    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key", "rows")
-    first = rows.groupBy("root").agg(F.min(order).alias("f"))
-    first = stored(first.select(F.col("f.doc_id").alias("first"), F.col("f.text_key").alias("first_key"), (F.col("f.rows") > 1).alias("repeated")))
-    keyed = docs.withColumn("text_key", F.coalesce(F.sha2("text", 256), F.lit("")))
-    rows = keyed.join(first, F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("text_key") == F.col("first_key")))
-    once = rows.where(~F.col("repeated")).select(*docs.columns)
-    return once.union(rows.where("repeated").dropDuplicates(["doc_id", "text_key"]).select(*docs.columns))
+    """One row of each group whose SimHash fingerprints link (see op5): that with the smallest
+    id, null ids last, and of several texts under that id the one with the smallest SHA-256;
+    of repeated rows with that id and text, one.  A null or repeated id never decides between
+    groups, as rows are named by id and text."""
+    sha = F.coalesce(F.sha2("text", 256), F.lit(""))
+    name = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), sha.alias("sha"))
+    found = simhash.near_duplicates(docs.select(name.alias("name"), "text"), width=SHINGLE_WORDS, budget=BITS, doc_id="name")
+    first = found.where("doc_id = component_id").groupBy("doc_id").agg((F.count("*") > 1).alias("repeated"))
+    first = stored(first.select(F.col("doc_id.id").alias("id"), F.col("doc_id.sha").alias("sha"), "repeated")).alias("f")
+    rows = docs.alias("d").join(first, F.col("d.doc_id").eqNullSafe(F.col("f.id")) & (F.coalesce(F.sha2("d.text", 256), F.lit("")) == F.col("f.sha")))
+    once = rows.where("not f.repeated").select("d.*")
+    return once.union(rows.where("f.repeated").select("d.*").dropDuplicates(["doc_id", "text"]))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
