@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections import deque
+
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.session import checkpointed
+from codeloom.operators.ranking import ranked
+from codeloom.session import checkpointed, stored
 
 _NODE = ["run_id", "node_id"]
 
-# Steps after which the levels reached so far become one table again.
-_COMPACT = 16
+# Nodes and edges of a run which one task walks.
+_SMALL = 200_000
+
+# Levels or rounds which one job follows: few at first, more while a graph goes on.
+_FIRST_STEPS, _MOST_STEPS = 4, 16
+
+# Levels after which visiting keys become numbers again.
+_RENUMBER = 64
 
 
 def known_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -41,44 +51,113 @@ def _first_frontier(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
+def _with_self(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """``links`` and a row from every node to itself, with a null ``edge_ord``.
+
+    Joined to a state, it gives the rows that stay and those that move on in one go, so a
+    plan of many steps has one join and one exchange for each, and the exchange of the links
+    is the same in all of them.
+    """
+    own = nodes.select(*_NODE, F.col("node_id").alias("target"), F.lit(None).cast("bigint").alias("edge_ord"))
+    return own.unionByName(links)
+
+
 def visit_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Breadth-first hop distance and visiting key of every reached node.
 
-    Inside one distance, ``visit_key`` (root order followed by the edge order of each
-    step) sorts like the queue of a sequential traversal, so no global numbering is
-    needed.  Every step joins only the newest frontier, and all runs advance together.
+    Inside one distance, ``visit_key`` sorts like the queue of a sequential traversal: it is
+    the place of an earlier node and the edge order of each step since then.  One job follows
+    several levels, all runs at once; every ``_RENUMBER`` levels the keys of the newest one
+    become places in their order, so keys stay short on long chains.  Nodes reached in
+    earlier jobs are taken out of the links.
     """
-    links = known_edges(nodes, edges).select(
-        "run_id", F.col("source").alias("node_id"), "target", F.col("edge_ord").cast("bigint")
+    links = stored(
+        known_edges(nodes, edges).select("run_id", F.col("source").alias("node_id"), "target", F.col("edge_ord").cast("bigint"))
     )
     frontier = checkpointed(_first_frontier(nodes, edges))
-    reached, steps = frontier, 0
+    reached, level, steps, since = frontier, 0, _FIRST_STEPS, 0
     while not frontier.isEmpty():
-        pushed = (
-            frontier.join(links, _NODE)
-            .groupBy("run_id", F.col("target").alias("node_id"))
-            .agg(
-                (F.max("hops") + 1).alias("hops"),
-                F.min(F.concat("visit_key", F.array("edge_ord"))).alias("visit_key"),
+        if since >= _RENUMBER:
+            placed = ranked(frontier, ["run_id"], ["visit_key"], "place")
+            frontier, since = placed.withColumn("visit_key", F.array("place")).drop("place"), 0
+        ahead = links.join(reached.select("run_id", F.col("node_id").alias("target")), ["run_id", "target"], "left_anti")
+        ways = _with_self(nodes, ahead.select(*_NODE, "target", "edge_ord"))
+        state = frontier.select(*_NODE, F.struct("hops", "visit_key").alias("visit"))
+        for hop in range(level, level + steps):
+            stays = F.col("edge_ord").isNull()
+            moved = F.struct(F.lit(hop + 1).alias("hops"), F.concat("visit.visit_key", F.array("edge_ord")).alias("visit_key"))
+            state = (
+                state.join(ways, _NODE)
+                .where(stays | (F.col("visit.hops") == hop))
+                .groupBy("run_id", F.col("target").alias("node_id"))
+                .agg(F.min(F.when(stays, F.col("visit")).otherwise(moved)).alias("visit"))
             )
-        )
-        frontier = checkpointed(pushed.join(reached.select(*_NODE), _NODE, "left_anti"))
-        reached = reached.unionByName(frontier)
-        steps += 1
-        if steps % _COMPACT == 0:
-            reached = checkpointed(reached)
+        new = checkpointed(state.select(*_NODE, "visit.hops", "visit.visit_key").where(F.col("hops") > level))
+        level, since = level + steps, since + steps
+        reached = reached.unionByName(new)
+        frontier = new.where(F.col("hops") == level)
+        steps = min(2 * steps, _MOST_STEPS)
     return reached
 
 
-def graph_layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def _walk(key: tuple, nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+    """Layers of one run by a walk with a queue."""
+    nodes = nodes.sort_values(["node_ord", "node_id"], kind="stable")
+    names = nodes["node_id"].tolist()
+    place = {name: k for k, name in enumerate(names)}
+    known = edges[edges["source"].isin(place) & edges["target"].isin(place)].sort_values("edge_ord", kind="stable")
+    following: list[list[int]] = [[] for _ in names]
+    entered = [False] * len(names)
+    for source, target in zip(known["source"].map(place).tolist(), known["target"].map(place).tolist()):
+        following[source].append(target)
+        entered[target] = True
+    queue = deque([k for k, e in enumerate(entered) if not e] or ([0] if names else []))
+    layer: dict[int, int] = dict.fromkeys(queue, 0)
+    done = [False] * len(names)
+    while queue:
+        node = queue.popleft()
+        if done[node]:
+            continue
+        done[node] = True
+        for target in following[node]:
+            if not done[target]:
+                if layer.get(target, -1) <= layer[node]:
+                    layer[target] = layer[node] + 1
+                queue.append(target)
+    deepest = max(layer.values(), default=0)
+    return pd.DataFrame({"run_id": key[0], "node_id": names, "node_ord": nodes["node_ord"].tolist(), "layer": [layer.get(k, deepest) for k in range(len(names))]})
+
+
+def graph_layers(nodes: DataFrame, edges: DataFrame, *, small: int = _SMALL) -> DataFrame:
     """Layer of every node of nodes(run_id, node_id, node_ord), edges(run_id, source,
     target, edge_ord).
 
     A node lies one layer below the deepest neighbour which is visited before it;
-    unreached nodes share the largest layer of their run.  Rows settle in rounds, and a
-    round only follows nodes which moved in the one before.
+    unreached nodes share the largest layer of their run.  A run of at most ``small`` nodes
+    and edges is walked in one task, by its counted size; all larger runs advance together in
+    jobs over the whole table.  Both give the same layers.
+    """
+    counted = nodes.groupBy("run_id").count().unionByName(edges.groupBy("run_id").count())
+    sizes = stored(counted.groupBy("run_id").agg(F.sum("count").alias("rows")))
+    few = sizes.where(F.col("rows") <= small).select("run_id")
+    kinds = dict(nodes.dtypes)
+    shape = f"run_id {kinds['run_id']}, node_id {kinds['node_id']}, node_ord {kinds['node_ord']}, layer int"
+    own = nodes.select(*_NODE, "node_ord").join(few, "run_id").groupBy("run_id")
+    of_edges = edges.select("run_id", "source", "target", "edge_ord").join(few, "run_id").groupBy("run_id")
+    walked = own.cogroup(of_edges).applyInPandas(_walk, shape)
+    many = sizes.where(F.col("rows") > small).select("run_id")
+    if many.isEmpty():
+        return walked
+    return walked.unionByName(_spread_layers(nodes.join(many, "run_id", "left_semi"), edges.join(many, "run_id", "left_semi")))
+
+
+def _spread_layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``graph_layers`` for runs of any size.
+
+    Rows settle in rounds, several to a job, and a round only follows nodes which moved in
+    the one before.
     """
-    visits = checkpointed(visit_order(nodes, edges))
+    visits = stored(visit_order(nodes, edges))
     rank = F.struct("hops", "visit_key")
     ahead = (
         edges.where(F.col("source") != F.col("target"))
@@ -86,28 +165,28 @@ def graph_layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         .join(visits.select("run_id", F.col("node_id").alias("source"), rank.alias("s")), ["run_id", "source"])
         .join(visits.select("run_id", F.col("node_id").alias("target"), rank.alias("t")), ["run_id", "target"])
         .where(F.col("s") < F.col("t"))
-        .select("run_id", F.col("source").alias("node_id"), "target")
+        .select("run_id", F.col("source").alias("node_id"), "target", F.lit(0).cast("bigint").alias("edge_ord"))
     )
-    ahead = checkpointed(ahead.distinct())
-
-    layers = visits.select(*_NODE, F.col("hops").alias("layer"))
-    moved = layers
+    ways = stored(_with_self(visits, ahead.distinct()))
+    state = visits.select(*_NODE, F.col("hops").alias("layer"), F.lit(True).alias("moved"))
+    steps = _FIRST_STEPS
     while True:
-        wanted = (
-            moved.join(ahead, _NODE)
-            .groupBy("run_id", F.col("target").alias("node_id"))
-            .agg((F.max("layer") + 1).alias("wanted"))
-        )
-        raised = checkpointed(
-            layers.join(wanted, _NODE).where(F.col("wanted") > F.col("layer")).select(*_NODE, "wanted")
-        )
-        if raised.isEmpty():
+        for _ in range(steps):
+            stays = F.col("edge_ord").isNull()
+            held, wanted = F.max(F.when(stays, F.col("layer"))), F.max(F.when(~stays, F.col("layer") + 1))
+            state = (
+                state.join(ways, _NODE)
+                .where(stays | F.col("moved"))
+                .groupBy("run_id", F.col("target").alias("node_id"))
+                .agg(held.alias("held"), wanted.alias("wanted"))
+                .select(*_NODE, F.greatest("held", "wanted").alias("layer"), F.coalesce(F.col("wanted") > F.col("held"), F.lit(False)).alias("moved"))
+            )
+        state = checkpointed(state)
+        if state.where("moved").isEmpty():
             break
-        layers = checkpointed(
-            layers.join(raised, _NODE, "left").select(*_NODE, F.coalesce("wanted", "layer").alias("layer"))
-        )
-        moved = raised.withColumnRenamed("wanted", "layer")
+        steps = min(2 * steps, _MOST_STEPS)
 
+    layers = state.drop("moved")
     deepest = layers.groupBy("run_id").agg(F.max("layer").alias("deepest"))
     return (
         nodes.join(layers, _NODE, "left")
@@ -116,30 +195,14 @@ def graph_layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-# Rows of one ranking task in ``layer_order``.
-_BLOCK = 65_536
-
-
 def layer_order(layers: DataFrame) -> DataFrame:
     """Position of every node inside its layer, by ``node_ord``.
 
-    A layer may hold most of the nodes, so it is ranked in blocks of ``node_ord``: small
-    per-block counts give each block its offset, and a task ranks one block only.
+    A layer may hold most of the nodes: the numbers come from ranges of the whole order, so
+    neither the size of a layer nor gaps in ``node_ord`` matter.
     """
-    blocked = layers.withColumn("block", F.floor(F.col("node_ord") / _BLOCK))
-    group = ["run_id", "layer"]
-    before = Window.partitionBy(*group).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        blocked.groupBy(*group, "block")
-        .agg(F.count("*").alias("n"))
-        .select(*group, "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    )
-    inside = Window.partitionBy(*group, "block").orderBy("node_ord")
-    return (
-        blocked.withColumn("place", F.row_number().over(inside))
-        .join(offsets, [*group, "block"])
-        .select("run_id", "node_id", "layer", (F.col("offset") + F.col("place")).alias("position"))
-    )
+    placed = ranked(layers.select("run_id", "node_id", "layer", "node_ord"), ["run_id", "layer"], ["node_ord", "node_id"], "position")
+    return placed.drop("node_ord")
 
 
 def layer_sizes(layers: DataFrame) -> DataFrame:
