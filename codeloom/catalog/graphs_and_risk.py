@@ -79,7 +79,7 @@ def edges(spark, sf_dir):
     functions = ad.functions(spark, sf_dir)
     links = stored(callgraph.call_edges(functions))
     chosen = workflow.select_workflow(callgraph.with_degrees(functions, links), k=None)
-    return _edge_rows(workflow.workflow_edges(stored(chosen), links))
+    return _edge_rows(workflow.workflow_edges(stored(chosen), links, k=None))
 
 
 @query("W5_workflow_chain_edges", op.with_parts(*_WORKFLOW, select="""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.session import stored
+
 
 def explode_calls(functions: DataFrame) -> DataFrame:
     """One row per call in order, duplicates kept."""
@@ -19,19 +21,6 @@ def exact_names(functions: DataFrame) -> DataFrame:
     return functions.select("run_id", "qname").distinct()
 
 
-def unique_short_names(functions: DataFrame) -> DataFrame:
-    """Short names owned by exactly one distinct qualified name in their run.
-
-    ``min = max`` is "exactly one distinct" with a plain partial aggregation.
-    """
-    return (
-        functions.groupBy("run_id", "short_name")
-        .agg(F.min("qname").alias("target"), F.max("qname").alias("other"))
-        .where(F.col("target") == F.col("other"))
-        .drop("other")
-    )
-
-
 def resolve_exact(names: DataFrame, functions: DataFrame) -> DataFrame:
     """(run_id, call) pairs whose text is a qualified name of the run."""
     targets = exact_names(functions).select("run_id", F.col("qname").alias("call"))
@@ -40,42 +29,52 @@ def resolve_exact(names: DataFrame, functions: DataFrame) -> DataFrame:
     )
 
 
+def name_lookup(functions: DataFrame) -> DataFrame:
+    """(run_id, name, exact, short): one stored row per name a call may end in or be.
+
+    ``exact`` is the name itself where it is a qualified name, ``short`` the only function
+    with it as its short name.  As a stored table it is read below a plain exchange, so that
+    adaptive execution may split the calls of a hot name which meet it.
+    """
+    names = F.array(
+        F.struct(F.col("qname").alias("name"), F.col("qname").alias("exact"), F.lit(None).cast("string").alias("owner")),
+        F.struct(F.col("short_name").alias("name"), F.lit(None).cast("string").alias("exact"), F.col("qname").alias("owner")),
+    )
+    rows = functions.select("run_id", F.inline(names))
+    merged = rows.groupBy("run_id", "name").agg(F.max("exact").alias("exact"), F.min("owner").alias("low"), F.max("owner").alias("high"))
+    return stored(merged.select("run_id", "name", "exact", F.when(F.col("low") == F.col("high"), F.col("low")).alias("short")))
+
+
 def resolve_unique_short(names: DataFrame, functions: DataFrame) -> DataFrame:
     """(run_id, call) pairs whose last segment is an unambiguous short name of the run."""
+    owners = name_lookup(functions).where("short IS NOT NULL").select("run_id", F.col("name").alias("short_name"), F.col("short").alias("target"))
     return (
         names.withColumn("short_name", F.substring_index("call", ".", -1))
-        .join(unique_short_names(functions), ["run_id", "short_name"])
+        .join(owners, ["run_id", "short_name"])
         .select("run_id", "call", "target")
     )
 
 
-def resolve_names(names: DataFrame, functions: DataFrame) -> DataFrame:
-    """Target of every resolvable (run_id, call); an exact match beats a short one."""
-    exact = exact_names(functions).select(
-        "run_id", F.col("qname").alias("call"), F.col("qname").alias("exact")
-    )
-    return (
-        names.join(exact, ["run_id", "call"], "left")
-        .withColumn("short_name", F.substring_index("call", ".", -1))
-        .join(unique_short_names(functions), ["run_id", "short_name"], "left")
-        .select("run_id", "call", F.coalesce("exact", "target").alias("target"))
-        .where(F.col("target").isNotNull())
-    )
-
-
 def call_edges(functions: DataFrame) -> DataFrame:
-    """Distinct (run_id, source, target); self calls stay.
+    """Distinct (run_id, source, target); self calls stay.  An exact name beats a short one.
 
-    Popular callees (every function calls ``get``) would make a hot key in both name
-    joins, so names are resolved as a distinct set, in which every key occurs once.
-    Calls meet their targets in one last join, whose large partitions adaptive execution
-    splits.  Repeated calls of a function are dropped inside its row.
+    A call looks its target up under its text and under its last segment, in one stored
+    table of names; both joins lie on plain exchanges, so adaptive execution can split the
+    calls of a popular callee.  Repeated calls of a function are dropped inside its row.
     """
+    lookup = name_lookup(functions)
     pairs = functions.select(
         "run_id", F.col("qname").alias("source"), F.explode(F.array_distinct("calls")).alias("call")
     )
-    targets = resolve_names(pairs.select("run_id", "call").distinct(), functions)
-    return pairs.join(targets, ["run_id", "call"]).select("run_id", "source", "target").distinct()
+    exact = lookup.where("exact IS NOT NULL").select("run_id", F.col("name").alias("call"), "exact")
+    short = lookup.where("short IS NOT NULL").select("run_id", F.col("name").alias("last"), "short")
+    found = (
+        pairs.join(exact, ["run_id", "call"], "left")
+        .withColumn("last", F.substring_index("call", ".", -1))
+        .join(short, ["run_id", "last"], "left")
+        .select("run_id", "source", F.coalesce("exact", "short").alias("target"))
+    )
+    return found.where(F.col("target").isNotNull()).distinct()
 
 
 def degrees(edges: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from codeloom.functions.scores import capped
 from codeloom.functions.text import slug
 from codeloom.operators.fallback import core_entity
 from codeloom.operators.workflow import chain_edges
+from codeloom.session import stored
 
 
 def entity_id(entity: Column) -> Column:
@@ -77,7 +78,9 @@ def entity_transitions(functions: DataFrame, top: DataFrame) -> DataFrame:
 
     Functions with the same entity sequence are counted together before the join
     with the (at most six) top entities of their run, so a run which holds a third
-    of all functions shrinks to its distinct sequences first.
+    of all functions shrinks to its distinct sequences first.  The lists of top entities
+    are stored, one row per run: the join then lies on two plain exchanges, and adaptive
+    execution can split the sequences of a hot run.
     """
     sequences = (
         functions.where(F.size("entities") > 1)
@@ -85,7 +88,7 @@ def entity_transitions(functions: DataFrame, top: DataFrame) -> DataFrame:
         .groupBy("run_id", "sequence")
         .agg(F.count("*").alias("n"))
     )
-    allowed = top.groupBy("run_id").agg(F.collect_set("entity").alias("allowed"))
+    allowed = stored(top.groupBy("run_id").agg(F.collect_set("entity").alias("allowed")))
     kept = sequences.join(allowed, "run_id").select(
         "run_id",
         "n",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from codeloom.functions import lexicons as lx
 from codeloom.functions.scores import capped
 from codeloom.functions.text import has_entry_hint, node_id, title_label
+from codeloom.operators.ranking import ranked
 
 
 def workflow_rank() -> Column:
@@ -36,18 +37,28 @@ def workflow_nodes(selected: DataFrame) -> DataFrame:
     )
 
 
-def workflow_edges(selected: DataFrame, edges: DataFrame) -> DataFrame:
-    """Call edges between two selected functions, in (source, target) name order."""
+def workflow_edges(selected: DataFrame, edges: DataFrame, k: int | None = lx.WORKFLOW_NODES) -> DataFrame:
+    """Call edges between two selected functions, in (source, target) name order.
+
+    ``k`` says how many functions of a run are selected: a window then numbers at most k * k
+    edges of it.  Without ``k`` a run may have any number of edges, and the numbers come from
+    ranges of the whole order.
+    """
     ids = selected.select("run_id", "qname", node_id("wf", F.col("qname")).alias("id")).distinct()
     inside = (
         edges.where(F.col("source") != F.col("target"))
         .join(ids.select("run_id", F.col("qname").alias("source"), F.col("id").alias("src")), ["run_id", "source"])
         .join(ids.select("run_id", F.col("qname").alias("target"), F.col("id").alias("dst")), ["run_id", "target"])
     )
-    by_name = Window.partitionBy("run_id").orderBy("source", "target")
-    return inside.select(
+    inside = inside.select("run_id", "source", "target", "src", "dst")
+    if k is None:
+        numbered = ranked(inside, ["run_id"], ["source", "target"], "edge_ord")
+    else:
+        by_name = Window.partitionBy("run_id").orderBy("source", "target")
+        numbered = inside.withColumn("edge_ord", F.row_number().over(by_name))
+    return numbered.select(
         "run_id",
-        F.row_number().over(by_name).alias("edge_ord"),
+        "edge_ord",
         F.col("src").alias("source"),
         F.col("dst").alias("target"),
         F.lit("control").alias("edge_type"),

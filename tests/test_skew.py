@@ -103,3 +103,40 @@ def test_top_k_is_cut_before_the_shuffle(spark):
         assert plan.count("WindowGroupLimit") >= 2, plan
     extremes = risk.run_extremes(profiles)._jdf.queryExecution().executedPlan().toString()
     assert "partial_min_by" in extremes
+
+
+def test_calls_of_a_hot_short_name_are_split(spark):
+    """One short name in nine of ten calls: no aggregate lies directly below a join, and the
+    partition of the hot name is split."""
+    rows = [("hot", f"m{i}.py", 1, f"m{i}.f{i}", f"f{i}", 1, ["x.get" if i % 10 else f"f{i - 1}", f"y{i}.get"], [], [], []) for i in range(20000)]
+    rows.append(("hot", "g.py", 1, "g.get", "get", 1, [], [], [], []))
+    table = spark.createDataFrame(rows, _SCHEMA)
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+    }
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        edges = callgraph.call_edges(table.repartition(8))
+        assert {tuple(r) for r in edges.collect()} == brute_edges(rows)
+        plan = edges._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    final = plan.split("== Initial Plan ==")[0].split("== Final Plan ==")[-1]
+    assert "SortMergeJoin(skew=true)" in final, final
+    lines = [line.lstrip(" :|+-").lstrip("*").split(") ", 1)[-1] for line in final.splitlines()]
+    depth = [len(line) - len(line.lstrip(" :|+-")) for line in final.splitlines()]
+    for n, line in enumerate(lines):
+        if line.startswith("SortMergeJoin"):
+            for k in range(n + 1, len(lines)):
+                if depth[k] <= depth[n]:
+                    break
+                if lines[k].startswith(("Exchange", "ShuffleQueryStage", "AQEShuffleRead")):
+                    break
+                assert "HashAggregate" not in lines[k], final
