@@ -9,7 +9,7 @@ from codeloom.functions import coerce
 from codeloom.functions import lexicons as lx
 from codeloom.functions.scores import clamped
 
-_TERMINAL = ["completed", "failed"]
+TERMINAL = ["completed", "failed"]
 
 
 def run_state_aggregates() -> list[Column]:
@@ -18,7 +18,7 @@ def run_state_aggregates() -> list[Column]:
     return [
         last.alias("last"),
         F.min("ts").alias("started_at"),
-        F.max(F.when(F.col("status").isin(_TERMINAL), F.col("ts"))).alias("finished_at"),
+        F.max(F.when(F.col("status").isin(TERMINAL), F.col("ts"))).alias("finished_at"),
     ]
 
 
@@ -83,7 +83,7 @@ def poll_fold(polls: DataFrame, max_attempts: int = 8) -> DataFrame:
 
     No terminal answer means ``running`` after ``max_attempts``.
     """
-    ends = F.col("status").isin(_TERMINAL) & (F.col("attempt") <= max_attempts)
+    ends = F.col("status").isin(TERMINAL) & (F.col("attempt") <= max_attempts)
     order = F.when(ends, F.struct("attempt", "status"))
     folded = polls.groupBy("request_id").agg(F.min(order).alias("end"))
     return folded.select(
@@ -163,3 +163,20 @@ def artifact_readiness(requests: DataFrame, runs: DataFrame, artifacts: DataFram
         .otherwise(blueprint)
     )
     return joined.select("request_id", "run_id", "purpose", outcome.alias("outcome"))
+
+
+def comparison_outcome(requests: DataFrame, runs: DataFrame, results: DataFrame, provider: str, configured: bool = True) -> DataFrame:
+    """Outcome of web comparisons requests(request_id, run_id): status code, detail and message.
+
+    An unknown run is looked at first, then a provider that is not configured, then an error
+    in results(request_id, error); a request without a result has failed without a text.
+    """
+    known = runs.select("run_id", F.lit(True).alias("known")).distinct()
+    answered = results.select("request_id", "error", F.lit(True).alias("answered"))
+    joined = requests.join(known, "run_id", "left").join(answered, "request_id", "left")
+    name, missing = provider.upper(), F.col("known").isNull()
+    unset, failed = F.lit(not configured), F.col("answered").isNull() | F.col("error").isNotNull()
+    pick = lambda *values: F.when(missing, values[0]).when(unset, values[1]).when(failed, values[2]).otherwise(values[3])
+    code, detail = [F.lit(v) for v in (404, 503, 502, 200)], [F.lit(v) for v in ("RUN_NOT_FOUND", f"{name}_NOT_CONFIGURED", f"{name}_WEB_COMPARISON_FAILED", None)]
+    message = [F.lit("Run not found"), F.lit(f"{provider.capitalize()} integration is not configured"), F.coalesce("error", F.lit("")), F.lit(None)]
+    return joined.select("request_id", "run_id", pick(*code).alias("code"), pick(*detail).alias("detail"), pick(*message).alias("message"))

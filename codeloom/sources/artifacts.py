@@ -1,14 +1,14 @@
-"""Stored results: append-only Parquet, latest row per key wins on read."""
+"""Stored results: committed writes, latest row per key wins on read."""
 
 from __future__ import annotations
 
-import time
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from codeloom.sources import commit_log
+
 ARTIFACT_KEYS = ["run_id", "kind", "node_id"]
-WRITE_ORDER = ["created_at", "batch", "seq"]
+ARTIFACT_SCHEMA = "run_id string, node_id string, payload string, created_at timestamp, kind string"
 ARTIFACT_KINDS = ["workflow", "lineage", "risk", "evidence", "enrichment"]
 
 
@@ -27,17 +27,28 @@ def as_artifacts(payloads: DataFrame, kind: str) -> DataFrame:
 
 
 def write_artifacts(payloads: DataFrame, kind: str, path: str) -> None:
-    """Append one kind of artifact.  A repeated write simply adds a newer row.
+    """Append one kind of artifact as one commit.  A repeated write simply adds newer rows.
 
-    ``batch`` orders the writes and ``seq`` the rows of one write.
+    Commits are ordered by the log of the table (see ``commit_log``), the rows of one write
+    by their place in it.
     """
-    rows = as_artifacts(payloads, kind).withColumn("batch", F.lit(time.time_ns()))
-    rows.withColumn("seq", F.monotonically_increasing_id()).write.mode("append").partitionBy("kind").parquet(path)
+    commit_log.append(as_artifacts(payloads, kind), path, partition_by=["kind"])
+
+
+def stored_artifacts(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of the committed writes, with their ``commit_log.ORDER``."""
+    return commit_log.read(spark, path, ARTIFACT_SCHEMA)
 
 
 def read_artifacts(spark: SparkSession, path: str) -> DataFrame:
     """All stored artifacts, latest per key."""
-    return latest_by_key(spark.read.parquet(path), ARTIFACT_KEYS, WRITE_ORDER)
+    return commit_log.latest(stored_artifacts(spark, path), ARTIFACT_KEYS).drop(*commit_log.ORDER)
+
+
+def compact_artifacts(spark: SparkSession, path: str) -> None:
+    """Leave only the latest row of every key in the files; see ``commit_log.vacuum`` for the
+    files which are replaced."""
+    commit_log.compact(spark, path, ARTIFACT_SCHEMA, ARTIFACT_KEYS, partition_by=["kind"])
 
 
 def latest_by_key(table: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from codeloom.sources import artifacts
+from codeloom.sources import artifacts, commit_log
 from codeloom.sources.files import (
     decoded,
     list_sources,
@@ -70,7 +70,7 @@ def test_latest_wins_on_read(spark, tmp_path):
     found = {(r.kind, r.node_id): r.payload for r in artifacts.read_artifacts(spark, path).collect()}
     assert found == {("evidence", "n1"): "new", ("evidence", "n2"): "keep", ("risk", ""): "{}"}
     keys = spark.createDataFrame([("r", "evidence", "n1"), ("r", "evidence", "zz")], "run_id string, kind string, node_id string")
-    rows = artifacts.lookup_artifacts(keys, spark.read.parquet(path), ["created_at"]).collect()
+    rows = artifacts.lookup_artifacts(keys, artifacts.stored_artifacts(spark, path), commit_log.ORDER).collect()
     assert [r.payload for r in rows] == ["new"]
     with pytest.raises(ValueError):
         artifacts.as_artifacts(first, "other")
@@ -103,3 +103,62 @@ def test_last_row_of_one_write_wins(spark, tmp_path):
     rows = spark.createDataFrame([("r", f"p{n}") for n in range(8)], "run_id string, payload string").repartitionByRange(4, "payload")
     artifacts.write_artifacts(rows, "risk", str(tmp_path / "a"))
     assert artifacts.read_artifacts(spark, str(tmp_path / "a")).first()["payload"] == "p7"
+
+
+def _payloads(spark, text, n=3):
+    return spark.createDataFrame([(f"r{k}", text) for k in range(n)], "run_id string, payload string")
+
+
+def test_failed_and_running_writes_are_not_seen(spark, tmp_path):
+    path = str(tmp_path / "a")
+    assert artifacts.read_artifacts(spark, path).collect() == []
+    artifacts.write_artifacts(_payloads(spark, "first"), "risk", path)
+    broken = _payloads(spark, "broken").withColumn("payload", F.raise_error(F.lit("stop")))
+    with pytest.raises(Exception, match="stop"):
+        artifacts.write_artifacts(broken, "risk", path)
+    running = artifacts.as_artifacts(_payloads(spark, "running"), "risk")
+    running.write.partitionBy("kind").parquet(f"{path}/data/other")  # no commit yet
+    assert {r.payload for r in artifacts.read_artifacts(spark, path).collect()} == {"first"}
+
+
+def test_two_writers_at_once(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = str(tmp_path / "a")
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda k: artifacts.write_artifacts(_payloads(spark, f"w{k}", 50), "risk", path), range(4)))
+    rows = artifacts.read_artifacts(spark, path).collect()
+    assert len(rows) == 50 and len({r.payload for r in rows}) == 1  # one of the writes is the last, for all rows
+    assert len(commit_log.commits(path)) == 4
+    artifacts.write_artifacts(_payloads(spark, "after", 1), "risk", path)
+    assert {r.run_id: r.payload for r in artifacts.read_artifacts(spark, path).collect()}["r0"] == "after"
+
+
+def test_compaction_keeps_what_is_written_meanwhile(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "a")
+    for text in ("old", "new"):
+        artifacts.write_artifacts(_payloads(spark, text), "risk", path)
+    artifacts.write_artifacts(_payloads(spark, "other", 1), "evidence", path)
+    publish = commit_log._commit
+
+    def late(*args):  # a write is committed while the compaction runs
+        monkeypatch.setattr(commit_log, "_commit", publish)
+        artifacts.write_artifacts(_payloads(spark, "newest", 1), "risk", path)
+        publish(*args)
+
+    monkeypatch.setattr(commit_log, "_commit", late)
+    artifacts.compact_artifacts(spark, path)
+    want = {("r0", "risk"): "newest", ("r1", "risk"): "new", ("r2", "risk"): "new", ("r0", "evidence"): "other"}
+    assert {(r.run_id, r.kind): r.payload for r in artifacts.read_artifacts(spark, path).collect()} == want
+    assert len(commit_log.vacuum(path)) == 3
+    assert {(r.run_id, r.kind): r.payload for r in artifacts.read_artifacts(spark, path).collect()} == want
+    assert "old" not in {r.payload for r in artifacts.stored_artifacts(spark, path).collect()}
+    artifacts.compact_artifacts(spark, path)
+    assert artifacts.stored_artifacts(spark, path).count() == 4
+
+
+def test_named_write_counts_once(spark, tmp_path):
+    path = str(tmp_path / "a")
+    for _ in range(2):
+        commit_log.append(_payloads(spark, "x"), path, write="batch-1")
+    assert commit_log.read(spark, path, "run_id string, payload string").count() == 3
