@@ -103,20 +103,30 @@ def run_counters(
     )
 
 
+def fallback_note(setting: str) -> str:
+    """Note of a run without source; ``setting`` is the name under which roots are configured."""
+    return f"No local repository path resolved. Register repository with local_path or set {setting}."
+
+
 def run_summary(
-    runs: DataFrame, products: DataFrame, counters: DataFrame, ontology: DataFrame, migration: DataFrame
+    runs: DataFrame, products: DataFrame, counters: DataFrame, ontology: DataFrame, migration: DataFrame, note: str = fallback_note("repository roots")
 ) -> DataFrame:
-    """Summary per runs(run_id, analysis_mode); a run without results yet is ``queued``."""
+    """Summary per runs(run_id, analysis_mode, repo_root); a run without results yet is
+    ``queued``.  A scanned run has its ``repo_root``, one without source the ``note``."""
     numbers = [
         "workflow_nodes", "lineage_edges", "risk_findings",
         "files_scanned", "functions_scanned", "parse_errors",
     ]
     joined = (
-        runs.select("run_id", "analysis_mode")
+        runs.select("run_id", "analysis_mode", "repo_root")
         .join(products, "run_id", "left")
         .join(counters.select("run_id", *numbers[3:]), "run_id", "left")
         .join(ontology, "run_id", "left")
         .join(migration, "run_id", "left")
     )
     mode = F.when(F.col("workflow_nodes").isNull(), F.lit("queued")).otherwise(F.col("analysis_mode"))
-    return joined.withColumn("analysis_mode", mode).na.fill(0, numbers)
+    done = joined.withColumn("analysis_mode", mode).na.fill(0, numbers)
+    is_mode = lambda m: F.col("analysis_mode") == m
+    return done.withColumn("repo_root", F.when(is_mode("ast-local"), F.col("repo_root"))).withColumn(
+        "note", F.when(is_mode("fallback"), F.lit(note))
+    )

@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import ast
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,26 +26,7 @@ FACTS_SCHEMA = """
     error_line int, error_offset int, error_message string
 """
 
-_ARROW_SCHEMA = pa.schema(
-    [
-        ("run_id", pa.string()),
-        ("file_path", pa.string()),
-        ("record_type", pa.string()),
-        ("ord", pa.int32()),
-        ("qname", pa.string()),
-        ("short_name", pa.string()),
-        ("line_start", pa.int32()),
-        ("line_end", pa.int32()),
-        ("calls", pa.list_(pa.string())),
-        ("idents", pa.list_(pa.string())),
-        ("branch_kinds", pa.map_(pa.string(), pa.int32())),
-        ("module", pa.string()),
-        ("imported", pa.string()),
-        ("error_line", pa.int32()),
-        ("error_offset", pa.int32()),
-        ("error_message", pa.string()),
-    ]
-)
+RECORD_TYPES = ("file", "function", "import", "error")
 
 # Facts held back before a batch is sent on, so that one batch of large files
 # does not become one huge result batch.
@@ -52,20 +34,13 @@ _FLUSH_ROWS = 2000
 
 _BRANCHES = frozenset(getattr(ast, name) for name in BRANCH_KINDS)
 _BLOCKS = (ast.stmt, ast.ExceptHandler, ast.match_case)
+_LEAVES = frozenset((ast.Name, ast.Constant, ast.Pass, ast.Break, ast.Continue))
 
 
-def _children(node: ast.AST) -> list[ast.AST]:
-    """Child nodes in field order, without the load/store markers."""
-    found: list[ast.AST] = []
-    for name in node._fields:
-        if name == "ctx":
-            continue
-        value = getattr(node, name, None)
-        if isinstance(value, list):
-            found.extend(item for item in value if isinstance(item, ast.AST))
-        elif isinstance(value, ast.AST):
-            found.append(value)
-    return found
+@cache
+def _child_fields(kind: type[ast.AST]) -> tuple[str, ...]:
+    """Fields which may hold nodes, last one first, without the load/store markers."""
+    return tuple(name for name in reversed(kind._fields) if name != "ctx")
 
 
 def _dotted(node: ast.AST) -> str:
@@ -88,7 +63,7 @@ def _dotted(node: ast.AST) -> str:
     return ".".join(reversed(tail))
 
 
-def _body_facts(function: ast.AST) -> dict:
+def _body_facts(function: ast.AST) -> tuple[list[str], list[str], Counter[str]]:
     """Calls, names and branch counts of one function body in reading order.
 
     An explicit stack keeps the walk safe on deeply nested code.  Nested
@@ -100,43 +75,48 @@ def _body_facts(function: ast.AST) -> dict:
     pending = list(reversed(function.body))
     while pending:
         node = pending.pop()
-        if isinstance(node, ast.Call):
+        kind = type(node)
+        if kind is ast.Name:
+            idents.append(node.id)
+        elif kind is ast.Attribute:
+            idents.append(node.attr)
+        elif kind is ast.Call:
             name = _dotted(node.func)
             if name:
                 calls.append(name)
                 idents.append(name)
-        elif isinstance(node, ast.Name):
-            idents.append(node.id)
-        elif isinstance(node, ast.Attribute):
-            idents.append(node.attr)
-        elif type(node) in _BRANCHES:
-            kinds[type(node).__name__] += 1
-        below = _children(node)
-        below.reverse()
-        pending.extend(below)
+        elif kind in _BRANCHES:
+            kinds[kind.__name__] += 1
+        if kind in _LEAVES:
+            continue
+        for field in _child_fields(kind):
+            value = getattr(node, field, None)
+            if isinstance(value, list):
+                pending.extend(item for item in reversed(value) if isinstance(item, ast.AST))
+            elif isinstance(value, ast.AST):
+                pending.append(value)
     idents.append(function.name)
-    return {
-        "calls": calls,
-        "idents": idents,
-        "branch_kinds": list(kinds.items()),
-    }
+    return calls, idents, kinds
+
 
+def _unreadable(problem: Exception) -> dict:
+    if isinstance(problem, SyntaxError):
+        return {"ord": 0, "error_line": problem.lineno, "error_offset": problem.offset, "error_message": problem.msg}
+    return {"ord": 0, "error_message": str(problem) or type(problem).__name__}
 
-def file_facts(module: str, text: str) -> Iterator[dict]:
-    """All facts of one file; a file which does not parse gives one error."""
+
+def file_facts(module: str, text: str, wanted: Collection[str] = RECORD_TYPES) -> Iterator[dict]:
+    """The facts of one file: one about the file, and its functions and imports, or an error
+    if it does not parse.  Only the wanted record types are looked for."""
+    if "file" in wanted:
+        yield {"record_type": "file", "ord": 0, "module": module}
+    if not {"function", "import", "error"} & set(wanted):
+        return
     try:
         tree = ast.parse(text)
-    except SyntaxError as problem:
-        yield {
-            "record_type": "error",
-            "ord": 0,
-            "error_line": problem.lineno,
-            "error_offset": problem.offset,
-            "error_message": problem.msg,
-        }
-        return
-    except (RecursionError, ValueError, MemoryError) as problem:
-        yield {"record_type": "error", "ord": 0, "error_message": str(problem) or type(problem).__name__}
+    except (SyntaxError, RecursionError, ValueError, MemoryError) as problem:
+        if "error" in wanted:
+            yield {"record_type": "error", **_unreadable(problem)}
         return
 
     functions = imports = 0
@@ -145,16 +125,22 @@ def file_facts(module: str, text: str) -> Iterator[dict]:
         node, scope = pending.pop()
         if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
             functions += 1
-            yield {
-                "record_type": "function",
-                "ord": functions,
-                "qname": ".".join(part for part in (module, *scope, node.name) if part),
-                "short_name": node.name,
-                "line_start": node.lineno,
-                "line_end": node.end_lineno,
-                **_body_facts(node),
-            }
+            if "function" in wanted:
+                calls, idents, kinds = _body_facts(node)
+                yield {
+                    "record_type": "function",
+                    "ord": functions,
+                    "qname": ".".join(part for part in (module, *scope, node.name) if part),
+                    "short_name": node.name,
+                    "line_start": node.lineno,
+                    "line_end": node.end_lineno,
+                    "calls": calls,
+                    "idents": idents,
+                    "branch_kinds": list(kinds.items()),
+                }
         elif isinstance(node, (ast.Import, ast.ImportFrom)):
+            if "import" not in wanted:
+                continue
             base = (node.module or "") + "." if isinstance(node, ast.ImportFrom) else ""
             for alias in node.names:
                 imports += 1
@@ -171,23 +157,71 @@ def file_facts(module: str, text: str) -> Iterator[dict]:
             pending.extend((child, scope) for child in reversed(inner))
 
 
-def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows: list[dict] = []
-    for batch in batches:
-        columns = [batch.column(name) for name in ("run_id", "path", "module", "text")]
-        for run_id, path, module, text in zip(*columns):
-            key = {"run_id": run_id.as_py(), "file_path": path.as_py()}
-            rows.extend({**key, **fact} for fact in file_facts(module.as_py(), text.as_py()))
-            if len(rows) >= _FLUSH_ROWS:
-                yield pa.RecordBatch.from_pylist(rows, schema=_ARROW_SCHEMA)
-                rows = []
-    if rows:
-        yield pa.RecordBatch.from_pylist(rows, schema=_ARROW_SCHEMA)
-
-
-def extract_facts(files: DataFrame) -> DataFrame:
-    """Tagged facts of files(run_id, path, module, text); see ``FACTS_SCHEMA``."""
-    return files.select("run_id", "path", "module", "text").mapInArrow(_parse_batches, FACTS_SCHEMA)
+_TEXTS = ("run_id", "file_path", "record_type", "qname", "short_name", "module", "imported", "error_message")
+_NUMBERS = ("ord", "line_start", "line_end", "error_line", "error_offset")
+_ORDER = [field.split()[0] for field in FACTS_SCHEMA.replace("map<string,int>", "map").split(",")]
+
+
+class _Columns:
+    """Facts of many files, column by column; lists are kept flat with their offsets."""
+
+    def __init__(self) -> None:
+        self.plain: dict[str, list] = {name: [] for name in (*_TEXTS, *_NUMBERS)}
+        self.flat: dict[str, list[str]] = {"calls": [], "idents": [], "branch_kinds": []}
+        self.counts: list[int] = []
+        self.offsets: dict[str, list[int | None]] = {name: [] for name in self.flat}
+        self.rows = 0
+
+    def add(self, run_id: str, path: str, fact: dict) -> None:
+        self.rows += 1
+        get = fact.get
+        for name, column in self.plain.items():
+            column.append(get(name))
+        self.plain["run_id"][-1], self.plain["file_path"][-1] = run_id, path
+        listed = "calls" in fact  # other records have no lists at all
+        for name, values in self.flat.items():
+            self.offsets[name].append(len(values) if listed else None)
+        if listed:
+            self.flat["calls"].extend(fact["calls"])
+            self.flat["idents"].extend(fact["idents"])
+            for kind, n in fact["branch_kinds"]:
+                self.flat["branch_kinds"].append(kind)
+                self.counts.append(n)
+
+    def batch(self) -> pa.RecordBatch:
+        def ends(name: str) -> pa.Array:
+            return pa.array([*self.offsets[name], len(self.flat[name])], pa.int32())
+
+        done = {name: pa.array(self.plain[name], pa.string()) for name in _TEXTS}
+        done |= {name: pa.array(self.plain[name], pa.int32()) for name in _NUMBERS}
+        done |= {name: pa.ListArray.from_arrays(ends(name), pa.array(self.flat[name], pa.string())) for name in ("calls", "idents")}
+        kinds = pa.array(self.flat["branch_kinds"], pa.string())
+        done["branch_kinds"] = pa.MapArray.from_arrays(ends("branch_kinds"), kinds, pa.array(self.counts, pa.int32()))
+        return pa.RecordBatch.from_arrays([done[name] for name in _ORDER], _ORDER)
+
+
+def extract_facts(files: DataFrame, wanted: Collection[str] = RECORD_TYPES) -> DataFrame:
+    """Facts of files(run_id, path, module, text); see ``FACTS_SCHEMA``.  ``wanted`` names the
+    record types to make; every file gives one ``file`` record, whatever is in it."""
+    unknown = set(wanted) - set(RECORD_TYPES)
+    if unknown:
+        raise ValueError(f"unknown record types: {sorted(unknown)}")
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        facts = _Columns()
+        for batch in batches:
+            columns = [batch.column(name) for name in ("run_id", "path", "module", "text")]
+            for run_id, path, module, text in zip(*columns):
+                key = run_id.as_py(), path.as_py()
+                for fact in file_facts(module.as_py(), text.as_py(), wanted):
+                    facts.add(*key, fact)
+                if facts.rows >= _FLUSH_ROWS:
+                    yield facts.batch()
+                    facts = _Columns()
+        if facts.rows:
+            yield facts.batch()
+
+    return files.select("run_id", "path", "module", "text").mapInArrow(parse, FACTS_SCHEMA)
 
 
 def extract_functions(facts: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from codeloom.sources.files import scan_sources
 def corpus(spark, mini_repo):
     files = scan_sources(spark, {"r1": str(mini_repo)})
     facts, functions = parse_corpus(files, keep=stored)
-    runs = spark.createDataFrame([("r1", "mini", "ast-local")], "run_id string, root_name string, analysis_mode string")
+    runs = spark.createDataFrame([("r1", "mini", "ast-local", "/srv/mini")], "run_id string, root_name string, analysis_mode string, repo_root string")
     products = products_of(runs, functions, keep=stored)
     products = Products(**{n: stored(getattr(products, n)) for n in Products.__dataclass_fields__})
     return runs, files, facts, functions, products
@@ -38,7 +38,7 @@ def test_functions(corpus):
 
 def test_counters(corpus):
     runs, files, facts, _, _ = corpus
-    row = tagging.scan_counters(runs, files, facts).collect()[0]
+    row = tagging.scan_counters(runs, facts).collect()[0]
     assert (row.files_scanned, row.functions_scanned, row.parse_errors, row.imports) == (5, 6, 1, 2)
 
 
@@ -100,10 +100,11 @@ def test_summaries(corpus):
     assert [b.required_entities for b in m.extraction_boundaries] == [["Shipment"], ["Shipment"], []]
     assert m.impacted_modules == ["dock.gate", "stock.shelf.Shelf"]
     assert len(m.rerouting_risks) == 1
-    counters = tagging.scan_counters(runs, files, facts)
+    counters = tagging.scan_counters(runs, facts)
     products = migration.run_counters(p.workflow_nodes, p.lineage_edges, p.findings)
     s = migration.run_summary(runs, products, counters, p.ontology, p.migration).collect()[0]
     assert (s.workflow_nodes, s.lineage_edges, s.risk_findings, s.files_scanned, s.parse_errors) == (7, 0, 4, 5, 1)
+    assert (s.repo_root, s.note) == ("/srv/mini", None)
 
 
 def test_evidence(corpus):

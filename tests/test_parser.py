@@ -3,11 +3,14 @@
 import textwrap
 
 from codeloom.functions.lexicons import BRANCH_KINDS
+import pytest
+
+from codeloom.sources import extract
 from codeloom.sources.extract import file_facts
 
 
 def facts(source, module="m"):
-    return list(file_facts(module, textwrap.dedent(source)))
+    return list(file_facts(module, textwrap.dedent(source), ("function", "import", "error")))
 
 
 def functions(source, module="m"):
@@ -170,3 +173,27 @@ def test_errors_are_rows():
 def test_deep_chains_do_not_exhaust_the_walk():
     chain = "a" + ".b()" * 300
     assert one(f"def f():\n    return {chain}")["calls"][0].count("b") == 300
+
+
+def test_only_wanted_records():
+    source = "import a\ndef f():\n    g()\n"
+    assert [f["record_type"] for f in file_facts("m", source)] == ["file", "import", "function"]
+    assert [f["record_type"] for f in file_facts("m", source, ("import",))] == ["import"]
+    assert [f["record_type"] for f in file_facts("m", "def (", ("file",))] == ["file"]
+    assert [f["record_type"] for f in file_facts("m", "def (", ("function",))] == []
+
+
+def test_columns_of_many_files(spark):
+    rows = [("r", f"p{n}.py", f"p{n}", source) for n, source in enumerate([
+        "import a\ndef f(x):\n    if x:\n        g.h(x)\n", "", "def (", "type X = int\ndef k():\n    type Y = Z\n    return [*a, {**b}]\n", "x = 1"])]
+    frame = spark.createDataFrame(rows, "run_id string, path string, module string, text string")
+    got = extract.extract_facts(frame).orderBy("file_path", "record_type", "ord").collect()
+    assert [(r.file_path, r.record_type) for r in got] == [
+        ("p0.py", "file"), ("p0.py", "function"), ("p0.py", "import"), ("p1.py", "file"), ("p2.py", "error"), ("p2.py", "file"),
+        ("p3.py", "file"), ("p3.py", "function"), ("p4.py", "file")]
+    f, k = (r for r in got if r.record_type == "function")
+    assert (f.qname, f.calls, f.idents, f.branch_kinds) == ("p0.f", ["g.h"], ["x", "g.h", "h", "g", "x", "f"], {"If": 1})
+    assert (k.calls, k.idents, k.branch_kinds) == ([], ["Y", "Z", "a", "b", "k"], {})
+    assert all(r.calls is None and r.idents is None and r.branch_kinds is None for r in got if r.record_type != "function")
+    with pytest.raises(ValueError):
+        extract.extract_facts(frame, ("class",))
