@@ -150,6 +150,16 @@ def function_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.unionByName(parts).withColumn("entities", as_set(F.col("entity_sequence")))
 
 
+def record_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(run_id, record_type) of every fact that parsing the generated files yields."""
+    parts = part_files(spark, sf_dir)
+    of = lambda rows, kind: rows.select("run_id", F.lit(kind).alias("record_type"))
+    orders = table(spark, sf_dir, "orders").selectExpr(f"{_run('o_custkey')} AS run_id")
+    records = of(function_table(spark, sf_dir), "function").unionByName(of(parts.where("size = 50"), "error"))
+    records = records.unionByName(of(parts.where("size NOT IN (47, 49)"), "file"))
+    return records.unionByName(of(orders, "file")).unionByName(of(orders, "import"))
+
+
 def run_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """runs(run_id, root_name, name): the runs of the orders, plus one per supplier
     without any file."""

@@ -10,7 +10,7 @@ from codeloom.catalog.graphs_and_risk import EVIDENCE_PARTS
 from codeloom.catalog.registry import query
 from codeloom.functions.scores import score_bucket
 from codeloom.functions.text import crud_from_text, entity_from_text, humanise_label
-from codeloom.operators import answers, callgraph, layers, views
+from codeloom.operators import answers, callgraph, layers, migration, views
 from codeloom.session import stored
 
 _RISK = (op.BASE, op.EDGES, op.RUNS, op.RISK)
@@ -31,8 +31,11 @@ def _requests(spark, sf_dir):
 def _context(spark, sf_dir):
     p = ad.products(spark, sf_dir)
     proof = stored(p.evidence)
-    enrichment = ad.run_table(spark, sf_dir).selectExpr("run_id", "'completed' AS enrichment_status")
-    context = stored(answers.run_context(p.workflow_nodes, p.workflow_edges, p.findings, proof, enrichment))
+    runs = ad.run_table(spark, sf_dir)
+    enrichment = runs.selectExpr("run_id", "'completed' AS status", "concat('{\"root\":\"', root_name, '\"}') AS response")
+    counted = migration.run_counters(p.workflow_nodes, p.lineage_edges, p.findings)
+    states = runs.select("run_id", F.lit("completed").alias("status")).join(counted, "run_id")
+    context = stored(answers.run_context(p.workflow_nodes, p.workflow_edges, p.findings, proof, enrichment, states))
     return answers.answer_context(_requests(spark, sf_dir), context, proof)
 
 
@@ -75,19 +78,52 @@ def _cites(column):
     return F.array_join(F.transform(column, text), "|").alias("citations")
 
 
-@query("C1_answer_context", op.with_parts(*_ANSWERS, select="""
-    SELECT request_id, run_id, focus, explanation AS focus_explanation,
-      (SELECT least(12, count(*)) FROM wnodes x WHERE x.run_id = c.run_id) AS nodes,
-      (SELECT least(20, count(*)) FROM wedges x WHERE x.run_id = c.run_id) AS edges,
-      (SELECT least(8, count(*)) FROM findings x WHERE x.run_id = c.run_id) AS findings,
-      (SELECT least(12, count(*)) FROM wnodes x JOIN ev USING (run_id, node_id) WHERE x.run_id = c.run_id) AS node_evidence,
-      'completed' AS enrichment_status
-    FROM full_ctx c"""))
+_SUGGESTED = """CASE category
+  WHEN 'complexity' THEN 'Refactor into smaller functions with single responsibility;Extract service layer to isolate business logic'
+  WHEN 'coupling' THEN 'Introduce interface boundary between modules;Apply dependency injection to decouple components'
+  WHEN 'dead_code' THEN 'Safe to remove after verifying no runtime references;Archive and monitor for regression'
+  ELSE 'Add unit tests for critical business logic paths;Prioritize integration tests for high-risk flows' END"""
+
+# Each list of the context as one text, field by field; the digests keep the rows short.
+_CONTEXT_TEXTS = f"""
+tn AS (SELECT run_id, md5(string_agg(node_id || '>' || label || '>' || node_type || '>' || risk_score, '|' ORDER BY node_ord)
+    FILTER (node_ord <= 12)) AS nodes, count(*) AS n FROM wnodes GROUP BY 1),
+te AS (SELECT run_id, md5(string_agg(source || '>' || target || '>' || edge_type || '>' || confidence, '|' ORDER BY edge_ord)
+    FILTER (nr <= 20)) AS edges FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY edge_ord) AS nr FROM wedges) GROUP BY 1),
+tr AS (SELECT run_id, count(*) AS n, md5(string_agg(finding_id || '>' || category || '>' || severity || '>' || score || '>' || title || '>'
+    || rationale || '>' || symbol || '>' || {_SUGGESTED}, '|' ORDER BY finding_ord) FILTER (nr <= 8)) AS findings
+  FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY finding_ord) AS nr FROM findings) GROUP BY 1),
+tv AS (SELECT run_id, md5(string_agg(node_id || '>' || label || '>' || replace(files, '|', ';') || '>' || replace(symbols, '|', ';') || '>' || explanation,
+    '|' ORDER BY node_ord)) AS node_evidence FROM wnodes JOIN ev USING (run_id, node_id) WHERE node_ord <= 12 GROUP BY 1),
+tl AS (SELECT run_id, count(*) AS n FROM ledges GROUP BY 1)"""
+
+
+@query("C1_answer_context", op.with_parts(*_ANSWERS, _CONTEXT_TEXTS, select="""
+    SELECT request_id, c.run_id, 'q' || request_id AS question, focus, files AS focus_files, symbols AS focus_symbols,
+      explanation AS focus_explanation, tn.nodes, te.edges, tr.findings, tv.node_evidence,
+      'completed>' || tn.n || '>' || coalesce(tl.n, 0) || '>' || tr.n AS run,
+      'completed>{"root":"erp-' || c.run_id || '"}' AS enrichment
+    FROM full_ctx c JOIN tn ON tn.run_id = c.run_id JOIN tr ON tr.run_id = c.run_id LEFT JOIN te ON te.run_id = c.run_id
+    LEFT JOIN tv ON tv.run_id = c.run_id LEFT JOIN tl ON tl.run_id = c.run_id"""))
 def context(spark, sf_dir):
-    size = lambda c: F.size(c).cast("bigint").alias(c)
+    def digest(name, *fields):
+        def text(r):
+            listed = {"files", "symbols", "suggestions"}
+            return F.concat_ws(">", *[F.array_join(r[f], ";") if f in listed else r[f].cast("string") for f in fields])
+
+        return F.md5(F.array_join(F.transform(name, text), "|")).alias(name)
+
+    focus = F.col("focus_evidence")
     return _context(spark, sf_dir).select(
-        "request_id", "run_id", "focus", F.col("focus_evidence.explanation").alias("focus_explanation"),
-        size("nodes"), size("edges"), size("findings"), size("node_evidence"), "enrichment_status",
+        "request_id", "run_id", "question", "focus",
+        F.array_join(focus["files"], "|").alias("focus_files"), F.array_join(focus["symbols"], "|").alias("focus_symbols"),
+        focus["explanation"].alias("focus_explanation"),
+        digest("nodes", "node_id", "label", "node_type", "risk_score"),
+        digest("edges", "source", "target", "edge_type", "confidence"),
+        digest("findings", "finding_id", "category", "severity", "score", "title", "rationale", "symbol", "suggestions"),
+        digest("node_evidence", "node_id", "label", "files", "symbols", "explanation"),
+        F.concat_ws(">", "run.status", "run.workflow_nodes", "run.lineage_edges", "run.risk_findings").alias("run"),
+        F.concat_ws(">", "enrichment.status", "enrichment.response").alias("enrichment"),
     )
 
 
@@ -149,9 +185,13 @@ def _order_findings(spark, sf_dir):
 _OF = f"of AS (SELECT {_AS_FINDING} FROM orders)"
 
 
-@query("V1_findings_view", f"WITH {_OF} SELECT run_id, finding_ord, severity, score FROM of WHERE severity = 'high'")
+@query("V1_findings_view", f"""WITH {_OF} SELECT 'all' AS view, run_id, finding_ord, category, severity, score FROM of
+    UNION ALL SELECT 'high', run_id, finding_ord, category, severity, score FROM of WHERE severity = 'high'""")
 def findings_view(spark, sf_dir):
-    return views.findings_view(_order_findings(spark, sf_dir), "high").select("run_id", "finding_ord", "severity", "score")
+    found = _order_findings(spark, sf_dir)
+    shown = [("all", views.findings_view(found)), ("high", views.findings_view(found, "high"))]
+    rows = [v.select(F.lit(n).alias("view"), "run_id", "finding_ord", "category", "severity", "score") for n, v in shown]
+    return rows[0].unionByName(rows[1])
 
 
 @query("V2_severity_counts", f"""WITH {_OF} SELECT run_id, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'high') AS high,

@@ -480,3 +480,38 @@ def provider_readiness(spark, sf_dir):
     )
     checked = responses.provider_readiness(probes, ["check_id"])
     return responses.configured_readiness(providers, checked, ["check_id"]).drop("provider")
+
+
+# ---- beyond the inventory: outcomes and listings --------------------------------
+
+
+@query("J10_comparison_outcome", """
+    SELECT o_orderkey AS request_id, o_custkey AS run_id,
+      CASE WHEN c_custkey IS NULL THEN 404 WHEN o_orderstatus = 'F' THEN 502 WHEN o_orderstatus = 'P' THEN 502 ELSE 200 END AS code,
+      CASE WHEN c_custkey IS NULL THEN 'RUN_NOT_FOUND' WHEN o_orderstatus IN ('F', 'P') THEN 'GEMINI_WEB_COMPARISON_FAILED' END AS detail,
+      CASE WHEN c_custkey IS NULL THEN 'Run not found' WHEN o_orderstatus = 'F' THEN 'boom ' || o_orderkey WHEN o_orderstatus = 'P' THEN '' END AS message
+    FROM orders LEFT JOIN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'MACHINERY') ON o_custkey = c_custkey""")
+def comparison_outcomes(spark, sf_dir):
+    """Runs of one market segment are unknown; some requests failed, and some have no result."""
+    orders = ad.table(spark, sf_dir, "orders")
+    requests = orders.selectExpr("o_orderkey AS request_id", "o_custkey AS run_id")
+    known = ad.table(spark, sf_dir, "customer").where("c_mktsegment <> 'MACHINERY'").selectExpr("c_custkey AS run_id")
+    results = orders.where("o_orderstatus <> 'P'").selectExpr(
+        "o_orderkey AS request_id", "if(o_orderstatus = 'F', concat('boom ', o_orderkey), null) AS error"
+    )
+    return runs.comparison_outcome(requests, known, results, "gemini")
+
+
+@query("N18_server_listing", """
+    SELECT o_orderkey AS config_id, s.server, CASE s.server WHEN 'docs' THEN 'http://d/' || o_custkey END AS url,
+      CASE s.server WHEN 'run' THEN 'run-' || o_orderkey END AS command,
+      s.server = 'docs' AND o_orderstatus <> 'O' AS has_headers,
+      CASE WHEN s.server = 'docs' AND o_orderstatus = 'F' THEN 'Authorization,X-Key' ELSE '' END AS header_keys
+    FROM orders CROSS JOIN (VALUES ('docs'), ('run')) s(server) WHERE o_orderpriority <> '5-LOW'""")
+def servers(spark, sf_dir):
+    raw = F.expr("""CASE WHEN o_orderpriority = '5-LOW' THEN if(o_orderstatus = 'F', '{"mcpServers": [1]}', 'no json') ELSE
+      concat('{"source": "x", "mcpServers": {"docs": {"url": "http://d/', o_custkey, '"',
+        CASE o_orderstatus WHEN 'F' THEN ', "headers": {"X-Key": "secret", "Authorization": "secret"}' WHEN 'P' THEN ', "headers": {}' ELSE '' END,
+        '}, "run": {"command": "run-', o_orderkey, '", "args": [1]}}}') END""")
+    found = responses.server_listing(ad.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("config_id"), raw.alias("raw")))
+    return found.withColumn("header_keys", F.array_join("header_keys", ","))

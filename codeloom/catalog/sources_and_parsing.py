@@ -15,10 +15,10 @@ from codeloom.session import scratch_path, stored
 from codeloom.sources import artifacts, extract, files, repositories
 
 
-def parsed(spark, sf_dir):
-    """(files, facts) of the generated corpus."""
+def parsed(spark, sf_dir, wanted=extract.RECORD_TYPES):
+    """Facts of the generated corpus."""
     kept = files.select_sources(ad.source_files(spark, sf_dir), None)
-    return kept, extract.extract_facts(files.decoded(kept))
+    return extract.extract_facts(files.decoded(kept), wanted)
 
 
 # ---- sources and sinks ------------------------------------------------------
@@ -225,24 +225,54 @@ def run_of_repo(spark, sf_dir):
 
 @query(
     "S11_export_payloads",
-    op.with_parts(op.BASE, op.EDGES, op.RUNS, op.RISK, op.WORKFLOW, select="""
-    SELECT run_id, count(*) AS nodes, any_value(e) AS edges, min(node_id) FILTER (node_ord = 1) AS first_node,
-      max(label) FILTER (node_id = 'risk-hub') AS last_label
-    FROM wnodes JOIN (SELECT run_id, count(*) AS e FROM wedges GROUP BY 1) USING (run_id) GROUP BY 1"""),
+    op.with_parts(op.BASE, op.EDGES, op.RUNS, op.RISK, op.WORKFLOW, """
+    jn AS (SELECT run_id, string_agg('{"id":"' || node_id || '","label":"' || label || '","node_type":"' || node_type
+        || '","risk_score":' || risk_score || '}', ',' ORDER BY node_ord) AS nodes FROM wnodes GROUP BY 1),
+    je AS (SELECT run_id, string_agg('{"source":"' || source || '","target":"' || target || '","edge_type":"' || edge_type
+        || '","confidence":' || confidence || '}', ',' ORDER BY edge_ord) AS edges FROM wedges GROUP BY 1),
+    sug(category, texts) AS (VALUES
+      ('complexity', '"Refactor into smaller functions with single responsibility","Extract service layer to isolate business logic"'),
+      ('coupling', '"Introduce interface boundary between modules","Apply dependency injection to decouple components"'),
+      ('dead_code', '"Safe to remove after verifying no runtime references","Archive and monitor for regression"'),
+      ('test_gap', '"Add unit tests for critical business logic paths","Prioritize integration tests for high-risk flows"')),
+    jf AS (SELECT run_id, string_agg('{"id":"' || finding_id || '","category":"' || category || '","severity":"' || severity || '","score":' || score
+        || ',"title":"' || title || '","rationale":"' || rationale || '","symbol":"' || symbol || '","migration_suggestions":[' || texts || ']}',
+        ',' ORDER BY finding_ord) AS findings FROM findings JOIN sug USING (category) GROUP BY 1)""",
+    select="""
+    SELECT run_id, 'workflow' AS kind, '{"run_id":"' || run_id || '","nodes":[' || nodes || '],"edges":[' || coalesce(edges, '') || ']}' AS payload
+    FROM jn LEFT JOIN je USING (run_id)
+    UNION ALL
+    SELECT run_id, 'risk', '{"run_id":"' || run_id || '","overall_score":' || overall_score || ',"findings":[' || findings || ']}'
+    FROM overall JOIN jf USING (run_id)"""),
 )
 def exported(spark, sf_dir):
     products = ad.products(spark, sf_dir)
-    docs = artifacts.export_graph(products.workflow_nodes, products.workflow_edges)
-    doc = F.from_json(
-        "payload", "struct<nodes:array<struct<id:string,label:string>>,edges:array<struct<source:string>>>"
+    graphs = artifacts.export_graph(products.workflow_nodes, products.workflow_edges)
+    risks = artifacts.export_risk(products.findings, products.overall)
+    return graphs.select("run_id", F.lit("workflow").alias("kind"), "payload").unionByName(
+        risks.select("run_id", F.lit("risk").alias("kind"), "payload")
     )
-    return docs.select("run_id", doc.alias("d")).select(
-        "run_id",
-        F.size("d.nodes").cast("bigint").alias("nodes"),
-        F.size("d.edges").cast("bigint").alias("edges"),
-        F.get("d.nodes", F.lit(0))["id"].alias("first_node"),
-        F.element_at("d.nodes", -1)["label"].alias("last_label"),
+
+
+@query(
+    "S12_effective_branch",
+    """SELECT c_custkey AS repo_id, requested, CASE WHEN requested = 'main' AND c_nationkey % 2 = 0 THEN 'main'
+         WHEN requested = 'develop' AND c_nationkey % 3 = 0 THEN 'develop' WHEN c_nationkey % 5 <> 4 THEN 'version-' || c_nationkey END AS branch
+       FROM (SELECT *, CASE c_mktsegment WHEN 'BUILDING' THEN 'main' ELSE 'develop' END AS requested FROM customer)""",
+)
+def effective_branches(spark, sf_dir):
+    """Some remotes have the branch, some only as part of a longer name, some not; a few list none."""
+    customers = ad.table(spark, sf_dir, "customer")
+    repos = customers.selectExpr("c_custkey AS repo_id", "if(c_mktsegment = 'BUILDING', 'main', 'develop') AS requested")
+    listed = customers.selectExpr(
+        "c_custkey AS repo_id",
+        """inline(filter(array(
+             named_struct('branch', if(c_nationkey % 2 = 0, 'main', null), 'is_default', false),
+             named_struct('branch', if(c_nationkey % 3 = 0, 'team/develop', null), 'is_default', false),
+             named_struct('branch', 'xmain', 'is_default', false), named_struct('branch', 'main-old', 'is_default', false),
+             named_struct('branch', if(c_nationkey % 5 <> 4, concat('version-', c_nationkey), null), 'is_default', true)), b -> b.branch IS NOT NULL))""",
     )
+    return repositories.effective_branch(repos, listed)
 
 
 # ---- extraction -------------------------------------------------------------
@@ -251,23 +281,28 @@ def exported(spark, sf_dir):
 @query(
     "P1_extract_functions",
     op.with_parts(op.BASE, """
+    words AS (
+      SELECT k, call_ord, call, CASE rf WHEN 'A' THEN 'item,' ELSE '' END || 'f' || n || ',order,' || call || ',part_' || p
+        || CASE ls WHEN 'O' THEN ',part_' || p || ',parts' ELSE '' END || ',order' || CASE rf WHEN 'R' THEN ',' || lower(noun) || ',order' ELSE '' END AS w
+      FROM lcalls JOIN o USING (k)),
     li AS (
-      SELECT k, sum(3 + (rf = 'A')::INT + CASE ls WHEN 'O' THEN 4 ELSE 2 END + 2 * (rf = 'R')::INT) AS c FROM lcalls GROUP BY 1)""",
+      SELECT k, string_agg(w, ',' ORDER BY call_ord) || ',' AS w, string_agg(call, ',' ORDER BY call_ord) AS c FROM words GROUP BY 1)""",
     select="""
-    SELECT fn.run_id, file_path, fn_ord, qname, short_name, line_start, line_end, n_calls AS calls,
-      CASE WHEN okey IS NOT NULL THEN coalesce(c, 0)::BIGINT + 2
-           WHEN pkey IS NOT NULL THEN CASE WHEN sz <= 10 THEN 4 WHEN sz <= 20 THEN 6 ELSE 5 END
-           ELSE 2 END AS idents,
-      (SELECT min(call) FROM calls WHERE calls.run_id = fn.run_id AND calls.source = fn.qname AND call_ord = 0) AS first_call
+    SELECT fn.run_id, file_path, fn_ord, qname, short_name, line_start, line_end,
+      md5(CASE WHEN okey IS NOT NULL THEN coalesce(c, '') WHEN pkey IS NULL OR sz <= 10 THEN ''
+        WHEN sz <= 20 THEN 'x.update_lead' ELSE alias END) AS calls,
+      md5(CASE WHEN okey IS NOT NULL THEN coalesce(w, '') || 'order,' || short_name
+           WHEN pkey IS NULL THEN 'x,' || short_name
+           WHEN sz <= 10 THEN 'stock,x,x,' || short_name WHEN sz <= 20 THEN 'x.update_lead,update_lead,x,x,x,' || short_name
+           ELSE alias || ',' || alias || ',x,x,' || short_name END) AS idents
     FROM fn LEFT JOIN li ON okey = k LEFT JOIN pt ON pkey = p"""),
 )
 def functions(spark, sf_dir):
-    _, facts = parsed(spark, sf_dir)
+    facts = parsed(spark, sf_dir, ("function",))
     return extract.extract_functions(facts).select(
         "run_id", "file_path", "fn_ord", "qname", "short_name", "line_start", "line_end",
-        F.size("calls").cast("bigint").alias("calls"),
-        F.size("idents").cast("bigint").alias("idents"),
-        F.get("calls", F.lit(0)).alias("first_call"),
+        F.md5(F.array_join("calls", ",")).alias("calls"),
+        F.md5(F.array_join("idents", ",")).alias("idents"),
     )
 
 
@@ -276,7 +311,7 @@ def functions(spark, sf_dir):
     "SELECT 'run-' || (o_custkey % 32) AS run_id, 'svc.order_' || o_orderkey AS module, 'pkg_' || (o_orderkey % 7) AS imported FROM orders",
 )
 def imports(spark, sf_dir):
-    _, facts = parsed(spark, sf_dir)
+    facts = parsed(spark, sf_dir, ("import",))
     return extract.extract_imports(facts).select("run_id", "module", "imported")
 
 
@@ -286,7 +321,7 @@ def imports(spark, sf_dir):
     SELECT run_id, dir || '/part_' || p || '.py' AS file_path, 1 AS error_line FROM allparts WHERE sz = 50"""),
 )
 def parse_errors(spark, sf_dir):
-    _, facts = parsed(spark, sf_dir)
+    facts = parsed(spark, sf_dir, ("error",))
     return extract.extract_parse_errors(facts).select("run_id", "file_path", "error_line")
 
 
@@ -338,7 +373,7 @@ def crud(spark, sf_dir):
     op.with_parts(op.BASE, select="SELECT run_id, qname, complexity FROM fn"),
 )
 def complexities(spark, sf_dir):
-    _, facts = parsed(spark, sf_dir)
+    facts = parsed(spark, sf_dir, ("function",))
     return extract.extract_functions(facts).select(
         "run_id", "qname", tagging.complexity(F.col("branch_kinds")).cast("bigint").alias("complexity")
     )
@@ -357,8 +392,7 @@ def complexities(spark, sf_dir):
     FROM runs LEFT JOIN f USING (run_id)"""),
 )
 def counters(spark, sf_dir):
-    kept, facts = parsed(spark, sf_dir)
-    return tagging.scan_counters(ad.run_table(spark, sf_dir), kept, facts)
+    return tagging.scan_counters(ad.run_table(spark, sf_dir), parsed(spark, sf_dir))
 
 
 # ---- call graph -------------------------------------------------------------

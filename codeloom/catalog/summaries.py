@@ -10,7 +10,7 @@ from codeloom.catalog.graphs_and_risk import _graph
 from codeloom.catalog.registry import query
 from codeloom.functions import coerce
 from codeloom.functions.scores import hash_score, readiness_band
-from codeloom.operators import blueprint, fallback, lineage, migration, ontology, risk
+from codeloom.operators import blueprint, fallback, lineage, migration, ontology, risk, tagging
 from codeloom.plans.analyze import analyze, fallback_products
 from codeloom.session import stored
 
@@ -57,11 +57,28 @@ def _doc_functions(spark, sf_dir):
 # ---- ontology ---------------------------------------------------------------
 
 
-@query("O1_capability_clusters", op.with_parts(op.BASE, op.RUNS, EXPOSURE, select="""
-    SELECT run_id, cluster_ord, name, signal_count FROM clus"""))
+# Orders as functions of five kinds; every second run has no stock, so its clusters differ.
+_KIND = """CASE o_orderpriority WHEN '1-URGENT' THEN 'lead' WHEN '2-HIGH' THEN 'invoice'
+  WHEN '3-MEDIUM' THEN CASE o_custkey % 2 WHEN 0 THEN 'stock' ELSE 'plain' END WHEN '4-NOT SPECIFIED' THEN 'kpi_tax' ELSE 'plain' END"""
+
+
+@query("O1_capability_clusters", op.with_parts(op.RUNS, f"""
+    kf AS (SELECT 'run-' || (o_custkey % 32) AS run_id, {_KIND} AS kind FROM orders),
+    sg AS (
+      SELECT run_id, name, count(*) AS signal_count FROM kf JOIN (VALUES ('lead', 'CRM'), ('invoice', 'Billing'), ('kpi_tax', 'Billing'),
+        ('kpi_tax', 'Reporting'), ('stock', 'Inventory')) v(kind, name) USING (kind) GROUP BY 1, 2
+      UNION ALL
+      SELECT run_id, 'Core', (SELECT count(*) FROM kf WHERE kf.run_id = runs.run_id) FROM runs WHERE run_id NOT IN (
+        SELECT run_id FROM kf WHERE kind <> 'plain')),
+    rk AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY signal_count DESC, name) AS cluster_ord FROM sg)""", select="""
+    SELECT k, run_id, cluster_ord, name, signal_count FROM rk JOIN (VALUES (2), (4)) v(k) ON cluster_ord <= k"""))
 def clusters(spark, sf_dir):
-    found = ontology.capability_clusters(ad.run_table(spark, sf_dir), ad.functions(spark, sf_dir))
-    return found.withColumn("cluster_ord", F.col("cluster_ord").cast("bigint"))
+    functions = ad.table(spark, sf_dir, "orders").selectExpr("concat('run-', o_custkey % 32) AS run_id", f"{_KIND} AS short_name").selectExpr(
+        "run_id", "'svc/a.py' AS file_path", "concat('svc.a.', short_name) AS qname", "short_name"
+    )
+    runs = ad.run_table(spark, sf_dir)
+    found = [ontology.capability_clusters(runs, functions, k).select(F.lit(k).alias("k"), "*") for k in (2, 4)]
+    return found[0].unionByName(found[1]).withColumn("cluster_ord", F.col("cluster_ord").cast("bigint"))
 
 
 @query("O2_integration_exposure", f"""
@@ -175,29 +192,34 @@ def migration_summary(spark, sf_dir):
 
 
 @query("M6_run_summary", op.with_parts(*_RISK, op.WORKFLOW, op.LINEAGE, BOUNDARIES, EXPOSURE, MIGRATION, """
-    allruns AS (SELECT run_id FROM runs UNION ALL SELECT 'new-' || n_nationkey FROM nation)""", select="""
+    allruns AS (SELECT run_id, root_name FROM runs UNION ALL SELECT 'new-' || n_nationkey, n_name FROM nation),
+    scanned AS (SELECT run_id, count(*) AS n, count(*) FILTER (bad) AS errors FROM (
+        SELECT run_id, false AS bad FROM o UNION ALL SELECT run_id, sz = 50 FROM allparts WHERE sz NOT IN (47, 49)) GROUP BY 1)""", select="""
     SELECT r.run_id,
       (SELECT count(*) FROM wnodes x WHERE x.run_id = r.run_id) AS workflow_nodes,
       (SELECT count(*) FROM ledges x WHERE x.run_id = r.run_id) AS lineage_edges,
       (SELECT count(*) FROM findings x WHERE x.run_id = r.run_id) AS risk_findings,
-      (SELECT count(*) FROM fn x WHERE x.run_id = r.run_id) AS functions_scanned,
-      CASE WHEN starts_with(r.run_id, 'new') THEN 'queued' ELSE 'ast-local' END AS analysis_mode,
+      coalesce(scanned.n, 0) AS files_scanned, (SELECT count(*) FROM fn x WHERE x.run_id = r.run_id) AS functions_scanned,
+      coalesce(scanned.errors, 0) AS parse_errors,
+      CASE WHEN starts_with(r.run_id, 'new') THEN 'queued' WHEN starts_with(r.run_id, 'run') THEN 'ast-local' ELSE 'fallback' END AS analysis_mode,
+      CASE WHEN starts_with(r.run_id, 'run') THEN '/srv/' || root_name END AS repo_root,
+      CASE WHEN starts_with(r.run_id, 'empty') THEN
+        'No local repository path resolved. Register repository with local_path or set SOURCE_ROOTS.' END AS note,
       inbound, readiness_score
-    FROM allruns r LEFT JOIN expo USING (run_id) LEFT JOIN mig USING (run_id)"""))
+    FROM allruns r LEFT JOIN scanned USING (run_id) LEFT JOIN expo USING (run_id) LEFT JOIN mig USING (run_id)"""))
 def run_summary(spark, sf_dir):
     p = ad.products(spark, sf_dir)
-    functions = p.functions
-    fresh = ad.table(spark, sf_dir, "nation").selectExpr("concat('new-', n_nationkey) AS run_id")
-    runs = ad.run_table(spark, sf_dir).select("run_id").unionByName(fresh).withColumn("analysis_mode", F.lit("ast-local"))
-    counted = functions.groupBy("run_id").agg(
-        F.count("*").alias("functions_scanned"), F.count_distinct("file_path").alias("files_scanned"),
-        F.lit(0).cast("bigint").alias("parse_errors"),
+    fresh = ad.table(spark, sf_dir, "nation").selectExpr("concat('new-', n_nationkey) AS run_id", "n_name AS root_name")
+    runs = ad.run_table(spark, sf_dir).unionByName(fresh).selectExpr(
+        "run_id", "if(run_id LIKE 'empty%', 'fallback', 'ast-local') AS analysis_mode", "concat('/srv/', root_name) AS repo_root"
     )
+    counted = tagging.scan_counters(runs, ad.record_types(spark, sf_dir))
     made = migration.run_counters(p.workflow_nodes, p.lineage_edges, p.findings)
-    summary = migration.run_summary(runs, made, counted, p.ontology, p.migration)
+    note = migration.fallback_note("SOURCE_ROOTS")
+    summary = migration.run_summary(runs, made, counted, p.ontology, p.migration, note)
     return summary.select(
-        "run_id", "workflow_nodes", "lineage_edges", "risk_findings", "functions_scanned", "analysis_mode",
-        "inbound", "readiness_score",
+        "run_id", "workflow_nodes", "lineage_edges", "risk_findings", "files_scanned", "functions_scanned", "parse_errors",
+        "analysis_mode", "repo_root", "note", "inbound", "readiness_score",
     )
 
 
@@ -295,17 +317,13 @@ def _blueprints(spark, sf_dir):
         WHEN 'phase-1' THEN 'Freeze contracts on inbound and outbound integrations.|Capture baseline metrics and representative regression tests.|Confirm candidate modules and ownership boundaries.'
         WHEN 'phase-2' THEN (SELECT string_agg('Extract boundary anchor `' || anchor_symbol || '` with explicit interface.', '|' ORDER BY place)
             FROM bound b WHERE b.run_id = mig.run_id)
+          || CASE WHEN (SELECT root_name FROM runs r WHERE r.run_id = mig.run_id) LIKE 'erp%' THEN '|Follow boundary priority order: a, b, c, d.' ELSE '' END
         ELSE 'Perform staged traffic cutover with rollback guardrails.|Retire deprecated paths after post-cutover validation.|Track residual risks and schedule follow-up refactors.' END AS actions,
       impacted_modules,
       CASE phase_id WHEN 'phase-3' THEN array_to_string(string_split(recommendations, '|')[1:3], '|') ELSE rerouting_risks END AS risk_watch
     FROM mig JOIN rec USING (run_id) CROSS JOIN (VALUES ('phase-1'), ('phase-2'), ('phase-3')) v(phase_id)"""))
 def phases(spark, sf_dir):
-    p = ad.products(spark, sf_dir)
-    none = ad.run_table(spark, sf_dir).where("false").selectExpr(
-        "run_id", "'' AS status", "cast(array() AS array<string>) AS boundary_priority"
-    )
-    inputs = stored(blueprint.blueprint_inputs(_summary_docs(spark, sf_dir, p)))
-    plans = blueprint.migration_blueprint(inputs, p.findings, p.overall, p.lineage_edges, none)
+    plans = _blueprints(spark, sf_dir)
     return plans.select("run_id", F.inline("phased_plan")).select(
         "run_id", "phase_id", F.array_join("actions", "|").alias("actions"),
         F.array_join("impacted_modules", "|").alias("impacted_modules"),
@@ -347,15 +365,22 @@ def coerced(spark, sf_dir):
         AND t.run_id IN (SELECT run_id FROM counts)), '') AS entities,
       impacted_modules, recommendations,
       (SELECT string_agg(finding_id, '|' ORDER BY place) FROM tf WHERE tf.run_id = mig.run_id AND place <= 5) AS top_risks,
-      CASE WHEN (SELECT root_name FROM runs r WHERE r.run_id = mig.run_id) LIKE 'erp%' THEN 'completed' END AS enrichment_status
+      CASE WHEN (SELECT root_name FROM runs r WHERE r.run_id = mig.run_id) LIKE 'erp%' THEN 'completed' END AS enrichment_status,
+      (SELECT string_agg(anchor_symbol || '=' || required_entities, '|' ORDER BY place) FROM bound b WHERE b.run_id = mig.run_id) AS boundaries,
+      (SELECT inbound || '/' || outbound FROM expo WHERE expo.run_id = mig.run_id) || '/'
+        || (SELECT count(*) FROM ledges x WHERE x.run_id = mig.run_id) || '/' || rerouting_risks AS routing
     FROM mig JOIN rec USING (run_id)"""))
 def blueprints(spark, sf_dir):
     ids = F.transform("top_risks", lambda r: r["finding_id"])
+    boundary = lambda b: F.concat(b["anchor_symbol"], F.lit("="), F.array_join(b["required_entities"], ","))
+    routing = F.col("integration_routing")
     return _blueprints(spark, sf_dir).select(
         "run_id", "readiness_score", "readiness_band", F.array_join("entities", "|").alias("entities"),
         F.array_join("impacted_modules", "|").alias("impacted_modules"),
         F.array_join("recommendations", "|").alias("recommendations"), F.array_join(ids, "|").alias("top_risks"),
-        "enrichment_status",
+        "enrichment_status", F.array_join(F.transform("extraction_boundaries", boundary), "|").alias("boundaries"),
+        F.concat_ws("/", routing["inbound_touchpoints"], routing["outbound_touchpoints"], routing["lineage_edges"],
+                    F.array_join(routing["rerouting_risks"], "|")).alias("routing"),
     )
 
 
@@ -459,11 +484,11 @@ def fallback_evidence(spark, sf_dir):
     SELECT run_id, overall_score, (SELECT count(*) FROM findings x WHERE x.run_id = overall.run_id) AS findings,
       (SELECT count(*) FROM wnodes x WHERE x.run_id = overall.run_id) AS workflow_nodes,
       (SELECT count(*) FROM ledges x WHERE x.run_id = overall.run_id) AS lineage_edges
-    FROM overall WHERE run_id LIKE 'run-%'
+    FROM overall
     UNION ALL
     SELECT run_id, score, 1, 4, 2 FROM core"""))
 def whole_analysis(spark, sf_dir):
-    with_source = ad.run_table(spark, sf_dir).where("run_id LIKE 'run-%'").selectExpr(
+    with_source = ad.run_table(spark, sf_dir).selectExpr(
         "run_id", "root_name AS name", "concat('/srv/', root_name) AS source_root"
     )
     resolved = with_source.unionByName(_repos(spark, sf_dir).selectExpr("run_id", "name", "cast(null AS string) AS source_root"))

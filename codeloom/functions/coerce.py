@@ -53,22 +53,25 @@ def printed(value: Column) -> Column:
     )
 
 
+#: Item which is read after a text; a noncharacter, which no text is meant to hold.
+_END = "\ufdd0"
+
+
 def parse(text: Column) -> Column:
     """VARIANT of a JSON text, null when the text is not exactly one JSON value.
 
-    The built-in parser stops after the first value.  Inside brackets a second value
-    shows up as an element or an error.  A text which may close the bracket itself is
-    read inside braces too, where that fails.
+    The built-in parser stops after the first value.  Here it reads a list of the text and
+    an end mark: the mark is the second and last item only if the text is one value, and a
+    text which closes the list itself never gets to it.  A text with a list that ends in the
+    mark itself is not read.
     """
-    listed = read_variant(F.concat(F.lit("["), text, F.lit("]")))
-    named = read_variant(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    listed = read_variant(F.concat(F.lit("["), text, F.lit(f',"{_END}"]')))
 
     def only(values: Column) -> Column:
-        single = values.isNotNull() & at(values, "$[1]").isNull()
-        value = F.when(F.contains(text, F.lit("]")), at(named, "$.v")).otherwise(at(values, "$[0]"))
-        return F.when(single, value)
+        ended = (text_at(values, "$[1]") == _END) & at(values, "$[2]").isNull()
+        return F.when(ended, at(values, "$[0]"))
 
-    return bind(listed, only)
+    return F.when(~F.contains(text, F.lit(f'"{_END}"]')), bind(listed, only))
 
 
 def kind(value: Column) -> Column:

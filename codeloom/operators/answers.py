@@ -36,10 +36,19 @@ def _first_rows(table: DataFrame, order: str, cap: int, fields: list[str], name:
     )
 
 
+def _whole_row(table: DataFrame, name: str) -> DataFrame:
+    """(run_id, name): all other columns of a table with one row per run as one struct."""
+    return table.select("run_id", F.struct(*[c for c in table.columns if c != "run_id"]).alias(name))
+
+
 def run_context(
-    nodes: DataFrame, edges: DataFrame, findings: DataFrame, evidence: DataFrame, enrichment: DataFrame
+    nodes: DataFrame, edges: DataFrame, findings: DataFrame, evidence: DataFrame, enrichment: DataFrame, runs: DataFrame
 ) -> DataFrame:
-    """One row per run with capped lists; it does not depend on the questions."""
+    """One row per run with capped lists; it does not depend on the questions.
+
+    ``runs`` (run_id, status, ... its summary) and ``enrichment`` are taken with all their
+    columns, as the structs ``run`` and ``enrichment``; both may lack a run.
+    """
     first_nodes = _first_rows(
         nodes, "node_ord", lx.CONTEXT_NODES, ["node_id", "label", "node_type", "risk_score"], "nodes"
     )
@@ -48,7 +57,7 @@ def run_context(
     )
     first_findings = _first_rows(
         findings, "finding_ord", lx.CONTEXT_FINDINGS,
-        ["finding_id", "category", "severity", "score", "title", "symbol"], "findings",
+        ["finding_id", "category", "severity", "score", "title", "rationale", "symbol", "suggestions"], "findings",
     )
     known = nodes.select("run_id", "node_id", "label", "node_ord").join(evidence, ["run_id", "node_id"])
     node_evidence = _first_rows(
@@ -66,7 +75,8 @@ def run_context(
         .join(first_edges, "run_id", "left")
         .join(node_evidence, "run_id", "left")
         .join(top, "run_id")
-        .join(enrichment, "run_id", "left")
+        .join(_whole_row(enrichment, "enrichment"), "run_id", "left")
+        .join(_whole_row(runs, "run"), "run_id", "left")
     )
 
 

@@ -407,3 +407,22 @@ def configured_readiness(providers: DataFrame, checked: DataFrame, keys: list[st
         .otherwise(F.lit("mcp_config_loaded_no_http_probe"))
         .alias("detail"),
     )
+
+
+def server_listing(configs: DataFrame) -> DataFrame:
+    """One row per server of configs(config_id, raw JSON text): its url, its command, whether
+    it has headers, and their sorted names; never a header's value.
+
+    A text which is no JSON object, or has no servers, gives no row.
+    """
+    servers = coerce.at(coerce.parse(F.col("raw")), "$.mcpServers")
+    names = F.from_json(F.when(coerce.is_object(servers), F.to_json(servers)), "map<string,string>")
+    rows = configs.select("config_id", F.explode(names).alias("server", "body"))
+    doc = coerce.parse(F.col("body"))
+    rows = rows.select("config_id", "server", doc.alias("doc")).where(coerce.is_object(F.col("doc")))
+    headers = coerce.at(F.col("doc"), "$.headers")
+    keys = F.map_keys(F.from_json(F.when(coerce.is_object(headers), F.to_json(headers)), "map<string,string>"))
+    return rows.select(
+        "config_id", "server", coerce.text_at(F.col("doc"), "$.url").alias("url"), coerce.text_at(F.col("doc"), "$.command").alias("command"),
+        headers.isNotNull().alias("has_headers"), F.array_sort(F.coalesce(keys, lx.string_array([]))).alias("header_keys"),
+    )

@@ -122,3 +122,25 @@ def ingestion_mode(
         F.when(is_local, F.lit("Using user-provided local path")).otherwise(other).alias("message"),
         resolved.alias("branch"),
     )
+
+
+def effective_branch(repos: DataFrame, listed: DataFrame) -> DataFrame:
+    """Branch to check out for repos(repo_id, requested), given the remote's branches
+    listed(repo_id, branch, is_default).
+
+    The requested one if the remote has it (also as the last part of a longer name, which a
+    remote listing finds too), else the remote's default, else null.
+    """
+    asked = repos.select("repo_id", "requested")
+    met = asked.join(listed, "repo_id", "left")
+    same = (F.col("branch") == F.col("requested")) | F.endswith("branch", F.concat(F.lit("/"), F.col("requested")))
+    found = met.groupBy("repo_id", "requested").agg(
+        F.coalesce(F.bool_or(same), F.lit(False)).alias("exists"), F.min(F.when(F.col("is_default"), F.col("branch"))).alias("default")
+    )
+    return found.select("repo_id", "requested", F.when(F.col("exists"), F.col("requested")).otherwise(F.col("default")).alias("branch"))
+
+
+def is_missing_branch(message: Column) -> Column:
+    """Does an error text of a checkout say that the branch is not there?"""
+    text = F.lower(message)
+    return F.contains(text, F.lit("remote branch")) & F.contains(text, F.lit("not found"))
