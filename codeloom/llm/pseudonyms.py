@@ -143,10 +143,45 @@ def natural_end(value: Column) -> Column:
     )
 
 
+def late_start(value: Column) -> Column:
+    """How many characters of a run of digits lie before a card which ends it, null if none
+    does; the longest card counts."""
+    starts = F.filter(F.sequence(F.lit(1), F.length(value) - 1), lambda i: F.substring(value, i, F.lit(1)).isin(" ", "-"))
+
+    def card(i: Column) -> Column:
+        digits = _digits(F.substring(value, i + 1, F.length(value)))
+        return F.length(digits).between(13, 19) & (_luhn(digits, 1) % 10 == 0)
+
+    number = value.rlike("^[0-9]+[ -][0-9 -]*$") & ~value.rlike(f"^(?:{PATTERNS['phone']})$")
+    return F.when(number & (_luhn(_digits(value), 1) % 10 != 0), F.array_min(F.filter(starts, card)))
+
+
 def _stopped(value: Column) -> Column:
-    end = F.transform(F.array(natural_end(value)), lambda e: F.when(
-        e < F.length(value), F.concat(F.substring(value, F.lit(1), e), F.lit(STOP), F.substring(value, e + 1, F.length(value)))))[0]
-    return F.coalesce(end, value)
+    """A match with a mark where a value inside it ends or, if it begins with none, begins."""
+    def marked(at: Column) -> Column:
+        return F.concat(F.substring(value, F.lit(1), at), F.lit(STOP), F.substring(value, at + 1, F.length(value)))
+
+    return F.transform(F.array(F.struct(natural_end(value).alias("e"), late_start(value).alias("s"))), lambda x: F.coalesce(
+        F.when(x["e"] < F.length(value), marked(x["e"])), F.when(x["e"].isNull(), marked(x["s"])), value))[0]
+
+
+def _all_stopped(text: Column, passes: Column) -> Column:
+    """The text with all its marks: a mark lets the search begin anew behind it, so what
+    follows a value is looked at in the next pass.  A match holds two values at most."""
+    def once(own: Column, _: Column) -> Column:
+        found = F.transform(F.regexp_extract_all(own, F.lit(ANY), 0), _stopped)
+        return F.array_join(F.flatten(F.zip_with(
+            F.split(own, ANY), found, lambda gap, value: F.array(gap, F.coalesce(value, F.lit("")))
+        )), "")
+
+    return F.aggregate(F.sequence(F.lit(1), passes), text, once)
+
+
+def _with_separators(bare: Column, value: Column) -> Column:
+    """The characters of ``bare`` in the places which ``value`` has for them."""
+    kept = lambda i: F.length(F.regexp_replace(F.substring(value, F.lit(1), i + 1), "[ -]", ""))
+    return F.array_join(F.transform(
+        F.split(value, ""), lambda c, i: F.when(c.isin(" ", "-"), c).otherwise(F.substring(bare, kept(i), F.lit(1)))), "")
 
 
 def kind_of(value: Column) -> Column:
@@ -184,22 +219,24 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
     )[0]
     area = F.regexp_extract(value, r"^(\+?(?:[0-9]{1,3}[ .-](?=.{12,}))?)", 1)
     phone = F.concat(area, permuted_text(F.substring(value, F.length(area) + 1, F.length(value)), key, "phone"))
+    plain = F.regexp_replace(value, "[ -]", "")  # equal values in other notations stay linked
     card = F.transform(
-        F.array(permuted_text(F.substring(value, F.lit(1), F.length(value) - 1), key, "card")),
-        lambda body: F.concat(body, ((10 - _luhn(_digits(body), 0) % 10) % 10).cast("string")),
+        F.array(permuted_text(F.substring(plain, F.lit(1), F.length(plain) - 1), key, "card")),
+        lambda body: _with_separators(F.concat(body, ((10 - _luhn(body, 0) % 10) % 10).cast("string")), value),
     )[0]
     iban = F.transform(
-        F.array(permuted_text(F.substring(value, F.lit(5), F.length(value)), key, "iban")),
-        lambda body: F.concat(
+        F.array(permuted_text(F.substring(plain, F.lit(5), F.length(plain)), key, "iban")),
+        lambda body: _with_separators(F.concat(
             F.substring(value, 1, 2),
-            F.lpad((98 - _mod97(F.concat(F.regexp_replace(body, " ", ""), F.substring(value, 1, 2), F.lit("00")))).cast("string"), 2, "0"),
+            F.lpad((98 - _mod97(F.concat(body, F.substring(value, 1, 2), F.lit("00")))).cast("string"), 2, "0"),
             body,
-        ),
+        ), value),
     )[0]
+    account = F.transform(F.array(permuted_text(plain, key, "account")), lambda body: _with_separators(body, value))[0]
     return (
         F.when(kind == "email", email).when(kind == "date", date).when(kind == "ip", ip).when(kind == "phone", phone)
         .when(kind == "card", card).when(kind == "iban", iban)
-        .when(kind == "ssn", permuted_text(value, key, "ssn")).when(kind == "account", permuted_text(value, key, "account"))
+        .when(kind == "ssn", permuted_text(value, key, "ssn")).when(kind == "account", account)
         .otherwise(value)
     )
 
@@ -220,9 +257,7 @@ def pseudonymise(docs: DataFrame, *, key: str, text: str = "text") -> DataFrame:
     tried = docs.withColumn(found_, F.when(likely, F.regexp_extract_all(text, F.lit(ANY), 0)))
     # a match that begins with a shorter IBAN or card gets a mark there and the text is searched anew
     tried = tried.withColumn(marked_, F.when(~F.contains(text, F.lit(STOP)), F.transform(found_, _stopped)))
-    marked = F.array_join(F.flatten(F.zip_with(
-        F.split(F.col(text), ANY), marked_, lambda gap, value: F.array(gap, F.coalesce(value, F.lit("")))
-    )), "")
+    marked = _all_stopped(F.col(text), 2 * F.size(found_))
     again = F.exists(marked_, lambda v: F.contains(v, F.lit(STOP)))
     tried = tried.withColumn(again_, F.coalesce(again, F.lit(False))).withColumn(text_, F.when(F.col(again_), marked).otherwise(F.col(text)))
     found = tried.withColumn(found_, F.when(F.col(again_), F.regexp_extract_all(text_, F.lit(ANY), 0)).otherwise(F.col(found_)))
