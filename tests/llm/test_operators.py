@@ -506,82 +506,3 @@ def test_blocks_agree_with_one_path():
 def test_markers():
     for line, want in (("User: hi", (2, "hi")), ("[assistant] x", (3, "x")), ("<|system|> y", (1, "y")), ("**AI:** z", (3, "z")), ("### Human:", (2, "")), ("Users say: no", (0, "Users say: no"))):
         assert transcripts.marker(line) == want
-
-
-# ---- similar documents by long fingerprints ---------------------------------
-
-
-def _edited(words, every, tag):
-    return [f"{tag}{n}" if n % every == every // 2 else w for n, w in enumerate(words)]
-
-
-def test_similar_documents(spark):
-    """Every pair with a similarity of 0.8 or more is linked, none below 0.5."""
-    rng = random.Random(5)
-    rows, sets = [], {}
-    for d in range(60):
-        words = [f"w{rng.randrange(5000)}" for _ in range(400)]
-        for k, text in enumerate([words, _edited(words, 100, "x"), _edited(words, 60, "y"), _edited(words, 6, "z")]):
-            rows.append((10 * d + k, " ".join(text)))
-            sets[10 * d + k] = {tuple(text[i : i + 5]) for i in range(len(text) - 4)}
-    frame = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(frame).collect()}
-    for a in sets:
-        for b in range(a + 1, a - a % 10 + 4):
-            similarity = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
-            if similarity >= 0.8:
-                assert got[a] == got[b]
-            if similarity < 0.5:
-                assert got[a] != got[b]
-    assert len(set(got.values())) == 120
-
-
-def test_similar_documents_edges(spark):
-    """Texts without words are one group, short texts are compared whole, a null id is named
-    by its group, repeated rows come back each, and a hot bucket is dealt out in blocks."""
-    rows = [(1, None), (2, ""), (3, " \n"), (7, "One two"), (5, "one  TWO"), (None, "one two"), (9, "one"), (9, "one"), (4, "x " * 50000)]
-    frame = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS node", "2 AS w0", "3 AS keys")
-    got = Counter((r["doc_id"], r["component_id"]) for r in simhash.similar_documents(frame).collect())
-    assert got == Counter({(1, 1): 1, (2, 1): 1, (3, 1): 1, (7, 5): 1, (5, 5): 1, (None, 5): 1, (9, 9): 2, (4, 4): 1})
-    assert simhash.similar_documents(frame.limit(0)).isEmpty()
-    base = [f"w{n}" for n in range(300)]
-    copies = [(n, " ".join(base[:n] + ["odd"] + base[n + 1 :])) for n in range(200)]
-    prints = simhash.long_fingerprints(spark.createDataFrame(copies, "doc_id long, text string")).withColumnRenamed("doc_id", "node").checkpoint()
-    found = simhash.components(simhash.long_links(prints, limit=simhash.differing_bits(0.8), bucket=16)).collect()
-    assert {r["root"] for r in found} == {0} and len(found) == 200
-
-
-def test_similar_documents_against_brute_force(spark):
-    """Components of all pairs with a Jaccard similarity of 0.8 or more, short texts and
-    pairs close to the limit on either side included; a common passage links nothing."""
-    rng = random.Random(12)
-    common = [f"c{i}" for i in range(40)]
-    texts = []
-    for _ in range(120):
-        base = [f"w{rng.randrange(9000)}" for _ in range(rng.choice((8, 13, 24, 60, 200, 400)))]
-        texts += [base, base + ["more"]]
-        for share in (0.01, 0.02, 0.021, 0.022, 0.023, 0.03):
-            own = list(base)
-            for at in rng.sample(range(len(base)), max(1, int(share * len(base)))):
-                own[at] = f"e{rng.randrange(9000)}"
-            texts.append(own)
-    texts += [common + [f"v{rng.randrange(9000)}" for _ in range(80)] for _ in range(150)]
-    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
-    root = list(range(len(texts)))
-
-    def find(v):
-        while root[v] != v:
-            v = root[v]
-        return v
-
-    by = {}
-    for k, own in enumerate(sets):
-        for x in own:
-            by.setdefault(x, []).append(k)
-    for a, b in {(a, b) for held in by.values() for a in held for b in held if a < b}:
-        if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
-            x, y = sorted((find(a), find(b)))
-            root[y] = x
-    frame = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
-    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(frame).collect()}
-    assert got == {k: find(k) for k in range(len(texts))}
