@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.catalog import adapters as ad
 from codeloom.catalog import oracle_parts as op
-from codeloom.catalog.graphs_and_risk import _graph
+from codeloom.catalog.graphs_and_risk import EVIDENCE_PARTS, _graph
 from codeloom.catalog.registry import query
 from codeloom.functions import coerce
 from codeloom.functions.scores import hash_score, readiness_band
@@ -480,20 +483,34 @@ def fallback_evidence(spark, sf_dir):
     )
 
 
-@query("F8_analyze", op.with_parts(*_RISK, op.WORKFLOW, op.LINEAGE, _REPOS_SQL, select="""
-    SELECT run_id, overall_score, (SELECT count(*) FROM findings x WHERE x.run_id = overall.run_id) AS findings,
-      (SELECT count(*) FROM wnodes x WHERE x.run_id = overall.run_id) AS workflow_nodes,
-      (SELECT count(*) FROM ledges x WHERE x.run_id = overall.run_id) AS lineage_edges
-    FROM overall
+@query("F8_analyze", op.with_parts(*EVIDENCE_PARTS, EXPOSURE, BOUNDARIES, MIGRATION, _REPOS_SQL, select="""
+    SELECT o.run_id, overall_score, (SELECT count(*) FROM findings x WHERE x.run_id = o.run_id) AS findings,
+      (SELECT count(*) FROM wnodes x WHERE x.run_id = o.run_id) AS workflow_nodes,
+      (SELECT count(*) FROM wedges x WHERE x.run_id = o.run_id) AS workflow_edges,
+      (SELECT count(*) FROM lnodes x WHERE x.run_id = o.run_id) AS lineage_nodes,
+      (SELECT count(*) FROM ledges x WHERE x.run_id = o.run_id) AS lineage_edges,
+      (SELECT count(*) FROM ev x WHERE x.run_id = o.run_id) AS evidence,
+      (SELECT string_agg(name || ':' || signal_count, '|' ORDER BY cluster_ord) FROM clus c WHERE c.run_id = o.run_id)
+        || '/' || inbound || '/' || outbound AS ontology,
+      readiness_score, impacted_modules
+    FROM overall o JOIN expo ON expo.run_id = o.run_id JOIN mig ON mig.run_id = o.run_id
     UNION ALL
-    SELECT run_id, score, 1, 4, 2 FROM core"""))
+    SELECT run_id, score, 1, 4, 3, 3, 2, 7, CASE WHEN contains(lower(name), 'crm') THEN 'CRM' ELSE 'ERP' END || ':2|Core:1/0/0',
+      round(greatest(10e0, least(90e0, 100e0 - score)), 2), name FROM core"""))
 def whole_analysis(spark, sf_dir):
+    """All nine products of runs with and without source, and without functions, a row per run."""
     with_source = ad.run_table(spark, sf_dir).selectExpr(
         "run_id", "root_name AS name", "concat('/srv/', root_name) AS source_root"
     )
     resolved = with_source.unionByName(_repos(spark, sf_dir).selectExpr("run_id", "name", "cast(null AS string) AS source_root"))
     p = analyze(resolved, ad.functions(spark, sf_dir), keep=stored)
-    made = migration.run_counters(p.workflow_nodes, p.lineage_edges, p.findings)
-    return p.overall.join(made, "run_id").select(
-        "run_id", "overall_score", F.col("risk_findings").alias("findings"), "workflow_nodes", "lineage_edges"
+    tables = ["workflow_nodes", "workflow_edges", "lineage_nodes", "lineage_edges", "findings", "evidence"]
+    rows = [getattr(p, name).select("run_id", F.lit(name).alias("t")) for name in tables]
+    counted = reduce(DataFrame.unionByName, rows).groupBy("run_id").agg(*[F.count_if(F.col("t") == name).alias(name) for name in tables])
+    cluster = lambda c: F.concat(c["name"], F.lit(":"), c["signal_count"].cast("string"))
+    found = p.overall.join(counted, "run_id").join(p.ontology, "run_id").join(p.migration, "run_id")
+    clusters = F.array_join(F.transform("capability_clusters", cluster), "|")
+    return found.select(
+        "run_id", "overall_score", *tables, F.concat_ws("/", clusters, "inbound", "outbound").alias("ontology"),
+        "readiness_score", F.array_join("impacted_modules", "|").alias("impacted_modules"),
     )

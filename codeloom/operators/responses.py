@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from codeloom.functions import coerce
 from codeloom.functions import lexicons as lx
 from codeloom.functions.text import blank_to_null, platform_label, strip
+from codeloom.operators.ranking import ranked
+from codeloom.session import stored
 
 # Default texts (fixed values).
 CITATION_REASON = "Dust citation"
@@ -341,32 +343,46 @@ def reference_result(responses: DataFrame) -> DataFrame:
 # ---- provider probes --------------------------------------------------------
 
 
-def provider_readiness(probes: DataFrame, keys: list[str]) -> DataFrame:
+def _failure_text() -> Column:
+    return F.concat("url", F.lit("->"), F.coalesce(F.nullif("detail", F.lit("")), F.lit("unreachable")))
+
+
+def _joined_failures(rows: DataFrame, keys: list[str], order: str, name: str) -> DataFrame:
+    """The texts of every key in order, as one text."""
+    listed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("text").alias("text"))))
+    return rows.groupBy(*keys).agg(F.array_join(F.transform(listed, lambda x: x["text"]), "; ").alias(name))
+
+
+def provider_readiness(probes: DataFrame, keys: list[str], listed: int = 1000) -> DataFrame:
     """Readiness per key of probes(*keys, ord, url, reachable, latency_ms, detail).
 
     The fastest reachable probe is shown, where a latency of 0 sorts as 10,000.  The
     detail of an unreachable provider lists its failures.  Failure texts are kept
-    only for keys which turn out unreachable, one text per probe and in probe order.
+    only for keys which turn out unreachable, one text per probe and in probe order.  A key
+    with more than ``listed`` of them, by its counted size, is joined block by block: no list
+    holds more than ``listed`` probes, or the blocks of one key.
     """
     speed = F.struct(
         F.coalesce(F.nullif("latency_ms", F.lit(0)), F.lit(10_000)).alias("ms"), F.col("ord")
     )
-    best = probes.groupBy(*keys).agg(
+    best = stored(probes.groupBy(*keys).agg(
         F.bool_or("reachable").alias("reachable"),
+        F.count("*").alias("probes"),
         F.min_by(
             F.struct("url", "latency_ms", "detail"), F.when(F.col("reachable"), speed)
         ).alias("best"),
-    )
-    down = best.where(~F.col("reachable")).select(*keys)
-    failure = F.concat("url", F.lit("->"), F.coalesce(F.nullif("detail", F.lit("")), F.lit("unreachable")))
-    listed = (
-        probes.join(down, keys, "left_semi")
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(F.struct("ord", failure.alias("text")))).alias("f"))
-        .select(*keys, F.array_join(F.transform("f", lambda x: x["text"]), "; ").alias("failures"))
-    )
+    ))
+    down = best.where(~F.col("reachable"))
+    few, many = (down.where(size).select(*keys) for size in (F.col("probes") <= listed, F.col("probes") > listed))
+    texts = probes.select(*keys, "ord", _failure_text().alias("text"))
+    failures = _joined_failures(texts.join(few, keys, "left_semi"), keys, "ord", "failures")
+    if not many.isEmpty():
+        placed = ranked(texts.join(many, keys, "left_semi"), keys, ["ord"], "place")
+        blocks = placed.withColumn("block", F.floor((F.col("place") - 1) / listed))
+        blocks = _joined_failures(blocks, [*keys, "block"], "place", "text")
+        failures = failures.unionByName(_joined_failures(blocks, keys, "block", "failures"))
     good = F.coalesce(F.nullif("best.detail", F.lit("")), F.concat(F.lit("ok:"), F.col("best.url")))
-    return best.join(listed, keys, "left").select(
+    return best.join(failures, keys, "left").select(
         *keys,
         "reachable",
         F.col("best.latency_ms").alias("latency_ms"),
@@ -377,8 +393,7 @@ def provider_readiness(probes: DataFrame, keys: list[str]) -> DataFrame:
 def probe_failures(probes: DataFrame, keys: list[str]) -> DataFrame:
     """The failures of unreachable providers as rows, for providers with very many probes."""
     up = probes.where("reachable").select(*keys).distinct()
-    text = F.concat("url", F.lit("->"), F.coalesce(F.nullif("detail", F.lit("")), F.lit("unreachable")))
-    return probes.join(up, keys, "left_anti").select(*keys, "ord", text.alias("failure"))
+    return probes.join(up, keys, "left_anti").select(*keys, "ord", _failure_text().alias("failure"))
 
 
 def single_probe_detail(detail: Column) -> Column:

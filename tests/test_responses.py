@@ -160,3 +160,16 @@ def test_printed_items(spark):
 def test_display_order_of_keys(spark):
     text = F.lit('{"b":1,"10":2,"a":3,"9":4,"b":5}')
     assert [(e["key"], e["value"]) for e in one(spark, views._text_entries(text))] == [("9", "4"), ("10", "2"), ("b", "5"), ("a", "3")]
+
+
+def test_failures_of_a_hot_provider(spark):
+    """Long lists are joined block by block, in probe order, beside short ones."""
+    probes = spark.range(1200).selectExpr(
+        "if(id % 3 = 0, concat('k', id % 5), 'hot') AS k", "1000 - id AS ord", "concat('u', id) AS url", "k = 'k1' AND id % 2 = 0 AS reachable",
+        "cast(1 AS int) AS latency_ms", "if(id % 2 = 0, 'x', '') AS detail")
+    for listed in (7, 10_000):
+        rows = {r.k: r for r in responses.provider_readiness(probes, ["k"], listed).collect()}
+        for k in ("hot", "k0", "k4"):
+            ids = [i for i in range(1199, -1, -1) if ("hot" if i % 3 else f"k{i % 5}") == k]
+            assert rows[k].detail == "; ".join(f"u{i}->{'unreachable' if i % 2 else 'x'}" for i in ids)
+        assert rows["k1"].reachable and rows["k1"].detail == "x"
