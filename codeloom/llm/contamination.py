@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm.registry import fresh
+from codeloom.llm.sift import likely
 from codeloom.llm.tokens import slices
 from codeloom.session import stored
 
@@ -252,9 +253,13 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows whose text overlaps with the benchmark.
 
     Rows are told apart by their texts, so null and repeated ids decide nothing; a null text
-    stays.  All columns are returned as they were.
+    stays.  All columns are returned as they were.  Texts which are surely clean are not
+    shuffled.
     """
-    key = F.sha2(F.col("text").cast("string"), 256)
-    found = overlaps(docs.select(key.alias("doc_id"), "text"), benchmark)
+    key = F.coalesce(F.sha2(F.col("text").cast("string"), 256), F.lit(""))
     name = fresh(docs, "found")
-    return docs.join(stored(found.select(F.col("doc_id").alias(name)).distinct()), key == F.col(name), "left_anti")
+    found = overlaps(docs.select(key.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias(name))
+    found = stored(found.distinct())
+    near = likely(found, name, key)
+    rest = docs.where(near).join(found.hint("merge"), key == F.col(name), "left_anti")
+    return docs.where(~near).unionByName(rest)
