@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from codeloom.llm import contamination, language, packing, pseudonyms, simhash
 from codeloom.llm.queries import PII_KEY, WORD_BPE
 from codeloom.llm.registry import table
+from codeloom.llm.sift import likely
 from codeloom.session import stored
 
 SHINGLE_WORDS = 3  # as in op5
@@ -35,11 +36,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     sha = F.coalesce(F.sha2("text", 256), F.lit(""))
     name = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), sha.alias("sha"))
     found = simhash.near_duplicates(docs.select(name.alias("name"), "text"), width=SHINGLE_WORDS, budget=BITS, doc_id="name")
-    first = found.where("doc_id = component_id").groupBy("doc_id").agg((F.count("*") > 1).alias("repeated"))
-    first = stored(first.select(F.col("doc_id.id").alias("id"), F.col("doc_id.sha").alias("sha"), "repeated")).alias("f")
-    rows = docs.alias("d").join(first, F.col("d.doc_id").eqNullSafe(F.col("f.id")) & (F.coalesce(F.sha2("d.text", 256), F.lit("")) == F.col("f.sha")))
-    once = rows.where("not f.repeated").select("d.*")
-    return once.union(rows.where("f.repeated").select("d.*").dropDuplicates(["doc_id", "text"]))
+    # names which do not simply stay: copies of other rows, and rows that are there more than once
+    odd = found.groupBy("doc_id").agg((F.first("component_id") == F.col("doc_id")).alias("first"), F.count("*").alias("rows"))
+    odd = stored(odd.where("rows > 1 OR NOT first").select(F.col("doc_id").alias("odd"), "first"))
+    near = likely(odd, "odd", name)
+    rest = docs.where(near).select(F.struct(*docs.columns).alias("row"), name.alias("name"))
+    rest = stored(rest.join(odd.hint("merge"), F.col("name") == F.col("odd"), "left").select("row", "name", "first"))
+    alone = rest.where("first IS NULL").select("row.*")
+    return docs.where(~near).unionByName(alone).unionByName(rest.where("first").dropDuplicates(["name"]).select("row.*"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
