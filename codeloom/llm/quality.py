@@ -111,14 +111,14 @@ def _matches(terms: list[tuple[int, bool, int]]) -> Column:
 
 def learn_rules(
     labelled: DataFrame, *, bad: str = "quality = 0", max_rules: int = 8, max_terms: int = 3,
-    precision: float = 0.8, least: int = 5, max_tries: int = 24, names: list[str] | None = None,
+    precision: float = 0.8, least: int = 5, names: list[str] | None = None,
 ) -> list[Rule]:
     """Decision list for the rows where ``bad`` holds; no rules if either class is missing.
 
     ``labelled``: rows with the features, doc_id and whatever ``bad`` needs; a null label is
     left out.  A rule must cover ``least`` bad rows and reach ``precision`` over all rows that
-    the rules before left.  A conjunction that does not is given up with its first term, and
-    another one is grown, up to ``max_tries`` in all; covering ends where no term has gain.
+    the rules before left.  A conjunction that does not is given up, and another one is grown
+    which begins with another feature or side; covering ends where no first term has gain.
     The driver sees cuts, and counts by feature and bin.
     """
     names = names or list(FEATURES)
@@ -140,17 +140,18 @@ def learn_rules(
     ))
     rules: list[Rule] = []
     left = F.lit(True)
-    given_up: set[tuple[int, bool, int]] = set()  # first terms which led to no rule
-    for _ in range(max_tries):
-        if len(rules) == max_rules:
-            break
+
+    def counts(terms: list[tuple[int, bool, int]]) -> list:
+        pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(b).alias("b")) for k, b in enumerate(bins)]))
+        rows = cells.where(left & ~F.col("prune") & _matches(terms)).select("p", "n", pairs.alias("x"))
+        return rows.groupBy("x.k", "x.b").agg(F.sum("p").alias("p"), F.sum("n").alias("n")).collect()
+
+    given_up: set[tuple[int, bool]] = set()  # features and sides that began no rule; two of each feature at most
+    whole = counts([])  # of all rows that are left: the same until there is a new rule
+    while len(rules) < max_rules:
         terms: list[tuple[int, bool, int]] = []
         while len(terms) < max_terms:
-            pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(b).alias("b")) for k, b in enumerate(bins)]))
-            table = (
-                cells.where(left & ~F.col("prune") & _matches(terms)).select("p", "n", pairs.alias("x"))
-                .groupBy("x.k", "x.b").agg(F.sum("p").alias("p"), F.sum("n").alias("n")).collect()
-            )
+            table = counts(terms) if terms else whole
             term = _best_term(table, len(names), given_up if not terms else set())
             if term is None:
                 break
@@ -170,12 +171,13 @@ def learn_rules(
         keep = max(range(len(terms)), key=lambda i: (worth(i), -i))
         p, n = row[keep]["p_all"] or 0, row[keep]["n_all"] or 0
         if p < least or p < precision * (p + n) or worth(keep) < 2 * precision - 1:
-            given_up.add(terms[0])
+            given_up.add(terms[0][:2])
             continue
         terms = terms[: keep + 1]
         rules.append(Rule([(names[k], upper, cuts[names[k]][cut if upper else cut - 1]) for k, upper, cut in _as_values(terms)], {"bad": p, "good": n}))
         left = left & ~_matches(terms)
         given_up.clear()
+        whole = counts([])
     return rules
 
 
@@ -184,7 +186,7 @@ def _as_values(terms: list[tuple[int, bool, int]]) -> list[tuple[int, bool, int]
     return [(k, upper, cut if upper else cut + 1) for k, upper, cut in terms]
 
 
-def _best_term(table: list, n_features: int, barred: set[tuple[int, bool, int]]) -> tuple[int, bool, int] | None:
+def _best_term(table: list, n_features: int, barred: set[tuple[int, bool]]) -> tuple[int, bool, int] | None:
     """The threshold with the largest FOIL gain outside ``barred``, None if there is no gain."""
     p_all = sum(r["p"] for r in table if r["k"] == 0)
     n_all = sum(r["n"] for r in table if r["k"] == 0)
@@ -197,7 +199,7 @@ def _best_term(table: list, n_features: int, barred: set[tuple[int, bool, int]])
         for r in sorted((r for r in table if r["k"] == k), key=lambda r: r["b"]):
             p, n = p + r["p"], n + r["n"]
             for upper, x, y in ((True, p, n), (False, p_all - p, n_all - n)):
-                if x and (x, y) != (p_all, n_all) and (k, upper, r["b"]) not in barred:
+                if x and (x, y) != (p_all, n_all) and (k, upper) not in barred:
                     gain = x * (math.log2(x / (x + y)) - before)
                     if gain > best:
                         best, chosen = gain, (k, upper, r["b"])
