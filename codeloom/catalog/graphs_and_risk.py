@@ -104,9 +104,48 @@ def hub(spark, sf_dir):
     return node.join(edge, "run_id")
 
 
-@query("W7_workflow_graph", op.with_parts(*_WORKFLOW, select=_graph_sql("wnodes", "wedges")))
+# In the runs which are named after a nation, three functions call each other and rank first,
+# so their graphs have call edges; the other runs have none and are chained.
+_HUB_ROWS = """
+fn AS (
+  SELECT * FROM order_fn UNION ALL
+  SELECT 'run-' || n_nationkey, 'core/' || w || '_' || n_nationkey || '.py', 1, 'core.' || w || '_' || n_nationkey || '.' || w || '_' || n_nationkey,
+    w || '_' || n_nationkey, upper(w[1]) || w[2:] || ' ' || n_nationkey, 1, 90, c, k, [], [], NULL, NULL
+  FROM nation CROSS JOIN (VALUES ('hub', 90, 3), ('spoke', 80, 1), ('rim', 70, 0)) v(w, c, k)),
+lcalls AS ("""
+_HUB_EDGES = """
+edges AS (
+  SELECT * FROM order_edges UNION ALL
+  SELECT 'run-' || n_nationkey, 'core.' || a || '_' || n_nationkey || '.' || a || '_' || n_nationkey, 'core.' || b || '_' || n_nationkey || '.' || b || '_' || n_nationkey
+  FROM nation CROSS JOIN (VALUES ('hub', 'spoke'), ('hub', 'rim'), ('hub', 'hub'), ('spoke', 'rim')) v(a, b)),
+deg AS ("""
+_HUB_PARTS = (
+    op.BASE.replace("\nfn AS (", "\norder_fn AS (").replace("\nlcalls AS (", _HUB_ROWS),
+    op.EDGES.replace("\nedges AS (", "\norder_edges AS (").replace("\ndeg AS (", _HUB_EDGES),
+    op.RUNS, op.RISK, op.WORKFLOW,
+)
+
+
+def _hub_functions(spark, sf_dir):
+    """hub calls spoke by its name, rim by its short name, and itself; spoke calls rim."""
+    nations = ad.table(spark, sf_dir, "nation").selectExpr(
+        "cast(n_nationkey AS string) AS n",
+        "inline(array(named_struct('w', 'hub', 'c', 90), named_struct('w', 'spoke', 'c', 80), named_struct('w', 'rim', 'c', 70)))",
+    )
+    calls = """CASE w WHEN 'hub' THEN array(concat('core.spoke_', n, '.spoke_', n), concat('x.rim_', n), concat('hub_', n))
+      WHEN 'spoke' THEN array(concat('rim_', n)) ELSE cast(array() AS array<string>) END"""
+    return nations.selectExpr(
+        "concat('run-', n) AS run_id", "concat('core/', w, '_', n, '.py') AS file_path", "1 AS fn_ord",
+        "concat('core.', w, '_', n, '.', w, '_', n) AS qname", "concat(w, '_', n) AS short_name", "1 AS line_start", "90 AS line_end",
+        "c AS complexity", f"{calls} AS calls", "cast(array() AS array<string>) AS entity_sequence",
+        "cast(array() AS array<string>) AS crud_ops", "cast(array() AS array<string>) AS entities",
+    )
+
+
+@query("W7_workflow_graph", op.with_parts(*_HUB_PARTS, select=_graph_sql("wnodes", "wedges")))
 def workflow_graph(spark, sf_dir):
-    p = ad.products(spark, sf_dir)
+    functions = stored(ad.function_table(spark, sf_dir).unionByName(_hub_functions(spark, sf_dir)))
+    p = ad.Analysis(ad.run_table(spark, sf_dir), functions, keep=stored)
     return _graph(p.workflow_nodes, p.workflow_edges)
 
 
