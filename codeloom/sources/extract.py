@@ -2,17 +2,21 @@
 
 The stage emits raw facts (names seen, calls, branch counts, line numbers); all
 tagging and scoring happens later in native expressions.  It runs where the file
-rows are: text is never shuffled for it.
+rows are: text is never shuffled for it.  Each batch of files is parsed in a child process,
+because the interpreter never frees a name that it has parsed.
 """
 
 from __future__ import annotations
 
 import ast
-from collections import Counter
-from collections.abc import Collection, Iterator
+import gc
+import os
+import traceback
+from collections.abc import Callable, Collection, Iterator
 from functools import cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,9 +36,11 @@ RECORD_TYPES = ("file", "function", "import", "error")
 # does not become one huge result batch.
 _FLUSH_ROWS = 2000
 
+# Bytes of text which one child process parses.
+_CHILD_BYTES = 8 * 1024 * 1024
+
 _BRANCHES = frozenset(getattr(ast, name) for name in BRANCH_KINDS)
 _BLOCKS = (ast.stmt, ast.ExceptHandler, ast.match_case)
-_LEAVES = frozenset((ast.Name, ast.Constant, ast.Pass, ast.Break, ast.Continue))
 
 
 @cache
@@ -63,16 +69,17 @@ def _dotted(node: ast.AST) -> str:
     return ".".join(reversed(tail))
 
 
-def _body_facts(function: ast.AST) -> tuple[list[str], list[str], Counter[str]]:
+def _body_facts(function: ast.AST) -> tuple[list[str], list[str], dict[str, int]]:
     """Calls, names and branch counts of one function body in reading order.
 
     An explicit stack keeps the walk safe on deeply nested code.  Nested
-    functions and lambdas belong to the function around them.
+    functions and lambdas belong to the function around them.  The most frequent kinds of
+    node come first, with their fields written out.
     """
     calls: list[str] = []
     idents: list[str] = []
-    kinds: Counter[str] = Counter()
-    pending = list(reversed(function.body))
+    kinds: dict[str, int] = {}
+    pending = function.body[::-1]
     while pending:
         node = pending.pop()
         kind = type(node)
@@ -80,21 +87,26 @@ def _body_facts(function: ast.AST) -> tuple[list[str], list[str], Counter[str]]:
             idents.append(node.id)
         elif kind is ast.Attribute:
             idents.append(node.attr)
+            pending.append(node.value)
         elif kind is ast.Call:
             name = _dotted(node.func)
             if name:
                 calls.append(name)
                 idents.append(name)
-        elif kind in _BRANCHES:
-            kinds[kind.__name__] += 1
-        if kind in _LEAVES:
-            continue
-        for field in _child_fields(kind):
-            value = getattr(node, field, None)
-            if isinstance(value, list):
-                pending.extend(item for item in reversed(value) if isinstance(item, ast.AST))
-            elif isinstance(value, ast.AST):
-                pending.append(value)
+            pending += node.keywords[::-1]
+            pending += node.args[::-1]
+            pending.append(node.func)
+        elif kind is ast.Expr:
+            pending.append(node.value)
+        elif kind is not ast.Constant:
+            if kind in _BRANCHES:
+                kinds[kind.__name__] = kinds.get(kind.__name__, 0) + 1
+            for field in _child_fields(kind):
+                value = getattr(node, field, None)
+                if isinstance(value, list):
+                    pending.extend(item for item in reversed(value) if isinstance(item, ast.AST))
+                elif isinstance(value, ast.AST):
+                    pending.append(value)
     idents.append(function.name)
     return calls, idents, kinds
 
@@ -200,6 +212,72 @@ class _Columns:
         return pa.RecordBatch.from_arrays([done[name] for name in _ORDER], _ORDER)
 
 
+def _facts_of(batch: pa.RecordBatch, wanted: Collection[str]) -> Iterator[pa.RecordBatch]:
+    """Facts of the files in (run_id, path, module, text) rows."""
+    facts = _Columns()
+    for run_id, path, module, text in zip(*(column.to_pylist() for column in batch.columns)):
+        for fact in file_facts(module, text, wanted):
+            facts.add(run_id, path, fact)
+        if facts.rows >= _FLUSH_ROWS:
+            yield facts.batch()
+            facts = _Columns()
+    if facts.rows:
+        yield facts.batch()
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """``batch`` in runs of files with about ``_CHILD_BYTES`` of text, a single file at least."""
+    start, held = 0, 0
+    for row, size in enumerate(pc.binary_length(batch.column("text")).to_pylist()):
+        if held and held + (size or 0) > _CHILD_BYTES:
+            yield batch.slice(start, row - start)
+            start, held = row, 0
+        held += size or 0
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
+def _in_child(work: Callable[[], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
+    """What ``work`` yields in a forked process, whose memory ends with it.
+
+    The parser keeps every name it has seen until its process ends, so a reused worker would
+    grow with all files of all its tasks.
+    """
+    source, sink = os.pipe()
+    child = os.fork()
+    if not child:
+        status = 1
+        try:
+            os.close(source)
+            gc.disable()  # syntax trees have no cycles, and the process is short
+            with os.fdopen(sink, "wb") as out:
+                stream = None
+                for made in work():
+                    stream = stream or pa.ipc.new_stream(out, made.schema)
+                    stream.write_batch(made)
+                if stream:
+                    stream.close()
+            status = 0
+        except BrokenPipeError:  # nobody reads any more
+            pass
+        except BaseException:
+            traceback.print_exc()
+        finally:
+            os._exit(status)
+    os.close(sink)
+    status = None
+    try:
+        with os.fdopen(source, "rb") as results:
+            try:
+                yield from pa.ipc.open_stream(results)
+            except (pa.ArrowInvalid, OSError):  # no rows or cut short; the status tells which
+                pass
+    finally:  # a reader who stops early has closed the pipe, which ends the child
+        status = os.waitstatus_to_exitcode(os.waitpid(child, 0)[1])
+    if status:
+        raise RuntimeError(f"the parser's process ended with {status}")
+
+
 def extract_facts(files: DataFrame, wanted: Collection[str] = RECORD_TYPES) -> DataFrame:
     """Facts of files(run_id, path, module, text); see ``FACTS_SCHEMA``.  ``wanted`` names the
     record types to make; every file gives one ``file`` record, whatever is in it."""
@@ -208,18 +286,9 @@ def extract_facts(files: DataFrame, wanted: Collection[str] = RECORD_TYPES) -> D
         raise ValueError(f"unknown record types: {sorted(unknown)}")
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        facts = _Columns()
         for batch in batches:
-            columns = [batch.column(name) for name in ("run_id", "path", "module", "text")]
-            for run_id, path, module, text in zip(*columns):
-                key = run_id.as_py(), path.as_py()
-                for fact in file_facts(module.as_py(), text.as_py(), wanted):
-                    facts.add(*key, fact)
-                if facts.rows >= _FLUSH_ROWS:
-                    yield facts.batch()
-                    facts = _Columns()
-        if facts.rows:
-            yield facts.batch()
+            for part in _slices(batch):
+                yield from _in_child(lambda: _facts_of(part, wanted))
 
     return files.select("run_id", "path", "module", "text").mapInArrow(parse, FACTS_SCHEMA)
 

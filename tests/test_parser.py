@@ -1,7 +1,11 @@
 """One snippet per rule of the parser stage."""
 
+import itertools
+import os
 import textwrap
 
+import pyarrow as pa
+
 from codeloom.functions.lexicons import BRANCH_KINDS
 import pytest
 
@@ -197,3 +201,62 @@ def test_columns_of_many_files(spark):
     assert all(r.calls is None and r.idents is None and r.branch_kinds is None for r in got if r.record_type != "function")
     with pytest.raises(ValueError):
         extract.extract_facts(frame, ("class",))
+
+
+def _texts(first: int, count: int) -> pa.RecordBatch:
+    texts = [f"def name_{k}(a_{k}):\n    b_{k}.c_{k}(d_{k})\n" for k in range(first, first + count)]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(["r"] * count), pa.array([f"{k}.py" for k in range(count)]), pa.array(["m"] * count), pa.array(texts)],
+        ["run_id", "path", "module", "text"],
+    )
+
+
+def _resident_mb() -> float:
+    with open("/proc/self/statm") as numbers:
+        return int(numbers.read().split()[1]) * os.sysconf("SC_PAGE_SIZE") / 2**20
+
+
+def test_parsed_names_do_not_stay_in_the_worker():
+    """Workers are reused: their memory must not grow with the names in all files they parse."""
+    parse = worker_of(lambda files: extract.extract_facts(files, ("function",)))
+    assert sum(b.num_rows for b in parse(iter([_texts(0, 2000)]))) == 2000
+    before = _resident_mb()
+    for part in range(1, 6):
+        assert sum(b.num_rows for b in parse(iter([_texts(part * 20_000, 20_000)]))) == 20_000
+    assert _resident_mb() - before < 15
+
+
+def worker_of(query):
+    """The function which ``query`` gives to ``mapInArrow``."""
+
+    class Files:
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, function, schema):
+            return function
+
+    return query(Files())
+
+
+def test_a_child_hands_over_rows_errors_and_its_end():
+    of = lambda *rows: pa.RecordBatch.from_pydict({"x": list(rows)})
+
+    def failing():
+        yield of(1)
+        raise ValueError("broken")
+
+    assert [b.to_pydict() for b in extract._in_child(lambda: iter([of(1, 2), of(3)]))] == [{"x": [1, 2]}, {"x": [3]}]
+    assert list(extract._in_child(lambda: iter([]))) == []
+    with pytest.raises(RuntimeError):
+        list(extract._in_child(failing))
+    stopped = extract._in_child(lambda: (of(*range(100_000)) for _ in itertools.count()))
+    next(stopped)
+    stopped.close()  # returns: the child ends when nobody reads
+
+
+def test_files_are_dealt_to_children_by_their_bytes(monkeypatch):
+    monkeypatch.setattr(extract, "_CHILD_BYTES", 100)
+    batch = pa.RecordBatch.from_pydict({"text": ["a" * 60, "b" * 60, "c" * 500, "", "d" * 20, "e" * 30]})
+    assert [part.column("text").to_pylist() for part in extract._slices(batch)] == [["a" * 60], ["b" * 60], ["c" * 500], ["", "d" * 20, "e" * 30]]
+    assert list(extract._slices(batch.slice(0, 0))) == []
