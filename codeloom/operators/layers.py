@@ -33,13 +33,18 @@ def known_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def in_degree_roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes without an incoming edge."""
-    targets = known_edges(nodes, edges).select("run_id", F.col("target").alias("node_id")).distinct()
+    return _not_entered(nodes, known_edges(nodes, edges))
+
+
+def _not_entered(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """Nodes which no link of (run_id, target) enters."""
+    targets = links.select("run_id", F.col("target").alias("node_id")).distinct()
     return nodes.join(targets, _NODE, "left_anti")
 
 
-def _first_frontier(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def _first_frontier(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """Roots of every run; a run without roots starts at its first node."""
-    roots = in_degree_roots(nodes, edges).select(*_NODE, "node_ord")
+    roots = stored(_not_entered(nodes, links).select(*_NODE, "node_ord"))
     rootless = (
         nodes.join(roots.select("run_id").distinct(), "run_id", "left_anti")
         .groupBy("run_id")
@@ -71,10 +76,13 @@ def visit_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     become places in their order, so keys stay short on long chains.  Nodes reached in
     earlier jobs are taken out of the links.
     """
-    links = stored(
-        known_edges(nodes, edges).select("run_id", F.col("source").alias("node_id"), "target", F.col("edge_ord").cast("bigint"))
-    )
-    frontier = checkpointed(_first_frontier(nodes, edges))
+    known = known_edges(nodes, edges)
+    return _visits(nodes, stored(known.select("run_id", F.col("source").alias("node_id"), "target", F.col("edge_ord").cast("bigint"))))
+
+
+def _visits(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """``visit_order`` along links(run_id, node_id, target, edge_ord) between nodes, a stored table."""
+    frontier = checkpointed(_first_frontier(nodes, links))
     reached, level, steps, since = frontier, 0, _FIRST_STEPS, 0
     while not frontier.isEmpty():
         if since >= _RENUMBER:
@@ -154,18 +162,27 @@ def graph_layers(nodes: DataFrame, edges: DataFrame, *, small: int = _SMALL) ->
 def _spread_layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``graph_layers`` for runs of any size.
 
-    Rows settle in rounds, several to a job, and a round only follows nodes which moved in
-    the one before.
+    Nodes are followed by numbers, so a name meets its node twice only: where edges are
+    numbered, which also drops those that lead elsewhere, and at the end.  Rows settle in
+    rounds, several to a job, and a round only follows nodes which moved in the one before.
     """
-    visits = stored(visit_order(nodes, edges))
+    names = stored(nodes.select(*_NODE).distinct().withColumn("id", F.monotonically_increasing_id()))
+    named = stored(nodes.select(*_NODE, "node_ord").join(names, _NODE, "left"))
+    numbers = named.select("run_id", F.col("id").alias("node_id"), "node_ord")
+    links = stored(
+        edges.join(names.select("run_id", F.col("node_id").alias("source"), F.col("id").alias("from")), ["run_id", "source"])
+        .join(names.select("run_id", F.col("node_id").alias("target"), F.col("id").alias("to")), ["run_id", "target"])
+        .select("run_id", F.col("from").alias("node_id"), F.col("to").alias("target"), F.col("edge_ord").cast("bigint"))
+    )
+    visits = stored(_visits(numbers, links))
     rank = F.struct("hops", "visit_key")
     ahead = (
-        edges.where(F.col("source") != F.col("target"))
-        .select("run_id", "source", "target")
-        .join(visits.select("run_id", F.col("node_id").alias("source"), rank.alias("s")), ["run_id", "source"])
+        links.where(F.col("node_id") != F.col("target"))
+        .select("run_id", "node_id", "target")
+        .join(visits.select(*_NODE, rank.alias("s")), _NODE)
         .join(visits.select("run_id", F.col("node_id").alias("target"), rank.alias("t")), ["run_id", "target"])
         .where(F.col("s") < F.col("t"))
-        .select("run_id", F.col("source").alias("node_id"), "target", F.lit(0).cast("bigint").alias("edge_ord"))
+        .select(*_NODE, "target", F.lit(0).cast("bigint").alias("edge_ord"))
     )
     ways = stored(_with_self(visits, ahead.distinct()))
     state = visits.select(*_NODE, F.col("hops").alias("layer"), F.lit(True).alias("moved"))
@@ -189,7 +206,7 @@ def _spread_layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     layers = state.drop("moved")
     deepest = layers.groupBy("run_id").agg(F.max("layer").alias("deepest"))
     return (
-        nodes.join(layers, _NODE, "left")
+        named.join(layers.withColumnRenamed("node_id", "id"), ["run_id", "id"], "left")
         .join(deepest, "run_id", "left")
         .select(*_NODE, "node_ord", F.coalesce("layer", "deepest", F.lit(0)).alias("layer"))
     )

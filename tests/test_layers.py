@@ -125,3 +125,21 @@ def test_levels_of_a_job_share_the_exchange_of_the_links(spark, tmp_path):
 def test_positions_with_sparse_numbers(spark):
     layers = spark.range(1000).selectExpr("'r' AS run_id", "cast(id AS string) AS node_id", "id * 1000003 AS node_ord", "0 AS layer")
     assert layer_order(layers).where("position <> cast(node_id AS bigint) + 1").isEmpty()
+
+
+def test_large_runs_are_followed_by_numbers(spark, monkeypatch):
+    """Names of nodes are exchanged where they get their numbers and at the end, not at every level."""
+    kinds, known, own = [], [], layers_module._with_self
+    monkeypatch.setattr(layers_module, "_with_self", lambda n, l: kinds.append(dict(l.dtypes)) or own(n, l))
+    monkeypatch.setattr(layers_module, "known_edges", lambda n, e: known.append(1) or e)
+    rows = [("r", f"node-{i}", i) for i in range(12)] + [("r", "node-3", 30), ("r", None, 31), ("q", "node-3", 0)]
+    links = [("r", f"node-{i}", f"node-{j}", i * 20 + j) for i in range(10) for j in (i + 1, i + 2)]
+    links += [("r", "node-5", "node-2", 500), ("r", "node-1", "elsewhere", 501), ("r", "node-4", "node-4", 502)]
+    nodes = spark.createDataFrame(rows, "run_id string, node_id string, node_ord long")
+    edges = spark.createDataFrame(links, "run_id string, source string, target string, edge_ord long")
+    found = {tuple(r) for r in graph_layers(nodes, edges, small=0).select("run_id", "node_id", "node_ord", "layer").collect()}
+    assert kinds and all(k["node_id"] == k["target"] == "bigint" for k in kinds)
+    assert not known
+    expected = sequential([(n, o) for r, n, o in rows[:12]], [row[1:] for row in links])
+    deepest = max(expected.values())
+    assert found == {("r", n, o, expected.get(n, deepest)) for r, n, o in rows[:14]} | {("q", "node-3", 0, 0)}
