@@ -58,8 +58,13 @@ def order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per generated part file, also those a scan must reject."""
-    return table(spark, sf_dir, "part").selectExpr(
+    """One row per generated part file, also those a scan must reject.
+
+    Spread like the orders: the table is a few MB, so a single task would read, and then
+    parse or tag, most of its files.
+    """
+    parallelism = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return table(spark, sf_dir, "part").repartition(parallelism, "p_partkey").selectExpr(
         f"{_run('p_partkey')} AS run_id",
         "p_partkey AS p",
         "p_size AS size",

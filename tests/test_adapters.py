@@ -1,6 +1,7 @@
 """The generated files parse to exactly the facts of the generated table."""
 
 import os
+from collections import Counter
 
 import pytest
 
@@ -32,3 +33,13 @@ def test_parser_agrees_with_table(spark, heavy_order):
     assert parsed.exceptAll(table).count() == 0
     assert table.exceptAll(parsed).count() == 0
     assert parsed.where("file_path rlike 'order_1[.]py' AND size(calls) > 200").count() == 1
+
+
+def test_part_files_are_spread_over_tasks(spark, tmp_path):
+    """A small table is one split, but the files made from it are work for many tasks."""
+    rows = [(k, k % 50 + 1, f"name {k}") for k in range(1, 401)]
+    spark.createDataFrame(rows, "p_partkey long, p_size int, p_name string").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    found = adapters.part_files(spark, str(tmp_path)).selectExpr("p", "spark_partition_id() AS at").collect()
+    assert sorted(r.p for r in found) == [k for k, _, _ in rows]
+    most = max(Counter(r.at for r in found).values())
+    assert len({r.at for r in found}) > 1 and most < len(rows)
