@@ -2,7 +2,7 @@
 
 Every string of ``LENGTH`` bytes that also starts in a document with a smaller id is removed.
 Documents are cut into short strings: neighbouring windows which share their minimizer (the
-smallest hashed 32-gram) form one string, and equal windows always share it.  So the strings
+smallest hashed 24-gram) form one string, and equal windows always share it.  So the strings
 of a minimizer can be handled apart from all others.  For a block of them the collection's
 Burrows-Wheeler transform and common prefixes are built column by column: each round inserts
 one symbol of every string, from the last to the first, and updates both arrays in one
@@ -10,6 +10,10 @@ sequential pass.  Runs of common prefixes of ``LENGTH`` are the classes of equal
 
 Minimizers which occur in one document only cannot repeat; a first pass finds the others and
 keeps them as a bit table of fixed size.  What the table lets through by chance is harmless.
+Neighbouring strings overlap, so their bytes are several times the text.  A second pass sends
+hashes and places only: they settle every minimizer with a single string, whose windows all
+have the string's smallest document.  A third pass sends bytes, of one occurrence of each
+string whose minimizer has several.
 """
 
 from __future__ import annotations
@@ -29,14 +33,17 @@ from codeloom.llm.tokens import slices
 from codeloom.session import stored
 
 LENGTH = 50
-GRAM = 32
+GRAM = 24
 TABLE_BITS = 27  # 16 MB
 BLOCK = 1 << 11  # strings of a block, small for the processor's caches; a minimizer's are in one
+CROWD = 1 << 15  # strings of a minimizer that are too many for a block; their windows are dealt out singly
 SLICE = 1 << 18  # bytes of text handled at once; longer texts are taken in overlapping pieces
-MANY = 64  # batches in which a minimizer is so frequent that its windows are dealt out singly
+MANY = 2048  # batches in which a minimizer is so frequent that its windows are dealt out singly
 TIE_BITS = 24  # grams which agree above these bits are taken from the left
-CUT_BITS = 16  # of a minimizer's hash, not looked at when repeated ones are told
-FLUSH = 1 << 21  # bytes of text whose strings are sent together
+CUT_BITS = 24  # of a minimizer's hash, not looked at when minimizers are told apart
+FLUSH = 1 << 24  # bytes of text whose strings are sent together
+HELD = 1 << 19  # ranges of bytes that are sent together
+PART_BITS = 12  # parts of the hash range at most; more would make the packs of a flush too small
 _BASE = 0xD1342543DE82EF95
 _BACK = pow(_BASE, -1, 1 << 64)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -72,6 +79,29 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(raw.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
+def _pack(columns: list[np.ndarray], data: bytes = b"") -> bytes:
+    """Numbers of eight bytes, their bytes side by side, and what follows them, compressed."""
+    planes = [np.ascontiguousarray(np.ascontiguousarray(c).view(np.uint8).reshape(-1, 8).T).tobytes() for c in columns]
+    return zstandard.compress(b"".join([*planes, data]), 3)
+
+
+def _unpack(pack: bytes, n: int, width: int) -> tuple[list[np.ndarray], np.ndarray]:
+    raw = np.frombuffer(zstandard.decompress(pack), np.uint8)
+    columns = [np.ascontiguousarray(raw[8 * n * k : 8 * n * (k + 1)].reshape(8, n).T).view(np.int64).ravel() for k in range(width)]
+    return columns, raw[8 * n * width :]
+
+
+def _steps(values: np.ndarray) -> np.ndarray:
+    """Differences that ``np.cumsum`` undoes, modulo 2^64."""
+    return np.diff(values.view(np.uint64), prepend=np.uint64(0))
+
+
+def _runs(values: np.ndarray) -> list[tuple[int, int]]:
+    """(begin, end) of the runs of equal numbers."""
+    edges = np.flatnonzero(np.concatenate([np.ones(min(1, len(values)), bool), values[1:] != values[:-1]]))
+    return list(zip(edges.tolist(), [*edges[1:].tolist(), len(values)]))
+
+
 def _gathered(data: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The bytes of many ranges in a row."""
     ends = np.cumsum(sizes)
@@ -140,27 +170,6 @@ def _string_ids(sums: np.ndarray, down: np.ndarray, at: np.ndarray, n: np.ndarra
     return _mixed((sums[at + n + LENGTH - 1] - sums[at]) * down[at] ^ (n.astype(np.uint64) << np.uint64(50)))
 
 
-def _key_and_id(data: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The minimizer (as far as ties look at it) and the id of strings that lie in a row.
-
-    Taken in runs of about ``SLICE`` bytes, so the tables stay small whatever the input."""
-    keys, ids = np.empty(len(at), np.uint64), np.empty(len(at), np.int64)
-    edges = np.flatnonzero(np.diff((at // SLICE), prepend=-1)).tolist()
-    for a, b in zip(edges, [*edges[1:], len(at)]):
-        begin, end = int(at[a]), int(at[b - 1] + sizes[b - 1])
-        own, place = data[begin:end], at[a:b] - begin
-        up, down = _powers(len(own) + 1)
-        sums = np.zeros(len(own) + 1, np.uint64)
-        np.cumsum(up[: len(own)] * (own.astype(np.uint64) + np.uint64(1)), out=sums[1:])
-        key = np.full(b - a, np.iinfo(np.uint64).max)
-        for k in range(LENGTH - GRAM + 1):
-            gram = _mixed((sums[place + k + GRAM] - sums[place + k]) * down[place + k])
-            np.minimum(key, gram >> np.uint64(TIE_BITS), out=key)
-        keys[a:b] = key
-        ids[a:b] = _string_ids(sums, down, place, sizes[a:b] - LENGTH + 1).view(np.int64)
-    return keys, ids
-
-
 def _pieces(texts: pa.Array) -> Iterator[tuple[pa.Array, int, int]]:
     """(texts, number of the first, bytes before them in it): runs of texts of about
     ``SLICE`` bytes, or a piece of a longer one.  No window is in two pieces.  A text over
@@ -183,7 +192,7 @@ def _slot(keys: np.ndarray, parts_bits: int, table_bits: int) -> tuple[np.ndarra
     keys = keys >> np.uint64(CUT_BITS) << np.uint64(CUT_BITS)
     part = keys >> np.uint64(64 - parts_bits) << own
     low = (np.uint64(1) << own) - np.uint64(1)
-    return part | ((keys >> np.uint64(CUT_BITS)) & low), part | ((keys * _MIX >> np.uint64(17)) & low)
+    return part | ((keys >> np.uint64(CUT_BITS)) & low), part | ((keys * _MIX >> np.uint64(30)) & low)
 
 
 def _has(table: np.ndarray, keys: np.ndarray, parts_bits: int) -> np.ndarray:
@@ -333,167 +342,355 @@ def class_minima(data: np.ndarray, sizes: np.ndarray, first: np.ndarray) -> np.n
     return out
 
 
+def _range_ids(data: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The hashes of byte ranges of ``n`` windows, given in order of place.
+
+    Taken in runs of about ``SLICE`` bytes, so the tables stay small whatever the input."""
+    ids = np.empty(len(at), np.uint64)
+    for a, b in _runs(at // SLICE):
+        begin, end = int(at[a]), int((at[a:b] + n[a:b]).max()) + LENGTH - 1
+        own = data[begin:end]
+        up, down = _powers(len(own) + 1)
+        sums = np.zeros(len(own) + 1, np.uint64)
+        np.cumsum(up[: len(own)] * (own.astype(np.uint64) + np.uint64(1)), out=sums[1:])
+        ids[a:b] = _string_ids(sums, down, at[a:b] - begin, n[a:b])
+    return ids
+
+
+def string_minima(key: np.ndarray, data: np.ndarray, sizes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For every window of every string, in order: the smallest ``first`` of the strings with
+    an equal window.  The strings lie in order of ``key``, and no window is under two keys.
+
+    Windows at the ends of a string whose hash is found once are equal to no other; what is
+    between goes to the transform, equal strings of a key once."""
+    n = sizes - LENGTH + 1
+    base, at = np.cumsum(n) - n, np.cumsum(sizes) - sizes
+    out = np.repeat(first, n)
+    ids = _range_ids(data, np.repeat(at - base, n) + np.arange(len(out)), np.ones(len(out), np.int64))
+    order = np.argsort(ids)
+    once = np.ones(len(ids), bool)
+    again = np.flatnonzero(ids[order[1:]] == ids[order[:-1]])
+    once[order[again]] = once[order[again + 1]] = False
+    place = np.flatnonzero(~once)
+    if not len(place):
+        return out
+    owner = np.repeat(np.arange(len(n)), n)[place]
+    heads = [a for a, _ in _runs(owner)]
+    tails = [*(h - 1 for h in heads[1:]), len(owner) - 1]
+    own, begin = owner[heads], place[heads]
+    windows = place[tails] - begin + 1
+    at = at[own] + begin - base[own]
+    ids, low, key = _range_ids(data, at, windows), first[own], key[own]
+    order = np.lexsort((low, ids, key))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (ids[order][1:] != ids[order][:-1]) | (key[order][1:] != key[order][:-1])
+    pick = order[fresh]
+    kind = np.empty(len(order), np.int64)
+    kind[order] = np.cumsum(fresh) - 1
+    least = np.empty(int(windows[pick].sum()), np.int64)
+    offset = np.cumsum(windows[pick]) - windows[pick]
+    size = windows[pick] + LENGTH - 1
+
+    def settle(a: int, b: int) -> None:
+        k = pick[a:b]
+        minima = class_minima(_gathered(data, at[k], size[a:b]), size[a:b], low[k])
+        least[offset[a] : offset[a] + len(minima)] = minima
+
+    def settle_singly(a: int, b: int) -> None:
+        k = np.sort(pick[a:b])  # in order of place
+        step = np.arange(int(windows[k].sum())) - np.repeat(np.cumsum(windows[k]) - windows[k], windows[k])
+        place = np.repeat(at[k], windows[k]) + step
+        ids = _range_ids(data, place, np.ones(len(place), np.int64))
+        order = np.argsort(ids)
+        sizes = np.full(len(place), LENGTH)
+        minima = np.empty(len(place), np.int64)
+        minima[order] = string_minima(ids[order], _gathered(data, place[order], sizes), sizes, np.repeat(low[k], windows[k])[order])
+        least[np.repeat(offset[kind[k]], windows[k]) + step] = minima
+
+    start = 0
+    for a, b in _runs(key[pick]):
+        if b - a > CROWD:
+            if start < a:
+                settle(start, a)
+            settle_singly(a, b)
+            start = b
+        elif b - start >= BLOCK or b == len(pick):
+            settle(start, b)
+            start = b
+    if start < len(pick):
+        settle(start, len(pick))
+    step = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
+    out[np.repeat(begin, windows) + step] = least[np.repeat(offset[kind], windows) + step]
+    return out
+
+
+def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """The rows of one part after the other; the part is the first column."""
+    part, held = None, []
+    for batch in batches:
+        for own, *row in zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns))):
+            if own != part and held:
+                yield part, held
+                held = []
+            part = own
+            held.append(tuple(row))
+    if held:
+        yield part, held
+
+
+def _sent_spans(held: list[tuple], bits: int) -> list[tuple[int, int, bytes]]:
+    """(part of the documents, number, pack) of byte ranges (document, version, start, stop)."""
+    doc, version, start, stop = (np.concatenate(v) for v in zip(*held))
+    part = (_mixed(doc.view(np.uint64) * _MIX) >> np.uint64(64 - bits)).astype(np.int64)
+    order = np.lexsort((start, version, doc, part))
+    doc, version, start, size, part = doc[order], version[order], start[order], (stop - start)[order], part[order]
+    return [
+        (int(part[a]), b - a, _pack([_steps(doc[a:b]), _steps(version[a:b]), start[a:b], size[a:b]]))
+        for a, b in _runs(part)
+    ]
+
+
+def _merged(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    """The ranges of each document in order, those that touch or overlap as one."""
+    columns = [_unpack(pack, n, 4)[0] for n, pack in rows]
+    doc, version = (np.concatenate([np.cumsum(c[k].view(np.uint64), dtype=np.uint64).view(np.int64) for c in columns]) for k in (0, 1))
+    start, size = (np.concatenate([c[k] for c in columns]) for k in (2, 3))
+    order = np.lexsort((start, version, doc))
+    doc, version, start, stop = doc[order], version[order], start[order], (start + size)[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (version[1:] != version[:-1])
+    row = np.cumsum(new) - 1
+    # shifted by row, the largest stop so far never reaches into the next row
+    shift = row * (int(stop.max(initial=0)) + 1)
+    reach = np.maximum.accumulate(stop + shift)
+    fresh = new.copy()
+    fresh[1:] |= (start + shift)[1:] > reach[:-1]
+    heads, owners = np.flatnonzero(fresh), np.flatnonzero(new)
+    tails = np.concatenate([heads[1:], [len(row)]]) - 1
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(row[heads], minlength=len(owners)))])
+    ranges = pa.StructArray.from_arrays([pa.array(start[heads]), pa.array((reach - shift)[tails])], ["start", "stop"])
+    spans = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), ranges)
+    return pa.RecordBatch.from_arrays([pa.array(doc[owners]), pa.array(version[owners]), spans], ["doc_id", "version", "spans"])
+
+
+def _wanted_key(key: np.ndarray, ids: np.ndarray, doc: np.ndarray, bits: int) -> np.ndarray:
+    """A hash of string and document that lies in the minimizer's part of the table."""
+    own = _mixed(ids ^ _mixed(doc.view(np.uint64) * _MIX))
+    return (key >> np.uint64(64 - bits) << np.uint64(64 - bits)) | (own >> np.uint64(bits))
+
+
 def removed_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, version, start, stop): byte ranges to remove, not yet merged; ``docs`` has
+    """(doc_id, version, spans): byte ranges to remove, for documents with any; ``docs`` has
     doc_id, version and text."""
     spark = docs.sparkSession
     tasks = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    parts_bits = min(16, (tasks - 1).bit_length())
-    fine_bits = parts_bits + 3
-    twice, many = repeated_minimizers(docs, parts_bits)
-    shared = spark.sparkContext.broadcast((twice, many))  # fixed size
-
-    def candidates(texts: pa.Array) -> Strings:
-        own = Strings(texts)
+    parts_bits = min(PART_BITS, (tasks - 1).bit_length())
+    fine_bits = min(PART_BITS, parts_bits + 3)
+    docs = docs.select("doc_id", "version", "text")
+    shared = spark.sparkContext.broadcast(repeated_minimizers(docs, parts_bits))  # fixed size
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Strings, np.ndarray, np.ndarray, int]]:
+        """The strings of repeated minimizers, with their documents, versions and the bytes
+        before the piece; keys are cut to what ties look at."""
         table, frequent = shared.value
-        own.take(_has(table, own.key, parts_bits))
-        own.single(_has(frequent, own.key, parts_bits))
-        return own
-
-    def sent(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        """Each string once, with the smallest and largest document, packed by parts of the
-        minimizers' range."""
-        key, ids, doc, at, sizes = (np.concatenate(v) for v in list(zip(*held))[:5])
-        data = np.concatenate([h[5] for h in held])
-        order = np.lexsort((doc, ids, key))
-        fresh = np.ones(len(order), bool)
-        fresh[1:] = ids[order][1:] != ids[order][:-1]
-        heads = np.flatnonzero(fresh)
-        tails = np.concatenate([heads[1:], [len(order)]]) - 1
-        pick, last = order[heads], doc[order[tails]]
-        part = (key[pick] >> np.uint64(64 - fine_bits)).astype(np.int64)
-        edges = np.flatnonzero(np.diff(part, prepend=-1))
-        packs = []
-        for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(pick)]):
-            own = pick[a:b]
-            columns = [doc[own], last[a:b] - doc[own], sizes[own].astype(np.int64)]
-            raw = b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(-1, 8).T).tobytes() for c in columns)
-            packs.append(zstandard.compress(raw + _gathered(data, at[own], sizes[own]).tobytes(), 3))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(part[edges], pa.int32()), pa.array(np.diff(edges, append=len(pick))), pa.array(packs, pa.binary())], ["part", "n", "pack"]
-        )
+        for batch in batches:
+            ids, versions = (np.asarray(batch.column(k).to_numpy(zero_copy_only=False), np.int64) for k in (0, 1))
+            for texts, a, before in _pieces(batch.column(2)):
+                own = Strings(texts)
+                own.take(_has(table, own.key, parts_bits))
+                own.single(_has(frequent, own.key, parts_bits))
+                own.key = own.key >> np.uint64(CUT_BITS) << np.uint64(CUT_BITS)
+                yield own, ids[own.doc + a], versions[own.doc + a], before
+
+    def flushed(held: list[tuple], pack) -> Iterator[pa.RecordBatch]:
+        """Packs by parts of the minimizers' range, strings in order of minimizer and hash."""
+        columns = [np.concatenate(v) for v in zip(*held)]
+        order = np.lexsort((columns[2], columns[1], columns[0]))
+        rows = [(int(p), n, raw) for p, n, raw in pack(*(c[order] for c in columns))]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary()))], ["part", "n", "pack"])
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Hash, document and place of every string."""
+
+        def pack(key, ids, doc, version, at, n):
+            for a, b in _runs(key >> np.uint64(64 - fine_bits)):
+                k = slice(a, b)
+                raw = _pack([_steps(key[k] >> np.uint64(CUT_BITS)), _steps(ids[k]), doc[k] - doc[k].min(), version[k], at[k], n[k]], doc[k].min().tobytes())
+                yield key[a] >> np.uint64(64 - fine_bits), b - a, raw
+
+        held, size = [], 0
+        for own, doc, version, before in candidates(batches):
+            size += len(own.data)
+            if len(own.at):
+                held.append((own.key, own.ids(), doc, version, own.at - own.bounds[own.doc] + before, own.n.astype(np.int64)))
+            if size >= FLUSH and held:
+                yield from flushed(held, pack)
+                held, size = [], 0
+        if held:
+            yield from flushed(held, pack)
+
+    def opened(n: int, pack: bytes) -> tuple[np.ndarray, ...]:
+        (key, ids, doc, version, at, windows), least = _unpack(pack, n, 6)
+        key, ids = (np.cumsum(v.view(np.uint64), dtype=np.uint64) for v in (key, ids))
+        return key << np.uint64(CUT_BITS), ids, doc + least.view(np.int64)[0], version, at, windows
+
+    def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Ranges of minimizers with one string; places of the others that may be removed, and
+        their table of wanted bytes.  A part's packs stay packed and are opened one by one."""
+
+        def row(kind, rows):
+            part, n, pack = zip(*rows)
+            columns = [pa.array(pack, pa.binary()) if k == kind else pa.nulls(len(pack), pa.binary()) for k in ("spans", "rest", "wanted")]
+            return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(n, pa.int64()), *columns], ["part", "n", "spans", "rest", "wanted"])
+
+        held, size = [], 0
+        for part, packs in _by_part(batches):
+            heads = []
+            for n, pack in packs:
+                key, ids, doc, *_ = opened(n, pack)
+                begin = [a for a, _ in _runs(ids)]  # equal strings lie in order of document
+                end = [*begin[1:], n]
+                heads.append((key[begin], ids[begin], doc[begin], doc[np.array(end) - 1]))
+            key, ids, low, high = (np.concatenate(v) for v in zip(*heads))
+            order = np.argsort(ids, kind="stable")
+            key, ids, low, high = key[order], ids[order], low[order], high[order]
+            edges = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+            key, ids, low, high = key[edges], ids[edges], np.minimum.reduceat(low, edges), np.maximum.reduceat(high, edges)
+            # by minimizer: how many strings, smallest and largest document
+            _, group, count = np.unique(key, return_inverse=True, return_counts=True)
+            several = (count > 1)[group]
+            by = np.argsort(group, kind="stable")
+            first = np.cumsum(count) - count
+            bottom, top = np.minimum.reduceat(low[by], first)[group], np.maximum.reduceat(high[by], first)[group]
+            rest = several & (bottom < top)
+            own = 1 << (TABLE_BITS - fine_bits)
+            bits = np.zeros(own, np.uint8)
+            for slot in _slot(_wanted_key(key[rest], ids[rest], low[rest], fine_bits), fine_bits, TABLE_BITS):
+                bits[(slot & np.uint64(own - 1)).astype(np.int64)] = 1
+            if rest.any():
+                yield row("wanted", [(part, 1, zstandard.compress(np.packbits(bits, bitorder="little").tobytes(), 1))])
+            for n, pack in packs:
+                key_, ids_, doc, version, at, windows = opened(n, pack)
+                string = np.searchsorted(ids, ids_)
+                later = doc > bottom[string]
+                gone = np.flatnonzero(later & ~several[string])
+                if len(gone):
+                    held.append((doc[gone], version[gone], at[gone], at[gone] + windows[gone] + LENGTH - 1))
+                    size += len(gone)
+                open_ = np.flatnonzero(later & several[string])
+                if len(open_):
+                    raw = _pack([_steps(ids_[open_]), _steps(doc[open_]), version[open_], at[open_]])
+                    yield row("rest", [(part, len(open_), raw)])
+            if size >= HELD:
+                yield row("spans", _sent_spans(held, fine_bits))
+                held, size = [], 0
+        if held:
+            yield row("spans", _sent_spans(held, fine_bits))
+
+    sent = docs.mapInArrow(places, "part int, n long, pack binary").repartition(tasks, "part").sortWithinPartitions("part")
+    known = stored(sent.mapInArrow(settled, "part int, n long, spans binary, rest binary, wanted binary"))
+
+    # strings whose minimizer has several: one occurrence is asked for by a bit table of fixed size
+    wanted = np.zeros(1 << (TABLE_BITS - 3), np.uint8)
+    size = 1 << (TABLE_BITS - fine_bits - 3)
+    for r in known.where("wanted IS NOT NULL").select("part", "wanted").toLocalIterator():
+        wanted[r["part"] * size : (r["part"] + 1) * size] = np.frombuffer(zstandard.decompress(r["wanted"]), np.uint8)
+    asked = spark.sparkContext.broadcast(wanted)
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size = base = 0
-        for batch in batches:
-            docs_ = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), np.int64)
-            for texts, a, _ in _pieces(batch.column(2)):
-                own = candidates(texts)
-                size += len(own.data)
-                if len(own.at):
-                    sizes = own.n + LENGTH - 1
-                    data = _gathered(own.data, own.at, sizes)
-                    held.append((own.key, own.ids().view(np.int64), docs_[own.doc + a], base + np.cumsum(sizes) - sizes, sizes, data))
-                    base += len(data)
-                if size >= FLUSH and held:
-                    yield from sent(held)
-                    held, size, base = [], 0, 0
+        """The bytes of the wanted strings, each once in a flush."""
+        held, data, size, base = [], [], 0, 0
+
+        def pack(key, ids, doc, at, sizes):
+            fresh = np.ones(len(ids), bool)
+            fresh[1:] = (ids[1:] != ids[:-1]) | (key[1:] != key[:-1])
+            key, ids, doc, at, sizes = (v[fresh] for v in (key, ids, doc, at, sizes))
+            whole = np.concatenate(data)
+            for a, b in _runs(key >> np.uint64(64 - fine_bits)):
+                k = slice(a, b)
+                raw = _pack([_steps(key[k] >> np.uint64(CUT_BITS)), ids[k], _steps(doc[k]), sizes[k]], _gathered(whole, at[k], sizes[k]).tobytes())
+                yield key[a] >> np.uint64(64 - fine_bits), b - a, raw
+
+        for own, doc, _, _ in candidates(batches):
+            size += len(own.data)
+            ids = own.ids()
+            pick = np.flatnonzero(_has(asked.value, _wanted_key(own.key, ids, doc, fine_bits), fine_bits))
+            if len(pick):
+                sizes = own.n[pick].astype(np.int64) + LENGTH - 1
+                data.append(_gathered(own.data, own.at[pick], sizes))
+                held.append((own.key[pick], ids[pick], doc[pick], base + np.cumsum(sizes) - sizes, sizes))
+                base += len(data[-1])
+            if size >= FLUSH and held:
+                yield from flushed(held, pack)
+                held, data, size, base = [], [], 0, 0
         if held:
-            yield from sent(held)
+            yield from flushed(held, pack)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The strings of one part after the other."""
-        part, held = None, []
-        for batch in batches:
-            for own, n, pack in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                if own != part and held:
-                    yield from minima(held)
-                    held = []
-                part = own
-                held.append((n, pack.as_py()))
-        if held:
-            yield from minima(held)
-
-    def minima(packs: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
-        columns, bytes_ = [], []
-        for n, pack in packs:
-            raw = np.frombuffer(zstandard.decompress(pack), np.uint8)
-            columns.append([np.ascontiguousarray(raw[8 * n * k : 8 * n * (k + 1)].reshape(8, n).T).view(np.int64).ravel() for k in range(3)])
-            bytes_.append(raw[24 * n :])
-        low, more, sizes = (np.concatenate(v) for v in zip(*columns))
-        data, high = np.concatenate(bytes_), low + more
-        at = np.cumsum(sizes) - sizes
-        key, ids = _key_and_id(data, at, sizes)
-        order = np.lexsort((low, ids, key))
-        fresh = np.ones(len(order), bool)
-        fresh[1:] = (ids[order][1:] != ids[order][:-1]) | (key[order][1:] != key[order][:-1])
-        heads = np.flatnonzero(fresh)
-        high = np.maximum.reduceat(high[order], heads)
-        pick = order[heads]
-        key, ids, low, sizes, at = key[pick], ids[pick], low[pick], sizes[pick], at[pick]
-        # a minimizer with one string: every window's smallest document is the string's own
-        edge = np.ones(len(key) + 1, bool)
-        edge[1:-1] = key[1:] != key[:-1]
-        alone = edge[1:] & edge[:-1]
-        yield from answer(ids[alone], low[alone], high[alone], sizes[alone], None)
-        rest = np.flatnonzero(~alone)
-        begins = np.flatnonzero(edge[:-1][rest])
-        stops = [*begins[1:].tolist(), len(rest)]
-        start = 0
-        for stop in stops:
-            if stop - start >= BLOCK or stop == len(rest):
-                own = rest[start:stop]
-                start = stop
-                if len(own):
-                    least = class_minima(_gathered(data, at[own], sizes[own]), sizes[own], low[own])
-                    yield from answer(ids[own], low[own], high[own], sizes[own], least)
-
-    def answer(ids, low, high, sizes, least) -> Iterator[pa.RecordBatch]:
-        """The strings of which some place is removed, with each window's smallest document."""
-        n = sizes - LENGTH + 1
-        if least is None:
-            least = np.repeat(low, n)
-        if not len(n):
-            return
-        useful = np.minimum.reduceat(least, np.cumsum(n) - n) < high
-        keep = np.flatnonzero(useful)
-        offsets = np.concatenate([[0], np.cumsum(n[keep])])
-        arrays = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(least[np.repeat(useful, n)]))
-        yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), arrays], ["string_id", "least"])
-
-    found = (
-        docs.select("doc_id", "version", "text").mapInArrow(strings, "part int, n long, pack binary")
-        .repartition(tasks, "part").sortWithinPartitions("part")
-        .mapInArrow(blocks, "string_id long, least array<long>")
-    )
-    found = stored(found)
+        """Ranges of the places whose minimizer has several strings."""
 
-    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for texts, a, before in _pieces(batch.column(2)):
-                own = candidates(texts)
-                doc = pa.array(own.doc + a)
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0).take(doc), batch.column(1).take(doc), pa.array(own.ids().view(np.int64)),
-                    pa.array(own.at - own.bounds[own.doc] + before),
-                ], ["doc_id", "version", "string_id", "at"])
-
-    seen = docs.select("doc_id", "version", "text").mapInArrow(occurrences, "doc_id long, version long, string_id long, at long")
-    # a stored table on the other side: a string with very many places can be split
-    met = seen.join(found, "string_id")
-
-    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            least = batch.column(3)
-            n = np.diff(least.offsets.to_numpy())
-            doc = batch.column(0).to_numpy()
-            gone = least.flatten().to_numpy() < np.repeat(doc, n)
-            row = np.repeat(np.arange(len(n)), n)
-            step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            begin = gone.copy()
-            begin[1:] &= ~(gone[:-1] & (row[1:] == row[:-1]))
-            end = gone.copy()
-            end[:-1] &= ~(gone[1:] & (row[1:] == row[:-1]))
-            b, e = np.flatnonzero(begin), np.flatnonzero(end)
-            own = pa.array(row[b])
-            at = batch.column(2).to_numpy()[row[b]]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(own), batch.column(1).take(own), pa.array(at + step[b]), pa.array(at + step[e] + LENGTH)],
-                ["doc_id", "version", "start", "stop"],
+        def out(held):
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*_sent_spans(held, fine_bits)), (pa.int32(), pa.int64(), pa.binary()))], ["part", "n", "pack"]
             )
 
-    return met.select("doc_id", "version", "at", "least").mapInArrow(spans, "doc_id long, version long, start long, stop long")
+        held, size = [], 0
+        for _, rows in _by_part(batches):
+            texts = [_unpack(pack, n, 4) for n, pack, rest in rows if pack is not None]
+            if not texts:
+                if any(rest is not None for *_, rest in rows):
+                    raise ValueError("strings are missing: the documents changed between two passes")
+                continue
+            key, ids, low, sizes = (np.concatenate(v) for v in zip(*([
+                np.cumsum(c[0].view(np.uint64), dtype=np.uint64), c[1].view(np.uint64),
+                np.cumsum(c[2].view(np.uint64), dtype=np.uint64).view(np.int64), c[3],
+            ] for c, _ in texts)))
+            data = np.concatenate([d for _, d in texts])
+            at = np.cumsum(sizes) - sizes
+            order = np.lexsort((low, ids, key))
+            fresh = np.ones(len(order), bool)
+            fresh[1:] = (ids[order][1:] != ids[order][:-1]) | (key[order][1:] != key[order][:-1])
+            pick = order[fresh]  # with the smallest document
+            key, ids, low, sizes = key[pick], ids[pick], low[pick], sizes[pick]
+            least = string_minima(key, _gathered(data, at[pick], sizes), sizes, low)
+            windows = sizes - LENGTH + 1
+            base = np.cumsum(windows) - windows
+            by = np.argsort(ids, kind="stable")
+            for n, rest in ((n, rest) for n, _, rest in rows if rest is not None):
+                (own, doc, version, start), _ = _unpack(rest, n, 4)
+                own, doc = (np.cumsum(v.view(np.uint64), dtype=np.uint64) for v in (own, doc))
+                doc = doc.view(np.int64)
+                string = by[np.minimum(np.searchsorted(ids[by], own), len(by) - 1)]
+                if (ids[string] != own).any():
+                    raise ValueError("strings are missing: the documents changed between two passes")
+                many = windows[string]
+                row = np.repeat(np.arange(n), many)
+                step = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+                gone = least[base[string][row] + step] < doc[row]
+                same = row[1:] == row[:-1]
+                begin, end = gone.copy(), gone.copy()
+                begin[1:] &= ~(gone[:-1] & same)
+                end[:-1] &= ~(gone[1:] & same)
+                b, e = np.flatnonzero(begin), np.flatnonzero(end)
+                if len(b):
+                    held.append((doc[row[b]], version[row[b]], start[row[b]] + step[b], start[row[e]] + step[e] + LENGTH))
+                    size += len(b)
+            if size >= HELD:
+                yield out(held)
+                held, size = [], 0
+        if held:
+            yield out(held)
+
+    given = docs.mapInArrow(strings, "part int, n long, pack binary").selectExpr("part", "n", "pack", "cast(NULL AS binary) AS rest")
+    open_ = known.where("rest IS NOT NULL").selectExpr("part", "n", "cast(NULL AS binary) AS pack", "rest")
+    met = given.union(open_).repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(blocks, "part int, n long, pack binary")
+    found = met.union(known.where("spans IS NOT NULL").selectExpr("part", "n", "spans AS pack")).repartition(tasks, "part").sortWithinPartitions("part")
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _by_part(batches):
+            yield _merged(rows)
+
+    return found.mapInArrow(merged, "doc_id long, version long, spans array<struct<start: long, stop: long>>")
 
 
 @contextmanager
@@ -508,29 +705,6 @@ def _small_batches(spark: SparkSession, rows: int = 1000):
         spark.conf.set(name, before)
 
 
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each document's ranges in order, those that touch or overlap as one."""
-    for batch in batches:
-        n = np.diff(batch.column(2).offsets.to_numpy())
-        start, stop = (batch.column(k).flatten().to_numpy() for k in (2, 3))
-        row = np.repeat(np.arange(len(n)), n)
-        order = np.lexsort((start, row))
-        row, start, stop = row[order], start[order], stop[order]
-        # shifted by row, the largest stop so far never reaches into the next row
-        shift = row * (int(stop.max(initial=0)) + 1)
-        reach = np.maximum.accumulate(stop + shift)
-        fresh = np.ones(len(row), bool)
-        fresh[1:] = (start + shift)[1:] > reach[:-1]
-        fresh[1:] |= row[1:] != row[:-1]
-        heads = np.flatnonzero(fresh)
-        tails = np.concatenate([heads[1:], [len(row)]]) - 1
-        offsets = np.concatenate([[0], np.cumsum(np.bincount(row[heads], minlength=len(n)))])
-        ranges = pa.StructArray.from_arrays([pa.array(start[heads]), pa.array((reach - shift)[tails])], ["start", "stop"])
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), ranges)], ["doc_id", "version", "spans"]
-        )
-
-
 DOC_BITS = 22  # bit table of the documents with something to remove: 512 KB
 
 
@@ -558,14 +732,8 @@ def without_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     # rows of one id are told apart by their text; where ids are unique that costs nothing
     unique = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
     rows = rows.withColumn("version", F.lit(0).cast("long") if unique else F.xxhash64("text"))
-    # ranges of a document: at most one per string of it
     with _small_batches(docs.sparkSession):
-        found = removed_spans(rows)
-        spans = stored(
-            (found if unique else found.distinct()).groupBy("doc_id", "version")
-            .agg(F.collect_list("start").alias("start"), F.collect_list("stop").alias("stop"))
-            .mapInArrow(_merged, "doc_id long, version long, spans array<struct<start: long, stop: long>>")
-        )
+        spans = stored(removed_spans(rows))
     shared = docs.sparkSession.sparkContext.broadcast(_touched(spans))  # fixed size
 
     @F.pandas_udf("boolean")

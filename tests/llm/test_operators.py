@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -256,6 +257,60 @@ def test_repeats(docs, empty, spark):
     assert got == brute_repeats(rows)
 
 
+def test_repeats_of_very_frequent_minimizers(spark, monkeypatch):
+    rng = random.Random(3)
+    line = words(rng, 30)
+    hot = spark.createDataFrame([(i // 2, words(rng, 15) + line[: 60 + i % 90] + words(rng, 15)) for i in range(60)], "doc_id long, text string")
+    monkeypatch.setattr(repeats, "MANY", 8)  # their windows are dealt out singly
+    got = Counter((*list(r)[:4], bytes(r["kept"])) for r in repeats.without_repeats(hot.repartition(30)).collect())
+    assert got == brute_repeats(pairs(hot))
+
+
+def test_strings_of_repeats_are_not_exchanged_whole(spark, tmp_path):
+    """Windows overlap, so strings are several times the text; only those whose minimizer has
+    several strings need their bytes.  The texts that are cut are exchanged once."""
+    rng = random.Random(4)
+    letters = [chr(k) for k in range(192, 448)]
+    passages = ["".join(rng.choices(letters, k=1500)) for _ in range(60)]
+    rows = [(i, "".join(p + "".join(rng.choices(letters, k=20)) for p in rng.sample(passages, 10))) for i in range(240)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(24).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    folders = [Path(str(f)) for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+
+    def shuffled():
+        return {f: f.stat().st_size for folder in folders for f in folder.rglob("shuffle_*.data")}
+
+    before = shuffled()
+    assert repeats.without_repeats(docs).where("n_removed > 0").count() > 150
+    written = sum(size for f, size in shuffled().items() if f not in before)
+    assert written < sum(len(text.encode()) for _, text in rows)
+
+
+@pytest.mark.parametrize("crowd", [1 << 15, 3])
+def test_string_minima(monkeypatch, crowd):
+    monkeypatch.setattr(repeats, "CROWD", crowd)
+    monkeypatch.setattr(repeats, "BLOCK", 4)
+    rng = np.random.default_rng(5)
+    n = repeats.LENGTH
+    pool = [bytes(rng.integers(97, 123, 90, dtype=np.uint8)) for _ in range(6)]
+    for _ in range(20):
+        own = []
+        for key in np.sort(rng.integers(0, 6, rng.integers(1, 40))).tolist():
+            a = int(rng.integers(0, 30))
+            b = a + n + int(rng.integers(0, 90 - n - a + 1))
+            end = bytes(rng.integers(97, 123, 5, dtype=np.uint8)) if rng.integers(2) else b""
+            own.append((key, pool[key][a:b] + end, int(rng.integers(0, 50))))
+        windows = [[text[k : k + n] for k in range(len(text) - n + 1)] for _, text, _ in own]
+        least = {}
+        for (_, _, doc), ws in zip(own, windows):
+            for w in ws:
+                least[w] = min(doc, least.get(w, doc))
+        key, first = np.array([k for k, _, _ in own], np.uint64), np.array([d for *_, d in own])
+        sizes = np.array([len(t) for _, t, _ in own])
+        got = repeats.string_minima(key, np.frombuffer(b"".join(t for _, t, _ in own), np.uint8), sizes, first)
+        assert got.tolist() == [least[w] for ws in windows for w in ws]
+
+
 def test_long_texts_are_taken_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(repeats, "SLICE", 256)
     text = words(random.Random(2), 900)
