@@ -9,11 +9,12 @@ one symbol of every string, from the last to the first, and updates both arrays
 sequential pass.  Runs of common prefixes of ``LENGTH`` are the classes of equal windows.
 
 Minimizers which occur in one document only cannot repeat; a first pass finds the others and
-keeps them as a bit table of fixed size.  What the table lets through by chance is harmless.
-Neighbouring strings overlap, so their bytes are several times the text.  A second pass sends
-hashes and places only: they settle every minimizer with a single string, whose windows all
-have the string's smallest document.  A third pass sends bytes, of one occurrence of each
-string whose minimizer has several.
+keeps them as a bit table.  What the table lets through by chance is harmless.  Neighbouring
+strings overlap, so their bytes are several times the text.  A second pass sends hashes and
+places only: they settle every minimizer with a single string, whose windows all have the
+string's smallest document.  A third pass sends bytes, of one occurrence of each string whose
+minimizer has several: a bit table asks for them, or, where they are too many for it, their
+documents meet the requests, so that what is sent grows with the text and no faster.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm.tokens import slices
@@ -34,7 +35,8 @@ from codeloom.session import stored
 
 LENGTH = 50
 GRAM = 24
-TABLE_BITS = 27  # 16 MB
+TABLE_BITS = 22, 29  # 512 KB to 64 MB, by what a table is to hold; a fuller one sifts less
+MANY_BITS = 24  # of the very frequent ones': 2 MB
 BLOCK = 1 << 11  # strings of a block, small for the processor's caches; a minimizer's are in one
 CROWD = 1 << 15  # strings of a minimizer that are too many for a block; their windows are dealt out singly
 SLICE = 1 << 18  # bytes of text handled at once; longer texts are taken in overlapping pieces
@@ -43,6 +45,8 @@ TIE_BITS = 24  # grams which agree above these bits are taken from the left
 CUT_BITS = 24  # of a minimizer's hash, not looked at when minimizers are told apart
 FLUSH = 1 << 24  # bytes of text whose strings are sent together
 HELD = 1 << 19  # ranges of bytes that are sent together
+ASKED = 1 << 27  # strings that a bit table asks for; the documents of more are sent
+RESTS = 1 << 16  # places that are sent in a pack
 PART_BITS = 12  # parts of the hash range at most; more would make the packs of a flush too small
 _BASE = 0xD1342543DE82EF95
 _BACK = pow(_BASE, -1, 1 << 64)
@@ -144,7 +148,8 @@ class Strings:
         # a run ends where the next begins or where the document leaves no whole window
         group = np.cumsum(first) - 1
         self.n = np.bincount(group[whole], minlength=group[-1] + 1)[group[starts]]
-        self.at, self.doc, self.key = starts, doc[starts], grams[place[starts]]
+        # hashed again: smallest hashes crowd at the low end of the range
+        self.at, self.doc, self.key = starts, doc[starts], _mixed(grams[place[starts]])
 
     def take(self, keep: np.ndarray) -> None:
         self.key, self.doc, self.at, self.n = (v[keep] for v in (self.key, self.doc, self.at, self.n))
@@ -186,6 +191,20 @@ def _pieces(texts: pa.Array) -> Iterator[tuple[pa.Array, int, int]]:
         begin = own + 1
 
 
+def _width(bits: int) -> int:
+    least, most = TABLE_BITS
+    return min(most, max(least, bits.bit_length()))
+
+
+def _bits(keys: np.ndarray, parts_bits: int, table_bits: int) -> bytes:
+    """A part of the table, with the keys of that part."""
+    own = 1 << (table_bits - parts_bits)
+    bits = np.zeros(own, np.uint8)
+    for slot in _slot(keys, parts_bits, table_bits):
+        bits[(slot & np.uint64(own - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
 def _slot(keys: np.ndarray, parts_bits: int, table_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Two bits of the table for each key, both in the key's part of the table."""
     own = np.uint64(table_bits - parts_bits)
@@ -197,7 +216,7 @@ def _slot(keys: np.ndarray, parts_bits: int, table_bits: int) -> tuple[np.ndarra
 
 def _has(table: np.ndarray, keys: np.ndarray, parts_bits: int) -> np.ndarray:
     found = np.ones(len(keys), bool)
-    for slot in _slot(keys, parts_bits, TABLE_BITS):
+    for slot in _slot(keys, parts_bits, len(table).bit_length() + 2):
         found &= (table[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0
     return found
 
@@ -206,47 +225,52 @@ def repeated_minimizers(rows: DataFrame, parts_bits: int) -> tuple[np.ndarray, n
     """Bit tables of the minimizers found in two documents or more, and of the very frequent.
 
     A task sends each minimizer of a batch once (twice if two of the batch's documents have
-    it), packed by parts of the hash range.  The driver gets the tables, of fixed size.
+    it), packed by parts of the hash range.  The driver gets the tables, of bounded size.
     """
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    widths = _width(size // 8), MANY_BITS
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def packed(held):
+            key = np.sort(np.concatenate(held))
+            part = (key >> np.uint64(64 - parts_bits)).astype(np.int64)
+            edges = np.flatnonzero(np.diff(part, prepend=-1))
+            key >>= np.uint64(CUT_BITS)
+            pieces = [_packed(key[a:b]) for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(key)])]
+            return pa.RecordBatch.from_arrays([pa.array(part[edges], pa.int32()), pa.array(pieces, pa.binary())], ["part", "keys"])
+
+        held, size = [], 0
         for batch in batches:
             keys = []
             for texts, _, _ in _pieces(batch.column(0)):
                 own = Strings(texts)
+                size += len(own.data)
                 order = np.lexsort((own.doc, own.key))
                 key, doc = own.key[order], own.doc[order]
                 fresh = np.ones(len(key), bool)
                 fresh[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
                 keys.append(key[fresh])
             key = np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
-            key = key[np.concatenate([[True] * min(2, len(key)), key[2:] != key[:-2]])]  # at most two of each
-            part = (key >> np.uint64(64 - parts_bits)).astype(np.int64)
-            edges = np.flatnonzero(np.diff(part, prepend=-1))
-            key >>= np.uint64(CUT_BITS)
-            pieces = [_packed(key[a:b]) for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(key)])]
-            yield pa.RecordBatch.from_arrays([pa.array(part[edges], pa.int32()), pa.array(pieces, pa.binary())], ["part", "keys"])
+            held.append(key[np.concatenate([[True] * min(2, len(key)), key[2:] != key[:-2]])])  # at most two of each
+            if size >= FLUSH:
+                yield packed(held)
+                held, size = [], 0
+        if held:
+            yield packed(held)
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
         key = np.sort(np.concatenate([_unpacked(k) for k in group["keys"]])) << np.uint64(CUT_BITS)
         twice = np.flatnonzero(key[1:] == key[:-1])
         many = np.flatnonzero(key[MANY:] == key[: len(key) - MANY]) if len(key) > MANY else np.zeros(0, np.int64)
-        own = 1 << (TABLE_BITS - parts_bits)
-        out = []
-        for at in (twice, many):
-            bits = np.zeros(own, np.uint8)
-            for slot in _slot(key[at], parts_bits, TABLE_BITS):
-                bits[(slot & np.uint64(own - 1)).astype(np.int64)] = 1
-            out.append(np.packbits(bits, bitorder="little").tobytes())
+        out = [_bits(key[at], parts_bits, width) for at, width in zip((twice, many), widths)]
         return pd.DataFrame({"part": group["part"].iloc[:1], "twice": out[:1], "many": out[1:]})
 
-    size = 1 << (TABLE_BITS - parts_bits - 3)
-    tables = np.zeros((2, 1 << (TABLE_BITS - 3)), np.uint8)
     sent = rows.select("text").mapInArrow(emit, "part int, keys binary")
-    for r in sent.groupBy("part").applyInPandas(merge, "part int, twice binary, many binary").toLocalIterator():
-        at = r["part"] * size
-        tables[0, at : at + size] = np.frombuffer(r["twice"], np.uint8)
-        tables[1, at : at + size] = np.frombuffer(r["many"], np.uint8)
+    found = stored(sent.groupBy("part").applyInPandas(merge, "part int, twice binary, many binary"))
+    tables = [np.zeros(1 << (width - 3), np.uint8) for width in widths]
+    for r in found.toLocalIterator():
+        for table, bits in zip(tables, (r["twice"], r["many"])):
+            table[r["part"] * len(bits) : (r["part"] + 1) * len(bits)] = np.frombuffer(bits, np.uint8)
     return tables[0], tables[1]
 
 
@@ -438,10 +462,15 @@ def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tupl
         yield part, held
 
 
+def _doc_part(doc: np.ndarray, version: np.ndarray, bits: int) -> np.ndarray:
+    both = doc.view(np.uint64) * _MIX ^ _mixed(version.view(np.uint64))
+    return (_mixed(both) >> np.uint64(64 - bits)).astype(np.int64)
+
+
 def _sent_spans(held: list[tuple], bits: int) -> list[tuple[int, int, bytes]]:
     """(part of the documents, number, pack) of byte ranges (document, version, start, stop)."""
     doc, version, start, stop = (np.concatenate(v) for v in zip(*held))
-    part = (_mixed(doc.view(np.uint64) * _MIX) >> np.uint64(64 - bits)).astype(np.int64)
+    part = _doc_part(doc, version, bits)
     order = np.lexsort((start, version, doc, part))
     doc, version, start, size, part = doc[order], version[order], start[order], (stop - start)[order], part[order]
     return [
@@ -450,6 +479,23 @@ def _sent_spans(held: list[tuple], bits: int) -> list[tuple[int, int, bytes]]:
     ]
 
 
+def _pack_wanted(doc, version, at, n, key, ids) -> bytes:
+    """Strings whose bytes are asked for: document, version, place, windows, minimizer, hash."""
+    return _pack([_steps(doc), _steps(version), at, n, key >> np.uint64(CUT_BITS), ids])
+
+
+def _wanted(rows: list[tuple[int, bytes]]) -> list[np.ndarray]:
+    """The strings of many packs of ``_pack_wanted``, in order of document and place."""
+    columns = []
+    for n, pack in rows:
+        (doc, version, at, windows, key, ids), _ = _unpack(pack, n, 6)
+        doc, version = (np.cumsum(v.view(np.uint64), dtype=np.uint64).view(np.int64) for v in (doc, version))
+        columns.append((doc, version, at, windows, key.view(np.uint64) << np.uint64(CUT_BITS), ids.view(np.uint64)))
+    columns = [np.concatenate(v) for v in zip(*columns)]
+    order = np.lexsort((columns[2], columns[1], columns[0]))
+    return [v[order] for v in columns]
+
+
 def _merged(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
     """The ranges of each document in order, those that touch or overlap as one."""
     columns = [_unpack(pack, n, 4)[0] for n, pack in rows]
@@ -479,15 +525,36 @@ def _wanted_key(key: np.ndarray, ids: np.ndarray, doc: np.ndarray, bits: int) ->
     return (key >> np.uint64(64 - bits) << np.uint64(64 - bits)) | (own >> np.uint64(bits))
 
 
+DOC_BITS = 22  # bit table of documents: 512 KB
+
+
+def _doc_bit(doc_id: str) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(1 << DOC_BITS))
+
+
+def _touched(docs: DataFrame) -> np.ndarray:
+    """Bit table of the document ids in ``docs``: at most 2^DOC_BITS / 64 rows."""
+    words = docs.select(_doc_bit("doc_id").alias("bit")).selectExpr("shiftright(bit, 6) AS word", "shiftleft(1L, cast(bit & 63 AS int)) AS bits")
+    found = words.groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    table = np.zeros(1 << (DOC_BITS - 6), np.uint64)
+    table[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
+    return table
+
+
+def _is_set(table: np.ndarray, bits: pd.Series) -> np.ndarray:
+    bits = bits.to_numpy().astype(np.uint64)
+    return (table[(bits >> np.uint64(6)).astype(np.int64)] >> (bits & np.uint64(63))) & np.uint64(1) > 0
+
+
 def removed_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, version, spans): byte ranges to remove, for documents with any; ``docs`` has
     doc_id, version and text."""
     spark = docs.sparkSession
     tasks = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     parts_bits = min(PART_BITS, (tasks - 1).bit_length())
-    fine_bits = min(PART_BITS, parts_bits + 3)
+    fine_bits = min(PART_BITS, parts_bits + 1)
     docs = docs.select("doc_id", "version", "text")
-    shared = spark.sparkContext.broadcast(repeated_minimizers(docs, parts_bits))  # fixed size
+    shared = spark.sparkContext.broadcast(repeated_minimizers(docs, parts_bits))  # of bounded size
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Strings, np.ndarray, np.ndarray, int]]:
         """The strings of repeated minimizers, with their documents, versions and the bytes
@@ -536,13 +603,19 @@ def removed_spans(docs: DataFrame) -> DataFrame:
 
     def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Ranges of minimizers with one string; places of the others that may be removed, and
-        their table of wanted bytes.  A part's packs stay packed and are opened one by one."""
+        one occurrence of each of their strings, whose bytes are wanted.  A part's packs stay
+        packed and are opened one by one."""
 
         def row(kind, rows):
             part, n, pack = zip(*rows)
             columns = [pa.array(pack, pa.binary()) if k == kind else pa.nulls(len(pack), pa.binary()) for k in ("spans", "rest", "wanted")]
             return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(n, pa.int64()), *columns], ["part", "n", "spans", "rest", "wanted"])
 
+        def open_row(part, places):
+            string, ids, doc, version, at = (np.concatenate(v) for v in zip(*places))
+            order = np.lexsort((at, version, doc, string))
+            return row("rest", [(part, len(order), _pack([_steps(ids[order]), _steps(doc[order]), version[order], at[order]]))])
+
         held, size = [], 0
         for part, packs in _by_part(batches):
             heads = []
@@ -563,12 +636,8 @@ def removed_spans(docs: DataFrame) -> DataFrame:
             first = np.cumsum(count) - count
             bottom, top = np.minimum.reduceat(low[by], first)[group], np.maximum.reduceat(high[by], first)[group]
             rest = several & (bottom < top)
-            own = 1 << (TABLE_BITS - fine_bits)
-            bits = np.zeros(own, np.uint8)
-            for slot in _slot(_wanted_key(key[rest], ids[rest], low[rest], fine_bits), fine_bits, TABLE_BITS):
-                bits[(slot & np.uint64(own - 1)).astype(np.int64)] = 1
-            if rest.any():
-                yield row("wanted", [(part, 1, zstandard.compress(np.packbits(bits, bitorder="little").tobytes(), 1))])
+            idle = ~rest  # strings whose bytes are asked for, or need not be
+            places, many, asked = [], 0, []
             for n, pack in packs:
                 key_, ids_, doc, version, at, windows = opened(n, pack)
                 string = np.searchsorted(ids, ids_)
@@ -577,30 +646,38 @@ def removed_spans(docs: DataFrame) -> DataFrame:
                 if len(gone):
                     held.append((doc[gone], version[gone], at[gone], at[gone] + windows[gone] + LENGTH - 1))
                     size += len(gone)
+                first = np.flatnonzero(~idle[string] & (doc == low[string]))
+                if len(first):
+                    name, at_ = np.unique(string[first], return_index=True)
+                    idle[name], first = True, first[at_]
+                    asked.append((doc[first], version[first], at[first], windows[first], key_[first], ids_[first]))
                 open_ = np.flatnonzero(later & several[string])
-                if len(open_):
-                    raw = _pack([_steps(ids_[open_]), _steps(doc[open_]), version[open_], at[open_]])
-                    yield row("rest", [(part, len(open_), raw)])
+                for k in (open_[a : a + RESTS] for a in range(0, len(open_), RESTS)):
+                    places.append((string[k], ids_[k], doc[k], version[k], at[k]))
+                    many += len(k)
+                    if many >= RESTS:
+                        yield open_row(part, places)
+                        places, many = [], 0
+            if places:
+                yield open_row(part, places)
+            if asked:
+                columns = [np.concatenate(v) for v in zip(*asked)]
+                order = np.lexsort((columns[2], columns[1], columns[0]))
+                yield row("wanted", [(part, len(order), _pack_wanted(*(c[order] for c in columns)))])
             if size >= HELD:
-                yield row("spans", _sent_spans(held, fine_bits))
+                yield row("spans", _sent_spans(held, parts_bits))
                 held, size = [], 0
         if held:
-            yield row("spans", _sent_spans(held, fine_bits))
+            yield row("spans", _sent_spans(held, parts_bits))
 
     sent = docs.mapInArrow(places, "part int, n long, pack binary").repartition(tasks, "part").sortWithinPartitions("part")
     known = stored(sent.mapInArrow(settled, "part int, n long, spans binary, rest binary, wanted binary"))
 
-    # strings whose minimizer has several: one occurrence is asked for by a bit table of fixed size
-    wanted = np.zeros(1 << (TABLE_BITS - 3), np.uint8)
-    size = 1 << (TABLE_BITS - fine_bits - 3)
-    for r in known.where("wanted IS NOT NULL").select("part", "wanted").toLocalIterator():
-        wanted[r["part"] * size : (r["part"] + 1) * size] = np.frombuffer(zstandard.decompress(r["wanted"]), np.uint8)
-    asked = spark.sparkContext.broadcast(wanted)
-
-    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The bytes of the wanted strings, each once in a flush."""
-        held, data, size, base = [], [], 0, 0
+    # strings whose minimizer has several: the bytes of one occurrence are asked for
+    requests = known.where("wanted IS NOT NULL").select("part", "n", F.col("wanted").alias("pack"))
+    count = requests.agg(F.sum("n")).first()[0] or 0
 
+    def pack_strings(data):
         def pack(key, ids, doc, at, sizes):
             fresh = np.ones(len(ids), bool)
             fresh[1:] = (ids[1:] != ids[:-1]) | (key[1:] != key[:-1])
@@ -611,27 +688,117 @@ def removed_spans(docs: DataFrame) -> DataFrame:
                 raw = _pack([_steps(key[k] >> np.uint64(CUT_BITS)), ids[k], _steps(doc[k]), sizes[k]], _gathered(whole, at[k], sizes[k]).tobytes())
                 yield key[a] >> np.uint64(64 - fine_bits), b - a, raw
 
-        for own, doc, _, _ in candidates(batches):
-            size += len(own.data)
-            ids = own.ids()
-            pick = np.flatnonzero(_has(asked.value, _wanted_key(own.key, ids, doc, fine_bits), fine_bits))
-            if len(pick):
-                sizes = own.n[pick].astype(np.int64) + LENGTH - 1
-                data.append(_gathered(own.data, own.at[pick], sizes))
-                held.append((own.key[pick], ids[pick], doc[pick], base + np.cumsum(sizes) - sizes, sizes))
-                base += len(data[-1])
-            if size >= FLUSH and held:
-                yield from flushed(held, pack)
-                held, data, size, base = [], [], 0, 0
-        if held:
-            yield from flushed(held, pack)
+        return pack
+
+    def by_table() -> DataFrame:
+        """The bytes of the strings that a bit table asks for, each once in a flush."""
+        width = _width(8 * count)
+
+        def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part, rows in _by_part(batches):  # a part is one pack
+                doc, _, _, _, key, ids = _wanted(rows)
+                bits = _bits(_wanted_key(key, ids, doc, fine_bits), fine_bits, width)
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([bits], pa.binary())], ["part", "bits"])
+
+        table = np.zeros(1 << (width - 3), np.uint8)
+        for r in requests.mapInArrow(marked, "part int, bits binary").toLocalIterator():
+            table[r["part"] * len(r["bits"]) : (r["part"] + 1) * len(r["bits"])] |= np.frombuffer(r["bits"], np.uint8)
+        asked = spark.sparkContext.broadcast(table)  # of bounded size
+
+        def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, data, size, base = [], [], 0, 0
+            for own, doc, _, _ in candidates(batches):
+                size += len(own.data)
+                ids = own.ids()
+                pick = np.flatnonzero(_has(asked.value, _wanted_key(own.key, ids, doc, fine_bits), fine_bits))
+                if len(pick):
+                    sizes = own.n[pick].astype(np.int64) + LENGTH - 1
+                    data.append(_gathered(own.data, own.at[pick], sizes))
+                    held.append((own.key[pick], ids[pick], doc[pick], base + np.cumsum(sizes) - sizes, sizes))
+                    base += len(data[-1])
+                if size >= FLUSH and held:
+                    yield from flushed(held, pack_strings(data))
+                    held, data, size, base = [], [], 0, 0
+            if held:
+                yield from flushed(held, pack_strings(data))
+
+        return docs.mapInArrow(strings, "part int, n long, pack binary")
+
+    def by_document() -> DataFrame:
+        """The bytes of the strings asked for, from documents that meet their requests."""
+
+        def holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _, rows in _by_part(batches):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(_wanted(rows)[0]))], ["doc_id"])
+
+        def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def packs(held):
+                columns = [np.concatenate(v) for v in zip(*held)]
+                part = _doc_part(columns[0], columns[1], parts_bits)
+                order = np.lexsort((columns[2], columns[1], columns[0], part))
+                columns, part = [c[order] for c in columns], part[order]
+                rows = [(int(part[a]), b - a, _pack_wanted(*(c[a:b] for c in columns))) for a, b in _runs(part)]
+                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary()))], ["part", "n", "pack"])
+
+            held, size = [], 0
+            for _, rows in _by_part(batches):
+                held.append(_wanted(rows))
+                size += len(held[-1][0])
+                if size >= HELD:
+                    yield packs(held)
+                    held, size = [], 0
+            if held:
+                yield packs(held)
+
+        holding = spark.sparkContext.broadcast(_touched(requests.mapInArrow(holders, "doc_id long")))  # fixed size
+
+        @F.pandas_udf("int")
+        def part_if_holding(bit: pd.Series, doc: pd.Series, version: pd.Series) -> pd.Series:
+            part = _doc_part(*(np.ascontiguousarray(v, np.int64) for v in (doc, version)), parts_bits)
+            return pd.Series(np.where(_is_set(holding.value, bit), part, -1).astype(np.int32))
+
+        def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, data, base = [], [], 0
+            for _, rows in _by_part(batches):
+                asked = [(n, pack) for n, pack, *_ in rows if pack is not None]
+                if not asked:
+                    continue
+                doc, version, at, n, key, ids = _wanted(asked)
+                heads = [a for a, _ in _runs(np.cumsum(np.concatenate([[0], (np.diff(doc) != 0) | (np.diff(version) != 0)])))]
+                begin = dict(zip(zip(doc[heads].tolist(), version[heads].tolist()), zip(heads, [*heads[1:], len(doc)])))
+                for *_, own_doc, own_version, text in rows:
+                    a, b = begin.pop((own_doc, own_version), (0, 0)) if text is not None else (0, 0)
+                    if a == b:
+                        continue
+                    text = np.frombuffer(text, np.uint8)
+                    sizes = n[a:b] + LENGTH - 1
+                    if (at[a:b] + sizes).max() > len(text) or (_range_ids(text, at[a:b], n[a:b]) != ids[a:b]).any():
+                        raise ValueError("strings are missing: the documents changed between two passes")
+                    data.append(_gathered(text, at[a:b], sizes))
+                    held.append((key[a:b], ids[a:b], doc[a:b], base + np.cumsum(sizes) - sizes, sizes))
+                    base += len(data[-1])
+                    if base >= FLUSH:
+                        yield from flushed(held, pack_strings(data))
+                        held, data, base = [], [], 0
+                if begin:
+                    raise ValueError("strings are missing: the documents changed between two passes")
+            if held:
+                yield from flushed(held, pack_strings(data))
+
+        texts = docs.select(part_if_holding(_doc_bit("doc_id"), "doc_id", "version").alias("part"), "doc_id", "version", "text")
+        texts = texts.where("part >= 0").selectExpr("part", "cast(NULL AS long) AS n", "cast(NULL AS binary) AS pack", "doc_id", "version", "text")
+        asked = requests.mapInArrow(dealt, "part int, n long, pack binary").selectExpr(
+            "part", "n", "pack", "cast(NULL AS long) AS doc_id", "cast(NULL AS long) AS version", "cast(NULL AS binary) AS text"
+        )
+        met = asked.union(texts).repartition(tasks, "part").sortWithinPartitions("part")
+        return met.mapInArrow(strings, "part int, n long, pack binary")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Ranges of the places whose minimizer has several strings."""
 
         def out(held):
             return pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*_sent_spans(held, fine_bits)), (pa.int32(), pa.int64(), pa.binary()))], ["part", "n", "pack"]
+                [pa.array(c, t) for c, t in zip(zip(*_sent_spans(held, parts_bits)), (pa.int32(), pa.int64(), pa.binary()))], ["part", "n", "pack"]
             )
 
         held, size = [], 0
@@ -681,7 +848,7 @@ def removed_spans(docs: DataFrame) -> DataFrame:
         if held:
             yield out(held)
 
-    given = docs.mapInArrow(strings, "part int, n long, pack binary").selectExpr("part", "n", "pack", "cast(NULL AS binary) AS rest")
+    given = (by_table() if count <= ASKED else by_document()).selectExpr("part", "n", "pack", "cast(NULL AS binary) AS rest")
     open_ = known.where("rest IS NOT NULL").selectExpr("part", "n", "cast(NULL AS binary) AS pack", "rest")
     met = given.union(open_).repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(blocks, "part int, n long, pack binary")
     found = met.union(known.where("spans IS NOT NULL").selectExpr("part", "n", "spans AS pack")).repartition(tasks, "part").sortWithinPartitions("part")
@@ -705,19 +872,6 @@ def _small_batches(spark: SparkSession, rows: int = 1000):
         spark.conf.set(name, before)
 
 
-DOC_BITS = 22  # bit table of the documents with something to remove: 512 KB
-
-
-def _touched(spans: DataFrame) -> np.ndarray:
-    """Bit table of the document ids in ``spans``: at most 2^DOC_BITS / 64 rows."""
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << DOC_BITS))
-    words = spans.select(bit.alias("bit")).selectExpr("shiftright(bit, 6) AS word", "shiftleft(1L, cast(bit & 63 AS int)) AS bits")
-    found = words.groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
-    table = np.zeros(1 << (DOC_BITS - 6), np.uint64)
-    table[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
-    return table
-
-
 def without_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept binary) per row of ``docs``.
 
@@ -738,11 +892,10 @@ def without_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
     @F.pandas_udf("boolean")
     def touched(bit: pd.Series) -> pd.Series:
-        bit = bit.to_numpy().astype(np.uint64)
-        return pd.Series((shared.value[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) > 0)
+        return pd.Series(_is_set(shared.value, bit))
 
     # only documents with ranges, and a few others by chance, are moved or reach Python whole
-    marked = rows.withColumn("touched", touched(F.pmod(F.xxhash64("doc_id"), F.lit(1 << DOC_BITS))))
+    marked = rows.withColumn("touched", touched(_doc_bit("doc_id")))
     joined = marked.where("touched").join(spans, ["doc_id", "version"], "left").select("doc_id", "text", "spans")
     whole = marked.where("NOT touched").selectExpr(
         "doc_id", "cast(octet_length(text) AS long) AS n_bytes", "0L AS n_removed", "0L AS n_spans", "text AS kept"

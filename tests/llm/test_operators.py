@@ -286,6 +286,33 @@ def test_strings_of_repeats_are_not_exchanged_whole(spark, tmp_path):
     assert written < sum(len(text.encode()) for _, text in rows)
 
 
+def test_minimizers_are_spread_over_all_parts():
+    """Smallest hashes crowd at the low end; the parts of exchanges and of bit tables are even."""
+    strings = repeats.Strings(repeats.pa.array([words(random.Random(k), 900) for k in range(20)]))
+    parts = np.bincount((strings.key >> np.uint64(60)).astype(np.int64), minlength=16)
+    assert len(strings.key) > 3000 and parts.max() < 1.5 * parts.mean() and parts.min() > 0.5 * parts.mean()
+
+
+@pytest.mark.parametrize("asked", [0, 1 << 27])
+def test_bytes_of_repeats_are_asked_for_once(spark, monkeypatch, tmp_path, asked):
+    """By a bit table or by document: each string that needs its bytes is sent once, however
+    often it is found, also where rows share an id or have none."""
+    monkeypatch.setattr(repeats, "ASKED", asked)
+    rng = random.Random(6)
+    pool = [words(rng, 40) for _ in range(30)]
+    rows = []
+    for i in range(400):
+        cut = [p[rng.randrange(40) : len(p) - rng.randrange(40)] for p in rng.sample(pool, 4)]
+        rows.append((None if i % 40 == 7 else i // 2 if i < 40 else i, None if i == 3 else "".join(c + words(rng, 6) for c in cut)))
+    rows += [rows[50], (rows[50][0], rows[60][1])]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(12).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    got = Counter((*list(r)[:4], bytes(r["kept"])) for r in repeats.without_repeats(docs).collect())
+    last = 1 << 62
+    want = brute_repeats([(last if key is None else key, text) for key, text in rows])
+    assert got == Counter({(None if r[0] == last else r[0], *r[1:]): n for r, n in want.items()})
+
+
 @pytest.mark.parametrize("crowd", [1 << 15, 3])
 def test_string_minima(monkeypatch, crowd):
     monkeypatch.setattr(repeats, "CROWD", crowd)
